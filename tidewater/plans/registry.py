@@ -1,11 +1,406 @@
-"""Queries by name, with the SQL that checks them."""
+"""Queries by name over the test tables, each with the SQL that checks it where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.functions import encode, nested, paths
+from tidewater.operators import adaptive, routing, scans, snapshots
+from tidewater.sources import sqltext
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _local(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").where("o_orderkey % 10 <> 0").select("o_orderkey", F.round("o_totalprice").cast("long").alias("price"), F.col("o_orderstatus").alias("status"))
+
+
+def _remote(spark: SparkSession, d: str) -> DataFrame:
+    price = F.round("o_totalprice").cast("long") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)
+    return _t(spark, d, "orders").where("o_orderkey % 11 <> 0").select("o_orderkey", price.alias("price"), F.col("o_orderstatus").alias("status"))
+
+
+_SIDES = """
+l AS (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) price, o_orderstatus status FROM orders WHERE o_orderkey % 10 <> 0),
+r AS (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END price, o_orderstatus status FROM orders WHERE o_orderkey % 11 <> 0),
+d AS (SELECT coalesce(l.o_orderkey, r.o_orderkey) o_orderkey,
+  CASE WHEN l.o_orderkey IS NULL THEN 'add' WHEN r.o_orderkey IS NULL THEN 'delete'
+       WHEN l.price IS DISTINCT FROM r.price OR l.status IS DISTINCT FROM r.status THEN 'change' ELSE 'same' END op,
+  l.price local_price, l.status local_status, r.price remote_price, r.status remote_status FROM l FULL OUTER JOIN r ON l.o_orderkey = r.o_orderkey)
+"""
+
+
+@query(f"WITH {_SIDES} SELECT o_orderkey, op, local_price, local_status, remote_price, remote_status FROM d")
+def snapshot_diff(spark, d):
+    return snapshots.diff(_local(spark, d), _remote(spark, d), "o_orderkey", ["price", "status"])
+
+
+@query(f"WITH {_SIDES} SELECT op, count(*) n, CAST(sum(coalesce(remote_price, local_price)) AS BIGINT) bytes FROM d GROUP BY op")
+def snapshot_diff_summary(spark, d):
+    rows = snapshot_diff(spark, d)
+    return rows.groupBy("op").agg(F.count("*").alias("n"), F.sum(F.coalesce("remote_price", "local_price")).alias("bytes"))
+
+
+@query(f"WITH {_SIDES} SELECT o_orderkey, CASE WHEN op = 'delete' AND local_status <> 'F' THEN 'keep' ELSE op END op FROM d")
+def snapshot_diff_guarded_delete(spark, d):
+    rows = snapshots.diff(_local(spark, d), _remote(spark, d), "o_orderkey", ["price", "status"], F.col("a.status") == "F")
+    return rows.select("o_orderkey", "op")
+
+
+def _log(spark, d):
+    """events as a change log of users: odd ids delete now and then."""
+    op = F.when(F.col("event_id") % 9 == 0, "D").otherwise("F")
+    return _t(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_type").alias("type"), F.col("event_id").alias("size"))
+
+
+_LOG = "u AS (SELECT user_id path, event_id seq, CASE WHEN event_id % 9 = 0 THEN 'D' ELSE 'F' END op, event_type type, event_id size FROM events)"
+
+
+@query(f"""WITH {_LOG}, s AS (SELECT c_custkey path, c_mktsegment type, c_custkey size FROM customer),
+ x AS (SELECT path, arg_max(op, seq) op, arg_max(type, seq) type, arg_max(size, seq) size FROM u GROUP BY path)
+ SELECT coalesce(x.path, s.path) path, CASE WHEN x.path IS NULL THEN s.type ELSE x.type END type, CASE WHEN x.path IS NULL THEN s.size ELSE x.size END size
+ FROM s FULL OUTER JOIN x ON s.path = x.path WHERE x.path IS NULL OR x.op <> 'D'""")
+def changelog_merge(spark, d):
+    snapshot = _t(spark, d, "customer").select(F.col("c_custkey").alias("path"), F.col("c_mktsegment").alias("type"), F.col("c_custkey").alias("size"))
+    return snapshots.merge(snapshot, _log(spark, d), "path")
+
+
+@query("""SELECT event_id, user_id, event_type FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) nx FROM events) WHERE nx IS NULL OR nx <> event_type""")
+def changelog_coalesce(spark, d):
+    return snapshots.coalesce_runs(_t(spark, d, "events").select("event_id", "user_id", "event_type"), "event_type", ["user_id", "event_id"])
+
+
+@query("SELECT 'same' op, count(*) n FROM orders WHERE o_orderkey % 11 <> 0")
+def merge_then_diff_is_same(spark, d):
+    changes = snapshot_diff(spark, d).where("op <> 'same'")
+    log = changes.select("o_orderkey", F.lit(1).alias("seq"), F.when(F.col("op") == "delete", "D").otherwise("F").alias("op"), F.col("remote_price").alias("price"), F.col("remote_status").alias("status"))
+    merged = snapshots.merge(_local(spark, d), log, "o_orderkey")
+    return snapshots.diff(merged, _remote(spark, d), "o_orderkey", ["price", "status"]).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 250")
+def keyset_page_single(spark, d):
+    return scans.keyset_page(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], [500], 250)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey > 300 OR (l_orderkey = 300 AND l_linenumber > 2) ORDER BY l_orderkey, l_linenumber LIMIT 250")
+def keyset_page_composite(spark, d):
+    return scans.keyset_page(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"], [300, 2], 250)
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 100 OFFSET 40")
+def offset_page_total_order(spark, d):
+    return scans.offset_page(_t(spark, d, "documents").select("doc_id", "lang"), ["lang", "doc_id"], 40, 100)
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IS NULL OR event_type <> 'click'")
+def row_exclusion_null_safe(spark, d):
+    return scans.exclude(_t(spark, d, "events").select("event_id", "event_type"), "event_type", "click")
+
+
+@query("SELECT min(doc_id) doc_id, sha1(text) h FROM documents GROUP BY text")
+def dedup_first_position(spark, d):
+    # The text is hashed before it is shuffled; the survivor is the first by position.
+    rows = _t(spark, d, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("h"))
+    return rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h")
+
+
+@query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) n FROM documents) WHERE n = 1")
+def distinct_on_first(spark, d):
+    return snapshots.first_by(_t(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"])
+
+
+@query("SELECT count(*) files, CAST(sum(size) AS BIGINT) bytes FROM (SELECT arg_max(n_chars, doc_id) size FROM documents GROUP BY sha1(text))")
+def index_stats(spark, d):
+    rows = _t(spark, d, "documents").select(F.sha1(F.col("text").cast("binary")).alias("h"), "n_chars", "doc_id")
+    return snapshots.index_stats(rows, "h", "n_chars", "doc_id")
+
+
+@query("SELECT count(*) n, CAST(sum(coalesce(quality, 0)) AS BIGINT) bytes FROM documents LEFT JOIN labels USING (doc_id)")
+def pending_bytes_lookup(spark, d):
+    return snapshots.pending(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), "doc_id", "quality")
+
+
+@query("SELECT l_returnflag, batch, count(*) n, min(l_orderkey) first_key FROM (SELECT *, (row_number() OVER (PARTITION BY l_returnflag, l_orderkey % 16 ORDER BY l_orderkey, l_linenumber) - 1) // 250 batch FROM lineitem) GROUP BY l_returnflag, batch")
+def row_batches_250(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", (F.col("l_orderkey") % 16).alias("shard"))
+    return scans.row_batches(rows, ["l_returnflag", "shard"], ["l_orderkey", "l_linenumber"], 250).groupBy("l_returnflag", "batch").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT lang, n_chars c, row_number() OVER (PARTITION BY lang ORDER BY doc_id) i FROM documents),
+ w AS (SELECT lang, i, c, CAST(0 AS BIGINT) batch, c used FROM o WHERE i = 1
+  UNION ALL SELECT o.lang, o.i, o.c, CASE WHEN w.used + o.c > 20000 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used + o.c > 20000 THEN o.c ELSE w.used + o.c END FROM w JOIN o ON o.lang = w.lang AND o.i = w.i + 1)
+ SELECT lang, batch, count(*) n, CAST(sum(c) AS BIGINT) AS "cost" FROM w GROUP BY lang, batch""")
+def byte_batches_greedy(spark, d):
+    return scans.greedy_batches(_t(spark, d, "documents").select("lang", "doc_id", "n_chars"), "lang", "doc_id", "n_chars", 20000)
+
+
+@query("SELECT c_custkey, CAST(length(CAST(c_custkey AS VARCHAR)) + CASE WHEN octet_length(encode(c_name)) = 0 THEN 2 ELSE 15 + 4 * ((octet_length(encode(c_name)) + 2) // 3) END + 5 AS BIGINT) size FROM customer")
+def encoded_size_estimate(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_name")
+    return c.select("c_custkey", (encode.encoded_size(F.col("c_custkey"), T.LongType()) + encode.encoded_size(F.col("c_name"), T.StringType()) + 5).alias("size"))
+
+
+@query("SELECT page_id, base64(encode(url)) b64, url AS back, base64(encode(url)) ~ '.*(aHR0|dHA6|dHBz|dHRw).*' may FROM pages")
+def base64_roundtrip(spark, d):
+    p = _t(spark, d, "pages").select("page_id", encode.to_base64(F.col("url")).alias("b64"))
+    return p.select("page_id", "b64", F.decode(encode.from_base64(F.col("b64")), "UTF-8").alias("back"), encode.may_hold_url(F.col("b64")).alias("may"))
+
+
+@query("SELECT count(*) n FROM documents WHERE regexp_matches(base64(encode(text)), 'aHR0|dHA6|dHBz|dHRw')")
+def base64_prefilter(spark, d):
+    b = encode.to_base64(F.col("text"))
+    return _t(spark, d, "documents").where(encode.may_hold_url(b)).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ',' || CASE WHEN o_orderpriority IS NULL THEN 'NULL' WHEN o_orderpriority = '' THEN '''''' ELSE 'FROM_BASE64(''' || base64(encode(o_orderpriority)) || ''')' END row_sql FROM orders")
+def typed_literals(spark, d):
+    o = _t(spark, d, "orders")
+    return o.select("o_orderkey", F.concat(encode.literal(F.col("o_orderkey"), T.LongType()), F.lit(","), encode.literal(F.col("o_orderpriority"), T.StringType())).alias("row_sql"))
+
+
+_PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"SELECT page_id, {_PATH} path, NOT regexp_matches({_PATH}, '(^|/)(cache|\\.git|node_modules)(/|$)') AND {_PATH} LIKE '/%' kept FROM pages")
+def path_deny_filter(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return p.select("page_id", "path", (paths.valid(F.col("path")) & ~paths.denied(F.col("path"))).alias("kept"))
+
+
+@query(f"SELECT page_id, '/' || array_to_string(list_filter(string_split({_PATH}, '/'), lambda x: x <> '' AND x <> '.'), '/') norm, string_split({_PATH}, '/')[-1] base FROM pages")
+def path_normalize(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    # A step down and up again changes nothing.
+    detour = F.concat(F.lit("/x/../."), F.col("path"))
+    return p.select("page_id", paths.normalized(detour).alias("norm"), paths.basename(F.col("path")).alias("base"))
+
+
+_ORIGIN = "lower(regexp_extract(url, '^([Hh][Tt][Tt][Pp][Ss]?://[^/?#]+)', 1))"
+
+
+@query(f"SELECT DISTINCT {_ORIGIN} origin FROM pages")
+def origins_distinct(spark, d):
+    return _t(spark, d, "pages").select(paths.origin(F.col("url")).alias("origin")).distinct()
+
+
+@query(f"SELECT {_ORIGIN} origin, count(*) n, min(page_id) first_page FROM pages GROUP BY 1")
+def origin_first_seen(spark, d):
+    return _t(spark, d, "pages").groupBy(paths.origin(F.col("url")).alias("origin")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+def _mapping(spark):
+    rows = [(0, "https://thther.example.org", "https://new.test/a"), (1, "https://thther.example.org/en", "https://new.test/b"), (2, "http://thther.example.org", "https://new.test/a"), (3, "https://blog.tionsh.example.net/en", "https://new.test/c")]
+    return spark.createDataFrame(rows, "ord int, `from` string, `to` string")
+
+
+_MAPPING = "m(ord, f, t) AS (VALUES (0, 'https://thther.example.org', 'https://new.test/a'), (1, 'https://thther.example.org/en', 'https://new.test/b'), (2, 'http://thther.example.org', 'https://new.test/a'), (3, 'https://blog.tionsh.example.net/en', 'https://new.test/c'))"
+
+
+@query(f"""WITH {_MAPPING}, x AS (SELECT page_id, url, arg_min(f, ord) f, arg_min(t, ord) t FROM pages LEFT JOIN m ON regexp_replace(url, '[?#].*$', '') = f OR starts_with(regexp_replace(url, '[?#].*$', ''), f || '/') GROUP BY page_id, url)
+ SELECT page_id, CASE WHEN f IS NULL THEN url ELSE t || substr(url, length(f) + 1) END new_url FROM x""")
+def url_first_match_mapping(spark, d):
+    return routing.first_mapping(_t(spark, d, "pages").select("page_id", "url"), _mapping(spark)).select("page_id", "new_url")
+
+
+_RULES = [("/en", "/data/en"), ("/fr", "/data/fr"), ("/de", "/srv/de"), ("/en/25", "/special")]
+_RULES_SQL = "r(source, target) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _RULES) + ")"
+
+
+@query(f"""WITH {_RULES_SQL}, p AS (SELECT page_id, {_PATH} path FROM pages)
+ SELECT page_id, path, arg_max(source, length(source)) source, arg_max(target, length(source)) target FROM p LEFT JOIN r ON path = source OR starts_with(path, source || '/') GROUP BY page_id, path""")
+def prefix_route_longest(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return routing.longest_prefix(p, spark.createDataFrame(_RULES, "source string, target string"))
+
+
+@query(f"WITH {_RULES_SQL} SELECT source prefix FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE starts_with(r.source, q.source || '/'))")
+def prefix_minimal(spark, d):
+    return routing.minimal(spark.createDataFrame(_RULES, "prefix string, target string").select("prefix"))
+
+
+@query(f"SELECT page_id FROM pages WHERE NOT ({_PATH} = '/en' OR starts_with({_PATH}, '/en/'))")
+def uncovered_roots_anti(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return routing.under_any(p, spark.createDataFrame([("/en",)], "prefix string"), how="left_anti").select("page_id")
+
+
+@query(f"SELECT page_id FROM pages WHERE {_PATH} = '/fr' OR starts_with({_PATH}, '/fr/') OR starts_with({_PATH}, '/de/')")
+def only_prefix_semi(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return routing.under_any(p, spark.createDataFrame([("/fr",), ("/de",)], "prefix string")).select("page_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey src, (o_custkey * 7 + 3) % 150 dst FROM orders WHERE o_custkey < 150 GROUP BY 1),
+ r(node, steps) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 200) SELECT node, min(steps) steps FROM r GROUP BY node""")
+def symlink_closure(spark, d):
+    e = _t(spark, d, "orders").where("o_custkey < 150").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + 3) % 150).alias("dst")).distinct()
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewater-"))
+    return routing.closure(e, spark.createDataFrame([(1,)], "node long"))
+
+
+_EMA_SQL = "WITH g AS (SELECT user_id, list(CAST(event_id % 100 AS DOUBLE) ORDER BY event_id) v FROM events GROUP BY user_id)"
+
+
+@query(f"{_EMA_SQL} SELECT user_id, CAST(len(v) AS BIGINT) n, round(list_reduce(v, lambda a, x: a * 0.8 + x * 0.2), 6) ema FROM g")
+def throughput_ema(spark, d):
+    rows = adaptive.ema(_t(spark, d, "events").select("user_id", "event_id"), "user_id", ["event_id"], F.col("event_id") % 100)
+    return rows.select("user_id", "n", F.round("ema", 6).alias("ema"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, CAST(event_id % 100 AS DOUBLE) w, CAST(1 + event_id % 3 AS DOUBLE) el, event_id % 17 = 0 bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) i FROM events),
+ s AS (SELECT user_id, CAST(0 AS BIGINT) i, CAST(1000 AS DOUBLE) size, CAST(NULL AS DOUBLE) ema, CAST(0 AS BIGINT) hold FROM o GROUP BY user_id
+  UNION ALL SELECT o.user_id, o.i,
+   CASE WHEN bad THEN greatest(100.0, least(5000.0, round(size * 0.5))) WHEN w <= 0 OR hold > 0 OR ema IS NULL THEN size WHEN w / el / ema < 0.9 THEN greatest(100.0, least(5000.0, round(size * 0.7))) ELSE greatest(100.0, least(5000.0, size + 100)) END,
+   CASE WHEN bad OR w <= 0 THEN ema WHEN ema IS NULL THEN w / el ELSE ema * 0.8 + w / el * 0.2 END,
+   CASE WHEN bad THEN greatest(hold, 3) WHEN w <= 0 THEN hold ELSE greatest(hold - 1, 0) END FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1)
+ SELECT user_id, CAST(arg_max(size, i) AS BIGINT) size, arg_max(hold, i) backoff FROM s GROUP BY user_id""")
+def aimd_sizes(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id")
+    id_ = F.col("event_id")
+    return adaptive.aimd(e, "user_id", ["event_id"], id_ % 100, 1 + id_ % 3, id_ % 17 == 0, 1000, 100, 5000, 100).select("user_id", "size", "backoff")
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _TABLES))
+def catalog_stats(spark, d):
+    return scans.table_stats({t: _t(spark, d, t) for t in _TABLES})
+
+
+@query("""WITH h(tab, col, kind) AS (VALUES ('posts', 'post_content', 'block_markup'), ('comments', 'comment_content', 'block_markup')), c(tab, col) AS (VALUES ('wp_posts', 'post_content'), ('posts', 'post_title'), ('comments', 'comment_content'))
+ SELECT c.tab, c.col, h.kind FROM c LEFT JOIN h ON (c.tab = h.tab OR c.tab = 'wp_' || h.tab) AND c.col = h.col""")
+def column_hint_join(spark, d):
+    c = spark.createDataFrame([("wp_posts", "post_content"), ("posts", "post_title"), ("comments", "comment_content")], "tab string, col string")
+    hints = spark.createDataFrame([(t, col, "block_markup") for t, col in sorted(sqltext.MARKUP)], "bare string, hcol string, kind string")
+    joined = c.withColumn("name", F.regexp_replace("tab", "^wp_", "")).join(F.broadcast(hints), (F.col("name") == F.col("bare")) & (F.col("col") == F.col("hcol")), "left")
+    return joined.select("tab", "col", "kind")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events")
+def json_leaves(spark, d):
+    return _t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT ext, count(*) n FROM (SELECT CASE WHEN regexp_matches(path, '\\.html$') THEN 'yes' ELSE 'unknown' END ext FROM (SELECT " + _PATH + " path FROM pages)) GROUP BY ext")
+def compressibility(spark, d):
+    return _t(spark, d, "pages").groupBy(paths.compressible(paths.url_path(F.col("url"))).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, bool_or(n_chars > 10000) any_large, bool_and(n_chars > 0) all_full FROM documents GROUP BY lang")
+def batch_any_true(spark, d):
+    return _t(spark, d, "documents").groupBy("lang").agg(F.bool_or(F.col("n_chars") > 10000).alias("any_large"), F.bool_and(F.col("n_chars") > 0).alias("all_full"))
+
+
+@query("SELECT user_id, count(*) changes FROM events e WHERE event_id > coalesce((SELECT max(event_id) FROM events s WHERE s.user_id = e.user_id AND s.event_id % 9 = 0), -1) GROUP BY user_id")
+def volatile_counts(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id")
+    last = F.max(F.when(F.col("event_id") % 9 == 0, F.col("event_id"))).over(Window.partitionBy("user_id"))
+    return e.withColumn("ok", last).where("ok IS NULL OR event_id > ok").groupBy("user_id").agg(F.count("*").alias("changes"))
+
+
+@query("SELECT source, arg_max(lang, struct_pack(n := n, k := k)) lang FROM (SELECT source, lang, count(*) n, -min(doc_id) k FROM documents GROUP BY source, lang) GROUP BY source")
+def score_argmax(spark, d):
+    n = _t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), (-F.min("doc_id")).alias("k"))
+    return n.groupBy("source").agg(F.max_by("lang", F.struct("n", "k")).alias("lang"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0")
+def union_distinct(spark, d):
+    return _local(spark, d).select("o_orderkey").unionByName(_remote(spark, d).select("o_orderkey")).distinct()
+
+
+# Queries of formats that SQL cannot parse: tests hold them against golden vectors.
+
+
+@query()
+def php_leaves(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.concat(F.lit('a:1:{s:3:"url";s:'), F.octet_length("url"), F.lit(':"'), F.col("url"), F.lit('";}')).alias("v"))
+    return p.select("page_id", F.explode(nested.string_leaves(F.col("v"))).alias("x")).select("page_id", "x.path", "x.ord", "x.leaf")
+
+
+@query()
+def rewrite_nested(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.to_json(F.struct("url", F.lit(1.5).alias("n"))).alias("v"))
+    mapping = [(r["from"], r["to"]) for r in _mapping(spark).orderBy("ord").collect()]
+    return p.select("page_id", nested.rewrite(F.col("v"), mapping).alias("v"))
+
+
+@query()
+def origins_nested(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.to_json(F.struct("url")).alias("v"))
+    return p.select("page_id", F.explode(nested.origins(F.col("v"))).alias("origin"))
+
+
+@query()
+def insert_dump(spark, d):
+    return encode.insert_statements(_t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), "customer", ["c_custkey"]).select("stmt_no", "sql")
+
+
+@query()
+def split_statements(spark, d):
+    dump = insert_dump(spark, d).select(F.sha1("sql").alias("source"), F.concat(F.lit("-- rows; of a part\n"), "sql", F.lit("\nSELECT 'a;b';")).alias("value"))
+    return sqltext.statements(dump)
+
+
+@query()
+def parse_insert(spark, d):
+    return insert_dump(spark, d).select(F.explode(sqltext.parsed(F.col("sql"))).alias("c")).select("c.*")
+
+
+# Extensions: what Spark gives beyond the parity set.
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) sum_qty, count(*) n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def x_cube(spark, d):
+    return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.count("*").alias("n"))
+
+
+@query("SELECT n_name, count(*) orders, CAST(sum(round(o_totalprice)) AS BIGINT) total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def x_join_agg(spark, d):
+    o, c, n = (_t(spark, d, t) for t in ("orders", "customer", "nation"))
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.sum(F.round("o_totalprice")).cast("long").alias("total"))
+
+
+@query("SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) r FROM orders QUALIFY r <= 3")
+def x_window_topk(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
+    return _t(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("long").alias("r")).where("r <= 3")
+
+
+@query("SELECT c_custkey k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def x_except(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select("o_custkey"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
