@@ -94,8 +94,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = staged(overlaps(docs, benchmark).select("doc_id").distinct(), "decontamination-found")
     without_id = docs.where("doc_id is null")
     if not without_id.limit(1).count():
-        return docs.join(found, "doc_id", "left_anti")
+        return docs.join(maybe_broadcast(found), "doc_id", "left_anti")
     # Rows without an id are told apart by their texts.
     bad = hits(without_id.select("text").distinct(), benchmark, ["text"]).select("text").distinct()
     kept = without_id.join(bad, without_id["text"].eqNullSafe(bad["text"]), "left_anti")
-    return docs.where("doc_id is not null").join(found, "doc_id", "left_anti").unionByName(kept)
+    return docs.where("doc_id is not null").join(maybe_broadcast(found), "doc_id", "left_anti").unionByName(kept)

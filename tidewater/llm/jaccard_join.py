@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, staged
+from .common import connected_components, maybe_broadcast, release, small_batches, staged, unstage
 
 WIDTH = 5
 #: Similarity 0.75 as a whole fraction.
@@ -324,17 +324,21 @@ def join(docs: DataFrame) -> DataFrame:
     # Copies of a set sent from several tasks: the same class, kept once.
     classes = done.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.max("tokens").alias("tokens"), F.max("firsts").alias("firsts"))
     classes = staged(classes, "jaccard-classes")
+    rows = staged(done.select("doc_id", "n", "key"), "jaccard-rows")
+    unstage(done)
+    del entries, shared
+    release(spark)
     spread = classes.select("key", "firsts").mapInPandas(_spread(parts), "bucket long, key long, t binary")
     stars = spread.repartition("bucket").mapInPandas(_stars, "a long, b long")
     groups = connected_components(stars, "jaccard-groups")
     members = classes.join(groups, classes.key == groups.node).select(F.col("label").alias("g"), "key", "n", "tokens")
-    component = connected_components(exact_links(staged(members, "jaccard-members")), "jaccard")
-    named = done.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    component = connected_components(exact_links(members), "jaccard")
+    named = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = named.join(component, named.key == component.node, "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     of_key = named.join(least, "label").select("key", "component")
-    rows = done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    return rows.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    return out.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -342,7 +346,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = join(docs)
     # Narrow: ids of documents that go. A document without an id has no component to stay for but its own.
     gone = staged(found.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
     twice = staged(left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "jaccard-twice")
     if not twice.limit(1).count():
         return left
