@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Most characters a statement may have before it counts as stalled.
 STALL = 2 << 20
-_SKIP = re.compile(r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|`(?:[^`]|``)*+`|--(?=[ \t\r\n]|\Z)[^\n]*|\#[^\n]*|/\*.*?\*/|(;)""", re.S)
+_SKIP = re.compile(r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|`(?:[^`]|``)*+`|--(?=[ \t\r\n]|\Z)[^\n]*|\#[^\n]*|/\*.*?\*/|(;)|(?P<open>['"`]|/\*)""", re.S)
 _COMMENTS = re.compile(r"(?:\s|--(?=[ \t\r\n]|\Z)[^\n]*|#[^\n]*|/\*(?!!).*?\*/)*", re.S)
 
 
@@ -20,6 +20,8 @@ def split(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, statement), cut at top-level ';'. Leading comments and space stay with the statement that follows."""
     start = 0
     for m in _SKIP.finditer(text):
+        if m["open"]:
+            break  # a quote or comment that does not end: the rest is one statement
         if m[1]:
             if _COMMENTS.match(text, start).end() < m.start():
                 yield start, m.end(), text[start : m.end()]
