@@ -129,12 +129,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def best(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+def best(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, top: int, rough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the ``top`` best rows. Sums run in one order whatever the block, so ties are exact."""
-    rough = rows @ q
+    rough = rows @ q if rough is None else rough
     k = min(top, len(rough))
-    floor = np.partition(rough, len(rough) - k)[len(rough) - k]
-    near = np.flatnonzero(rough >= floor - 1e-9 * (1 + abs(floor)))
+    if k < len(rough):
+        floor = np.partition(rough, len(rough) - k)[len(rough) - k]
+        near = np.flatnonzero(rough >= floor - 1e-9 * (1 + abs(floor)))
+    else:
+        near = np.arange(k)
     exact = (rows[near] * q).sum(1)
     order = np.lexsort((ids[near], -exact))[:k]
     return near[order], exact[order]
@@ -179,11 +182,17 @@ def _score(top: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"rep": [], "near": [], "score": []}).astype({"rep": int, "near": int})
-        m, ids, out = _matrix(vectors.v), vectors.vec_id.to_numpy(), []
-        for rep, q in zip(queries.rep, queries.v, strict=True):
-            at, s = best(m, ids, np.asarray(q, np.float64), top)
-            out.append(pd.DataFrame({"rep": rep, "near": ids[at], "score": s}))
-        return pd.concat(out)
+        m, ids = _matrix(vectors.v), vectors.vec_id.to_numpy()
+        near, score, size = [], [], []
+        # Rough scores by one product for some queries at a time.
+        for at in range(0, len(queries), 256):
+            asked = _matrix(queries.v.iloc[at : at + 256])
+            for q, rough in zip(asked, asked @ m.T, strict=True):
+                place, exact = best(m, ids, q, top, rough)
+                near.append(ids[place])
+                score.append(exact)
+                size.append(len(place))
+        return pd.DataFrame({"rep": np.repeat(queries.rep.to_numpy(), size), "near": np.concatenate(near), "score": np.concatenate(score)})
 
     return run
 
