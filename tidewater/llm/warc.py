@@ -88,17 +88,18 @@ def derive(record_id: str | None, target: str | None, date: str | None, block: b
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
+    payload_digest = digest(payload)
     source = {"WARC-Refers-To": record_id, "WARC-Target-URI": target, "WARC-Date": date}
     linked = {k: v for k, v in source.items() if v is not None}
     own = lambda kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {record_id} {target}')}>"
     title = m[1] if (m := _TITLE.search(page)) else None
-    facts = [("source-status", status), *(("source-header", f"{k}: {v}") for k, v in headers), ("source-payload-digest", digest(payload)), ("source-payload-length", str(len(payload)))]
+    facts = [("source-status", status), *(("source-header", f"{k}: {v}") for k, v in headers), ("source-payload-digest", payload_digest), ("source-payload-length", str(len(payload)))]
     facts += [("title", " ".join(html_lib.unescape(title).split()) if title is not None else None)]
     facts += [("outlink", html_lib.unescape(a or b or c)) for a, b, c in _HREF.findall(page)]
     info = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in facts if v is not None).encode()
     text = "\n".join(t for t, *_ in walk(page)[1]).encode()
     make = lambda kind, form, body: Record(
-        {"WARC-Type": kind, "WARC-Record-ID": own(kind), **linked, "Content-Type": form, "WARC-Block-Digest": digest(body), "WARC-Source-Payload-Digest": digest(payload)}, body
+        {"WARC-Type": kind, "WARC-Record-ID": own(kind), **linked, "Content-Type": form, "WARC-Block-Digest": digest(body), "WARC-Source-Payload-Digest": payload_digest}, body
     )
     return make("metadata", "application/warc-fields", info), make("conversion", "text/plain; charset=utf-8", text)
 
@@ -126,22 +127,22 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record_id string, target_uri string, date string, block binary")
 
 
-def derivatives(source: DataFrame, carry: str | None = None) -> DataFrame:
-    """Two rows per response: the linked records, their fields, and the record as WARC text."""
+def derivatives(source: DataFrame, carry: str | None = None, serialized: bool = True) -> DataFrame:
+    """Two rows per response: the linked records, their fields, and (``serialized``) the record as WARC text."""
     small_batches(source.sparkSession, 500)
     extra = [f"{carry} {source.schema[carry].dataType.simpleString()}"] if carry else []
-    schema = ", ".join([*extra, "record_type string, record_id string, refers_to string, target_uri string, source_digest string, block_digest string, content_length long, n_links long, payload string, warc string"])
+    schema = ", ".join([*extra, "record_type string, record_id string, refers_to string, target_uri string, source_digest string, block_digest string, content_length long, n_links long, payload string", *(["warc string"] if serialized else [])])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
             rows = []
-            for i in range(len(x)):
-                r = x.iloc[i]
-                for d in derive(r.record_id, r.target_uri, r.date, r.block):
+            carried = x[carry].tolist() if carry else [None] * len(x)
+            for key, record_id, target, date, block in zip(carried, x.record_id, x.target_uri, x.date, x.block, strict=True):
+                for d in derive(record_id, target, date, block):
                     f = d.fields
                     links = d.block.count(b"\r\noutlink: ") if f["WARC-Type"] == "metadata" else 0
-                    row = (f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Refers-To"), f.get("WARC-Target-URI"), f["WARC-Source-Payload-Digest"], f["WARC-Block-Digest"], len(d.block), links)
-                    rows.append((*((r[carry],) if carry else ()), *row, d.block.decode(), d.bytes().decode()))
+                    row = (f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Refers-To"), f.get("WARC-Target-URI"), f["WARC-Source-Payload-Digest"], f["WARC-Block-Digest"], len(d.block), links, d.block.decode())
+                    rows.append(((key,) if carry else ()) + row + ((d.bytes().decode(),) if serialized else ()))
             yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in schema.split(", ")])
 
     return source.select(*([carry] if carry else []), "record_id", "target_uri", "date", "block").mapInPandas(run, schema)
