@@ -26,7 +26,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Share of all sizes that the mix takes, and the most copies of a source.
 TOTAL, MOST = 1.5, 2.0
 SEED = 20
-#: Sources whose ranks are given in one task; beyond it they are numbered by range partitions.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
