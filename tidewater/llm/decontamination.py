@@ -7,15 +7,17 @@ are compared with the document's. A document is contaminated by an item when som
 ``SPAN`` item words (the whole item where it is shorter) agrees in ``AGREE`` of its words or more.
 
 Words are lower-cased runs of letters, digits and what is beyond ASCII. The item side is joined by
-broadcast only where its seeds, counted, are at most ``SEED_ROWS``; beyond it Spark shuffles.
+broadcast only where its words, counted, are at most ``BROADCAST_WORDS``; beyond it Spark shuffles.
 
 Defined cases: a null or empty text, or an item shorter than the shortest mask, has no windows and
-is clean; repeated rows each count; extra columns are ignored; an empty benchmark leaves all clean;
+is clean; repeated rows, and ids repeated with other texts, are all compared; extra columns are ignored; an empty benchmark leaves all clean;
 whole texts are read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ from .common import maybe_broadcast, staged
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8))
 SPAN = 16
 AGREE = 0.75
-SEED_ROWS = 500_000
+#: Most words of all items together for which items and their seeds (at most one a mask and word) are broadcast.
+BROADCAST_WORDS = 250_000
 
 
 def words(text: Column) -> Column:
@@ -49,25 +52,34 @@ def windows(h: Column, n: Column) -> Column:
     return F.concat(*[F.coalesce(of(k, m), empty) for k, m in enumerate(MASKS)])
 
 
-def seeds(benchmark: DataFrame) -> DataFrame:
-    """One row per window of an item: seed, item_id, place, and the item's words."""
-    b = benchmark.select("item_id", words(F.col("text")).alias("item")).withColumn("item_words", F.size("item"))
-    b = b.select("item_id", "item", "item_words", F.explode(windows(F.col("item"), F.col("item_words"))).alias("w"))
-    return b.select("item_id", "item", "item_words", F.col("w.p").alias("at"), F.col("w.s").alias("seed"))
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item_key (of id and words), item_id, item (its words) and item_words of the distinct items."""
+    b = benchmark.select("item_id", words(F.col("text")).alias("item"))
+    return b.distinct().select(F.xxhash64("item_id", "item").alias("item_key"), "item_id", "item", F.size("item").alias("item_words"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """Verified overlaps: ``keep`` columns of the document with item_id, item_words, agreed words, and the place in the document."""
-    s = maybe_broadcast(staged(seeds(benchmark), "decontamination-seeds"), SEED_ROWS)
-    d = docs.select(*keep, words(F.col("text")).alias("h")).withColumn("n", F.size("h"))
-    d = d.select(*keep, "h", "n", F.explode(windows(F.col("h"), F.col("n"))).alias("w"))
-    d = d.select(*keep, "h", "n", F.col("w.p").alias("p"), F.col("w.s").alias("seed"))
-    met = d.join(s, "seed").withColumn("diagonal", F.col("p") - F.col("at"))
+    """Verified overlaps: ``keep`` columns of the document with item_id, item_words, agreed words, and the place in the document.
+
+    Windows travel as (``keep``, place, seed) alone; the words of a document are read again, and only where
+    a window hit, to compare them. So the work grows with the words of a text, not with their square.
+    """
+    items = staged(items_of(benchmark), "decontamination-items")
+    total = items.agg(F.coalesce(F.sum("item_words"), F.lit(0))).first()[0]
+    small = F.broadcast if total <= BROADCAST_WORDS else (lambda df: df)
+    s = items.select("item_key", F.explode(windows(F.col("item"), F.col("item_words"))).alias("w")).select("item_key", F.col("w.p").alias("at"), F.col("w.s").alias("seed"))
+    d = docs.select(*keep, words(F.col("text")).alias("h"))
+    w = d.select(*keep, F.explode(windows(F.col("h"), F.size("h"))).alias("w")).select(*keep, F.col("w.p").alias("p"), F.col("w.s").alias("seed"))
+    # The same diagonal is met by many windows: one row is enough.
+    met = w.join(small(s), "seed").select(*keep, "item_key", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
+    met = staged(met, "decontamination-met").select(*[F.col(c).alias(f"_{c}") for c in keep], "item_key", "diagonal")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keep])
+    near = docs.select(*{*keep, "text"}).join(maybe_broadcast(met.select(*[f"_{c}" for c in keep]).distinct()), same, "left_semi")
+    near = staged(near.select(*keep, words(F.col("text")).alias("h")), "decontamination-near")
+    met = near.join(met, same).drop(*[f"_{c}" for c in keep]).join(small(items), "item_key")
     # The document's words beside the item's; places beyond the document agree with nothing.
     agree = F.transform("item", lambda x, i: F.when(F.get(F.col("h"), F.col("diagonal") + i) == x, 1).otherwise(0))
     met = met.select(*keep, "item_id", "item_words", "diagonal", agree.alias("agree"))
-    # The same diagonal is met by many windows: one row is enough.
-    met = met.dropDuplicates([*keep, "item_id", "diagonal"])
     span = F.least(F.lit(SPAN), F.col("item_words"))
     best = F.array_max(
         F.transform(
@@ -77,10 +89,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     )
     met = met.withColumn("span", span).withColumn("best", best).where(F.col("best") >= F.ceil(AGREE * F.col("span")))
     return met.groupBy(*keep, "item_id").agg(
-        F.first("item_words").alias("item_words"),
+        F.max("item_words").alias("item_words"),
         F.max(F.aggregate("agree", F.lit(0), lambda a, x: a + x)).alias("agreed_words"),
         F.min("diagonal").alias("first_place"),
-        F.count("*").alias("diagonals"),
+        F.count_distinct("diagonal").alias("diagonals"),
     )
 
 
