@@ -86,7 +86,8 @@ def plan(docs: DataFrame, size: Column | None = None) -> DataFrame:
     r = rows.join(maybe_broadcast(aim), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # The offset: a number in [0, 1) drawn by source, of 20 bits so that whole rates stay whole.
-    offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    name = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), "|null|").otherwise("|"), F.lit(str(SEED)))
+    offset = F.conv(F.substring(F.md5(name.cast("binary")), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     end = F.floor(F.col("rank") * rate + offset)
     begin = F.floor((F.col("rank") - 1) * rate + offset)
     copies = F.least(end - begin, F.lit(int(MOST))).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, decontamination, html_consensus, jaccard_join, license_scan, mixing, quality, token_counts, toxicity, warc
+from . import ann_tree, decontamination, html_consensus, jaccard_join, license_scan, mixing, oracles, quality, token_counts, toxicity, warc
 from .common import Query, table
 
 
@@ -53,4 +53,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
