@@ -57,3 +57,34 @@ def insert_statements(df: DataFrame, table: str, order: list[str], batch: int =
     head = f"INSERT INTO {quote(table)} ({', '.join(map(quote, df.columns))}) VALUES\n"
     rows = F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"])
     return numbered.groupBy("part", "stmt_no").agg(F.concat(F.lit(head), F.array_join(rows, ",\n"), F.lit(";")).alias("sql"))
+
+
+def quoted(name: Column) -> Column:
+    """An identifier between backticks."""
+    return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+
+
+def is_text(value: Column) -> Column:
+    """UTF-8 without control bytes other than tab, line feed and carriage return."""
+    return F.is_valid_utf8(value) & ~F.rlike(value, F.lit("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"))
+
+
+def oversized_updates(df: DataFrame, table: str, key: str, column: str, limit: int) -> DataFrame:
+    """key, chunk, n_bytes, sql: a cell of more than ``limit`` bytes as UPDATEs that append its pieces in order."""
+    if not key:
+        raise ValueError("an oversized row needs a primary key")
+    data = F.col(column).cast("binary")
+    rows = df.where(F.octet_length(data) > limit).select(key, data.alias("d"))
+    pieces = rows.select(key, "d", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("d") - 1) / limit).cast("int"))).alias("chunk"))
+    piece = F.substring("d", F.col("chunk") * limit + 1, F.lit(limit))
+    name = quote(column)
+    sql = F.concat(F.lit(f"UPDATE {quote(table)} SET {name} = CONCAT({name}, FROM_BASE64('"), to_base64(piece), F.lit(f"')) WHERE {quote(key)} = "), F.col(key).cast("string"), F.lit(";"))
+    return pieces.select(key, F.col("chunk").cast("long").alias("chunk"), F.octet_length(piece).cast("long").alias("n_bytes"), sql.alias("sql"))
+
+
+def bytes_of(text: Column) -> Column:
+    """Bytes of sizes such as 16M, 2g or 512; null for other text."""
+    t = F.trim(text)
+    n = F.try_to_number(F.nullif(F.regexp_extract(t, "^([0-9]{1,12})[KkMmGg]?$", 1), F.lit("")), F.lit("999999999999")).cast("long")
+    unit = F.lower(F.right(t, F.lit(1)))
+    return n * F.when(unit == "k", 1 << 10).when(unit == "m", 1 << 20).when(unit == "g", 1 << 30).otherwise(1).cast("long")

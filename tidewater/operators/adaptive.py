@@ -52,3 +52,8 @@ def aimd(
     rows = _ordered(df, group, order, work=work.cast("double"), elapsed=elapsed.cast("double"), failed=failed)
     out = rows.select(group, F.aggregate("items", state, step).alias("a"))
     return out.select(group, F.col("a.size").cast("long").alias("size"), F.col("a.ema").alias("ema"), F.col("a.hold").cast("long").alias("backoff"), F.col("a.decision").alias("decision"))
+
+
+def pause(elapsed: Column, done: Column, duty: float = 0.5, low: float = 0.2, high: float = 10.0) -> Column:
+    """Seconds to rest after a request so that work takes ``duty`` of the time; none after the last."""
+    return F.when(done, 0.0).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), elapsed * (1 / duty - 1))))

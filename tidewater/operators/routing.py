@@ -59,3 +59,20 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         if not front.limit(1).count():
             return seen
         seen = seen.unionByName(front).checkpoint()
+
+
+def lookup_range(points: DataFrame, ranges: DataFrame, at: str, width: int) -> DataFrame:
+    """Add ``name`` of the range (start, stop, name; start in, stop out) that holds ``at``; null where none does.
+
+    Ranges are cut into bins of ``width``, so the join is one of equal bins, never of all with all.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width)))
+    cut = ranges.where("start < stop").select("start", "stop", "name", bins.alias("_bin"))
+    p = points.withColumn("_at", F.floor(F.col(at) / width))
+    return p.join(cut, (p["_at"] == cut["_bin"]) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop")), "left").select(*points.columns, "name")
+
+
+def covering(prefixes: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
+    """Prefixes under which some path lies."""
+    up = paths.select(F.explode(ancestors(F.col(path))).alias("prefix")).distinct()
+    return prefixes.join(up, "prefix", "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import encode, nested, paths
-from tidewater.operators import adaptive, routing, scans, snapshots
+from tidewater.operators import adaptive, exclusions, routing, scans, snapshots, trees
 from tidewater.sources import sqltext
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,17 +32,19 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _local(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").where("o_orderkey % 10 <> 0").select("o_orderkey", F.round("o_totalprice").cast("long").alias("price"), F.col("o_orderstatus").alias("status"))
+    return _t(spark, d, "orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("price"), F.col("o_orderstatus").alias("status"))
 
 
 def _remote(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as the other side has them: some keys moved, some prices changed."""
+    key = F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
     price = F.round("o_totalprice").cast("long") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)
-    return _t(spark, d, "orders").where("o_orderkey % 11 <> 0").select("o_orderkey", price.alias("price"), F.col("o_orderstatus").alias("status"))
+    return _t(spark, d, "orders").select(key.alias("o_orderkey"), price.alias("price"), F.col("o_orderstatus").alias("status"))
 
 
 _SIDES = """
-l AS (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) price, o_orderstatus status FROM orders WHERE o_orderkey % 10 <> 0),
-r AS (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END price, o_orderstatus status FROM orders WHERE o_orderkey % 11 <> 0),
+l AS (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) price, o_orderstatus status FROM orders),
+r AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END o_orderkey, CAST(round(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END price, o_orderstatus status FROM orders),
 d AS (SELECT coalesce(l.o_orderkey, r.o_orderkey) o_orderkey,
   CASE WHEN l.o_orderkey IS NULL THEN 'add' WHEN r.o_orderkey IS NULL THEN 'delete'
        WHEN l.price IS DISTINCT FROM r.price OR l.status IS DISTINCT FROM r.status THEN 'change' ELSE 'same' END op,
@@ -90,7 +92,7 @@ def changelog_coalesce(spark, d):
     return snapshots.coalesce_runs(_t(spark, d, "events").select("event_id", "user_id", "event_type"), "event_type", ["user_id", "event_id"])
 
 
-@query("SELECT 'same' op, count(*) n FROM orders WHERE o_orderkey % 11 <> 0")
+@query("SELECT 'same' op, count(*) n FROM orders")
 def merge_then_diff_is_same(spark, d):
     changes = snapshot_diff(spark, d).where("op <> 'same'")
     log = changes.select("o_orderkey", F.lit(1).alias("seq"), F.when(F.col("op") == "delete", "D").otherwise("F").alias("op"), F.col("remote_price").alias("price"), F.col("remote_status").alias("status"))
@@ -251,10 +253,13 @@ def only_prefix_semi(spark, d):
     return routing.under_any(p, spark.createDataFrame([("/fr",), ("/de",)], "prefix string")).select("page_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey src, (o_custkey * 7 + 3) % 150 dst FROM orders WHERE o_custkey < 150 GROUP BY 1),
- r(node, steps) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 200) SELECT node, min(steps) steps FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey // 2 src, c_custkey dst FROM customer UNION ALL SELECT c_custkey, c_custkey // 3 FROM customer),
+ r(node, steps) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 30) SELECT node, min(steps) steps FROM r GROUP BY node""")
 def symlink_closure(spark, d):
-    e = _t(spark, d, "orders").where("o_custkey < 150").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + 3) % 150).alias("dst")).distinct()
+    c = F.col("c_custkey")
+    rows = _t(spark, d, "customer")
+    # A tree with edges back towards its root, so there are cycles.
+    e = rows.select(F.floor(c / 2).alias("src"), c.alias("dst")).unionByName(rows.select(c.alias("src"), F.floor(c / 3).alias("dst"))).distinct()
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
@@ -329,11 +334,147 @@ def score_argmax(spark, d):
     return n.groupBy("source").agg(F.max_by("lang", F.struct("n", "k")).alias("lang"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0")
+@query("SELECT o_orderkey FROM orders UNION SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END FROM orders")
 def union_distinct(spark, d):
     return _local(spark, d).select("o_orderkey").unionByName(_remote(spark, d).select("o_orderkey")).distinct()
 
 
+@query("SELECT c_custkey + 1 path, CAST(0 AS BIGINT) e, CAST(floor(log2(c_custkey + 1.5)) + 1 AS BIGINT) links FROM customer")
+def symlink_chain(spark, d):
+    # Links to half of the number all end at 0.
+    path = F.col("c_custkey") + 1
+    return trees.link_ends(_t(spark, d, "customer").select(path.alias("path"), F.floor(path / 2).alias("target"))).select("path", F.col("end").alias("e"), "links")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {_PATH} path FROM pages), s AS (SELECT path, string_split(path, '/') w FROM p),
+ u AS (SELECT array_to_string(w[1 : n], '/') path FROM (SELECT w, unnest(range(1, len(w))) n FROM s))
+ SELECT path, min(type) "type" FROM (SELECT CASE WHEN path = '' THEN '/' ELSE path END path, 'dir' AS "type" FROM u UNION ALL SELECT path, 'file' FROM p) GROUP BY path""")
+def tree_index(spark, d):
+    return trees.with_directories(_t(spark, d, "pages").select(paths.url_path(F.col("url")).alias("path")).distinct())
+
+
+@query(f"WITH {_SIDES} SELECT CASE WHEN op = 'delete' THEN 'remove' WHEN op <> 'same' THEN CASE WHEN remote_status = 'O' THEN 'mkdir' ELSE 'fetch' END END AS step, count(*) n FROM d GROUP BY 1")
+def action_plan(spark, d):
+    kind = F.when(F.col("remote_status") == "O", "dir").otherwise("file")
+    return snapshot_diff(spark, d).groupBy(trees.action_of(F.col("op"), kind).alias("step")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey path FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+def preserve_local(spark, d):
+    return trees.keep_local(_t(spark, d, "orders").select(F.col("o_orderkey").alias("path")), _t(spark, d, "customer").select(F.col("c_custkey").alias("path")))
+
+
+@query(f"SELECT CASE WHEN contains({_PATH}, '/en') THEN 'uploads' ELSE 'essential' END list, count(*) n FROM pages GROUP BY 1")
+def essential_split(spark, d):
+    return _t(spark, d, "pages").groupBy(trees.essential(paths.url_path(F.col("url")), "/en").alias("list")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IS NULL OR (event_type <> 'click' AND event_type <> '_edit_lock')")
+def exclusion_rules(spark, d):
+    rows = _t(spark, d, "events").select("event_id", "event_type")
+    rule = {"table_name_without_prefix": "events", "column": "event_type", "value_base64": "Y2xpY2s="}
+    return exclusions.apply_rules(rows, "wp_events", [rule])
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 0 OR event_type IS NULL")
+def transient_filter(spark, d):
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("option_"), "event_type")).otherwise(F.concat(F.lit("_transient_"), "event_type"))
+    return _t(spark, d, "events").where(exclusions.lasting(name)).select("event_id")
+
+
+_RANGES = [(1, 11, "small"), (11, 30, "medium"), (35, 51, "large")]
+
+
+@query("WITH r(a, b, name) AS (VALUES " + ", ".join(f"({a}, {b}, '{n}')" for a, b, n in _RANGES) + ") SELECT p_partkey, p_size, name FROM part LEFT JOIN r ON p_size >= a AND p_size < b")
+def offset_range_lookup(spark, d):
+    return routing.lookup_range(_t(spark, d, "part").select("p_partkey", "p_size"), spark.createDataFrame(_RANGES, "start int, stop int, name string"), "p_size", 8)
+
+
+@query(f"WITH {_RULES_SQL} SELECT source prefix FROM r WHERE EXISTS (SELECT 1 FROM pages WHERE {_PATH} = source OR starts_with({_PATH}, source || '/'))")
+def prefix_exists(spark, d):
+    rules = spark.createDataFrame(_RULES, "prefix string, target string").select("prefix")
+    return routing.covering(rules, _t(spark, d, "pages").select(paths.url_path(F.col("url")).alias("path")))
+
+
+@query(f"SELECT to_json(list(DISTINCT {_ORIGIN} ORDER BY {_ORIGIN})) domains FROM pages WHERE {_ORIGIN} <> ''")
+def domain_list(spark, d):
+    # The origins of a site are a short list by nature; the sort is of the distinct ones only.
+    o = _t(spark, d, "pages").select(paths.origin(F.col("url")).alias("o")).where("o IS NOT NULL").distinct()
+    return o.agg(F.to_json(F.array_sort(F.collect_list("o"))).alias("domains"))
+
+
+@query("SELECT doc_id, CAST(c AS BIGINT) chunk, CAST(least(4000, n - c * 4000) AS BIGINT) n_bytes FROM (SELECT doc_id, n, unnest(range(0, (n - 1) // 4000 + 1)) c FROM (SELECT doc_id, octet_length(encode(text)) n FROM documents) WHERE n > 4000)")
+def oversized_split(spark, d):
+    return encode.oversized_updates(_t(spark, d, "documents").select("doc_id", "text"), "documents", "doc_id", "text", 4000).select("doc_id", "chunk", "n_bytes")
+
+
+@query("SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS \"lines\" FROM documents")
+def line_counts(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("lines"))
+
+
+@query("SELECT DISTINCT hex(encode(c_mktsegment)) sort_key, c_mktsegment AS name FROM customer")
+def sorted_distinct_keys(spark, d):
+    c = _t(spark, d, "customer").select(F.hex(F.col("c_mktsegment").cast("binary")).alias("sort_key"), F.col("c_mktsegment").alias("name"))
+    return c.groupBy("sort_key").agg(F.min("name").alias("name")).orderBy("sort_key")
+
+
+@query("SELECT p_partkey, list_transform(list_reverse_sort([{'n': length(p_name), 'c': 'p_name'}, {'n': length(p_brand), 'c': 'p_brand'}, {'n': length(p_type), 'c': 'p_type'}]), lambda x: x.c)[1] largest FROM part")
+def largest_first_columns(spark, d):
+    by_size = F.sort_array(F.array(*[F.struct(F.length(c).alias("n"), F.lit(c).alias("c")) for c in ("p_name", "p_brand", "p_type")]), asc=False)
+    return _t(spark, d, "part").select("p_partkey", by_size[0]["c"].alias("largest"))
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_sort(list_distinct(string_split({_PATH}, '/'))), lambda x: x NOT IN ('', 'en')), ',') parts FROM pages")
+def array_difference(spark, d):
+    parts = F.array_except(F.array_distinct(F.split(paths.url_path(F.col("url")), "/")), F.array(F.lit(""), F.lit("en")))
+    return _t(spark, d, "pages").select("page_id", F.array_join(F.array_sort(parts), ",").alias("parts"))
+
+
+@query("SELECT c_custkey, '`' || replace(c_name, '`', '``') || '`' AS quoted, sha1(c_name) h1, sha256(c_name) h2 FROM customer")
+def identifiers_and_hashes(spark, d):
+    raw = F.col("c_name").cast("binary")
+    return _t(spark, d, "customer").select("c_custkey", encode.quoted(F.col("c_name")).alias("quoted"), F.sha1(raw).alias("h1"), F.sha2(raw, 256).alias("h2"))
+
+
+@query("SELECT count(*) n, count(*) FILTER (WHERE regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) n_binary FROM documents WHERE text IS NOT NULL")
+def text_sniff(spark, d):
+    ok = encode.is_text(F.col("text"))
+    return _t(spark, d, "documents").where("text IS NOT NULL").agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_binary"))
+
+
+@query(f"SELECT page_id, regexp_extract({_PATH}, '([^/]*)$', 1) base, CASE WHEN regexp_extract({_PATH}, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract({_PATH}, '^(.*)/[^/]*$', 1) END dir FROM pages")
+def path_parts(spark, d):
+    p = paths.url_path(F.col("url"))
+    return _t(spark, d, "pages").select("page_id", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) * CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END bytes FROM part")
+def parse_sizes(spark, d):
+    unit = F.element_at(F.array(*map(F.lit, ("", "K", "m", "G"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", encode.bytes_of(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 0.0 ELSE greatest(0.2, least(10.0, CAST(event_id % 25 AS DOUBLE))) END::DOUBLE pause FROM events")
+def duty_pause(spark, d):
+    elapsed = (F.col("event_id") % 25).cast("double")
+    return _t(spark, d, "events").select("event_id", adaptive.pause(elapsed, F.col("event_id") % 13 == 0).alias("pause"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, CAST(count(*) AS BIGINT) AS columns, max(column_name) last_name FROM (DESCRIBE {t})" for t in _TABLES))
+def column_metadata(spark, d):
+    rows = [(t, c["ordinal"], c["name"]) for t in _TABLES for c in scans.columns_of(_t(spark, d, t))]
+    c = spark.createDataFrame(rows, "name string, ordinal int, col string")
+    return c.groupBy("name").agg(F.count("*").alias("columns"), F.max("col").alias("last_name"))
+
+
+@query()
+def rewrite_dump(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", "url")
+    mapping = [(r["from"], r["to"]) for r in _mapping(spark).orderBy("ord").collect()]
+    return sqltext.rewritten(encode.insert_statements(pages, "posts", ["page_id"]), mapping).select("part", "stmt_no", "sql")
+
+
 # Queries of formats that SQL cannot parse: tests hold them against golden vectors.
 
 
@@ -397,6 +538,28 @@ def x_window_topk(spark, d):
 def x_except(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select("o_custkey"))
 
+@query("SELECT user_id, count(*) sessions, CAST(max(n) AS BIGINT) longest FROM (SELECT user_id, s, count(*) n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END f FROM events)) GROUP BY user_id, s) GROUP BY user_id")
+def x_session_windows(spark, d):
+    s = _t(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) n FROM events GROUP BY 1, 2")
+def x_tumbling_windows(spark, d):
+    w = _t(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def x_rollup(spark, d):
+    return _t(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def x_intersect(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(_t(spark, d, "orders").select("o_custkey"))
+
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -193,3 +193,16 @@ def parsed(sql: Column) -> Column:
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "array<struct<table:string,row_no:int,column:string,kind:string,value:string>>")(sql)
+
+
+def rewritten(dump: DataFrame, mapping: list[tuple[str, str]], sql: str = "sql") -> DataFrame:
+    """Statements with the URLs in their payloads moved by the mapping (from, to), by order."""
+    from tidewater.functions.nested import Rewriter
+
+    edit = Rewriter(mapping)
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: rewrite_statement(t, edit.value) if isinstance(t, str) else None)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return dump.withColumn(sql, F.pandas_udf(run, "string")(sql))
