@@ -342,7 +342,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with its own columns: the one of the smallest doc_id (one row of it)."""
+    """One document of each component, with its own columns: the one of the smallest doc_id (one row of it).
+
+    Rows that repeat an id share its fate, whatever their texts.
+    """
     found = join(docs)
     # Narrow: ids of documents that go. A document without an id has no component to stay for but its own.
     gone = staged(found.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
