@@ -42,3 +42,18 @@ def test_decontamination_against_brute_force(spark):
     d = docs(spark, [" ".join(t) for t in texts])
     assert {(r.doc_id, r.item_id) for r in decontamination.overlaps(d, bench).collect()} == want
     assert {r.doc_id for r in decontamination.keep_clean(d, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
+def test_short_items_against_brute_force(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 15)}
+    texts = []
+    for n, item in items.items():
+        for wrong in range(n // 4 + 2):
+            for bad in list(itertools.combinations(range(n), wrong))[:: 1 if wrong <= n // 4 else 50]:
+                texts.append(["x" if k in bad else w for k, w in enumerate(item)])
+        texts.append(["y", "y", *item, "y"])
+    want = {(i, n) for i, t in enumerate(texts) for n, item in items.items() if set(t) & set(item) and brute_overlap(t, item)}
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = decontamination.overlaps(docs(spark, [" ".join(t) for t in texts]), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert {n for _, n in want} == set(items)

@@ -9,8 +9,9 @@ are compared with the document's. A document is contaminated by an item when som
 Words are lower-cased runs of letters, digits and what is beyond ASCII. The item side is joined by
 broadcast only where its words, counted, are at most ``BROADCAST_WORDS``; beyond it Spark shuffles.
 
-Defined cases: a null or empty text, or an item shorter than the shortest mask, has no windows and
-is clean; repeated rows, and ids repeated with other texts, are all compared; extra columns are ignored; an empty benchmark leaves all clean;
+Short items are seeded by shorter masks, which documents are cut by only where such items are there.
+
+Defined cases: a null or empty text or item has no windows and is clean; repeated rows, and ids repeated with other texts, are all compared; extra columns are ignored; an empty benchmark leaves all clean;
 whole texts are read.
 """
 
@@ -26,6 +27,9 @@ from .common import maybe_broadcast, staged
 #: Places of a window that a mask reads. Whatever 4 of 16 words are replaced, one of these masks reads only kept ones
 #: somewhere in the 16; so for 3 of 15. Tests enumerate that.
 MASKS = ((0, 1, 5, 7, 8), (0, 1, 4, 9, 10), (0, 2, 4, 5, 6))
+#: The same for shorter items: (fewest words of an item, masks), each good up to the next; 3 of 11 to 14 words may be
+#: replaced, then 2 of 8 to 10 (1 of 7), 1 of 4 to 6, and none of fewer.
+CLASSES = ((1, ((0,),)), (2, ((0, 1),)), (7, ((0, 2, 3), (0, 3, 4))), (11, ((0, 1, 2, 5), (0, 3, 8, 9))), (15, MASKS))
 SPAN = 16
 AGREE = 0.75
 #: Most words of all items together for which items and their seeds (at most one a mask and word) are broadcast.
@@ -38,7 +42,7 @@ def words(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(clean, " "), lambda w: F.xxhash64(w)))
 
 
-def windows(h: Column, n: Column) -> Column:
+def windows(h: Column, n: Column, classes: list[int]) -> Column:
     """(mask, place, hash) would be three numbers; the hash carries the mask, the place stays: array of struct(p, s)."""
 
     def of(k: int, mask: tuple[int, ...]) -> Column:
@@ -50,7 +54,12 @@ def windows(h: Column, n: Column) -> Column:
         return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), lambda p: F.struct(p.alias("p"), seed(p).alias("s"))))
 
     empty = F.array().cast("array<struct<p:int,s:bigint>>")
-    return F.concat(*[F.coalesce(of(k, m), empty) for k, m in enumerate(MASKS)])
+    return F.concat(empty, *[F.coalesce(of(10 * c + k, m), empty) for c in classes for k, m in enumerate(CLASSES[c][1])])
+
+
+def class_of(n: Column) -> Column:
+    """Place in ``CLASSES`` of an item of ``n`` words; null for none."""
+    return reduce(lambda found, c: F.when(n >= CLASSES[c][0], c).otherwise(found), range(len(CLASSES)), F.lit(None).cast("int"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -66,11 +75,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     a window hit, to compare them. So the work grows with the words of a text, not with their square.
     """
     items = staged(items_of(benchmark), "decontamination-items")
-    total = items.agg(F.coalesce(F.sum("item_words"), F.lit(0))).first()[0]
+    total, classes = items.agg(F.coalesce(F.sum("item_words"), F.lit(0)), F.sort_array(F.collect_set(class_of(F.col("item_words"))))).first()
     small = F.broadcast if total <= BROADCAST_WORDS else (lambda df: df)
-    s = items.select("item_key", F.explode(windows(F.col("item"), F.col("item_words"))).alias("w")).select("item_key", F.col("w.p").alias("at"), F.col("w.s").alias("seed"))
+    # An item is cut by the masks of its own length.
+    cut = reduce(lambda w, c: F.when(class_of(F.col("item_words")) == c, windows(F.col("item"), F.col("item_words"), [c])).otherwise(w), classes, windows(F.col("item"), F.col("item_words"), []))
+    s = items.select("item_key", F.explode(cut).alias("w")).select("item_key", F.col("w.p").alias("at"), F.col("w.s").alias("seed"))
     d = docs.select(*keep, words(F.col("text")).alias("h"))
-    w = d.select(*keep, F.explode(windows(F.col("h"), F.size("h"))).alias("w")).select(*keep, F.col("w.p").alias("p"), F.col("w.s").alias("seed"))
+    w = d.select(*keep, F.explode(windows(F.col("h"), F.size("h"), classes)).alias("w")).select(*keep, F.col("w.p").alias("p"), F.col("w.s").alias("seed"))
     # The same diagonal is met by many windows: one row is enough.
     met = w.join(small(s), "seed").select(*keep, "item_key", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
     met = staged(met, "decontamination-met").select(*[F.col(c).alias(f"_{c}") for c in keep], "item_key", "diagonal")
