@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tidewater.llm import decontamination
+from tidewater.llm import decontamination, html_consensus
 
 
 def docs(spark, texts):
@@ -57,3 +57,20 @@ def test_short_items_against_brute_force(spark):
     got = decontamination.overlaps(docs(spark, [" ".join(t) for t in texts]), bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     assert {n for _, n in want} == set(items)
+
+
+LONG = "word " * 60
+
+
+def test_html_keeps_the_article_around_its_longest_part():
+    page = f"<body><div>Top</div><article><h1>T</h1><p>intro</p><div class=body>{LONG}</div><p>end</p></article></body>"
+    assert html_consensus.extract(page, None) == f"T\nintro\n{LONG.strip()}\nend"
+    assert html_consensus.extract(page, "") == html_consensus.extract(page, next(iter(html_consensus.votes(page))))
+    sections = f"<body><div class=c><h1>T</h1><section class=a>{LONG}</section><section class=b>{LONG}b</section><section class=d>z</section></div></body>"
+    assert html_consensus.extract(sections, None) == f"T\n{LONG.strip()}\n{LONG}b\nz"
+    table = f"<body><article><p>para</p><table><tr><td>{LONG}<td>cell</table></article></body>"
+    assert html_consensus.extract(table, None) == f"para\n{LONG.strip()}\ncell"
+    apart = f"<body><main><article class=a>{LONG}</article><article class=b>{LONG}b</article></main></body>"
+    assert html_consensus.extract(apart, None) == f"{LONG.strip()}\n{LONG}b"
+    # A host path that holds little of a page does not cut it.
+    assert html_consensus.extract(apart + "<div>x</div>", ">body>div") == f"{LONG.strip()}\n{LONG}b"

@@ -1,10 +1,12 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the text of their blocks outside links and outside what is
-never article text. A container is known by its generalised path: tags with their first class,
-digits left out, from the root. In Spark the paths of a host are voted on by the share of the
-page's score they hold; pages are then extracted again from the elements at the winning path. A
-page without such an element, and one without a host, uses its own best container.
+Each page's text outside links and outside what is never article text is its score. The page's
+article is the outermost ``<article>`` (else ``<main>``) elements where they hold half of the score
+or more; elsewhere it is the lowest container that holds all of it, as it is for articles of
+unlike paths. A container is known by its generalised path: tags with their first class, digits
+left out, from the root. In Spark the paths of a host are voted on, one vote a page; pages are then
+extracted again from the elements at the winning path, unless those hold less than half of what
+the page's own path holds. A page without such an element, and one without a host, uses its own.
 
 The host table is joined by broadcast only where it has few rows, as counted; else by shuffle.
 
@@ -48,20 +50,20 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "path", "skip", "link", "container", "score", "order", "keep")
+    __slots__ = ("name", "path", "skip", "link", "container", "up", "score", "keep")
 
-    def __init__(self, name: str, path: str, skip: bool, link: bool, container: bool, order: int) -> None:
-        self.name, self.path, self.skip, self.link, self.container, self.order = name, path, skip, link, container, order
+    def __init__(self, name: str, path: str, skip: bool, link: bool, up: Element | None) -> None:
+        self.name, self.path, self.skip, self.link = name, path, skip, link
+        #: The nearest element around it that is a container.
+        self.up = up
+        self.container = name in CONTAINER or up is None
         self.score, self.keep = 0.0, False
 
 
-def walk(source: str | None, wanted: str | None = None):
-    """Read a page. Gives its containers and its blocks: (text, owner container, share of text in links).
-
-    With ``wanted`` only blocks inside elements at that path are kept, whatever contains them.
-    """
-    root = Element("", "", False, False, True, 0)
-    stack, containers, blocks = [root], [], []
+def walk(source: str | None):
+    """Read a page. Gives its containers in order, and its blocks: (text, nearest container, share of text in links)."""
+    root = Element("", "", False, False, None)
+    stack, nodes, blocks = [root], [root], []
     buffer: list[str] = []
     linked = 0
     s = source or ""
@@ -73,8 +75,8 @@ def walk(source: str | None, wanted: str | None = None):
             text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
             buffer.clear()
             if text:
-                owner = next((e for e in reversed(stack) if e.container), root)
-                blocks.append((text, owner, min(1.0, linked / len(text)), stack[-1].keep))
+                owner = next(e for e in reversed(stack) if e.container)
+                blocks.append((text, owner, min(1.0, linked / len(text))))
             linked = 0
 
     def text(piece: str) -> None:
@@ -130,47 +132,89 @@ def walk(source: str | None, wanted: str | None = None):
                 if a[1].lower() == "class" and value.split():
                     kind = "." + re.sub(r"\d+", "", value.split()[0])
         path = f"{up.path}>{name}{kind}" if name in BLOCK else up.path
-        e = Element(name, path, skip, up.link or name == "a", name in CONTAINER, len(containers))
-        e.keep = up.keep or (wanted is not None and e.container and not skip and path == wanted)
         if name in _RAW_END:
             end = _RAW_END[name].search(s, at)
             at = end.end() if end else len(s)
             continue
         if attrs.endswith("/") and name not in BLOCK and name != "a":
             continue
+        e = Element(name, path, skip, up.link or name == "a", up if up.container else up.up)
         stack.append(e)
         if e.container and not skip:
-            containers.append(e)
+            nodes.append(e)
     if at < len(s):
         text(s[at:])
     flush()
-    return containers, blocks
+    return nodes, blocks
 
 
-def votes(source: str | None) -> dict[str, float]:
-    """Share of the page's score by container path."""
-    containers, blocks = walk(source)
-    for text, owner, links, _ in blocks:
+def best_path(nodes: list[Element], blocks: list) -> str | None:
+    """The path of the page's article; None where nothing scores."""
+    for e in nodes:
+        e.score = 0.0
+    for text, owner, links in blocks:
         owner.score += len(text) * max(0.0, 1 - 2 * links)
-    total = sum(c.score for c in containers)
-    out: dict[str, float] = defaultdict(float)
-    for c in containers:
-        if c.score > 0:
-            out[c.path] += c.score / total
-    return out
+    held = [e for e in nodes if e.score > 0]
+    total = sum(e.score for e in held)
+    if not held:
+        return None
+    for e in reversed(nodes[1:]):
+        e.up.score += e.score
+    for kind in ("article", "main"):
+        inside, outer = set(), []
+        for e in nodes[1:]:
+            if id(e.up) in inside or e.name == kind:
+                inside.add(id(e))
+                if id(e.up) not in inside and e.score > 0:
+                    outer.append(e)
+        if 2 * sum(e.score for e in outer) >= total:
+            if len({e.path for e in outer}) == 1:
+                return outer[0].path
+            return _around(outer).path
+    return _around(held).path
+
+
+def _around(elements: list[Element]) -> Element:
+    """The lowest container that holds all of them."""
+    common: list[Element] | None = None
+    for e in elements:
+        chain = []
+        x: Element | None = e
+        while x is not None:
+            chain.append(x)
+            x = x.up
+        chain.reverse()
+        if common is None:
+            common = chain
+        else:
+            n = next((i for i, (a, b) in enumerate(zip(common, chain)) if a is not b), min(len(common), len(chain)))
+            del common[n:]
+    return next(e for e in reversed(common) if e.container)
+
+
+def votes(source: str | None) -> dict[str, float]:
+    """The page's vote by container path."""
+    path = best_path(*walk(source))
+    return {} if path is None else {path: 1.0}
+
+
+def _at(nodes: list[Element], blocks: list, path: str) -> list[str]:
+    """Texts of the blocks inside containers at ``path``."""
+    for e in nodes:
+        e.keep = e.container and e.path == path or e.up is not None and e.up.keep
+    return [text for text, owner, _ in blocks if owner.keep]
 
 
 def extract(source: str | None, path: str | None) -> str:
-    """Text of the blocks inside elements at ``path``; where there is none, of the page's own best path."""
-    if path:
-        kept = [text for text, _, _, keep in walk(source, path)[1] if keep]
-        if kept:
+    """Text of the blocks inside elements at ``path``; where they hold little or nothing, of the page's own best path."""
+    nodes, blocks = walk(source)
+    best = best_path(nodes, blocks)
+    own = [text for text, *_ in blocks] if best is None else _at(nodes, blocks, best)
+    if path and path != best:
+        kept = _at(nodes, blocks, path)
+        if kept and 2 * sum(map(len, kept)) >= sum(map(len, own)):
             return "\n".join(kept)
-    own = votes(source)
-    if not own:
-        return "\n".join(text for text, *_ in walk(source)[1])
-    best = min(own, key=lambda p: (-own[p], p))
-    return "\n".join(text for text, _, _, keep in walk(source, best)[1] if keep)
+    return "\n".join(own)
 
 
 def host_of(url):
