@@ -74,3 +74,14 @@ def test_html_keeps_the_article_around_its_longest_part():
     assert html_consensus.extract(apart, None) == f"{LONG.strip()}\n{LONG}b"
     # A host path that holds little of a page does not cut it.
     assert html_consensus.extract(apart + "<div>x</div>", ">body>div") == f"{LONG.strip()}\n{LONG}b"
+
+
+def test_html_skips_whole_names_and_never_the_article():
+    text = LONG.strip()
+    for name in ("layout has-sidebar", "content no-sidebar", "post comments-open", "sidebar", "comments"):
+        assert html_consensus.extract(f"<body><div class='{name}'><article><p>{LONG}</p></article></div></body>", None) == text
+    assert html_consensus.extract(f"<body><form><div class=menu>m</div><p>{LONG}</p></form></body>", None) == text
+    inline = f"<article><p>{LONG}</p><code>a <span class='comment'>#x</span></code><p class=alert>b <math>y</math></p><div class='tags byline'>c</div></article>"
+    assert html_consensus.extract(inline, None) == f"{text} a #x\nb y\nc".replace(f"{text} a", f"{text}\na")
+    rest = f"<nav>n</nav><article><p>{LONG}</p><div class=comments><article>c</article></div></article><div class='x ad'>buy</div><div class=related><article>r</article></div>"
+    assert html_consensus.extract(rest, None) == text

@@ -39,30 +39,37 @@ BLOCK = set(
 )
 CONTAINER = set("article body center dd div fieldset figure html main section td".split())
 #: Elements that never hold article text.
-SKIP = set("aside audio button canvas datalist dialog embed footer form head header iframe input map math menu nav noscript object option script select style svg template textarea title video".split())
-#: Words of class, id or role that mark what is not article text.
+SKIP = set("aside audio button canvas datalist dialog embed footer form head header iframe input map menu nav noscript object option script select style svg template textarea title video".split())
+#: Those of them inside a block.
+NEVER = SKIP - BLOCK
+#: Elements that are not shown as text of the page.
+HIDDEN = set("audio canvas datalist iframe object script style template title video".split())
+#: Classes, ids and roles, as whole words, of blocks that are not article text.
 SKIP_NAMES = set(
-    "ad ads adv advert advertisement adverts advertising alert aside banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus "
-    "footer footers form gdpr header headers login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup "
-    "promo promos related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe tags toolbar widget widgets".split()
+    "ad ads adv advert advertisement adverts advertising aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
+    "footer footers form gdpr header headers login masthead menu menus modal nav navbar navigation newsletter pager pagination popup "
+    "promo promos related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
-_WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "path", "skip", "link", "container", "up", "score", "keep")
+    __slots__ = ("name", "path", "skip", "link", "container", "soft", "up", "chars", "score", "holds", "keep")
 
-    def __init__(self, name: str, path: str, skip: bool, link: bool, up: Element | None) -> None:
-        self.name, self.path, self.skip, self.link = name, path, skip, link
-        #: The nearest element around it that is a container.
+    def __init__(self, name: str, path: str, skip: bool, link: bool, soft: bool, up: Element | None) -> None:
+        self.name, self.path, self.skip, self.link, self.soft = name, path, skip, link, soft
+        #: The nearest element around it that is a container or soft.
         self.up = up
         self.container = name in CONTAINER or up is None
-        self.score, self.keep = 0.0, False
+        self.chars, self.score, self.holds, self.keep = 0, 0.0, False, False
 
 
-def walk(source: str | None):
-    """Read a page. Gives its containers in order, and its blocks: (text, nearest container, share of text in links)."""
-    root = Element("", "", False, False, None)
+def walk(source: str | None, whole: bool = False):
+    """Read a page. Gives its containers and soft elements in order, and its blocks: (text, nearest of those, share of text in links).
+
+    Soft elements are blocks that look like what is no article text; ``clean`` drops them. With ``whole`` there are
+    none, and all text that a page shows is given.
+    """
+    root = Element("", "", False, False, False, None)
     stack, nodes, blocks = [root], [root], []
     buffer: list[str] = []
     linked = 0
@@ -75,7 +82,7 @@ def walk(source: str | None):
             text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
             buffer.clear()
             if text:
-                owner = next(e for e in reversed(stack) if e.container)
+                owner = next(e for e in reversed(stack) if e.container or e.soft)
                 blocks.append((text, owner, min(1.0, linked / len(text))))
             linked = 0
 
@@ -123,24 +130,27 @@ def walk(source: str | None):
         if name in VOID:
             continue
         up, attrs = stack[-1], m[3] or m[6] or ""
-        kind, skip = "", up.skip or name in SKIP
+        kind, skip = "", up.skip or name in (HIDDEN if whole else NEVER)
+        soft = not whole and name in SKIP and name in BLOCK
         if attrs and "=" in attrs:
             for a in _NAMES.finditer(attrs):
-                value = (a[2] or a[3] or a[4] or "").lower()
-                if name not in ("html", "body", "article", "main") and not skip and not SKIP_NAMES.isdisjoint(_WORD.findall(value)):
-                    skip = True
-                if a[1].lower() == "class" and value.split():
-                    kind = "." + re.sub(r"\d+", "", value.split()[0])
+                value = (a[2] or a[3] or a[4] or "").lower().split()
+                if not whole and name in BLOCK and name not in ("html", "body", "article", "main") and not SKIP_NAMES.isdisjoint(value):
+                    soft = True
+                if a[1].lower() == "class" and value:
+                    kind = "." + re.sub(r"\d+", "", value[0])
         path = f"{up.path}>{name}{kind}" if name in BLOCK else up.path
-        if name in _RAW_END:
+        if name in _RAW_END and not (whole and name == "noscript"):
             end = _RAW_END[name].search(s, at)
+            if whole and name in ("textarea", "xmp"):
+                text(s[at : end.start() if end else len(s)])
             at = end.end() if end else len(s)
             continue
         if attrs.endswith("/") and name not in BLOCK and name != "a":
             continue
-        e = Element(name, path, skip, up.link or name == "a", up if up.container else up.up)
+        e = Element(name, path, skip, up.link or name == "a", soft, up if up.container or up.soft else up.up)
         stack.append(e)
-        if e.container and not skip:
+        if e.container or soft:
             nodes.append(e)
     if at < len(s):
         text(s[at:])
@@ -148,6 +158,36 @@ def walk(source: str | None):
     return nodes, blocks
 
 
+def clean(source: str | None):
+    """As ``walk``, without the blocks of soft elements.
+
+    A soft element stays where it holds the page's article: all the ``<article>`` (else ``<main>``) elements
+    are inside soft ones, it being one; or, where there are none, it holds over half of the text.
+    """
+    nodes, blocks = walk(source)
+    if any(e.soft for e in nodes):
+        for text, owner, _ in blocks:
+            owner.chars += len(text)
+        # Inside a soft element, from the root down; ``keep`` marks it for now.
+        for e in nodes[1:]:
+            e.keep = e.soft or e.up.keep
+        marks = [e for e in nodes if e.name == "article"] or [e for e in nodes if e.name == "main"]
+        free = any(not e.keep for e in marks)
+        for e in marks:
+            e.holds = True
+        for e in reversed(nodes[1:]):
+            e.up.chars += e.chars
+            e.up.holds = e.up.holds or e.holds
+        most = nodes[0].chars / 2
+        for e in nodes[1:]:
+            stays = not free and (e.holds if marks else e.chars > most)
+            e.skip = e.up.skip or e.soft and not stays
+        blocks = [b for b in blocks if not b[1].skip]
+    for e in nodes:
+        e.keep = False
+    return nodes, blocks
+
+
 def best_path(nodes: list[Element], blocks: list) -> str | None:
     """The path of the page's article; None where nothing scores."""
     for e in nodes:
@@ -194,7 +234,7 @@ def _around(elements: list[Element]) -> Element:
 
 def votes(source: str | None) -> dict[str, float]:
     """The page's vote by container path."""
-    path = best_path(*walk(source))
+    path = best_path(*clean(source))
     return {} if path is None else {path: 1.0}
 
 
@@ -207,7 +247,7 @@ def _at(nodes: list[Element], blocks: list, path: str) -> list[str]:
 
 def extract(source: str | None, path: str | None) -> str:
     """Text of the blocks inside elements at ``path``; where they hold little or nothing, of the page's own best path."""
-    nodes, blocks = walk(source)
+    nodes, blocks = clean(source)
     best = best_path(nodes, blocks)
     own = [text for text, *_ in blocks] if best is None else _at(nodes, blocks, best)
     if path and path != best:
