@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tidewater.llm import decontamination, html_consensus
+from tidewater.llm import decontamination, html_consensus, warc
 
 
 def docs(spark, texts):
@@ -85,3 +85,12 @@ def test_html_skips_whole_names_and_never_the_article():
     assert html_consensus.extract(inline, None) == f"{text} a #x\nb y\nc".replace(f"{text} a", f"{text}\na")
     rest = f"<nav>n</nav><article><p>{LONG}</p><div class=comments><article>c</article></div></article><div class='x ad'>buy</div><div class=related><article>r</article></div>"
     assert html_consensus.extract(rest, None) == text
+
+
+def test_warc_conversion_holds_the_whole_page():
+    def text(page):
+        return warc.derive("r", "u", None, page.encode())[1].block.decode()
+
+    page = "<head><title>No</title><style>p{}</style></head><body><nav><a href=/>Menu</a></nav><div class=ad>Buy</div><div class='x has-sidebar'><p>Text</p><script>var t;</script></div><noscript>Plain</noscript><aside>Side</aside><form>Say <textarea>so</textarea></form><footer>Foot</footer></body>"
+    assert text(page) == "Menu\nBuy\nText\nPlain\nSide\nSay so\nFoot"
+    assert text("<div class='layout has-sidebar'><article>Only</article></div>") == "Only"

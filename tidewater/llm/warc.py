@@ -1,7 +1,7 @@
 """WARC derivatives: responses become linked metadata and plain-text conversion records.
 
 Each response gives a metadata record (``application/warc-fields``: status, source headers, source
-digest, title, outlinks) and a conversion record (``text/plain``: the page's text), both with
+digest, title, outlinks) and a conversion record (``text/plain``: all text that the page shows, menus and footers too), both with
 ``WARC-Refers-To`` the response's id and its target, date and payload digest. Ids are version-5
 style names of the response's id and the kind, so reruns agree.
 
@@ -97,7 +97,7 @@ def derive(record_id: str | None, target: str | None, date: str | None, block: b
     facts += [("title", " ".join(html_lib.unescape(title).split()) if title is not None else None)]
     facts += [("outlink", html_lib.unescape(a or b or c)) for a, b, c in _HREF.findall(page)]
     info = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in facts if v is not None).encode()
-    text = "\n".join(t for t, *_ in walk(page)[1]).encode()
+    text = "\n".join(t for t, *_ in walk(page, whole=True)[1]).encode()
     make = lambda kind, form, body: Record(
         {"WARC-Type": kind, "WARC-Record-ID": own(kind), **linked, "Content-Type": form, "WARC-Block-Digest": digest(body), "WARC-Source-Payload-Digest": payload_digest}, body
     )
