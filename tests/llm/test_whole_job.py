@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tidewater.llm import decontamination, html_consensus, warc
+from tidewater.llm import decontamination, html_consensus, queries, warc
 
 
 def docs(spark, texts):
@@ -94,3 +94,12 @@ def test_warc_conversion_holds_the_whole_page():
     page = "<head><title>No</title><style>p{}</style></head><body><nav><a href=/>Menu</a></nav><div class=ad>Buy</div><div class='x has-sidebar'><p>Text</p><script>var t;</script></div><noscript>Plain</noscript><aside>Side</aside><form>Say <textarea>so</textarea></form><footer>Foot</footer></body>"
     assert text(page) == "Menu\nBuy\nText\nPlain\nSide\nSay so\nFoot"
     assert text("<div class='layout has-sidebar'><article>Only</article></div>") == "Only"
+
+
+def test_warc_query_returns_the_records(spark):
+    rows = queries.op4_warc_derivatives(spark, "/root/testdata/sf0.001").limit(20).collect()
+    for r in rows:
+        (record,) = warc.parse(r.warc.encode())
+        assert record.block.decode() == r.payload and record.fields["WARC-Record-ID"] == r.record_id
+        assert record.fields["WARC-Date"] == warc.DATE and record.fields["Content-Type"]
+    assert rows

@@ -21,7 +21,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), "page_id", serialized=False)
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), "page_id")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
