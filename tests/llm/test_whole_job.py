@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tidewater.llm import decontamination, html_consensus, queries, warc
+from tidewater.llm import decontamination, html_consensus, license_scan, queries, warc
 
 
 def docs(spark, texts):
@@ -103,3 +103,8 @@ def test_warc_query_returns_the_records(spark):
         assert record.block.decode() == r.payload and record.fields["WARC-Record-ID"] == r.record_id
         assert record.fields["WARC-Date"] == warc.DATE and record.fields["Content-Type"]
     assert rows
+
+
+def test_license_places_before_a_better_one():
+    text = "under the mit licence, under the mit license, undr the mit licens; cc byy nc cc by nc"
+    assert license_scan.scan(text)[1] == [(0, 3, "mit", 1), (4, 7, "mit", 0), (8, 11, "mit", 2), (12, 14, "cc-by-nc", 1), (15, 17, "cc-by-nc", 0)]

@@ -80,10 +80,13 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, int, str, int]]]:
             else:
                 merged.append([a, b])
         taken = set(exact)
-        for a, b in merged:
-            for m in pattern.finditer(line, a, min(b, len(line))):
+        # The best match of a window first, then those of the parts before and after it.
+        while merged:
+            a, b = merged.pop()
+            if m := pattern.search(line, a, min(b, len(line))):
                 if m.start() not in taken and (edits := sum(m.fuzzy_counts)):
                     found.append((word_at(m.start()), word_at(m.end() - 1), label, edits))
+                merged += [[a, m.start()], [m.end(), b]]
     return len(words), sorted(found)
 
 
