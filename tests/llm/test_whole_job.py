@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tidewater.llm import decontamination, html_consensus, license_scan, queries, warc
+from tidewater.llm import decontamination, html_consensus, jaccard_join, license_scan, queries, warc
 
 
 def docs(spark, texts):
@@ -108,3 +108,10 @@ def test_warc_query_returns_the_records(spark):
 def test_license_places_before_a_better_one():
     text = "under the mit licence, under the mit license, undr the mit licens; cc byy nc cc by nc"
     assert license_scan.scan(text)[1] == [(0, 3, "mit", 1), (4, 7, "mit", 0), (8, 11, "mit", 2), (12, 14, "cc-by-nc", 1), (15, 17, "cc-by-nc", 0)]
+
+
+def test_keep_one_by_row(spark):
+    one, two, three = "a b c d e f", "other words that are here now", "some more words for a third"
+    rows = [(1, one), (2, one), (2, two), (3, two), (2, three), (2, three), (None, one), (None, "x y z"), (None, "x y z"), (None, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (2, two), (2, three), (None, "x y z"), (None, None)], key=str)

@@ -342,16 +342,20 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with its own columns: the one of the smallest doc_id (one row of it).
+    """One row of each component, with its own columns: the one of the smallest doc_id (null after all others).
 
-    Rows that repeat an id share its fate, whatever their texts.
+    Rows are told apart by id and text, so rows that repeat an id with other texts stay or go by their texts.
     """
-    found = join(docs)
-    # Narrow: ids of documents that go. A document without an id has no component to stay for but its own.
-    gone = staged(found.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
-    left = docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
-    twice = staged(left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "jaccard-twice")
-    if not twice.limit(1).count():
-        return left
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(again)
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    found = join(docs.select(row.alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component")).distinct()
+    named = docs.select(row.alias("_row"), "doc_id").distinct().join(found, "_row")
+    named = staged(named, "jaccard-named")
+    kept = named.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    # Narrow: the rows that go.
+    gone = staged(named.join(kept, "_component").where("least._row <> _row").select("_row"), "jaccard-gone")
+    left = docs.withColumn("_row", row).join(maybe_broadcast(gone), "_row", "left_anti")
+    twice = staged(left.groupBy("_row").count().where("count > 1").select("_row"), "jaccard-twice")
+    if twice.limit(1).count():
+        again = left.join(twice, "_row", "left_semi").dropDuplicates(["_row"])
+        left = left.join(twice, "_row", "left_anti").unionByName(again)
+    return left.select(*docs.columns)
