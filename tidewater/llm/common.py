@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Largest table, in rows, that an operator may broadcast after counting it.
 BROADCAST_ROWS = 200_000
+#: Rows of one key beyond which a join treats the key as hot.
+HOT_ROWS = 1_000_000
 
 _local_root: str | None = None
 
@@ -65,6 +67,20 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
+    """Join ``left`` with a staged table of one row a key. Keys that over ``hot`` rows of ``left`` have are joined by broadcast.
+
+    So no task holds all rows of such a key, and what is broadcast has at most one row for ``hot`` of ``left``.
+    """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    many = staged(left.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > hot).select(on), "lookup-hot")
+    if not many.limit(1).count():
+        return left.join(right, on, how)
+    held = left.join(F.broadcast(many), on, "left_semi").join(F.broadcast(right.join(F.broadcast(many), on, "left_semi")), on, how)
+    return left.join(F.broadcast(many), on, "left_anti").join(right, on, how).unionByName(held)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, chars: int) -> list:
     """(text, label) of at most ``rows`` labelled documents, chosen by a hash of doc_id alone.
 
@@ -96,16 +112,16 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     both = staged(both.where("a <> b").distinct(), f"{name}-edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), name)
     while True:
-        around = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
+        beside = labels.select(F.col("node").alias("b"), "label")
+        around = lookup(both, beside, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        # The label of each label that some node has after the hook.
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = staged(hooked.join(up, "label").select("node", "was", F.least("label", "up").alias("label")), name)
+        hooked = staged(hooked, f"{name}-hooked")
+        used = staged(hooked.select("label").distinct().join(up, "label"), f"{name}-up")
+        step = staged(lookup(hooked, used, "label").select("node", "was", F.least("label", "up").alias("label")), name)
         changed = step.where("was <> label").limit(1).count()
-        unstage(labels)
+        unstage(labels, hooked, used)
         labels = step
         if not changed:
             unstage(both)

@@ -1,16 +1,17 @@
 """N-gram Jaccard join: blocked sparse product of the document by n-gram incidence matrix.
 
 Exact: every pair of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or
-more is linked, and no other. The incidence matrix is cut by columns: blocks of (n-gram, document)
-entries, packed in arrays, go to one task per range of n-grams, which counts the documents of each
-n-gram. N-grams of one document cannot add to any overlap, so only the others come back. In the
-order of rising document count, a document of n n-grams can only have a partner that holds one of
-its first n - ceil(0.75 n) + 1; if those are all its own, it has none and leaves. The rest fall into
-candidate groups, and inside a group the product is taken block by block: overlap counts are added
-up n-gram by n-gram and pairs below the bound that their sizes set, overlap >= 3/7 (a + b), go.
-Blocks yield spanning links, never the pairs. In groups of more than one block, blocks first meet
-themselves and the group's first block; then only documents outside the group's largest class meet
-the others, and only where sizes allow a link. So a group of near copies costs about its size.
+more is linked, and no other. Which rows of the matrix must meet is found from their first n-grams: in
+one order of all n-grams, a document of n of them can only have a partner that holds one of its first
+n - ceil(0.75 n) + 1. So only those, about a quarter, are shuffled. The order is that of the hashes,
+but for n-grams that are frequent in the whole corpus, which come last; it steers the work alone, not
+the result. Documents that hold the same first n-gram, and whose sizes allow a link, make a cell, named
+by the least of them; a cell inside another is dropped. Inside a cell the product is taken block by
+block: overlap counts are added up n-gram by n-gram and pairs below the bound that their sizes set,
+overlap >= 3/7 (a + b), go. Blocks yield spanning links, never the pairs. In cells of more than one
+block, blocks first meet themselves and the cell's first block; then only documents outside the
+cell's largest class meet the others, and only where sizes allow a link. So a cell of near copies
+costs about its size.
 
 Copies (equal sets) are one class from the start. Links join classes into components.
 
@@ -29,16 +30,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_broadcast, release, small_batches, staged, unstage
+from .common import connected_components, lookup, maybe_broadcast, release, small_batches, staged, unstage
 
 WIDTH = 5
 #: Similarity 0.75 as a whole fraction.
 NUM, DEN = 3, 4
 #: Documents in a block of the product.
 BLOCK = 512
+#: First n-grams that one task groups.
+ENTRIES = 2_000_000
+#: An n-gram is frequent where one set in ``SHARE`` holds it, as counted in every run of ``CHUNK`` sets where
+#: ``FEW`` or more do. Sets have a mean size, so there are at most ``SHARE`` times that many, however large the corpus.
+SHARE, CHUNK, FEW = 1024, 4096, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def shingles(text: str | None, known: dict[bytes, int], width: int = WIDTH) -> np.ndarray:
@@ -70,134 +75,194 @@ def bound(n: np.ndarray | int) -> np.ndarray | int:
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
-def _entries(parts: int):
-    """docs -> rows for shuffle by ``part``: doc rows (kind 0) and column blocks (kind 1) of a batch of documents."""
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes, 6 bytes each."""
+    return np.ascontiguousarray((tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(parts: list[bytes]) -> np.ndarray:
+    """The 48-bit numbers of packed sets, one after another."""
+    flat = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :6] = flat
+    return out.view(np.uint64).ravel()
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """docs -> doc_id, n, key, and, where this task meets the set first, its number ``sid`` and packed n-grams."""
+    from pyspark import TaskContext
+
+    known: dict[bytes, int] = {}
+    seen: set[int] = set()
+    sid = TaskContext.get().partitionId() << 36
+    for whole in batches:
+        for at in range(0, len(whole), 500):
+            docs, rows = whole.iloc[at : at + 500], []
+            for text in docs["text"]:
+                t = shingles(text, known)
+                if not len(t):
+                    rows.append((0, None, None, None))
+                    continue
+                key = key_of(t)
+                if key in seen:
+                    rows.append((len(t), key, None, None))
+                    continue
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                seen.add(key)
+                rows.append((len(t), key, sid, packed(t)))
+                sid += 1
+            out = pd.DataFrame(rows, columns=["n", "key", "sid", "tokens"]).astype({"key": "Int64", "sid": "Int64"})
+            out.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
+            yield out
+
+
+def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets -> n-grams that ``FEW`` or more sets of a chunk hold, with the sum of those counts."""
+    held: list[bytes] = []
+    found = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def count() -> None:
+        token, times = np.unique(unpacked(held), return_counts=True)
+        found[0].append(token[times >= FEW])
+        found[1].append(times[times >= FEW])
+        held.clear()
+        if sum(map(len, found[0])) > 1_000_000:
+            merge()
+
+    def merge() -> None:
+        token, back = np.unique(np.concatenate(found[0]), return_inverse=True)
+        times = np.bincount(back, np.concatenate(found[1]), len(token)).astype(np.int64)
+        found[0][:], found[1][:] = [token], [times]
+
+    for x in batches:
+        for t in x.tokens:
+            held.append(t)
+            if len(held) == CHUNK:
+                count()
+    if held:
+        count()
+    merge()
+    yield pd.DataFrame({"token": found[0][0].astype(np.int64), "times": found[1][0]})
+
+
+def _firsts(x: pd.DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First n-grams of each set of a batch: (row of the batch, n-gram, place among the frequent ones or -1)."""
+    n = np.array([len(t) // 6 for t in x.tokens], np.int64)
+    token, row = unpacked(list(x.tokens)), np.repeat(np.arange(len(n)), n)
+    place = np.full(len(token), -1, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+        place = np.where(hot[at] == token, at, -1)
+    # Sets are sorted by hash already: frequent n-grams go to the end of their set.
+    order = np.argsort(2 * row + (place >= 0), kind="stable")
+    rank = np.arange(len(token)) - (np.cumsum(n) - n)[row]
+    keep = order[rank < bound(n)[row]]
+    return row[keep], token[keep], place[keep]
+
+
+def _spread(buckets: int, hot):
+    """Sets -> their first n-grams that are not frequent, by bucket: n-grams, and the runs of keys and steps of size they belong to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        known: dict[bytes, int] = {}
-        seen: set[int] = set()
-        task, turn = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                docs = whole.iloc[at : at + 1000]
-                batch = (task << 24) + turn
-                turn += 1
-                sizes, keys, sets, owners = [], [], [], []
-                for text in docs["text"]:
-                    t = shingles(text, known)
-                    key = key_of(t) if len(t) else -1
-                    if len(t) and key not in seen:
-                        if len(seen) > 2_000_000:
-                            seen.clear()
-                        seen.add(key)
-                        sets.append(t)
-                        owners.append(len(keys))
-                    keys.append(key)
-                    sizes.append(len(t))
-                ids = docs["doc_id"].to_numpy()
-                # Which documents of the batch have their set sent: the rest are copies of such.
-                sent = np.zeros(len(keys), bool)
-                sent[owners] = True
-                own = np.array(keys, np.int64)
-                rows = [(batch % parts, batch, 0, own.tobytes(), np.array(sizes, np.int64).tobytes(), pd.array(ids, "Int64").to_numpy(np.int64, na_value=-(1 << 63)).tobytes(), sent.tobytes())]
-                if sets:
-                    tokens = np.concatenate(sets)
-                    doc = np.repeat(np.array(owners, np.uint16), [len(s) for s in sets])
-                    part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    low = (tokens & _LOW48)[order].view(np.uint8).reshape(-1, 8)[:, :6]
-                    doc, cuts = doc[order], np.searchsorted(part[order], np.arange(parts + 1))
-                    for p in np.flatnonzero(np.diff(cuts)):
-                        a, b = cuts[p], cuts[p + 1]
-                        rows.append((int(p), batch, 1, np.ascontiguousarray(low[a:b]).tobytes(), doc[a:b].tobytes(), None, None))
-                yield pd.DataFrame(rows, columns=["part", "batch", "kind", "x", "y", "z", "w"])
+            for at in range(0, len(whole), 2000):
+                x = whole.iloc[at : at + 2000]
+                row, token, place = _firsts(x, hot.value)
+                row, token = row[place < 0], token[place < 0]
+                key, step = x.key.to_numpy(np.int64), size_step(x.n.to_numpy(np.int64))
+                bucket = (token % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                row, token, bucket = row[order], token[order], bucket[order]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+                rows = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    runs = np.flatnonzero(np.r_[True, row[a + 1 : b] != row[a : b - 1]])
+                    who = row[a:b][runs]
+                    rows.append((int(bucket[a]), packed(token[a:b] << np.uint64(16)), key[who].tobytes(), step[who].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.int32).tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "token", "key", "step", "times"])
 
     return run
 
 
-_ROWS = "part long, batch long, kind int, x binary, y binary, z binary, w binary"
-
-
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """One range of n-grams: count documents of each; give back, by batch, the entries of n-grams of two or more."""
-    docs, blocks = group[group.kind == 0], group[group.kind == 1].sort_values("batch")
-    out = [docs.assign(part=docs.batch)]
-    if len(blocks):
-        low = np.zeros((sum(map(len, blocks.x)) // 6, 8), np.uint8)
-        low[:, :6] = np.frombuffer(b"".join(blocks.x), np.uint8).reshape(-1, 6)
-        token = low.view(np.uint64).ravel()
-        doc = np.frombuffer(b"".join(blocks.y), np.uint16)
-        batch = np.repeat(blocks.batch.to_numpy(), [len(y) // 2 for y in blocks.y])
-        _, back, count = np.unique(token, return_inverse=True, return_counts=True)
-        keep = np.flatnonzero(count[back] > 1)
-        token = token[keep] | np.uint64(int(group.part.iloc[0]) & 0xFFFF) << np.uint64(48)
-        count, doc, batch = np.minimum(count[back][keep], 1 << 31).astype(np.uint32), doc[keep], batch[keep]
-        cuts = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1], True]) if len(batch) else np.zeros(1, int)
-        rows = [(int(batch[a]), int(batch[a]), 1, token[a:b].tobytes(), doc[a:b].tobytes(), count[a:b].tobytes(), None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        out.append(pd.DataFrame(rows, columns=group.columns))
-    return pd.concat(out, ignore_index=True)
-
-
-def _documents(group: pd.DataFrame) -> pd.DataFrame:
-    """One batch of documents: each with its size, its class, and, if it may have a partner, its shared n-grams and its first ones."""
-    head, blocks = group[group.kind == 0].iloc[0], group[group.kind == 1]
-    keys, sizes, ids = (np.frombuffer(head[c], np.int64) for c in "xyz")
-    sent = np.frombuffer(head["w"], bool)
-    tokens, firsts = [None] * len(keys), [None] * len(keys)
-    if len(blocks):
-        token = np.frombuffer(b"".join(blocks.x), np.uint64)
-        doc = np.frombuffer(b"".join(blocks.y), np.uint16)
-        count = np.frombuffer(b"".join(blocks.z), np.uint32)
-        order = np.lexsort((token, count, doc))
-        token, doc = token[order], doc[order]
-        cuts = np.searchsorted(doc, np.arange(len(keys) + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            mine, n = token[cuts[k] : cuts[k + 1]], int(sizes[k])
-            # Its own n-grams, n - len(mine) of them, come first in the order and meet nobody.
-            first = bound(n) - (n - len(mine))
-            if first > 0:
-                firsts[k] = mine[:first].tobytes()
-                tokens[k] = np.sort(mine).tobytes()
-    return pd.DataFrame({"doc_id": pd.Series(ids).astype("Int64").mask(ids == -(1 << 63)), "n": sizes, "key": keys, "sent": sent, "tokens": tokens, "firsts": firsts})
-
-
-def _stars(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(bucket, key, first n-grams) rows of one task -> links from each class to the least class with the same n-gram."""
-    token, key = [], []
+def size_step(n: np.ndarray) -> np.ndarray:
+    """Steps of size: sets can only be linked within a step, or from one to the next."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(DEN / NUM) + 1e-9).astype(np.int16)
+
+
+def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One task's buckets of n-grams -> (g, key): keys that share an n-gram, g being the least of those of like size."""
+    held = [[], [], [], []]
     for x in parts:
-        token += [np.frombuffer(t, np.uint64) for t in x.t]
-        key += [np.full(len(t) // 8, k, np.int64) for t, k in zip(x.t, x.key, strict=True)]
-    if not token:
+        for name, kind, to in zip(("token", "key", "step", "times"), (None, np.int64, np.int16, np.int32), held, strict=True):
+            to += list(x[name]) if kind is None else [np.frombuffer(v, kind) for v in x[name]]
+    if not held[0]:
         return
-    token, key = np.concatenate(token), np.concatenate(key)
-    order = np.lexsort((key, token))
-    token, key = token[order], key[order]
-    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    least = np.repeat(key[start], np.diff(np.r_[start, len(key)]))
-    link = np.unique(np.stack([least, key], 1)[least != key], axis=0) if (least != key).any() else np.zeros((0, 2), np.int64)
-    yield pd.DataFrame({"a": link[:, 0], "b": link[:, 1]})
+    token, times = unpacked(held[0]), np.concatenate(held[3])
+    key, step = np.repeat(np.concatenate(held[1]), times), np.repeat(np.concatenate(held[2]), times)
+    order = np.lexsort((key, step, token))
+    token, key, step = token[order], key[order], step[order]
+    # A new run where the n-gram changes, or where a step of size is left out.
+    start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (step[1:] > step[:-1] + 1)])
+    size = np.diff(np.r_[start, len(token)])
+    least = np.repeat(np.minimum.reduceat(key, start), size)
+    keep = np.repeat(size, size) > 1
+    pair = np.unique(np.stack([least[keep], key[keep]], 1), axis=0)
+    yield pd.DataFrame({"g": pair[:, 0], "key": pair[:, 1]})
+
+
+def _hot_least(hot):
+    """Sets -> the least key that has each frequent n-gram among its first, of this task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least = np.full(len(hot.value), np.iinfo(np.int64).max)
+        for x in batches:
+            row, _, place = _firsts(x, hot.value)
+            np.minimum.at(least, place[place >= 0], x.key.to_numpy(np.int64)[row[place >= 0]])
+        met = np.flatnonzero(least < np.iinfo(np.int64).max)
+        yield pd.DataFrame({"place": met, "least": least[met]})
+
+    return run
 
 
-def _spread(parts: int):
-    """Split the first n-grams of classes by bucket, packed."""
+def _hot_cells(hot, names):
+    """Sets -> (g, key) by their first n-grams that are frequent; ``names`` has the least key of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = []
-            for key, f in zip(x.key, x.firsts, strict=True):
-                t = np.frombuffer(f, np.uint64)
-                p = (t % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(p, kind="stable")
-                t, p = t[order], p[order]
-                cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
-                rows += [(int(p[a]), int(key), t[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pd.DataFrame(rows, columns=["bucket", "key", "t"])
+            row, _, place = _firsts(x, hot.value)
+            row, place = row[place >= 0], place[place >= 0]
+            pair = np.unique(np.stack([names.value[place], x.key.to_numpy(np.int64)[row]], 1), axis=0)
+            yield pd.DataFrame({"g": pair[:, 0], "key": pair[:, 1]})
 
     return run
 
 
+def cells(sets: DataFrame) -> DataFrame:
+    """(g, key): every pair of sets (key, n, tokens) that may be linked is in one cell g; cells inside others are left out."""
+    spark = sets.sparkSession
+    entries, count = sets.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1), F.lit(0)), F.count("*")).first()
+    often = sets.select("tokens").mapInPandas(_frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    often = often.where(F.col("times") >= max(FEW, count // SHARE)).select("token").toArrow()["token"].to_numpy()
+    hot = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
+    tasks = max(1, -(-int(entries) // ENTRIES))
+    spread = sets.select("key", "n", "tokens").mapInPandas(_spread(16 * tasks, hot), "bucket long, token binary, key binary, step binary, times binary")
+    found = spread.repartition(tasks, "bucket").mapInPandas(_cells, "g long, key long")
+    if len(hot.value):
+        least = sets.select("key", "tokens").mapInPandas(_hot_least(hot), "place long, least long").groupBy("place").agg(F.min("least").alias("least")).toArrow()
+        names = np.zeros(len(hot.value), np.int64)
+        names[least["place"].to_numpy()] = least["least"].to_numpy()
+        names = spark.sparkContext.broadcast(names)
+        found = found.unionByName(sets.select("key", "tokens").mapInPandas(_hot_cells(hot, names), "g long, key long"))
+    m = staged(found.distinct(), "jaccard-cells")
+    release(spark)
+    size = m.groupBy("g").agg(F.count("*").alias("m"))
+    both = m.join(m.select("key", F.col("g").alias("other")), "key").where("other < g").groupBy("g", "other").agg(F.count("*").alias("m"))
+    inside = both.join(size, ["g", "m"]).select("g").union(size.where("m = 1").select("g")).distinct()
+    out = staged(m.join(maybe_broadcast(staged(inside, "jaccard-inside")), "g", "left_anti"), "jaccard-members")
+    return out
+
+
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -248,7 +313,7 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None, n_left: np.n
 def _links(group: pd.DataFrame) -> pd.DataFrame:
     """One block with itself (side 0 only) or two blocks (sides 0 and 1): spanning links (a, b) of linked classes."""
     sides = [group[group.side == s].drop_duplicates("key").sort_values("key") for s in (0, 1)]
-    left, right = ([np.frombuffer(t, np.uint64) for t in x.tokens] for x in sides)
+    left, right = ([unpacked([t]) for t in x.tokens] for x in sides)
     keys = np.concatenate([sides[0].key.to_numpy(), sides[1].key.to_numpy()])
     n = [x.n.to_numpy() for x in sides]
     if not left or (len(sides[1]) == 0 and len(left) < 2):
@@ -270,44 +335,43 @@ def _meet(cells: DataFrame) -> DataFrame:
 
 
 def exact_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links among ``members`` (g, key, n, tokens), where only rows of one g may be linked.
+    """Links among ``members`` (g, m, key, n, tokens), where only rows of one cell g, of ``m`` rows, may be linked.
 
     Every linked pair of different classes ends in one component of the links returned.
     """
-    sizes = members.groupBy("g").agg(F.count("*").alias("m"))
-    m = members.join(sizes, "g")
-    small = m.where(F.col("m") <= block).select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "key", "n", "tokens")
-    large = m.where(F.col("m") > block).withColumn("of", F.ceil(F.col("m") * 1.25 / block).cast("int"))
+    cell = lambda df, i, j, side: df.select("g", F.expr(i).alias("i"), F.expr(j).alias("j"), F.lit(side).alias("side"), "key", "n", "tokens")
+    small = members.where(F.col("m") <= block)
+    large = members.where(F.col("m") > block).withColumn("of", F.ceil(F.col("m") * 1.25 / block).cast("int"))
     # Blocks are dealt by a hash of the class: about 0.8 of ``block`` rows each.
-    large = staged(large.withColumn("i", F.pmod(F.xxhash64("key"), F.col("of")).cast("int")).select("g", "i", "of", "key", "n", "tokens"), "jaccard-large")
-    own = large.select("g", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "key", "n", "tokens")
-    first = large.where("i = 0 and of > 1").select("g", F.explode(F.sequence(F.lit(1), F.col("of") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "key", "n", "tokens")
-    rest = large.where("i > 0").select("g", "i", F.lit(0).alias("j"), F.lit(1).alias("side"), "key", "n", "tokens")
-    links = staged(_meet(small.unionByName(own).unionByName(first).unionByName(rest)), "jaccard-links")
+    large = staged(large.withColumn("b", F.pmod(F.xxhash64("key"), F.col("of")).cast("int")).select("g", "b", "of", "key", "n", "tokens"), "jaccard-large")
+    first = large.where("b = 0").withColumn("to", F.explode(F.sequence(F.lit(1), F.col("of") - 1)))
+    links = staged(_meet(cell(small, "0", "0", 0).unionByName(cell(large, "b", "b", 0)).unionByName(cell(first, "to", "0", 0)).unionByName(cell(large.where("b > 0"), "b", "0", 1))), "jaccard-links")
     if not large.limit(1).count():
+        unstage(large)
         return links
-    # Second turn: documents outside their group's largest class meet every block where sizes allow a link.
+    # Second turn: documents outside their cell's largest class meet every block where sizes allow a link.
     class_of = connected_components(links, "jaccard-first")
-    at = large.join(class_of, large.key == class_of.node, "left").withColumn("label", F.coalesce("label", "key")).drop("node")
+    at = lookup(large.select("g", "b", "of", "key", "n"), class_of.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    at = staged(at, "jaccard-at")
     biggest = at.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("big"))
-    at = at.join(biggest, "g")
-    # Sorted into steps of size, so that a row only meets steps from 3/4 to 4/3 of its own.
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
-    at = at.withColumn("s", step).withColumn("outside", F.col("label") != F.col("big"))
+    at = lookup(at, staged(biggest, "jaccard-biggest"), "g")
+    # Sorted into steps of size, so that a row only meets the steps next to its own.
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
+    at = at.select("g", "b", "of", "key", step.alias("s"), (F.col("label") != F.col("big")).alias("outside"))
     outside = at.where("outside")
-    cells = (
-        outside.groupBy("g", "s").agg(F.count("*").alias("c")).withColumn("chunks", F.ceil(F.col("c") / block).cast("int")).select("g", "s", "chunks")
-    )
+    chunks = staged(outside.groupBy("g", F.col("s").alias("os")).agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")), "jaccard-chunks")
+    if not chunks.limit(1).count():
+        unstage(large)
+        return links
     # A row of any class (side 1) goes to each chunk of outside rows (side 0) of the steps next to its own.
-    chunked = outside.join(cells, ["g", "s"]).select(
-        "g", F.col("s").alias("os"), F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), "i", "key", "n", "tokens", "of"
-    )
-    every = at.select("g", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("os"), "i", "key", "n", "tokens")
-    met = every.join(cells.select("g", F.col("s").alias("os"), "chunks"), ["g", "os"])
-    met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    name = lambda d: d.select("g", F.concat_ws("/", F.lit("second"), "os", "chunk").alias("i"), F.col("i").alias("j"), "side", "key", "n", "tokens")
-    left = chunked.withColumn("side", F.lit(0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    second = _meet(name(left).unionByName(name(met.withColumn("side", F.lit(1)))))
+    chunk = F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")).cast("int").alias("chunk")
+    left = outside.withColumn("os", F.col("s")).join(maybe_broadcast(chunks), ["g", "os"]).select("g", "os", "of", "key", chunk)
+    left = left.select("g", "os", "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("b"), F.lit(0).alias("side"))
+    right = at.withColumn("os", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))).join(maybe_broadcast(chunks), ["g", "os"])
+    right = right.select("g", "os", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "b", F.lit(1).alias("side"))
+    meet = left.unionByName(right).select("g", F.concat_ws("/", F.lit("second"), "os", "chunk").alias("i"), F.col("b").cast("string").alias("j"), "side", "key")
+    second = staged(_meet(meet.join(large.select("g", "key", "n", "tokens"), ["g", "key"])), "jaccard-second")
+    unstage(large)
     return links.unionByName(second)
 
 
@@ -315,30 +379,28 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    parts = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
-    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_entries(parts), _ROWS)
-    shared = entries.groupBy("part").applyInPandas(_shared, _ROWS)
-    done = staged(
-        shared.groupBy("batch").applyInPandas(_documents, "doc_id long, n long, key long, sent boolean, tokens binary, firsts binary"), "jaccard-docs"
-    )
-    # Copies of a set sent from several tasks: the same class, kept once.
-    classes = done.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.max("tokens").alias("tokens"), F.max("firsts").alias("firsts"))
-    classes = staged(classes, "jaccard-classes")
-    rows = staged(done.select("doc_id", "n", "key"), "jaccard-rows")
-    unstage(done)
-    del entries, shared
+    all_sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sets, "doc_id long, n long, key long, sid long, tokens binary")
+    all_sets = staged(all_sets, "jaccard-sets")
+    sets = all_sets.where("sid is not null").select("sid", "key", "n", "tokens")
+    m = cells(sets)
+    # Each candidate class is read from one of its sets, with the cells it is in.
+    sized = lookup(m, staged(m.groupBy("g").agg(F.count("*").alias("m")), "jaccard-sizes"), "g")
+    of_key = staged(sized.groupBy("key").agg(F.collect_list(F.struct("g", "m")).alias("cells")), "jaccard-keys")
+    one = sets.select("key", "sid").join(maybe_broadcast(of_key.select("key")), "key").groupBy("key").agg(F.min("sid").alias("sid"))
+    one = staged(one.join(of_key, "key").select("sid", "cells"), "jaccard-owners")
+    members = sets.join(maybe_broadcast(one), "sid").select(F.explode("cells").alias("c"), "key", "n", "tokens").select("c.g", "c.m", "key", "n", "tokens")
+    links = exact_links(members)
+    rows = staged(all_sets.select("doc_id", "n", "key"), "jaccard-rows")
+    unstage(all_sets, m, of_key, one)
     release(spark)
-    spread = classes.select("key", "firsts").mapInPandas(_spread(parts), "bucket long, key long, t binary")
-    stars = spread.repartition("bucket").mapInPandas(_stars, "a long, b long")
-    groups = connected_components(stars, "jaccard-groups")
-    members = classes.join(groups, classes.key == groups.node).select(F.col("label").alias("g"), "key", "n", "tokens")
-    component = connected_components(exact_links(members), "jaccard")
-    named = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = named.join(component, named.key == component.node, "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    of_key = named.join(least, "label").select("key", "component")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    return out.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    component = connected_components(links, "jaccard")
+    least = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    # The classes that have links; the others are their own component.
+    linked = staged(least.join(maybe_broadcast(component), least.key == component.node).select("key", "least", "label"), "jaccard-linked")
+    named = lookup(linked, staged(linked.groupBy("label").agg(F.min("least").alias("component")), "jaccard-named"), "label").select("key", "component")
+    named = named.unionByName(least.join(maybe_broadcast(linked.select("key")), "key", "left_anti").select("key", F.col("least").alias("component")))
+    out = lookup(rows, staged(named, "jaccard-component"), "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
