@@ -2,11 +2,13 @@
 
 Exact: every pair of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or
 more is linked, and no other. Which rows of the matrix must meet is found from their first n-grams: in
-one order of all n-grams, a document of n of them can only have a partner that holds one of its first
-n - ceil(0.75 n) + 1. So only those, about a quarter, are shuffled. The order is that of the hashes,
+one order of all n-grams, linked documents of n n-grams or more share k of their first n - ceil(0.75 n) + k,
+whatever k is. With k = 1 + n / 12, a third of the n-grams is shuffled. The order is that of the hashes,
 but for n-grams that are frequent in the whole corpus, which come last; it steers the work alone, not
-the result. Documents that hold the same first n-gram, and whose sizes allow a link, make a cell, named
-by the least of them; a cell inside another is dropped. Inside a cell the product is taken block by
+the result. First n-grams that few documents hold are counted by pair; those that more hold count for
+each of their documents. Pairs that cannot reach k so, and pairs whose sizes forbid a link, go; the rest
+make cells, each named by its least document, and so do the documents that can reach k by n-grams of
+many documents alone. A cell inside another is dropped. Inside a cell the product is taken block by
 block: overlap counts are added up n-gram by n-gram and pairs below the bound that their sizes set,
 overlap >= 3/7 (a + b), go. Blocks yield spanning links, never the pairs. In cells of more than one
 block, blocks first meet themselves and the cell's first block; then only documents outside the
@@ -39,6 +41,8 @@ NUM, DEN = 3, 4
 BLOCK = 512
 #: First n-grams that one task groups.
 ENTRIES = 2_000_000
+#: Documents up to which a first n-gram is counted by pair.
+PAIRED = 16
 #: An n-gram is frequent where one set in ``SHARE`` holds it, as counted in every run of ``CHUNK`` sets where
 #: ``FEW`` or more do. Sets have a mean size, so there are at most ``SHARE`` times that many, however large the corpus.
 SHARE, CHUNK, FEW = 1024, 4096, 4
@@ -70,9 +74,14 @@ def key_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
-def bound(n: np.ndarray | int) -> np.ndarray | int:
-    """How many first n-grams must hold one of any partner's."""
-    return n - (NUM * n + DEN - 1) // DEN + 1
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """k: how many of their first n-grams linked sets share, ``n`` being the smaller's size."""
+    return 1 + n // 12
+
+
+def first_count(n: np.ndarray) -> np.ndarray:
+    """How many n-grams of a set count as its first."""
+    return n - (NUM * n + DEN - 1) // DEN + least_shared(n)
 
 
 def packed(tokens: np.ndarray) -> bytes:
@@ -157,12 +166,12 @@ def _firsts(x: pd.DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     # Sets are sorted by hash already: frequent n-grams go to the end of their set.
     order = np.argsort(2 * row + (place >= 0), kind="stable")
     rank = np.arange(len(token)) - (np.cumsum(n) - n)[row]
-    keep = order[rank < bound(n)[row]]
+    keep = order[rank < first_count(n)[row]]
     return row[keep], token[keep], place[keep]
 
 
 def _spread(buckets: int, hot):
-    """Sets -> their first n-grams that are not frequent, by bucket: n-grams, and the runs of keys and steps of size they belong to."""
+    """Sets -> their first n-grams that are not frequent, by bucket: n-grams, and the runs of keys and sizes they belong to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -170,45 +179,74 @@ def _spread(buckets: int, hot):
                 x = whole.iloc[at : at + 2000]
                 row, token, place = _firsts(x, hot.value)
                 row, token = row[place < 0], token[place < 0]
-                key, step = x.key.to_numpy(np.int64), size_step(x.n.to_numpy(np.int64))
+                key, n = x.key.to_numpy(np.int64), x.n.to_numpy(np.int64)
                 bucket = (token % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                row, token, bucket = row[order], token[order], bucket[order]
+                # Inside a bucket, 32 bits tell n-grams apart; where they do not, a pair counts too much and is looked at in vain.
+                row, token, bucket = row[order], (token[order] // np.uint64(buckets)).astype(np.uint32), bucket[order]
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
                 rows = []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     runs = np.flatnonzero(np.r_[True, row[a + 1 : b] != row[a : b - 1]])
                     who = row[a:b][runs]
-                    rows.append((int(bucket[a]), packed(token[a:b] << np.uint64(16)), key[who].tobytes(), step[who].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.int32).tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "token", "key", "step", "times"])
+                    rows.append((int(bucket[a]), token[a:b].tobytes(), key[who].tobytes(), n[who].astype(np.uint32).tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "token", "key", "n", "times"])
 
     return run
 
 
+_FOUND = "many boolean, a long, b long, n long, times long"
+
+
+def _found(many: bool, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Distinct (a, b), with n and how often each is there."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
+    return pd.DataFrame({"many": many, "a": a[start], "b": b[start], "n": n[start], "times": np.diff(np.r_[start, len(a)])})
+
+
 def size_step(n: np.ndarray) -> np.ndarray:
     """Steps of size: sets can only be linked within a step, or from one to the next."""
     return np.floor(np.log(np.maximum(n, 1)) / np.log(DEN / NUM) + 1e-9).astype(np.int16)
 
 
-def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task's buckets of n-grams -> (g, key): keys that share an n-gram, g being the least of those of like size."""
-    held = [[], [], [], []]
+def _share(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One task's buckets: pairs (a, b) by n-grams of few sets, and (least key, key) by those of ``many``, with counts of n-grams."""
+    buckets: dict[int, list] = {}
     for x in parts:
-        for name, kind, to in zip(("token", "key", "step", "times"), (None, np.int64, np.int16, np.int32), held, strict=True):
-            to += list(x[name]) if kind is None else [np.frombuffer(v, kind) for v in x[name]]
-    if not held[0]:
-        return
-    token, times = unpacked(held[0]), np.concatenate(held[3])
-    key, step = np.repeat(np.concatenate(held[1]), times), np.repeat(np.concatenate(held[2]), times)
-    order = np.lexsort((key, step, token))
-    token, key, step = token[order], key[order], step[order]
-    # A new run where the n-gram changes, or where a step of size is left out.
-    start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (step[1:] > step[:-1] + 1)])
-    size = np.diff(np.r_[start, len(token)])
-    least = np.repeat(np.minimum.reduceat(key, start), size)
-    keep = np.repeat(size, size) > 1
-    pair = np.unique(np.stack([least[keep], key[keep]], 1), axis=0)
-    yield pd.DataFrame({"g": pair[:, 0], "key": pair[:, 1]})
+        for row in x.itertuples(index=False):
+            buckets.setdefault(row.bucket, []).append(row)
+    for rows in buckets.values():
+        token = np.concatenate([np.frombuffer(r.token, np.uint32) for r in rows])
+        times = np.concatenate([np.frombuffer(r.times, np.uint32) for r in rows])
+        key = np.repeat(np.concatenate([np.frombuffer(r.key, np.int64) for r in rows]), times)
+        n = np.repeat(np.concatenate([np.frombuffer(r.n, np.uint32) for r in rows]), times).astype(np.int64)
+        step = size_step(n)
+        # A set sent by several tasks is one.
+        order = np.lexsort((key, step, token))
+        token, key, n, step = token[order], key[order], n[order], step[order]
+        once = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
+        token, key, n, step = token[once], key[once], n[once], step[once]
+        # A new run where the n-gram changes, or where a step of size is left out.
+        start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (step[1:] > step[:-1] + 1)])
+        size = np.diff(np.r_[start, len(token)])
+        much = size > PAIRED
+        if much.any():
+            least = np.repeat(np.minimum.reduceat(key, start), size)
+            keep = np.repeat(much, size)
+            yield _found(True, least[keep], key[keep], n[keep])
+        end = np.repeat(np.where(much, start, start + size), size)
+        a, b = [], []
+        for d in range(1, min(PAIRED, int(size.max()))):
+            i = np.flatnonzero(np.arange(len(key)) + d < end)
+            small, large = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
+            i = i[DEN * small >= NUM * large]
+            a.append(i)
+            b.append(i + d)
+        if a:
+            i, j = np.concatenate(a), np.concatenate(b)
+            yield _found(False, np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.minimum(n[i], n[j]))
 
 
 def _hot_least(hot):
@@ -225,15 +263,14 @@ def _hot_least(hot):
     return run
 
 
-def _hot_cells(hot, names):
-    """Sets -> (g, key) by their first n-grams that are frequent; ``names`` has the least key of each."""
+def _hot_share(hot, names):
+    """Sets -> as ``_share``, by their first n-grams that are frequent; ``names`` has the least key of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             row, _, place = _firsts(x, hot.value)
             row, place = row[place >= 0], place[place >= 0]
-            pair = np.unique(np.stack([names.value[place], x.key.to_numpy(np.int64)[row]], 1), axis=0)
-            yield pd.DataFrame({"g": pair[:, 0], "key": pair[:, 1]})
+            yield _found(True, names.value[place], x.key.to_numpy(np.int64)[row], x.n.to_numpy(np.int64)[row])
 
     return run
 
@@ -241,25 +278,39 @@ def _hot_cells(hot, names):
 def cells(sets: DataFrame) -> DataFrame:
     """(g, key): every pair of sets (key, n, tokens) that may be linked is in one cell g; cells inside others are left out."""
     spark = sets.sparkSession
-    entries, count = sets.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1), F.lit(0)), F.count("*")).first()
+    most = (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 + F.floor(F.col("n") / 12)).cast("long")
+    entries, count = sets.agg(F.coalesce(F.sum(most), F.lit(0)), F.count("*")).first()
     often = sets.select("tokens").mapInPandas(_frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     often = often.where(F.col("times") >= max(FEW, count // SHARE)).select("token").toArrow()["token"].to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
     tasks = max(1, -(-int(entries) // ENTRIES))
-    spread = sets.select("key", "n", "tokens").mapInPandas(_spread(16 * tasks, hot), "bucket long, token binary, key binary, step binary, times binary")
-    found = spread.repartition(tasks, "bucket").mapInPandas(_cells, "g long, key long")
+    spread = sets.select("key", "n", "tokens").mapInPandas(_spread(tasks, hot), "bucket int, token binary, key binary, n binary, times binary")
+    found = spread.repartitionById(tasks, "bucket").mapInPandas(_share, _FOUND)
     if len(hot.value):
         least = sets.select("key", "tokens").mapInPandas(_hot_least(hot), "place long, least long").groupBy("place").agg(F.min("least").alias("least")).toArrow()
         names = np.zeros(len(hot.value), np.int64)
         names[least["place"].to_numpy()] = least["least"].to_numpy()
         names = spark.sparkContext.broadcast(names)
-        found = found.unionByName(sets.select("key", "tokens").mapInPandas(_hot_cells(hot, names), "g long, key long"))
-    m = staged(found.distinct(), "jaccard-cells")
+        found = found.unionByName(sets.select("key", "n", "tokens").mapInPandas(_hot_share(hot, names), _FOUND))
+    found = staged(found.groupBy("many", "a", "b").agg(F.max("n").alias("n"), F.sum("times").alias("times")), "jaccard-found")
     release(spark)
+    by_many = found.where("many").groupBy(F.col("b").alias("key")).agg(F.max("n").alias("n"), F.sum("times").alias("times"))
+    by_many = staged(by_many, "jaccard-many")
+    small = maybe_broadcast(by_many.select("key", "times"))
+    pairs = found.where("not many")
+    for end in "ab":
+        pairs = pairs.join(small.select(F.col("key").alias(end), F.col("times").alias(f"of_{end}")), end, "left")
+    pairs = pairs.where(F.col("times") + F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0))) >= 1 + F.floor(F.col("n") / 12))
+    # The smaller of two linked sets has 0.75 n n-grams at least.
+    enough = by_many.where(F.col("times") >= 1 + F.floor(F.ceil(F.col("n") * NUM / DEN) / 12)).select(F.col("key").alias("b"))
+    cell = found.where("many").join(maybe_broadcast(enough), "b", "left_semi").select(F.col("a").alias("g"), F.col("b").alias("key"))
+    of_pairs = pairs.select(F.col("a").alias("g"), F.explode(F.array("a", "b")).alias("key"))
+    m = staged(cell.unionByName(of_pairs).distinct(), "jaccard-cells")
     size = m.groupBy("g").agg(F.count("*").alias("m"))
     both = m.join(m.select("key", F.col("g").alias("other")), "key").where("other < g").groupBy("g", "other").agg(F.count("*").alias("m"))
     inside = both.join(size, ["g", "m"]).select("g").union(size.where("m = 1").select("g")).distinct()
     out = staged(m.join(maybe_broadcast(staged(inside, "jaccard-inside")), "g", "left_anti"), "jaccard-members")
+    unstage(found, by_many, m)
     return out
 
 
