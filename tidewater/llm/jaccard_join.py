@@ -5,11 +5,12 @@ more is linked, and no other. Which rows of the matrix must meet is found from t
 one order of all n-grams, linked documents of n n-grams or more share k of their first n - ceil(0.75 n) + k,
 whatever k is. With k = 1 + n / 12, a third of the n-grams is shuffled. The order is that of the hashes,
 but for n-grams that are frequent in the whole corpus, which come last; it steers the work alone, not
-the result. First n-grams that few documents hold are counted by pair; those that more hold count for
-each of their documents. Pairs that cannot reach k so, and pairs whose sizes forbid a link, go; the rest
-make cells, each named by its least document, and so do the documents that can reach k by n-grams of
-many documents alone. A cell inside another is dropped. Inside a cell the product is taken block by
-block: overlap counts are added up n-gram by n-gram and pairs below the bound that their sizes set,
+the result. Documents of like size that share a first n-gram make a cell, named by the least of them.
+Documents that share fewer than k of their first n-grams with all others leave; in the cells, signatures
+of one bit an n-gram, summed modulo 2, then part those that cannot be linked: linked sets differ in
+(a + b) / 7 n-grams at most, and signatures in no more bits than sets in n-grams. A cell inside another
+is dropped. Inside a cell the product is taken block by block: overlap counts are added up n-gram by
+n-gram and pairs below the bound that their sizes set,
 overlap >= 3/7 (a + b), go. Blocks yield spanning links, never the pairs. In cells of more than one
 block, blocks first meet themselves and the cell's first block; then only documents outside the
 cell's largest class meet the others, and only where sizes allow a link. So a cell of near copies
@@ -38,11 +39,9 @@ WIDTH = 5
 #: Similarity 0.75 as a whole fraction.
 NUM, DEN = 3, 4
 #: Documents in a block of the product.
-BLOCK = 512
+BLOCK = 256
 #: First n-grams that one task groups.
 ENTRIES = 2_000_000
-#: Documents up to which a first n-gram is counted by pair.
-PAIRED = 16
 #: An n-gram is frequent where one set in ``SHARE`` holds it, as counted in every run of ``CHUNK`` sets where
 #: ``FEW`` or more do. Sets have a mean size, so there are at most ``SHARE`` times that many, however large the corpus.
 SHARE, CHUNK, FEW = 1024, 4096, 4
@@ -97,8 +96,49 @@ def unpacked(parts: list[bytes]) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """For each of a power of two of bits, n or more, whether an odd number of n-grams falls on it."""
+    bits = 1 << max(6, int(len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sign: bytes, size: int) -> np.ndarray:
+    """A signature of ``size`` bytes, as 64-bit words, from one as long or longer."""
+    x = np.frombuffer(sign, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def by_run(columns: tuple[str, ...], f):
+    """Sorted partitions -> ``f`` of the columns of every run of rows that agree in ``columns``; one run is held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for x in batches:
+            if held is not None:
+                x = pd.concat([held, x], ignore_index=True)
+            if not len(x):
+                continue
+            held, found = None, []
+            v = {c: x[c].to_numpy() for c in x.columns}
+            new = np.zeros(len(x), bool)
+            for c in columns:
+                new[1:] |= v[c][1:] != v[c][:-1]
+            cuts = [0, *np.flatnonzero(new).tolist()]
+            for at, end in zip(cuts, cuts[1:]):
+                found.append(f({c: a[at:end] for c, a in v.items()}))
+            held = x.iloc[cuts[-1] :]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+        if held is not None:
+            yield f({c: held[c].to_numpy() for c in held.columns})
+
+    return run
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """docs -> doc_id, n, key, and, where this task meets the set first, its number ``sid`` and packed n-grams."""
+    """docs -> doc_id, n, key, and, where this task meets the set first, its number ``sid``, signature and packed n-grams."""
     from pyspark import TaskContext
 
     known: dict[bytes, int] = {}
@@ -110,18 +150,18 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text in docs["text"]:
                 t = shingles(text, known)
                 if not len(t):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 key = key_of(t)
                 if key in seen:
-                    rows.append((len(t), key, None, None))
+                    rows.append((len(t), key, None, None, None))
                     continue
                 if len(seen) > 2_000_000:
                     seen.clear()
                 seen.add(key)
-                rows.append((len(t), key, sid, packed(t)))
+                rows.append((len(t), key, sid, signature(t), packed(t)))
                 sid += 1
-            out = pd.DataFrame(rows, columns=["n", "key", "sid", "tokens"]).astype({"key": "Int64", "sid": "Int64"})
+            out = pd.DataFrame(rows, columns=["n", "key", "sid", "sign", "tokens"]).astype({"key": "Int64", "sid": "Int64"})
             out.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
             yield out
 
@@ -195,15 +235,7 @@ def _spread(buckets: int, hot):
     return run
 
 
-_FOUND = "many boolean, a long, b long, n long, times long"
-
-
-def _found(many: bool, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """Distinct (a, b), with n and how often each is there."""
-    order = np.lexsort((b, a))
-    a, b, n = a[order], b[order], n[order]
-    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
-    return pd.DataFrame({"many": many, "a": a[start], "b": b[start], "n": n[start], "times": np.diff(np.r_[start, len(a)])})
+_FOUND = "g long, key long, n long"
 
 
 def size_step(n: np.ndarray) -> np.ndarray:
@@ -212,7 +244,7 @@ def size_step(n: np.ndarray) -> np.ndarray:
 
 
 def _share(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task's buckets: pairs (a, b) by n-grams of few sets, and (least key, key) by those of ``many``, with counts of n-grams."""
+    """One task's buckets -> (g, key, n) for every n-gram that sets of like size share, g being the least of them."""
     buckets: dict[int, list] = {}
     for x in parts:
         for row in x.itertuples(index=False):
@@ -231,22 +263,8 @@ def _share(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A new run where the n-gram changes, or where a step of size is left out.
         start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (step[1:] > step[:-1] + 1)])
         size = np.diff(np.r_[start, len(token)])
-        much = size > PAIRED
-        if much.any():
-            least = np.repeat(np.minimum.reduceat(key, start), size)
-            keep = np.repeat(much, size)
-            yield _found(True, least[keep], key[keep], n[keep])
-        end = np.repeat(np.where(much, start, start + size), size)
-        a, b = [], []
-        for d in range(1, min(PAIRED, int(size.max()))):
-            i = np.flatnonzero(np.arange(len(key)) + d < end)
-            small, large = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
-            i = i[DEN * small >= NUM * large]
-            a.append(i)
-            b.append(i + d)
-        if a:
-            i, j = np.concatenate(a), np.concatenate(b)
-            yield _found(False, np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.minimum(n[i], n[j]))
+        least, keep = np.repeat(np.minimum.reduceat(key, start), size), np.repeat(size > 1, size)
+        yield pd.DataFrame({"g": least[keep], "key": key[keep], "n": n[keep]})
 
 
 def _hot_least(hot):
@@ -270,13 +288,13 @@ def _hot_share(hot, names):
         for x in batches:
             row, _, place = _firsts(x, hot.value)
             row, place = row[place >= 0], place[place >= 0]
-            yield _found(True, names.value[place], x.key.to_numpy(np.int64)[row], x.n.to_numpy(np.int64)[row])
+            yield pd.DataFrame({"g": names.value[place], "key": x.key.to_numpy(np.int64)[row], "n": x.n.to_numpy(np.int64)[row]})
 
     return run
 
 
 def cells(sets: DataFrame) -> DataFrame:
-    """(g, key): every pair of sets (key, n, tokens) that may be linked is in one cell g; cells inside others are left out."""
+    """(g, key): every pair of sets (key, n, tokens) that may be linked is in one cell g."""
     spark = sets.sparkSession
     most = (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 + F.floor(F.col("n") / 12)).cast("long")
     entries, count = sets.agg(F.coalesce(F.sum(most), F.lit(0)), F.count("*")).first()
@@ -292,26 +310,47 @@ def cells(sets: DataFrame) -> DataFrame:
         names[least["place"].to_numpy()] = least["least"].to_numpy()
         names = spark.sparkContext.broadcast(names)
         found = found.unionByName(sets.select("key", "n", "tokens").mapInPandas(_hot_share(hot, names), _FOUND))
-    found = staged(found.groupBy("many", "a", "b").agg(F.max("n").alias("n"), F.sum("times").alias("times")), "jaccard-found")
+    found = staged(found.groupBy("g", "key").agg(F.max("n").alias("n"), F.count("*").alias("times")), "jaccard-found")
     release(spark)
-    by_many = found.where("many").groupBy(F.col("b").alias("key")).agg(F.max("n").alias("n"), F.sum("times").alias("times"))
-    by_many = staged(by_many, "jaccard-many")
-    small = maybe_broadcast(by_many.select("key", "times"))
-    pairs = found.where("not many")
-    for end in "ab":
-        pairs = pairs.join(small.select(F.col("key").alias(end), F.col("times").alias(f"of_{end}")), end, "left")
-    pairs = pairs.where(F.col("times") + F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0))) >= 1 + F.floor(F.col("n") / 12))
     # The smaller of two linked sets has 0.75 n n-grams at least.
-    enough = by_many.where(F.col("times") >= 1 + F.floor(F.ceil(F.col("n") * NUM / DEN) / 12)).select(F.col("key").alias("b"))
-    cell = found.where("many").join(maybe_broadcast(enough), "b", "left_semi").select(F.col("a").alias("g"), F.col("b").alias("key"))
-    of_pairs = pairs.select(F.col("a").alias("g"), F.explode(F.array("a", "b")).alias("key"))
-    m = staged(cell.unionByName(of_pairs).distinct(), "jaccard-cells")
+    shared = found.groupBy("key").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
+    few = staged(shared.where(F.col("times") < 1 + F.floor(F.ceil(F.col("n") * NUM / DEN) / 12)).select("key"), "jaccard-few")
+    m = staged(found.join(maybe_broadcast(few), "key", "left_anti").select("g", "key"), "jaccard-met")
+    unstage(found)
+    return m
+
+
+def _near(run: dict[str, np.ndarray]) -> pd.DataFrame:
+    """A cell -> (g, key) of the smaller cells that signatures part it into."""
+    key, n, sign = run["key"], run["n"], run["sign"]
+    size = np.array([len(x) for x in sign])
+    forest = _Forest(len(key))
+    for length in np.unique(size):
+        ours = np.flatnonzero(size == length)
+        theirs = np.flatnonzero(size >= length)
+        words = np.stack([folded(sign[i], length) for i in theirs])
+        for i in ours.tolist():
+            differ = np.bitwise_count(words[np.searchsorted(theirs, i)] ^ words).sum(1, dtype=np.int64)
+            fits = (7 * differ <= n[i] + n[theirs]) & (DEN * np.minimum(n[i], n[theirs]) >= NUM * np.maximum(n[i], n[theirs]))
+            for k in theirs[fits].tolist():
+                forest.join(i, k)
+    top = np.array([forest.top(i) for i in range(len(key))])
+    least = np.full(len(key), np.iinfo(np.int64).max)
+    np.minimum.at(least, top, key)
+    keep = np.bincount(top, minlength=len(key))[top] > 1
+    return pd.DataFrame({"g": least[top][keep], "key": key[keep]})
+
+
+def parted(m: DataFrame, signs: DataFrame, block: int) -> DataFrame:
+    """Cells (g, key) of two to ``block`` rows, parted by the ``signs`` (key, n, sign); cells inside others are left out. Larger cells stay."""
+    sized = lookup(m, staged(m.groupBy("g").agg(F.count("*").alias("m")), "jaccard-sizes"), "g")
+    cut = sized.where(F.col("m").between(2, block)).select("g", "key").join(signs, "key")
+    near = cut.repartition("g").sortWithinPartitions("g").mapInPandas(by_run(("g",), _near), "g long, key long")
+    m = staged(near.unionByName(sized.where(F.col("m") > block).select("g", "key")).distinct(), "jaccard-near")
     size = m.groupBy("g").agg(F.count("*").alias("m"))
     both = m.join(m.select("key", F.col("g").alias("other")), "key").where("other < g").groupBy("g", "other").agg(F.count("*").alias("m"))
-    inside = both.join(size, ["g", "m"]).select("g").union(size.where("m = 1").select("g")).distinct()
-    out = staged(m.join(maybe_broadcast(staged(inside, "jaccard-inside")), "g", "left_anti"), "jaccard-members")
-    unstage(found, by_many, m)
-    return out
+    inside = staged(both.join(size, ["g", "m"]).select("g").distinct(), "jaccard-inside")
+    return staged(m.join(maybe_broadcast(inside), "g", "left_anti"), "jaccard-members")
 
 
 class _Forest:
@@ -361,28 +400,27 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None, n_left: np.n
     return np.nonzero(linked)
 
 
-def _links(group: pd.DataFrame) -> pd.DataFrame:
+def _links(run: dict[str, np.ndarray]) -> pd.DataFrame:
     """One block with itself (side 0 only) or two blocks (sides 0 and 1): spanning links (a, b) of linked classes."""
-    sides = [group[group.side == s].drop_duplicates("key").sort_values("key") for s in (0, 1)]
-    left, right = ([unpacked([t]) for t in x.tokens] for x in sides)
-    keys = np.concatenate([sides[0].key.to_numpy(), sides[1].key.to_numpy()])
-    n = [x.n.to_numpy() for x in sides]
-    if not left or (len(sides[1]) == 0 and len(left) < 2):
-        return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-    i, j = product(left, right or None, n[0], n[1] if right else n[0])
-    j = j + (len(left) if right else 0)
-    forest, out = _Forest(len(keys)), []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        if forest.top(x) != forest.top(y):
-            forest.join(x, y)
-            out.append((int(keys[x]), int(keys[y])))
-    out = [(min(p), max(p)) for p in out if p[0] != p[1]]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def _meet(cells: DataFrame) -> DataFrame:
-    """(cell columns g, i, j, side, key, n, tokens) -> links."""
-    return cells.groupBy("g", "i", "j").applyInPandas(_links, "a long, b long")
+    sides = [np.flatnonzero(run["side"] == s) for s in (0, 1)]
+    left, right = ([unpacked([run["tokens"][i]]) for i in x] for x in sides)
+    keys, n = np.concatenate([run["key"][x] for x in sides]), [run["n"][x] for x in sides]
+    out = []
+    if left and (right or len(left) > 1):
+        i, j = product(left, right or None, n[0], n[1] if right else n[0])
+        j = j + (len(left) if right else 0)
+        forest = _Forest(len(keys))
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            if forest.top(x) != forest.top(y):
+                forest.join(x, y)
+                out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+    out = np.array([p for p in out if p[0] != p[1]], np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+
+def _meet(blocks: DataFrame) -> DataFrame:
+    """(block columns g, i, j, side, key, n, tokens) -> links."""
+    return blocks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(by_run(("g", "i", "j"), _links), "a long, b long")
 
 
 def exact_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -430,19 +468,21 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    all_sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sets, "doc_id long, n long, key long, sid long, tokens binary")
+    all_sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sets, "doc_id long, n long, key long, sid long, sign binary, tokens binary")
     all_sets = staged(all_sets, "jaccard-sets")
-    sets = all_sets.where("sid is not null").select("sid", "key", "n", "tokens")
-    m = cells(sets)
-    # Each candidate class is read from one of its sets, with the cells it is in.
+    sets = all_sets.where("sid is not null")
+    met = cells(sets)
+    # Each candidate class is read from one of its sets.
+    ours = staged(met.select("key").distinct(), "jaccard-keys")
+    one = staged(sets.select("key", "sid").join(maybe_broadcast(ours), "key").groupBy("key").agg(F.min("sid").alias("sid")), "jaccard-owners")
+    m = parted(met, sets.select("sid", "n", "sign").join(maybe_broadcast(one), "sid").select("key", "n", "sign"), BLOCK)
     sized = lookup(m, staged(m.groupBy("g").agg(F.count("*").alias("m")), "jaccard-sizes"), "g")
-    of_key = staged(sized.groupBy("key").agg(F.collect_list(F.struct("g", "m")).alias("cells")), "jaccard-keys")
-    one = sets.select("key", "sid").join(maybe_broadcast(of_key.select("key")), "key").groupBy("key").agg(F.min("sid").alias("sid"))
-    one = staged(one.join(of_key, "key").select("sid", "cells"), "jaccard-owners")
-    members = sets.join(maybe_broadcast(one), "sid").select(F.explode("cells").alias("c"), "key", "n", "tokens").select("c.g", "c.m", "key", "n", "tokens")
+    of_key = sized.groupBy("key").agg(F.collect_list(F.struct("g", "m")).alias("cells"))
+    last = staged(one.join(of_key, "key").select("sid", "cells"), "jaccard-cells")
+    members = sets.join(maybe_broadcast(last), "sid").select(F.explode("cells").alias("c"), "key", "n", "tokens").select("c.g", "c.m", "key", "n", "tokens")
     links = exact_links(members)
     rows = staged(all_sets.select("doc_id", "n", "key"), "jaccard-rows")
-    unstage(all_sets, m, of_key, one)
+    unstage(all_sets, met, ours, one, m, last)
     release(spark)
     component = connected_components(links, "jaccard")
     least = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
