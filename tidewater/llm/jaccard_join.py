@@ -16,6 +16,9 @@ block, blocks first meet themselves and the cell's first block; then only docume
 cell's largest class meet the others, and only where sizes allow a link. So a cell of near copies
 costs about its size.
 
+Only names, sizes and signatures of sets are stored. The texts are cut into n-grams twice: to count, and to
+send first n-grams in the order that the counts set; and once more where a text's class is in a cell.
+
 Copies (equal sets) are one class from the start. Links join classes into components.
 
 Defined cases: a null or wordless text has size 0 and no link; fewer than five words make one
@@ -137,68 +140,82 @@ def by_run(columns: tuple[str, ...], f):
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """docs -> doc_id, n, key, and, where this task meets the set first, its number ``sid``, signature and packed n-grams."""
-    from pyspark import TaskContext
+def _sets(texts: pd.Series, known: dict[bytes, int], seen: set[int]):
+    """(place, n, key, set or None) of texts; the set of a key is given once, as long as ``seen`` knows it."""
+    for at, text in enumerate(texts):
+        t = shingles(text, known)
+        if not len(t):
+            yield at, 0, None, None
+            continue
+        key = key_of(t)
+        fresh = key not in seen
+        if fresh:
+            if len(seen) > 2_000_000:
+                seen.clear()
+            seen.add(key)
+        yield at, len(t), key, t if fresh else None
+
+
+class _Often:
+    """Counts of the n-grams that ``FEW`` or more sets of a chunk hold."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.token, self.times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.held.append(tokens >> np.uint64(16))
+        if len(self.held) == CHUNK:
+            self.count()
+
+    def count(self) -> None:
+        if self.held:
+            token, times = np.unique(np.concatenate(self.held), return_counts=True)
+            self.token.append(token[times >= FEW])
+            self.times.append(times[times >= FEW])
+            self.held.clear()
+            if sum(map(len, self.token)) > 1_000_000:
+                self.merge()
+
+    def merge(self) -> None:
+        token, back = np.unique(np.concatenate(self.token), return_inverse=True)
+        times = np.bincount(back, np.concatenate(self.times), len(token)).astype(np.int64)
+        self.token, self.times = [token], [times]
 
-    known: dict[bytes, int] = {}
-    seen: set[int] = set()
-    sid = TaskContext.get().partitionId() << 36
+
+_NAMED = "doc_id long, th long, n long, key long, sign binary, often binary"
+
+
+def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """docs -> doc_id, hash of the text, n, key, and a signature once a key and task; a last row of n = -1 has the counts of frequent n-grams."""
+    known, seen, often = {}, set(), _Often()
     for whole in batches:
         for at in range(0, len(whole), 500):
-            docs, rows = whole.iloc[at : at + 500], []
-            for text in docs["text"]:
-                t = shingles(text, known)
-                if not len(t):
-                    rows.append((0, None, None, None, None))
-                    continue
-                key = key_of(t)
-                if key in seen:
-                    rows.append((len(t), key, None, None, None))
-                    continue
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                seen.add(key)
-                rows.append((len(t), key, sid, signature(t), packed(t)))
-                sid += 1
-            out = pd.DataFrame(rows, columns=["n", "key", "sid", "sign", "tokens"]).astype({"key": "Int64", "sid": "Int64"})
-            out.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-
-def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sets -> n-grams that ``FEW`` or more sets of a chunk hold, with the sum of those counts."""
-    held: list[bytes] = []
-    found = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-    def count() -> None:
-        token, times = np.unique(unpacked(held), return_counts=True)
-        found[0].append(token[times >= FEW])
-        found[1].append(times[times >= FEW])
-        held.clear()
-        if sum(map(len, found[0])) > 1_000_000:
-            merge()
-
-    def merge() -> None:
-        token, back = np.unique(np.concatenate(found[0]), return_inverse=True)
-        times = np.bincount(back, np.concatenate(found[1]), len(token)).astype(np.int64)
-        found[0][:], found[1][:] = [token], [times]
-
+            docs, found = whole.iloc[at : at + 500], []
+            for _, n, key, t in _sets(docs["text"], known, seen):
+                if t is not None:
+                    often.add(t)
+                found.append((n, key, None if t is None else signature(t)))
+            n, key, sign = zip(*found, strict=True)
+            yield pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64").array, "th": docs["th"].array, "n": n, "key": pd.array(key, "Int64"), "sign": sign, "often": None})
+    often.count()
+    often.merge()
+    last = np.concatenate([often.token[0].astype(np.int64), often.times[0]]).tobytes()
+    none = pd.array([None], "Int64")
+    yield pd.DataFrame({"doc_id": none, "th": none, "n": [-1], "key": none, "sign": [None], "often": [last]})
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
-        for t in x.tokens:
-            held.append(t)
-            if len(held) == CHUNK:
-                count()
-    if held:
-        count()
-    merge()
-    yield pd.DataFrame({"token": found[0][0].astype(np.int64), "times": found[1][0]})
-
-
-def _firsts(x: pd.DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First n-grams of each set of a batch: (row of the batch, n-gram, place among the frequent ones or -1)."""
-    n = np.array([len(t) // 6 for t in x.tokens], np.int64)
-    token, row = unpacked(list(x.tokens)), np.repeat(np.arange(len(n)), n)
+        for v in x.often:
+            token, times = np.frombuffer(v, np.int64).reshape(2, -1)
+            yield pd.DataFrame({"token": token, "times": times})
+
+
+def _firsts(sets: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First n-grams of sets: (which set, n-gram, place among the frequent ones or -1)."""
+    n = np.array([len(t) for t in sets], np.int64)
+    token, row = np.concatenate(sets) >> np.uint64(16), np.repeat(np.arange(len(n)), n)
     place = np.full(len(token), -1, np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
@@ -210,31 +227,54 @@ def _firsts(x: pd.DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[keep], token[keep], place[keep]
 
 
+_PACKED = "bucket int, token binary, key binary, n binary, times binary"
+
+
 def _spread(buckets: int, hot):
-    """Sets -> their first n-grams that are not frequent, by bucket: n-grams, and the runs of keys and sizes they belong to."""
+    """docs -> first n-grams by bucket, with the runs of keys and sizes they belong to; frequent ones, by place, are bucket -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, seen = {}, set()
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                x = whole.iloc[at : at + 2000]
-                row, token, place = _firsts(x, hot.value)
-                row, token = row[place < 0], token[place < 0]
-                key, n = x.key.to_numpy(np.int64), x.n.to_numpy(np.int64)
-                bucket = (token % np.uint64(buckets)).astype(np.int64)
+            for at in range(0, len(whole), 1000):
+                met = [(n, key, t) for _, n, key, t in _sets(whole["text"].iloc[at : at + 1000], known, seen) if t is not None]
+                if not met:
+                    continue
+                n, key = np.array([m[0] for m in met], np.uint32), np.array([m[1] for m in met], np.int64)
+                row, token, place = _firsts([m[2] for m in met], hot.value)
+                bucket = np.where(place < 0, (token % np.uint64(buckets)).astype(np.int64), -1)
+                # Inside a bucket, 32 bits tell n-grams apart; where they do not, a set counts too much and is looked at in vain.
+                token = np.where(place < 0, token // np.uint64(buckets), place.astype(np.uint64)).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
-                # Inside a bucket, 32 bits tell n-grams apart; where they do not, a pair counts too much and is looked at in vain.
-                row, token, bucket = row[order], (token[order] // np.uint64(buckets)).astype(np.uint32), bucket[order]
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+                row, token, bucket = row[order], token[order], bucket[order]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
                 rows = []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     runs = np.flatnonzero(np.r_[True, row[a + 1 : b] != row[a : b - 1]])
                     who = row[a:b][runs]
-                    rows.append((int(bucket[a]), token[a:b].tobytes(), key[who].tobytes(), n[who].astype(np.uint32).tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes()))
+                    rows.append((int(bucket[a]), token[a:b].tobytes(), key[who].tobytes(), n[who].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint16).tobytes()))
                 yield pd.DataFrame(rows, columns=["bucket", "token", "key", "n", "times"])
 
     return run
 
 
+def _entries(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed rows -> n-gram, key and size of each entry."""
+    times = np.concatenate([np.frombuffer(r.times, np.uint16) for r in rows])
+    key = np.repeat(np.concatenate([np.frombuffer(r.key, np.int64) for r in rows]), times)
+    n = np.repeat(np.concatenate([np.frombuffer(r.n, np.uint32) for r in rows]), times).astype(np.int64)
+    return np.concatenate([np.frombuffer(r.token, np.uint32) for r in rows]), key, n
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """docs -> key, n and packed n-grams, once a key and task."""
+    known, seen = {}, set()
+    for whole in batches:
+        for at in range(0, len(whole), 500):
+            rows = [(key, n, packed(t)) for _, n, key, t in _sets(whole["text"].iloc[at : at + 500], known, seen) if t is not None]
+            yield pd.DataFrame(rows, columns=["key", "n", "tokens"]).astype({"key": "int64", "n": "int64"})
+
+
 _FOUND = "g long, key long, n long"
 
 
@@ -250,10 +290,7 @@ def _share(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in x.itertuples(index=False):
             buckets.setdefault(row.bucket, []).append(row)
     for rows in buckets.values():
-        token = np.concatenate([np.frombuffer(r.token, np.uint32) for r in rows])
-        times = np.concatenate([np.frombuffer(r.times, np.uint32) for r in rows])
-        key = np.repeat(np.concatenate([np.frombuffer(r.key, np.int64) for r in rows]), times)
-        n = np.repeat(np.concatenate([np.frombuffer(r.n, np.uint32) for r in rows]), times).astype(np.int64)
+        token, key, n = _entries(rows)
         step = size_step(n)
         # A set sent by several tasks is one.
         order = np.lexsort((key, step, token))
@@ -267,50 +304,52 @@ def _share(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"g": least[keep], "key": key[keep], "n": n[keep]})
 
 
-def _hot_least(hot):
-    """Sets -> the least key that has each frequent n-gram among its first, of this task."""
+def _hot_least(count: int):
+    """Packed frequent first n-grams -> the least key that has each, of this task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        least = np.full(len(hot.value), np.iinfo(np.int64).max)
+        least = np.full(count, np.iinfo(np.int64).max)
         for x in batches:
-            row, _, place = _firsts(x, hot.value)
-            np.minimum.at(least, place[place >= 0], x.key.to_numpy(np.int64)[row[place >= 0]])
+            for row in x.itertuples(index=False):
+                place, key, _ = _entries([row])
+                np.minimum.at(least, place, key)
         met = np.flatnonzero(least < np.iinfo(np.int64).max)
         yield pd.DataFrame({"place": met, "least": least[met]})
 
     return run
 
 
-def _hot_share(hot, names):
-    """Sets -> as ``_share``, by their first n-grams that are frequent; ``names`` has the least key of each."""
+def _hot_share(names):
+    """Packed frequent first n-grams -> as ``_share``; ``names`` has the least key of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            row, _, place = _firsts(x, hot.value)
-            row, place = row[place >= 0], place[place >= 0]
-            yield pd.DataFrame({"g": names.value[place], "key": x.key.to_numpy(np.int64)[row], "n": x.n.to_numpy(np.int64)[row]})
+            for row in x.itertuples(index=False):
+                place, key, n = _entries([row])
+                yield pd.DataFrame({"g": names.value[place], "key": key, "n": n})
 
     return run
 
 
-def cells(sets: DataFrame) -> DataFrame:
-    """(g, key): every pair of sets (key, n, tokens) that may be linked is in one cell g."""
-    spark = sets.sparkSession
+def cells(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(g, key): every pair of classes that may be linked is in one cell g."""
+    spark = texts.sparkSession
     most = (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 + F.floor(F.col("n") / 12)).cast("long")
-    entries, count = sets.agg(F.coalesce(F.sum(most), F.lit(0)), F.count("*")).first()
-    often = sets.select("tokens").mapInPandas(_frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    entries, count = named.where("sign is not null").agg(F.coalesce(F.sum(most), F.lit(0)), F.count("*")).first()
+    often = named.where("n < 0").select("often").mapInPandas(_counts, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     often = often.where(F.col("times") >= max(FEW, count // SHARE)).select("token").toArrow()["token"].to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
     tasks = max(1, -(-int(entries) // ENTRIES))
-    spread = sets.select("key", "n", "tokens").mapInPandas(_spread(tasks, hot), "bucket int, token binary, key binary, n binary, times binary")
-    found = spread.repartitionById(tasks, "bucket").mapInPandas(_share, _FOUND)
+    spread = staged(texts.select("text").mapInPandas(_spread(tasks, hot), _PACKED), "jaccard-firsts")
+    found = spread.where("bucket >= 0").repartitionById(tasks, "bucket").mapInPandas(_share, _FOUND)
     if len(hot.value):
-        least = sets.select("key", "tokens").mapInPandas(_hot_least(hot), "place long, least long").groupBy("place").agg(F.min("least").alias("least")).toArrow()
+        least = spread.where("bucket < 0").mapInPandas(_hot_least(len(hot.value)), "place long, least long").groupBy("place").agg(F.min("least").alias("least")).toArrow()
         names = np.zeros(len(hot.value), np.int64)
         names[least["place"].to_numpy()] = least["least"].to_numpy()
         names = spark.sparkContext.broadcast(names)
-        found = found.unionByName(sets.select("key", "n", "tokens").mapInPandas(_hot_share(hot, names), _FOUND))
+        found = found.unionByName(spread.where("bucket < 0").mapInPandas(_hot_share(names), _FOUND))
     found = staged(found.groupBy("g", "key").agg(F.max("n").alias("n"), F.count("*").alias("times")), "jaccard-found")
+    unstage(spread)
     release(spark)
     # The smaller of two linked sets has 0.75 n n-grams at least.
     shared = found.groupBy("key").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
@@ -322,7 +361,8 @@ def cells(sets: DataFrame) -> DataFrame:
 
 def _near(run: dict[str, np.ndarray]) -> pd.DataFrame:
     """A cell -> (g, key) of the smaller cells that signatures part it into."""
-    key, n, sign = run["key"], run["n"], run["sign"]
+    _, once = np.unique(run["key"], return_index=True)
+    key, n, sign = run["key"][once], run["n"][once], run["sign"][once]
     size = np.array([len(x) for x in sign])
     forest = _Forest(len(key))
     for length in np.unique(size):
@@ -343,8 +383,9 @@ def _near(run: dict[str, np.ndarray]) -> pd.DataFrame:
 
 def parted(m: DataFrame, signs: DataFrame, block: int) -> DataFrame:
     """Cells (g, key) of two to ``block`` rows, parted by the ``signs`` (key, n, sign); cells inside others are left out. Larger cells stay."""
-    sized = lookup(m, staged(m.groupBy("g").agg(F.count("*").alias("m")), "jaccard-sizes"), "g")
-    cut = sized.where(F.col("m").between(2, block)).select("g", "key").join(signs, "key")
+    sized = staged(lookup(m, staged(m.groupBy("g").agg(F.count("*").alias("m")), "jaccard-sizes"), "g").where("m > 1"), "jaccard-sized")
+    of_key = sized.where(F.col("m") <= block).groupBy("key").agg(F.collect_list("g").alias("of"))
+    cut = signs.join(maybe_broadcast(staged(of_key, "jaccard-of")), "key").select(F.explode("of").alias("g"), "key", "n", "sign")
     near = cut.repartition("g").sortWithinPartitions("g").mapInPandas(by_run(("g",), _near), "g long, key long")
     m = staged(near.unionByName(sized.where(F.col("m") > block).select("g", "key")).distinct(), "jaccard-near")
     size = m.groupBy("g").agg(F.count("*").alias("m"))
@@ -402,7 +443,10 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None, n_left: np.n
 
 def _links(run: dict[str, np.ndarray]) -> pd.DataFrame:
     """One block with itself (side 0 only) or two blocks (sides 0 and 1): spanning links (a, b) of linked classes."""
-    sides = [np.flatnonzero(run["side"] == s) for s in (0, 1)]
+    sides = []
+    for s in (0, 1):
+        at = np.flatnonzero(run["side"] == s)
+        sides.append(at[np.unique(run["key"][at], return_index=True)[1]])
     left, right = ([unpacked([run["tokens"][i]]) for i in x] for x in sides)
     keys, n = np.concatenate([run["key"][x] for x in sides]), [run["n"][x] for x in sides]
     out = []
@@ -468,21 +512,22 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    all_sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sets, "doc_id long, n long, key long, sid long, sign binary, tokens binary")
-    all_sets = staged(all_sets, "jaccard-sets")
-    sets = all_sets.where("sid is not null")
-    met = cells(sets)
-    # Each candidate class is read from one of its sets.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    named = staged(texts.mapInPandas(_named, _NAMED), "jaccard-named")
+    met = cells(texts, named)
+    signed = named.where("sign is not null")
     ours = staged(met.select("key").distinct(), "jaccard-keys")
-    one = staged(sets.select("key", "sid").join(maybe_broadcast(ours), "key").groupBy("key").agg(F.min("sid").alias("sid")), "jaccard-owners")
-    m = parted(met, sets.select("sid", "n", "sign").join(maybe_broadcast(one), "sid").select("key", "n", "sign"), BLOCK)
+    m = parted(met, signed.select("key", "n", "sign").join(maybe_broadcast(ours), "key", "left_semi"), BLOCK)
     sized = lookup(m, staged(m.groupBy("g").agg(F.count("*").alias("m")), "jaccard-sizes"), "g")
-    of_key = sized.groupBy("key").agg(F.collect_list(F.struct("g", "m")).alias("cells"))
-    last = staged(one.join(of_key, "key").select("sid", "cells"), "jaccard-cells")
-    members = sets.join(maybe_broadcast(last), "sid").select(F.explode("cells").alias("c"), "key", "n", "tokens").select("c.g", "c.m", "key", "n", "tokens")
-    links = exact_links(members)
-    rows = staged(all_sets.select("doc_id", "n", "key"), "jaccard-rows")
-    unstage(all_sets, met, ours, one, m, last)
+    of_key = staged(sized.groupBy("key").agg(F.collect_list(F.struct("g", "m")).alias("cells")), "jaccard-cells")
+    # Each class of a cell is read again from one of its rows.
+    one = signed.select("key", "doc_id", "th").join(maybe_broadcast(of_key.select("key")), "key", "left_semi").groupBy("key")
+    one = staged(one.agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.th").alias("th")), "jaccard-rows").distinct()
+    again = texts.join(maybe_broadcast(one), "th").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+    members = again.mapInPandas(_tokens, "key long, n long, tokens binary").join(maybe_broadcast(of_key), "key")
+    links = exact_links(members.select(F.explode("cells").alias("c"), "key", "n", "tokens").select("c.g", "c.m", "key", "n", "tokens"))
+    rows = named.where("n >= 0").select("doc_id", "n", "key")
+    unstage(met, ours, m, of_key)
     release(spark)
     component = connected_components(links, "jaccard")
     least = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
