@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Largest table, in rows, that an operator may broadcast after counting it.
 BROADCAST_ROWS = 200_000
+#: Most characters of all texts of a training sample.
+SAMPLE_CHARS = 64_000_000
 #: Rows of one key beyond which a join treats the key as hot.
 HOT_ROWS = 1_000_000
 
@@ -81,25 +83,27 @@ def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot:
     return left.join(F.broadcast(many), on, "left_anti").join(right, on, how).unionByName(held)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, chars: int) -> list:
-    """(text, label) of at most ``rows`` labelled documents, chosen by a hash of doc_id alone.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, chars: int = SAMPLE_CHARS) -> list:
+    """(text, label) of at most ``rows`` labelled documents, chosen by a hash of doc_id alone; texts of any length take part.
 
-    Null labels, null texts and texts of over ``chars`` characters are not drawn.
+    Null labels and null texts are not drawn. Should the texts drawn have over ``chars`` characters in all, the
+    last in order are left out.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & keep)
-        .select("doc_id", F.col(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "_label")
+        .select("doc_id", F.col(label).cast("int").alias("_label"), F.xxhash64("doc_id", F.lit(17)).alias("_turn"))
+        .orderBy("_turn", "doc_id", "_label")
         .limit(rows)
     )
-    got = (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= chars)
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "text", "_label")
-        .collect()
-    )
-    return [(r.text, r._label) for r in sorted(got, key=lambda r: (r.doc_id, r.text, r._label))]
+    drawn = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    # Rows of one id share a turn, and so do repeated labels: the bound is set by turns.
+    left, last = chars, None
+    for turn, size in drawn.groupBy("_turn").agg(F.sum(F.length("text"))).orderBy("_turn").collect():
+        left, last = left - size, turn
+        if left < 0:
+            break
+    got = drawn.where(F.col("_turn") < F.lit(last)) if left < 0 else drawn
+    return [(r.text, r._label) for r in sorted(got.collect(), key=lambda r: (r.doc_id, r.text, r._label))]
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -1,10 +1,11 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams over a text's tokens: word shapes (so that shouting, symbols and
-tables show in any language), repeats of the word before, and the share of each kind in the text
-by steps. Each indicator is scaled by its log-count ratio between the
-classes; a linear hinge-loss model is then fitted by dual coordinate descent, and its margin is
-mapped to a probability.
+Features are indicators of n-grams (one token and two) over three readings of a text: its words, their
+shapes (so that shouting, symbols and tables show in any language), and whether a word is new, seen
+before, or that of the place before. N-grams of shapes and of repeats are few, so each has one
+indicator for being there and one for each step of its share that it passes. Each indicator is scaled by
+its log-count ratio between the classes; a linear hinge-loss model is then fitted by dual coordinate
+descent, and its margin is mapped to a probability.
 
 Defined cases: null and empty texts score by the bias alone; no training rows, or one class, give a
 constant score; extra columns are ignored; repeated rows each get their row; whole texts are read.
@@ -12,7 +13,6 @@ constant score; extra columns are ignored; repeated rows each get their row; who
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +25,10 @@ from .common import crc_mod, labelled_sample, small_batches
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 60_000
 THRESHOLD = 0.3
 COST = 0.05
 EPOCHS = 25
-#: Upper ends of the steps in which a share of tokens is told.
+#: Shares of all places beyond which an n-gram of shapes or repeats has a further indicator.
 STEPS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
 
 #: Kinds of characters: white space, upper case, lower case (and letters beyond the table), digit; others are each their own.
@@ -48,14 +47,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def bucket(gram: bytes) -> int:
-    return zlib.crc32(gram) % BUCKETS
-
-
-_SHARE = {name: [bucket(b"s" + name + b"%d" % i) for i in range(len(STEPS))] for name in (b"rep", b"distinct", b"top", b"upper", b"mark", b"bare", b"digit", b"line")}
-_SIZE = [bucket(b"n%d" % i) for i in range(64)]
-
-
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of the n-gram indicators of the whole text.
 
@@ -75,32 +66,26 @@ def features(text: str | None) -> np.ndarray:
     first = np.concatenate([[0], np.cumsum(length)[:-1]])
     kind, chars = kind[at], chars[at]
     place = at - start[word]
-    own = np.add.reduceat(mixed((chars.astype(np.uint64) << np.uint64(20)) + place.astype(np.uint64)), first)
+    folded = np.where((chars >= 65) & (chars <= 90), chars + 32, chars)
+    own = np.add.reduceat(mixed((folded.astype(np.uint64) << np.uint64(20)) + place.astype(np.uint64)), first)
     new_run = np.ones(len(at), bool)
     new_run[1:] = kind[1:] != kind[:-1]
     new_run[first] = True
     runs = np.cumsum(new_run)
     run = np.minimum(runs - runs[first][word], 11)
     shape = np.add.reduceat(np.where(new_run, mixed((kind << 8) + run + 1), np.uint64(0)), first)
-    has = {k: np.bitwise_or.reduceat(kind == k, first) for k in (_UPPER, _LOWER, _DIGIT)}
-    last, last_char = kind[first + length - 1], chars[first + length - 1]
-    uses = np.unique(own, return_counts=True)[1]
-    shares = {
-        b"rep": (own[1:] == own[:-1]).sum(),
-        b"distinct": len(uses),
-        b"top": uses.max(),
-        b"upper": (has[_UPPER] & ~has[_LOWER] & (length > 1)).sum(),
-        b"mark": ((last > _DIGIT) & (last_char != 44) & (last_char != 46)).sum(),
-        b"bare": (~has[_UPPER] & ~has[_LOWER]).sum(),
-        b"digit": has[_DIGIT].sum(),
-    }
-    found = [b for name, k in shares.items() for b, top in zip(_SHARE[name], STEPS, strict=True) if k / n > top]
-    lines = text.split("\n")
-    again = 1 - len(set(lines)) / len(lines)
-    found += [b for b, top in zip(_SHARE[b"line"], STEPS, strict=True) if again > top]
-    found += _SIZE[: n.bit_length()]
-    pairs = mixed(shape[:-1] * _M1 + shape[1:])
-    return np.unique(np.concatenate([np.array(found), (np.concatenate([shape, pairs]) % np.uint64(BUCKETS)).astype(np.int64)]))
+    # 0: a new word, 1: seen before, 2: that of the place before.
+    _, where = np.unique(own, return_index=True)
+    again = np.ones(n, np.uint64)
+    again[where] = 0
+    again[1:][own[1:] == own[:-1]] = 2
+    found = [own, mixed(own[:-1] * _M1 + own[1:])]
+    for kind_of, tokens in enumerate((shape, mixed(again + np.uint64(1)))):
+        for grams in (tokens, mixed(tokens[:-1] * _M1 + tokens[1:])):
+            gram, count = np.unique(grams, return_counts=True)
+            for level, least in enumerate(STEPS):
+                found.append(mixed(gram[count > least * n] + np.uint64(1 + level + 16 * kind_of)))
+    return np.unique((np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64))
 
 
 @dataclass
@@ -175,7 +160,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample of the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     keep = crc_mod(F.col("doc_id"), 5) != 0
-    return fit(labelled_sample(docs, labels, "quality", keep, sample_rows, SAMPLE_CHARS))
+    return fit(labelled_sample(docs, labels, "quality", keep, sample_rows))
 
 
 def scorer(docs: DataFrame, model: Model):
