@@ -7,12 +7,12 @@ force over all vectors, and the number of visits is widened until the mean share
 in visited leaves reaches the target. Scores of what is visited are exact, in double precision.
 
 Equal vectors are indexed once, with their ``top`` + 1 smallest ids, which is all that a result can
-name. Large leaves are cut into cells by a hash, and many queries into chunks, so no task holds a whole
-leaf or all that ask for it.
+name. Large leaves are cut into cells by a hash, and the queries of a leaf that many ask for into chunks, so
+no task holds a whole leaf or all that ask for it, and a leaf is copied only as its own queries demand.
 
 Defined cases: null, zero, ragged (not of the commonest length) vectors and such with null or
 non-finite components take no part, nor do rows without an id; ties go to the smaller id; repeated
-ids count once for each row; fewer candidates than ``top`` are all returned; an empty table gives no
+ids are rows of their own, so another row of the query's id is a candidate; fewer candidates than ``top`` are all returned; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -202,11 +202,11 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, recall: float
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = staged(valid(vectors), "ann-rows")
-    # Equal vectors: the smallest ids of each, the least of them standing for all.
+    # Equal vectors: the smallest ids of each, under a number of their own, a hash of the vector.
     w = Window.partitionBy("v").orderBy("vec_id")
     first = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top + 1)
-    unique = staged(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("vec_id", F.col("ids")[0]), "ann-unique")
-    sample = unique.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(4)), "vec_id").limit(SAMPLE).select("v").collect()
+    unique = staged(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("uid", F.xxhash64("v")), "ann-unique")
+    sample = unique.select("uid", "v").orderBy("uid").limit(SAMPLE).select("v").collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], schema)
@@ -219,7 +219,8 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, recall: float
             if len(x):
                 yield x.assign(leaf=sent.value.assign(_matrix(x.v)))
 
-    indexed = staged(unique.select("vec_id", "v").mapInPandas(place, f"vec_id long, v {kind}, leaf int"), "ann-index")
+    indexed = unique.select(F.col("uid").alias("vec_id"), "v").mapInPandas(place, f"vec_id long, v {kind}, leaf int")
+    indexed = staged(indexed, "ann-index")
     visits = calibrate(indexed, tree, recall)
     # Cells of a leaf: one number a leaf, so the table is no larger than the tree.
     cells = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
@@ -234,23 +235,26 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, recall: float
 
     # Vectors that some query has: a query per distinct vector.
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    of = asked.join(unique.select("v", F.col("vec_id").alias("rep")), "v").select(F.col("vec_id").alias("query_id"), "rep")
-    of = staged(of, "ann-queries")
-    chunks = -(-of.count() // CELL) or 1
-    chunk = F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(chunks)).cast("int").alias("chunk")
-    held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    of = staged(asked.join(unique.select("v", F.col("uid").alias("rep")), "v").select(F.col("vec_id").alias("query_id"), "rep"), "ann-queries")
     routed = indexed.join(of.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").select("vec_id", "v")
-    routed = routed.mapInPandas(route, f"rep long, v {kind}, leaf int").join(cells, "leaf")
+    routed = staged(routed.mapInPandas(route, f"rep long, v {kind}, leaf int"), "ann-routed")
+    # Chunks of queries by leaf, as many as its own queries fill.
+    chunks = routed.groupBy("leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
+    held = held.join(maybe_broadcast(chunks), "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    routed = routed.join(cells, "leaf").join(maybe_broadcast(chunks), "leaf")
+    chunk = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("chunks")).cast("int").alias("chunk")
     routed = routed.select("leaf", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), chunk, "rep", "v")
     at = ["leaf", "cell", "chunk"]
     scored = held.groupBy(*at).cogroup(routed.groupBy(*at)).applyInPandas(_score(top + 1), "rep long, near long, score double")
     nearest = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
     scored = scored.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= top + 1)
     # From distinct vectors to rows: at most (top + 1) ** 2 a query vector.
-    full = scored.join(unique.select(F.col("vec_id").alias("near"), "ids"), "near").select("rep", "score", F.explode("ids").alias("vec_id"))
+    full = scored.join(unique.select(F.col("uid").alias("near"), "ids"), "near").select("rep", "near", "score", F.explode("ids").alias("vec_id"))
     by_row = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     full = full.withColumn("n", F.row_number().over(by_row)).where(F.col("n") <= top + 1)
-    lists = full.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
-    own = of.distinct().join(lists, "rep").select("query_id", F.filter("found", lambda x: x.vec_id != F.col("query_id")).alias("found"))
+    lists = full.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "near"))).alias("found"))
+    # The query's own row goes, once.
+    own = F.array_position(F.transform("found", lambda x: (x.vec_id == F.col("query_id")) & (x.near == F.col("rep"))), True)
+    own = of.join(lists, "rep").select("query_id", F.filter("found", lambda x, i: i + 1 != own).alias("found"))
     out = own.select("query_id", F.posexplode(F.slice("found", 1, top)).alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
