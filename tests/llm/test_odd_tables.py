@@ -4,7 +4,7 @@ import collections
 
 import pytest
 
-from tidewater.llm import decontamination, html_consensus, jaccard_join, license_scan, mixing, quality, token_counts, toxicity, warc
+from tidewater.llm import ann_tree, decontamination, html_consensus, jaccard_join, license_scan, mixing, quality, token_counts, toxicity, warc
 
 TEXT = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
 #: (doc_id, text, source): null ids and texts, a repeated row, one id with two texts, a long text.
@@ -82,3 +82,24 @@ def test_odd_pages(spark):
     assert got == {(None, ""): 1, (1, "Text of it"): 2, (2, "Text of it"): 1, (3, "deep"): 1}
     made = warc.derivatives(warc.responses(pages), "page_id").collect()
     assert len(made) == 2 * len(rows) and warc.derivatives(warc.responses(pages.limit(0)), "page_id").count() == 0
+
+
+def test_repeated_vector_ids(spark):
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 2.0]), (5, [2.0, 1.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0]), (None, [1.0, 1.0])]
+    got = collections.defaultdict(list)
+    for r in ann_tree.search(spark.createDataFrame([(i, v, None) for i, v in rows], "vec_id long, embedding array<double>, rank string")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    brute = collections.defaultdict(list)
+    for k, (q, x) in enumerate(rows):
+        if q is not None and q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(x, y)), i) for m, (i, y) in enumerate(rows) if m != k and i is not None)
+            brute[q] += [(i, -s) for s, i in near]
+    assert {q: sorted(f) for q, f in got.items()} == {q: sorted(f) for q, f in brute.items()}
+
+
+def test_mix_keeps_clashing_columns(spark):
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 2}", 1, 2, 3, 4, 5) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _own int, copy int, _row int, _d int")
+    mixed = mixing.mix(d)
+    assert mixed.columns == [*d.columns, "copy_"] and {(r["_id"], r["_own"], r["copy"], r["_d"]) for r in mixed.collect()} == {(1, 2, 3, 5)}
+    assert jaccard_join.keep_one(d).columns == d.columns

@@ -97,12 +97,15 @@ def plan(docs: DataFrame, size: Column | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+    """The documents of the mix, each as often as it is taken, with the number of the copy (``copy``, or ``copy_`` where that name is taken)."""
     chosen = plan(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
     # Rows that agree in id, source and size share their copies: dealt out among them by number.
     per = chosen.groupBy("_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    d = docs.withColumn("_own", size_of(F.col("text")))
-    on = d["doc_id"].eqNullSafe(F.col("_id")) & d["source"].eqNullSafe(F.col("_source")) & (d["_own"] == F.col("_size"))
-    once = d.join(per, on).drop("_own", "_id", "_source", "_size")
+    d = docs.select(F.struct("*").alias("_d"), F.col("doc_id").alias("_own_id"), F.col("source").alias("_own_source"), size_of(F.col("text")).alias("_own"))
+    on = F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size"))
     each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), each))).drop("_copies", "_rows")
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
+    once = d.join(per, on).select("_d", F.explode(F.sequence(F.lit(1), each)).alias(name))
+    return once.select("_d.*", name)
