@@ -89,3 +89,22 @@ def test_spark_functions(spark):
     df = spark.createDataFrame([(1, "https://old.example.com/a"), (2, None), (3, "no")], "i int, v string")
     out = {r.i: r.w for r in df.select("i", nested.rewrite(df.v, [("https://old.example.com", "https://n.test")]).alias("w")).collect()}
     assert out == {1: "https://n.test/a", 2: None, 3: "no"}
+
+
+def test_depth_has_no_bound():
+    url, new = "https://old.example.com/v", "https://new.test/site/v"
+    deep = lambda u: "a:1:{i:0;" * 5000 + php(u) + "}" * 5000
+    assert R.value(deep(url)) == deep(new)
+    inside = php(url)
+    for _ in range(100):
+        inside = php(inside)
+    want = php(new)
+    for _ in range(100):
+        want = php(want)
+    assert R.value(inside) == want
+
+
+def test_statements_longer_than_two_mebibytes():
+    long = "INSERT INTO t VALUES ('" + "x;" * (2 << 20) + "');"
+    splitter = sqltext.Splitter()
+    assert splitter.feed(long[:100]) + splitter.feed(long[100:]) + splitter.feed("\nSELECT 1;") + splitter.feed("", last=True) == [long, "\nSELECT 1;"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import encode
-from tidewater.operators import exclusions, routing, trees
+from tidewater.operators import exclusions, routing, snapshots, trees
 from tidewater.sources import sqltext
 
 
@@ -34,7 +34,7 @@ def test_link_chains_and_cycles(spark):
     got = {r.path: (r.end, r.links) for r in trees.link_ends(spark.createDataFrame(links, "path string, target string")).collect()}
     assert got["a0"] == ("a30", 30) and got["a29"] == ("a30", 1)
     assert got["x"] == got["y"] == got["z"] == (None, None)
-    assert got["b0"] == (None, None) and got["b20"] == ("b50", 30)
+    assert got["b0"] == ("b50", 50) and got["b20"] == ("b50", 30)
     assert len(got) == len(links)
 
 
@@ -68,6 +68,8 @@ def test_sizes_and_sniff(spark):
     assert got == [16 << 20, 2048, 512, None, None, None, 1 << 30]
     sniff = [r.t for r in spark.createDataFrame([("a\tb\n",), ("a\x01",)], "s string").select(encode.is_text(F.col("s")).alias("t")).collect()]
     assert sniff == [True, False]
+    edge = [r.t for r in spark.createDataFrame([("a\f",), ("a\x7f",), ("",), ("x" * 64 + "\x01",), (None,)], "s string").select(encode.is_text(F.col("s")).alias("t")).collect()]
+    assert edge == [True, False, False, True, None]
 
 
 def test_dump_rewrites_payloads_only(spark):
@@ -76,3 +78,62 @@ def test_dump_rewrites_payloads_only(spark):
     new = sqltext.rewritten(dump, [("https://old.test", "https://new.test")])
     cells = [c["value"] for r in new.collect() for c in sqltext.cells(r.sql) if c["column"] == "post_content"]
     assert cells == ["see https://new.test/a", "no link", None]
+
+
+def test_dump_round_trip_through_sqlite(spark):
+    """INSERTs with placeholders and the UPDATEs that fill them give the same rows, of all types, in another engine."""
+    import base64
+    import datetime
+    import sqlite3
+
+    day = datetime.date(2020, 2, 29)
+    rows = [(1, "it's; `x`", day, True, 1.5, bytearray(b"\x00\xff"), "L" * 100), (2, "", None, False, float("nan"), None, "short"), (3, None, day, None, -2.0, bytearray(b""), None)]
+    df = spark.createDataFrame(rows, "id int, name string, day date, ok boolean, x double, raw binary, big string")
+    inserts = encode.insert_statements(encode.with_placeholders(df, "big", 30), "t", ["id"], parts=2)
+    updates = encode.oversized_updates(df, "t", ["id", "name"], "big", 30).orderBy("chunk")
+    con = sqlite3.connect(":memory:")
+    con.create_function("FROM_BASE64", 1, base64.b64decode)
+    con.create_function("CONCAT", 2, lambda a, b: (a.encode() if isinstance(a, str) else a) + b)
+    con.execute("CREATE TABLE t (id, name, day, ok, x, raw, big)")
+    moved = sqltext.rewritten(inserts.select("sql").union(updates.select("sql")), [("https://a.test", "https://b.test")])
+    for r in moved.collect():
+        con.execute(r.sql)
+    plain = lambda v: v.decode("latin-1") if isinstance(v, (bytes, bytearray)) else v
+    got = sorted(tuple(map(plain, r)) for r in con.execute("SELECT * FROM t"))
+    assert got == [(1, "it's; `x`", "2020-02-29", 1, 1.5, "\x00\xff", "L" * 100), (2, "", None, 0, None, None, "short"), (3, None, "2020-02-29", None, -2.0, "", None)]
+
+
+def test_payloads_inside_expressions():
+    import base64
+
+    b = lambda s: base64.b64encode(s.encode()).decode()
+    old, new = b("https://old.test/a"), b("https://new.test/a")
+    edit = lambda s, content: s.replace("old", "new") + ("" if content is None else "!" * (content == "block_markup"))
+    shape = "UPDATE wp_options SET v = CONCAT(v, FROM_BASE64('{0}')) WHERE k = FROM_BASE64('{0}');"
+    assert sqltext.rewrite_statement(shape.format(old), edit) == shape.format(new)
+    shape = "INSERT INTO t (`a,b)`, c) VALUES (IF(1, ')', FROM_BASE64('{0}')), 2), ROW(NULL, LOWER(FROM_BASE64('{0}'))) ON DUPLICATE KEY UPDATE c = VALUES(c), `a,b)` = FROM_BASE64('{0}');"
+    assert sqltext.rewrite_statement(shape.format(old), edit) == shape.format(new)
+    assert [(c["row_no"], c["column"], c["kind"]) for c in sqltext.cells(shape.format(old))] == [(0, "a,b)", "expression"), (0, "c", "number"), (1, "a,b)", "null"), (1, "c", "expression")]
+    post = f"UPDATE `wp_posts` SET post_title = 'x', post_content = CONCAT(post_content, FROM_BASE64('{old}'));"
+    assert b("https://new.test/a!") in sqltext.rewrite_statement(post, edit)
+    inside = f"INSERT INTO t (a) VALUES ('FROM_BASE64(''{old}'')');"
+    assert sqltext.rewrite_statement(inside, edit) == inside
+
+
+def test_rules_with_slashes_and_one_url_key(spark):
+    p = spark.createDataFrame([("/a/b",), ("/a",), ("/ab",), ("/a/",)], "path string")
+    rules = spark.createDataFrame([("/", "/root/"), ("/a/", "/x/")], "source string, target string")
+    assert {r.path: r.moved for r in routing.remapped(p, rules).collect()} == {"/a/b": "/x/b", "/a": "/x", "/ab": "/root/ab", "/a/": "/x/"}
+    none = spark.createDataFrame([], "prefix string")
+    assert routing.only(p, none).count() == 4 and routing.only(p, spark.createDataFrame([("/a/",)], "prefix string")).count() == 3
+    m = spark.createDataFrame([(0, "https://X.test:443/", "https://n.test/q/")], "ord int, `from` string, `to` string")
+    u = spark.createDataFrame([("https://x.TEST/a?U=1",), ("http://x.test/a",), ("https://x.test:443",), ("https://x.test:8443/",)], "url string")
+    assert {r.url: r.new_url for r in routing.first_mapping(u, m).collect()} == {
+        "https://x.TEST/a?U=1": "https://n.test/q/a?U=1", "http://x.test/a": "http://x.test/a", "https://x.test:443": "https://n.test/q", "https://x.test:8443/": "https://x.test:8443/",
+    }
+
+
+def test_null_keys_of_a_diff(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "x")], "k int, v string")
+    got = sorted((str(r.k), r.op) for r in snapshots.diff(a, spark.createDataFrame([(1, "y"), (None, "z")], "k int, v string"), "k", ["v"]).collect())
+    assert got == [("1", "change"), ("None", "add"), ("None", "delete")]

@@ -25,9 +25,19 @@ def may_hold_url(encoded: Column) -> Column:
 
 
 def literal(value: Column, kind: T.DataType, json: bool = False) -> Column:
-    """SQL literal: NULL, a bare number, '', or FROM_BASE64('...'); JSON text is converted to utf8mb4."""
+    """SQL literal: NULL, a bare number, '', or FROM_BASE64('...'); JSON text is converted to utf8mb4.
+
+    Booleans are 1 and 0; a number that has no literal (NaN, infinity) is NULL; dates and times go as their text.
+    """
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(value.cast("int").cast("string"), F.lit("NULL"))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        odd = F.isnan(value) | (F.abs(value) == float("inf"))
+        return F.when(value.isNull() | odd, "NULL").otherwise(value.cast("string"))
     if isinstance(kind, T.NumericType):
         return F.coalesce(value.cast("string"), F.lit("NULL"))
+    if not isinstance(kind, (T.StringType, T.BinaryType)):
+        value = value.cast("string")
     raw = F.concat(F.lit("FROM_BASE64('"), to_base64(value), F.lit("')"))
     body = F.concat(F.lit("CONVERT("), raw, F.lit(" USING utf8mb4)")) if json else raw
     return F.when(value.isNull(), "NULL").when(F.octet_length(value) == 0, "''").otherwise(body)
@@ -35,9 +45,9 @@ def literal(value: Column, kind: T.DataType, json: bool = False) -> Column:
 
 def encoded_size(value: Column, kind: T.DataType) -> Column:
     """Bytes that the literal takes."""
-    if isinstance(kind, T.NumericType):
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
         return F.coalesce(F.length(value.cast("string")), F.lit(4)).cast("long")
-    n = F.octet_length(value)
+    n = F.octet_length(value if isinstance(kind, (T.StringType, T.BinaryType)) else value.cast("string"))
     return F.when(value.isNull(), 4).when(n == 0, 2).otherwise(F.lit(15) + 4 * F.floor((n + 2) / 3)).cast("long")
 
 
@@ -45,14 +55,14 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def insert_statements(df: DataFrame, table: str, order: list[str], batch: int = 250, parts: int = 8) -> DataFrame:
+def insert_statements(df: DataFrame, table: str, order: list[str], batch: int = 250, parts: int | None = None) -> DataFrame:
     """part, stmt_no, sql: INSERTs of at most ``batch`` rows in key order.
 
     Rows are range-partitioned by key and numbered within their part, so no task sees all rows; the
-    statements of a part end with a short one.
+    statements of a part end with a short one. ``parts``: as many as Spark shuffles into, if not given.
     """
     row = F.concat(F.lit("("), F.concat_ws(",", *[literal(F.col(f.name), f.dataType) for f in df.schema]), F.lit(")"))
-    keyed = df.select(F.struct(*order).alias("k"), row.alias("row")).repartitionByRange(parts, "k").withColumn("part", F.spark_partition_id())
+    keyed = df.select(F.struct(*order).alias("k"), row.alias("row")).repartitionByRange(*([parts] if parts else []), "k").withColumn("part", F.spark_partition_id())
     numbered = keyed.withColumn("stmt_no", F.floor((F.row_number().over(Window.partitionBy("part").orderBy("k")) - 1) / batch))
     head = f"INSERT INTO {quote(table)} ({', '.join(map(quote, df.columns))}) VALUES\n"
     rows = F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"])
@@ -65,21 +75,30 @@ def quoted(name: Column) -> Column:
 
 
 def is_text(value: Column) -> Column:
-    """UTF-8 without control bytes other than tab, line feed and carriage return."""
-    return F.is_valid_utf8(value) & ~F.rlike(value, F.lit("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"))
+    """Whether the first 64 bytes, one at least, are UTF-8 without control bytes other than tab, line and form feed, and carriage return."""
+    head = F.substring(value.cast("binary"), 1, 64).cast("string")
+    return (F.octet_length(value) > 0) & F.is_valid_utf8(head) & ~F.rlike(head, F.lit("[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F]"))
+
+
+def with_placeholders(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows with '' for each cell of more than ``limit`` bytes: what their INSERT holds before the UPDATEs fill it."""
+    kind = df.schema[column].dataType
+    return df.withColumn(column, F.when(F.octet_length(F.col(column).cast("binary")) > limit, F.lit("").cast(kind)).otherwise(F.col(column)))
 
 
-def oversized_updates(df: DataFrame, table: str, key: str, column: str, limit: int) -> DataFrame:
-    """key, chunk, n_bytes, sql: a cell of more than ``limit`` bytes as UPDATEs that append its pieces in order."""
+def oversized_updates(df: DataFrame, table: str, key: str | list[str], column: str, limit: int) -> DataFrame:
+    """key columns, chunk, n_bytes, sql: a cell of more than ``limit`` bytes as UPDATEs that append its pieces in order."""
     if not key:
         raise ValueError("an oversized row needs a primary key")
+    keys = [key] if isinstance(key, str) else key
+    where = F.concat_ws(" AND ", *[F.concat(F.lit(f"{quote(k)} = "), literal(F.col(k), df.schema[k].dataType)) for k in keys])
     data = F.col(column).cast("binary")
-    rows = df.where(F.octet_length(data) > limit).select(key, data.alias("d"))
-    pieces = rows.select(key, "d", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("d") - 1) / limit).cast("int"))).alias("chunk"))
+    rows = df.where(F.octet_length(data) > limit).select(*keys, data.alias("d"))
+    pieces = rows.select(*keys, "d", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("d") - 1) / limit).cast("int"))).alias("chunk"))
     piece = F.substring("d", F.col("chunk") * limit + 1, F.lit(limit))
     name = quote(column)
-    sql = F.concat(F.lit(f"UPDATE {quote(table)} SET {name} = CONCAT({name}, FROM_BASE64('"), to_base64(piece), F.lit(f"')) WHERE {quote(key)} = "), F.col(key).cast("string"), F.lit(";"))
-    return pieces.select(key, F.col("chunk").cast("long").alias("chunk"), F.octet_length(piece).cast("long").alias("n_bytes"), sql.alias("sql"))
+    sql = F.concat(F.lit(f"UPDATE {quote(table)} SET {name} = CONCAT({name}, FROM_BASE64('"), to_base64(piece), F.lit("')) WHERE "), where, F.lit(";"))
+    return pieces.select(*keys, F.col("chunk").cast("long").alias("chunk"), F.octet_length(piece).cast("long").alias("n_bytes"), sql.alias("sql"))
 
 
 def bytes_of(text: Column) -> Column:

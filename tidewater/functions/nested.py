@@ -18,7 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Edit = Callable[[str], str]
-DEPTH = 60
 
 
 class Malformed(ValueError):
@@ -61,51 +60,60 @@ class _Php:
         self.expect(b'"')
         return out
 
-    def value(self, depth: int = 0, key: bool = False) -> bytes:
-        if depth > DEPTH:
-            raise Malformed
+    def value(self) -> bytes:
+        """The value, nested as deep as it is: what is open is counted, not recursed into."""
+        out: list[bytes] = []
+        left: list[int] = []  # keys and values to come, of each open array or object
+        while True:
+            entries = self.item(out, key=bool(left) and left[-1] % 2 == 0)
+            if entries is None:
+                if left:
+                    left[-1] -= 1
+            else:
+                left.append(2 * entries)
+            while left and not left[-1]:
+                self.expect(b"}")
+                out.append(b"}")
+                left.pop()
+                if left:
+                    left[-1] -= 1
+            if not left:
+                return b"".join(out)
+
+    def item(self, out: list[bytes], key: bool) -> int | None:
+        """Copy one scalar, or the head of an array or object, to ``out``; gives the entries of the latter."""
         kind, start = self.data[self.at : self.at + 2], self.at
         self.at += 2
-        if kind == b"N;":
-            return kind
-        if kind in (b"i:", b"d:", b"b:", b"r:", b"R:"):
-            body = self.until(b";")
-            if not re.fullmatch(rb"[01]" if kind == b"b:" else rb"[+-]?\d+" if kind != b"d:" else rb"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|-?INF|NAN", body):
-                raise Malformed
-            if key and kind != b"i:":
-                raise Malformed
-            return self.data[start : self.at]
         if kind == b"s:":
             old = self.quoted()
             self.expect(b";")
             new = old if key else self.edit(old)
-            return self.data[start : self.at] if new is old else b's:%d:"%s";' % (len(new), new)
-        if key:
+            out.append(self.data[start : self.at] if new is old else b's:%d:"%s";' % (len(new), new))
+            return None
+        if key and kind != b"i:":
             raise Malformed
-        if kind == b"C:":
-            name = self.quoted()
+        entries = None
+        if kind in (b"i:", b"d:", b"b:", b"r:", b"R:"):
+            body = self.until(b";")
+            if not re.fullmatch(rb"[01]" if kind == b"b:" else rb"[+-]?\d+" if kind != b"d:" else rb"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|-?INF|NAN", body):
+                raise Malformed
+        elif kind == b"C:":
+            self.quoted()
             self.expect(b":")
             n = self.number(b":")
             self.expect(b"{")
             self.at += n
             self.expect(b"}")
-            return self.data[start : self.at] if name else b""
-        if kind == b"a:":
-            n, head_end = self.number(b":"), None
-        elif kind == b"O:":
-            self.quoted()
-            self.expect(b":")
-            n, head_end = self.number(b":"), None
-        else:
+        elif kind in (b"a:", b"O:"):
+            if kind == b"O:":
+                self.quoted()
+                self.expect(b":")
+            entries = self.number(b":")
+            self.expect(b"{")
+        elif kind != b"N;":
             raise Malformed
-        self.expect(b"{")
-        head_end = self.at
-        out = [self.data[start:head_end]]
-        for _ in range(n):
-            out.append(self.value(depth + 1, key=True))
-            out.append(self.value(depth + 1))
-        self.expect(b"}")
-        return b"".join(out) + b"}"
+        out.append(self.data[start : self.at])
+        return entries
 
 
 def php_edit(text: str, edit: Edit) -> str:
@@ -157,24 +165,27 @@ def leaves(text: str | None) -> Iterator[tuple[str, int, str]]:
     """(formats on the way, ordinal, string) of every string value without a format of its own."""
     found: list[tuple[str, str]] = []
 
-    def look(s: str, path: str, depth: int) -> None:
-        form = parts_of(s) if depth < DEPTH else None
+    def look(s: str, path: str) -> None:
+        form = parts_of(s)
         if form:
             mark = len(found)
 
             def inner(x: str) -> str:
-                look(x, f"{path}/{form[0]}", depth + 1)
+                look(x, f"{path}/{form[0]}")
                 return x
 
             try:
                 form[1](s, inner)
                 return
-            except (Malformed, ValueError, RecursionError):
+            except (Malformed, ValueError):
                 del found[mark:]
         found.append((path, s))
 
     if text is not None:
-        look(text, "", 0)
+        try:
+            look(text, "")
+        except RecursionError:  # formats inside formats, too many to follow: one leaf
+            found[:] = [("", text)]
     for n, (path, s) in enumerate(found):
         yield path, n, s
 
@@ -212,7 +223,6 @@ class Base:
 
 _URL = re.compile(r"https?://[^\s\"'<>()\[\]{}|\\^`]+", re.I)
 _QUERY = re.compile(r"[?#]")
-_ATTRIBUTE = re.compile(r"""(?<=[\s"'])(?:href|src|srcset|action|poster|data|cite|background|content|style)\s*=\s*("[^"]*"|'[^']*')""", re.I)
 _COMMENT = re.compile(r"<!--\s*/?wp:([a-z0-9/-]+)\s*(\{.*?\})?\s*/?-->", re.S)
 
 
@@ -273,12 +283,17 @@ class Rewriter:
         """A value of any format; ``content`` is block_markup, skip or nothing."""
         if content == "skip" or "http" not in text or not any(h in text.lower() for h in self.hosts):
             return text
-        form = parts_of(text) if depth < DEPTH else None
+        form = parts_of(text)
         if form:
             try:
                 return form[1](text, lambda s: self.value(s, content, depth + 1))
-            except (Malformed, ValueError, RecursionError):
+            except (Malformed, ValueError):
                 pass
+            except RecursionError:
+                # Formats inside formats, too many to follow: the whole value stays as it is, so its lengths stay right.
+                if depth:
+                    raise
+                return text
         return self.markup(text) if content == "block_markup" else self.text(text)
 
 

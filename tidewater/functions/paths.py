@@ -26,7 +26,7 @@ DENY = "|".join(
         rf"(^|/){_any(DENY_NAMES)}$",
         r"(^|/)\.#[^/]+$",
         r"(^|/)#[^/]+#$",
-        rf"[^/]{_any(DENY_SUFFIXES)}$",
+        rf"{_any(DENY_SUFFIXES)}$",
     ]
 )
 
@@ -69,12 +69,20 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-# Extensions whose bodies shrink under gzip, and those that do not.
-COMPRESSIBLE = ("css", "csv", "html", "htm", "js", "json", "log", "md", "php", "sql", "svg", "txt", "xml", "yml", "yaml")
-COMPRESSED = ("7z", "avif", "bz2", "gif", "gz", "jpeg", "jpg", "mp3", "mp4", "mov", "ogg", "png", "rar", "webm", "webp", "woff", "woff2", "xz", "zip")
+# Extensions whose bodies shrink under gzip, and those whose bodies do not.
+COMPRESSIBLE = tuple(
+    "php phtml js jsx ts tsx mjs cjs css scss sass less html htm xml xsl xslt svg vue astro twig mustache hbs liquid "
+    "json jsonl yaml yml toml csv tsv sql ini conf cfg env properties md markdown txt log rst adoc pot po rss atom srt vtt webvtt sh bash patch diff".split()
+)
+COMPRESSED = tuple(
+    "zip gz tgz bz2 xz 7z rar tar jpg jpeg png gif webp heic heif avif tiff tif bmp ico mp3 m4a aac ogg opus flac wav "
+    "mp4 m4v mov webm mkv avi woff woff2 ttf otf eot pdf psd sketch fig iso dmg mo phar".split()
+)
 
 
 def compressible(path: Column) -> Column:
-    """yes, no or unknown by extension."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.when(ext.isin(*COMPRESSIBLE), "yes").when(ext.isin(*COMPRESSED), "no").otherwise("unknown")
+    """yes, no or unknown by extension; files without one, and dotfiles, are text, and a path without a name is not."""
+    base = basename(F.regexp_replace(path, "/+$", ""))
+    ext = F.lower(F.regexp_extract(base, r"\.([^.]*)$", 1))
+    plain = (ext == "") | F.rlike(base, F.lit(r"^\.[^.]*$"))
+    return F.when(base == "", "no").when(plain | ext.isin(*COMPRESSIBLE), "yes").when(ext.isin(*COMPRESSED), "no").otherwise("unknown")

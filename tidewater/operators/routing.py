@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.lineage import cut
+
 
 def ancestors(path: Column) -> Column:
     """The path and every directory above it, the root as ''."""
@@ -12,53 +14,82 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+def bare(path: Column) -> Column:
+    """A path or rule without slashes at its end, so '/' is '' and '/a/' is '/a'."""
+    return F.regexp_replace(path, "/+$", "")
+
+
 def within(path: Column, root: Column | str) -> Column:
-    root = F.lit(root) if isinstance(root, str) else root
+    root = bare(F.lit(root) if isinstance(root, str) else root)
     return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
 
 
 def longest_prefix(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """Add ``target`` of the longest rule (source, target) that is the path or above it; null where none is."""
-    up = paths.select(path).distinct().select(path, F.explode(ancestors(F.col(path))).alias("source"))
-    best = up.join(rules, "source").groupBy(path).agg(F.max_by(F.struct("source", "target"), F.length("source")).alias("rule"))
+    up = paths.select(path).distinct().select(path, F.explode(ancestors(bare(F.col(path)))).alias("_at"))
+    best = up.join(rules.select("source", "target", bare(F.col("source")).alias("_at")), "_at").groupBy(path).agg(F.max_by(F.struct("source", "target"), F.length("source")).alias("rule"))
     return paths.join(best, path, "left").select(*[paths[c] for c in paths.columns], F.col("rule.source").alias("source"), F.col("rule.target").alias("target"))
 
 
+def remapped(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """Add ``source``, ``target`` of the longest rule, and ``moved``: the target with what follows the source in the path."""
+    found = longest_prefix(paths, rules, path)
+    rest = F.substring(F.col(path), F.length(bare(F.col("source"))) + 1, F.length(path))
+    return found.withColumn("moved", F.when(F.col("source").isNotNull(), F.concat(bare(F.col("target")), rest)))
+
+
+def only(paths: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame:
+    """Rows that are, or lie under, a prefix; without prefixes, all rows."""
+    return under_any(paths, prefixes, path) if prefixes.limit(1).count() else paths
+
+
 def under_any(paths: DataFrame, prefixes: DataFrame, path: str = "path", how: str = "left_semi") -> DataFrame:
     """Rows whose path is, or lies under, a prefix (``left_anti``: none)."""
-    hit = paths.select(path).distinct().select(path, F.explode(ancestors(F.col(path))).alias("prefix")).join(prefixes.select("prefix"), "prefix", "left_semi")
+    hit = paths.select(path).distinct().select(path, F.explode(ancestors(bare(F.col(path)))).alias("prefix")).join(prefixes.select(bare(F.col("prefix")).alias("prefix")), "prefix", "left_semi")
     return paths.join(hit.select(path).distinct(), path, how)
 
 
 def minimal(prefixes: DataFrame) -> DataFrame:
     """Prefixes that no other prefix covers."""
-    own = prefixes.distinct()
+    own = prefixes.select(bare(F.col("prefix")).alias("prefix")).distinct()
     up = own.select("prefix", F.explode(ancestors(F.col("prefix"))).alias("above")).where("above <> prefix")
     covered = up.join(own.select(F.col("prefix").alias("above")), "above", "left_semi").select("prefix").distinct()
-    return own.join(covered, "prefix", "left_anti")
+    return own.join(covered, "prefix", "left_anti").select(F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix")).alias("prefix"))
 
 
 def first_mapping(urls: DataFrame, mapping: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``to`` of the first mapping (ord, from, to) by ``ord`` that is the URL or a parent of it at a '/'."""
-    plain = F.regexp_replace(F.col(url), "[?#].*$", "")
+    """Add ``new_url``: the URL under the first mapping (ord, from, to) by ``ord`` that is it or a parent of it at a '/'.
+
+    Case of scheme and host, and the standard port, do not tell URLs apart, nor does a slash at a rule's end.
+    """
+    plain = F.regexp_replace(url_key(F.col(url)), "[?#].*$", "")
     up = urls.select(url).distinct().select(url, F.explode(ancestors(plain)).alias("from"))
-    best = up.join(mapping, "from").groupBy(url).agg(F.min_by(F.struct("from", "to"), "ord").alias("m"))
+    rules = mapping.select("ord", bare(url_key(F.col("from"))).alias("from"), bare(F.col("to")).alias("to"))
+    best = up.join(rules, "from").groupBy(url).agg(F.min_by(F.struct("from", "to"), "ord").alias("m"))
     joined = urls.join(best, url, "left")
-    moved = F.when(F.col("m").isNotNull(), F.concat(F.col("m.to"), F.substring(F.col(url), F.length("m.from") + 1, F.length(url)))).otherwise(F.col(url))
+    moved = F.when(F.col("m").isNotNull(), F.concat(F.col("m.to"), F.substring(url_key(F.col(url)), F.length("m.from") + 1, F.length(url)))).otherwise(F.col(url))
     return joined.select(*[urls[c] for c in urls.columns], moved.alias("new_url"))
 
 
+def url_key(url: Column) -> Column:
+    """The URL with scheme and host in lower case and without the standard port."""
+    head = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    rest = F.substring(url, F.length(head) + 1, F.length(url))
+    return F.concat(F.regexp_replace(F.regexp_replace(head, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1"), rest)
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that (src, dst) edges reach from roots (node), with the least number of steps; ends on cycles."""
-    seen = roots.select("node", F.lit(0).alias("steps")).distinct().checkpoint()
+    seen = roots.select("node", F.lit(0).alias("steps")).distinct()
+    seen = cut(seen)
     front, step = seen, 0
     while True:
         step += 1
         front = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = front.join(seen, "node", "left_anti").withColumn("steps", F.lit(step)).checkpoint()
+        front = cut(front.join(seen, "node", "left_anti").withColumn("steps", F.lit(step)))
         if not front.limit(1).count():
             return seen
-        seen = seen.unionByName(front).checkpoint()
+        seen = cut(seen.unionByName(front))
 
 
 def lookup_range(points: DataFrame, ranges: DataFrame, at: str, width: int) -> DataFrame:
@@ -74,5 +105,5 @@ def lookup_range(points: DataFrame, ranges: DataFrame, at: str, width: int) -> D
 
 def covering(prefixes: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
     """Prefixes under which some path lies."""
-    up = paths.select(F.explode(ancestors(F.col(path))).alias("prefix")).distinct()
-    return prefixes.join(up, "prefix", "left_semi")
+    up = paths.select(F.explode(ancestors(bare(F.col(path)))).alias("_up")).distinct()
+    return prefixes.join(up, bare(F.col("prefix")) == F.col("_up"), "left_semi")

@@ -11,21 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def differ(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Null-safe: any of the columns is different."""
-    out = F.lit(False)
-    for c in columns:
-        out = out | ~left[c].eqNullSafe(right[c])
-    return out
-
-
 def diff(local: DataFrame, remote: DataFrame, key: str, compare: Sequence[str], deletable: Column | None = None) -> DataFrame:
     """One row per key of either side: ``op`` (add, change, delete, same) with both sides' columns.
 
-    ``deletable``, a condition on local columns, guards deletes: a local row outside it is kept.
+    ``deletable``, a condition on local columns, guards deletes: a local row outside it is kept. A null key
+    equals none: such a row is a delete if local, an add if remote.
     """
-    a, b = local.alias("a"), remote.alias("b")
-    here, there = F.col(f"a.{key}").isNotNull(), F.col(f"b.{key}").isNotNull()
+    a, b = local.withColumn("_side", F.lit(True)).alias("a"), remote.withColumn("_side", F.lit(True)).alias("b")
+    here, there = F.col("a._side").isNotNull(), F.col("b._side").isNotNull()
     changed = F.lit(False)
     for c in compare:
         changed = changed | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))

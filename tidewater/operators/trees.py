@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.lineage import cut
 from tidewater.operators.routing import ancestors
 
-#: Most links on the way to an end; longer ways and cycles have none.
-MOST_LINKS = 40
-
-
 def with_directories(files: DataFrame, path: str = "path") -> DataFrame:
     """path, type of all files and of every directory above them, once each; the root is '/'."""
     up = files.select(F.explode(F.slice(ancestors(F.col(path)), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))).alias("path"))
@@ -23,15 +20,18 @@ def link_ends(links: DataFrame) -> DataFrame:
 
     Every round jumps to the target's own target, so a chain closes in the logarithm of its length.
     """
-    at = links.select("path", F.col("target").alias("end"), F.lit(1).alias("links"))
+    most = links.count()
+    at = links.select("path", F.col("target").alias("end"), F.lit(1).cast("long").alias("links"))
     jumps = 1
-    while jumps < MOST_LINKS:
+    # No way that ends has more links than there are.
+    while jumps <= most:
         nxt = at.select(F.col("path").alias("_p"), F.col("end").alias("_e"), F.col("links").alias("_l"))
-        at = at.join(nxt, at["end"] == nxt["_p"], "left").select("path", F.coalesce("_e", "end").alias("end"), (F.col("links") + F.coalesce("_l", F.lit(0))).alias("links"))
+        at = cut(at.join(nxt, at["end"] == nxt["_p"], "left").select("path", F.coalesce("_e", "end").alias("end"), (F.col("links") + F.coalesce("_l", F.lit(0))).alias("links")))
         jumps *= 2
+        if not at.join(at.select(F.col("path").alias("_p")), at["end"] == F.col("_p"), "left_semi").limit(1).count():
+            break
     bad = at.join(links.select(F.col("path").alias("_p")), at["end"] == F.col("_p"), "left")
-    ended = F.col("_p").isNull() & (F.col("links") <= MOST_LINKS)
-    return bad.select("path", F.when(ended, F.col("end")).alias("end"), F.when(ended, F.col("links").cast("long")).alias("links"))
+    return bad.select("path", F.when(F.col("_p").isNull(), F.col("end")).alias("end"), F.when(F.col("_p").isNull(), F.col("links")).alias("links"))
 
 
 def keep_local(wanted: DataFrame, local: DataFrame, path: str = "path") -> DataFrame:

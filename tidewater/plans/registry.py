@@ -184,9 +184,15 @@ def typed_literals(spark, d):
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
-@query(f"SELECT page_id, {_PATH} path, NOT regexp_matches({_PATH}, '(^|/)(cache|\\.git|node_modules)(/|$)') AND {_PATH} LIKE '/%' kept FROM pages")
+_DENIED = ["/.git/x", "/w/wp-content/cache/x", "/a/.DS_Store", "/a/.bak", "/a/x~", "/a/.#x", "/a/#x#", "/a/node_modules/b", "/a/../b", "rel/x"]
+_ALLOWED = ["/a/cache/x", "/a/gitx", "/a/x.bakery", "/a/##", "/a/Thumbs.db.txt"]
+_EDGES = ", ".join(f"({-k - 1}, '{p}', {str(p in _ALLOWED).lower()})" for k, p in enumerate(_DENIED + _ALLOWED))
+
+
+@query(f"SELECT page_id, {_PATH} path, {_PATH} LIKE '/%' kept FROM pages UNION ALL SELECT * FROM (VALUES {_EDGES})")
 def path_deny_filter(spark, d):
-    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    edge = spark.createDataFrame([(-k - 1, p) for k, p in enumerate(_DENIED + _ALLOWED)], "page_id long, path string")
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path")).union(edge)
     return p.select("page_id", "path", (paths.valid(F.col("path")) & ~paths.denied(F.col("path"))).alias("kept"))
 
 
@@ -236,6 +242,14 @@ def prefix_route_longest(spark, d):
     return routing.longest_prefix(p, spark.createDataFrame(_RULES, "source string, target string"))
 
 
+@query(f"""WITH {_RULES_SQL}, p AS (SELECT page_id, {_PATH} path FROM pages), x AS (SELECT page_id, path, arg_max(source, length(source)) source, arg_max(target, length(source)) target FROM p LEFT JOIN r ON path = source OR starts_with(path, source || '/') GROUP BY page_id, path)
+ SELECT page_id, path, coalesce(target || substr(path, length(source) + 1), '/rest' || path) moved FROM x""")
+def remap_with_remainder(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    rules = spark.createDataFrame([(a + "/", b + "/") for a, b in _RULES] + [("/", "/rest")], "source string, target string")
+    return routing.remapped(p, rules).select("page_id", "path", "moved")
+
+
 @query(f"WITH {_RULES_SQL} SELECT source prefix FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE starts_with(r.source, q.source || '/'))")
 def prefix_minimal(spark, d):
     return routing.minimal(spark.createDataFrame(_RULES, "prefix string, target string").select("prefix"))
@@ -260,10 +274,6 @@ def symlink_closure(spark, d):
     rows = _t(spark, d, "customer")
     # A tree with edges back towards its root, so there are cycles.
     e = rows.select(F.floor(c / 2).alias("src"), c.alias("dst")).unionByName(rows.select(c.alias("src"), F.floor(c / 3).alias("dst"))).distinct()
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewater-"))
     return routing.closure(e, spark.createDataFrame([(1,)], "node long"))
 
 
@@ -311,9 +321,12 @@ def json_leaves(spark, d):
     return _t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT ext, count(*) n FROM (SELECT CASE WHEN regexp_matches(path, '\\.html$') THEN 'yes' ELSE 'unknown' END ext FROM (SELECT " + _PATH + " path FROM pages)) GROUP BY ext")
+@query(f"""SELECT path, CASE WHEN regexp_extract(path, '([^/]*)/*$', 1) = '' THEN 'no' WHEN path LIKE '%.mo' OR path LIKE '%.PNG' THEN 'no' WHEN path LIKE '%.weird' THEN 'unknown' ELSE 'yes' END ext
+ FROM (SELECT DISTINCT {_PATH} path FROM pages UNION SELECT * FROM (VALUES ('/a/LICENSE'), ('/a/.env'), ('/a/x.PNG'), ('/a/b.mo'), ('/a/c.weird'), ('/a/d.TSX'), ('/')))""")
 def compressibility(spark, d):
-    return _t(spark, d, "pages").groupBy(paths.compressible(paths.url_path(F.col("url"))).alias("ext")).agg(F.count("*").alias("n"))
+    edge = spark.createDataFrame([("/a/LICENSE",), ("/a/.env",), ("/a/x.PNG",), ("/a/b.mo",), ("/a/c.weird",), ("/a/d.TSX",), ("/",)], "path string")
+    p = _t(spark, d, "pages").select(paths.url_path(F.col("url")).alias("path")).union(edge).distinct()
+    return p.select("path", paths.compressible(F.col("path")).alias("ext"))
 
 
 @query("SELECT lang, bool_or(n_chars > 10000) any_large, bool_and(n_chars > 0) all_full FROM documents GROUP BY lang")
@@ -390,6 +403,14 @@ def offset_range_lookup(spark, d):
     return routing.lookup_range(_t(spark, d, "part").select("p_partkey", "p_size"), spark.createDataFrame(_RANGES, "start int, stop int, name string"), "p_size", 8)
 
 
+@query(f"""WITH {_RULES_SQL}, p AS (SELECT page_id, {_PATH} path FROM pages), x AS (SELECT page_id, path, arg_max(source, length(source)) source, arg_max(target, length(source)) target FROM p LEFT JOIN r ON path = source OR starts_with(path, source || '/') GROUP BY page_id, path)
+ SELECT page_id, path, coalesce(target || substr(path, length(source) + 1), '/rest' || path) moved FROM x""")
+def remap_with_remainder(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    rules = spark.createDataFrame([(a + "/", b + "/") for a, b in _RULES] + [("/", "/rest")], "source string, target string")
+    return routing.remapped(p, rules).select("page_id", "path", "moved")
+
+
 @query(f"WITH {_RULES_SQL} SELECT source prefix FROM r WHERE EXISTS (SELECT 1 FROM pages WHERE {_PATH} = source OR starts_with({_PATH}, source || '/'))")
 def prefix_exists(spark, d):
     rules = spark.createDataFrame(_RULES, "prefix string, target string").select("prefix")
@@ -437,10 +458,14 @@ def identifiers_and_hashes(spark, d):
     return _t(spark, d, "customer").select("c_custkey", encode.quoted(F.col("c_name")).alias("quoted"), F.sha1(raw).alias("h1"), F.sha2(raw, 256).alias("h2"))
 
 
-@query("SELECT count(*) n, count(*) FILTER (WHERE regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) n_binary FROM documents WHERE text IS NOT NULL")
+@query(f"""WITH t AS (SELECT text || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(12) WHEN 2 THEN chr(127) ELSE '' END || repeat('x', 70) v, doc_id % 4 k FROM (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 20), '[^ -~]', '', 'g') AS text FROM documents))
+ SELECT k, count(*) n, count(*) FILTER (WHERE regexp_matches(v, '[\x00-\x08\x0B\x0E-\x1F\x7F]')) n_binary FROM t GROUP BY k""")
 def text_sniff(spark, d):
-    ok = encode.is_text(F.col("text"))
-    return _t(spark, d, "documents").where("text IS NOT NULL").agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_binary"))
+    # Clean text, with a form feed (text still), with DEL (binary), each within the first 64 bytes.
+    k = F.col("doc_id") % 4
+    head = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 20), "[^ -~]", "")
+    v = F.concat(head, F.when(k == 1, "\f").when(k == 2, "\x7f").otherwise(""), F.lit("x" * 70))
+    return _t(spark, d, "documents").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.count_if(~encode.is_text(v)).alias("n_binary"))
 
 
 @query(f"SELECT page_id, regexp_extract({_PATH}, '([^/]*)$', 1) base, CASE WHEN regexp_extract({_PATH}, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract({_PATH}, '^(.*)/[^/]*$', 1) END dir FROM pages")

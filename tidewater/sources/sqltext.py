@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,8 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most characters a statement may have before it counts as stalled.
-STALL = 2 << 20
 _SKIP = re.compile(r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|`(?:[^`]|``)*+`|--(?=[ \t\r\n]|\Z)[^\n]*|\#[^\n]*|/\*.*?\*/|(;)|(?P<open>['"`]|/\*)""", re.S)
 _COMMENTS = re.compile(r"(?:\s|--(?=[ \t\r\n]|\Z)[^\n]*|#[^\n]*|/\*(?!!).*?\*/)*", re.S)
 
@@ -31,26 +30,29 @@ def split(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 class Splitter:
-    """The same over chunks: what is not ended is held until more comes."""
+    """The same over chunks: what is not ended is held until more comes, however long it grows."""
 
     def __init__(self) -> None:
         self.held = ""
+        self.more: list[str] = []
 
     def feed(self, chunk: str, last: bool = False) -> list[str]:
-        self.held += chunk
+        self.more.append(chunk)
+        if not last and ";" not in chunk and not (self.held + "".join(self.more[-2:-1])).endswith(";"):
+            return []  # no statement can end here: nothing is read twice
+        self.held += "".join(self.more)
+        self.more.clear()
         found = list(split(self.held))
         if not last:
             # The last statement may go on, and a mark at the very end may be half of one.
             found = [x for x in found if x[2].endswith(";") and x[1] < len(self.held)]
         done = found[-1][1] if found else 0
         self.held = "" if last else self.held[done:]
-        if len(self.held) > STALL:
-            raise ValueError("a statement does not end")
         return [x[2] for x in found]
 
 
 _NAME = r"(?:`((?:[^`]|``)*)`|([A-Za-z_$][\w$]*))"
-_INSERT = re.compile(rf"\s*(INSERT|REPLACE)\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE)\s+)*(?:INTO\s+)?{_NAME}\s*\(([^)]*)\)\s*VALUES\s*", re.I)
+_INSERT = re.compile(rf"\s*(INSERT|REPLACE)\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE)\s+)*(?:INTO\s+)?{_NAME}\s*\(((?:`(?:[^`]|``)*`|[^)`])*)\)\s*VALUES?\s*", re.I)
 _UPDATE = re.compile(rf"\s*UPDATE\s+(?:(?:LOW_PRIORITY|IGNORE)\s+)*{_NAME}\s+SET\s+", re.I)
 _CELL = re.compile(
     r"""\s*(?:(?P<null>NULL\b)|(?P<convert>CONVERT\s*\(\s*)?FROM_BASE64\s*\(\s*'(?P<b64>[^']*)'\s*\)(?(convert)\s+USING\s+\w+\s*\))|(?P<text>_?\w*'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+")|(?P<hex>0x[0-9A-Fa-f]+|[xX]'[0-9A-Fa-f]*')|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<other>\w+))\s*""",
@@ -83,42 +85,88 @@ def _cell(m: re.Match[str]) -> tuple[str, str | None]:
     return ("hex", m["hex"]) if m["hex"] else ("number", m["number"]) if m["number"] else ("other", m["other"])
 
 
-def cells(sql: str) -> list[dict] | None:
-    """Cells of an INSERT, REPLACE or UPDATE: table, row, column, kind, value and place; null for other shapes."""
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|`(?:[^`]|``)*`|--(?=[ \t\r\n]|\Z)[^\n]*|\#[^\n]*|/\*.*?\*/|[A-Za-z_$][\w$]*|\S""", re.S)
+
+
+def _plain(name: str) -> str:
+    return name[1:-1].replace("``", "`") if name[:1] == "`" else name
+
+
+def places(sql: str) -> tuple[str, list[tuple[int, int, int, str | None]]] | None:
+    """The table, and (start, end, row, column) of every value of an INSERT, REPLACE or UPDATE in order; null for other shapes.
+
+    Values are told by commas outside parentheses of their own, so they may be any expression. Assignments,
+    of UPDATE or after ON DUPLICATE KEY UPDATE, have row -1; a value beyond the named columns has none.
+    """
     lead = _COMMENTS.match(sql).end()
     if m := _INSERT.match(sql, lead):
-        table = (m[2] or m[3] or "").replace("``", "`")
-        columns = [c.strip().strip("`").replace("``", "`") for c in m[4].split(",")]
-        at, row, out = m.end(), 0, []
-        while (start := re.compile(r"\s*(?:ROW\s*)?\(", re.I).match(sql, at)) is not None:
-            at = start.end()
-            for k, column in enumerate(columns):
-                c = _CELL.match(sql, at)
-                if not c or sql[c.end() : c.end() + 1] != ("," if k < len(columns) - 1 else ")"):
-                    return None
-                kind, value = _cell(c)
-                out.append({"table": table, "row_no": row, "column": column, "kind": kind, "value": value, "start": c.start("b64"), "end": c.end("b64")})
-                at = c.end() + 1
-            row += 1
-            comma = re.compile(r"\s*,").match(sql, at)
-            if not comma:
-                break
-            at = comma.end()
-        return out or None
-    if m := _UPDATE.match(sql, lead):
-        table, at, out = (m[1] or m[2] or "").replace("``", "`"), m.end(), []
-        while a := re.compile(rf"\s*{_NAME}\s*=").match(sql, at):
-            c = _CELL.match(sql, a.end())
-            if not c:
-                return None
-            kind, value = _cell(c)
-            out.append({"table": table, "row_no": 0, "column": a[1] or a[2], "kind": kind, "value": value, "start": c.start("b64"), "end": c.end("b64")})
-            at = c.end()
-            if sql[at : at + 1] != ",":
-                break
-            at += 1
-        return out or None
-    return None
+        table, mode, columns = m[2] or m[3] or "", "values", [_plain(x[0]) for x in re.finditer(_NAME, m[4])]
+    elif m := _UPDATE.match(sql, lead):
+        table, mode, columns = m[1] or m[2] or "", "set", []
+    else:
+        return None
+    out: list[tuple[int, int, int, str | None]] = []
+    depth, row, column, start, name = 0, -1, 0, None, None
+
+    def end(at: int) -> None:
+        nonlocal start, column, name
+        if start is not None:
+            out.append((start, at, row if mode == "values" else -1, name if mode == "set" else columns[column] if column < len(columns) else None))
+        start, column, name = None, column + 1, None
+
+    for t in _TOKEN.finditer(sql, m.end()):
+        s = t[0]
+        if s == "(":
+            depth += 1
+            if depth == 1 and mode == "values":
+                row, column, start = row + 1, 0, t.end()
+        elif s == ")":
+            if depth == 1 and mode == "values":
+                end(t.start())
+            depth -= 1
+        elif depth == (1 if mode == "values" else 0) and s == ",":
+            end(t.start())
+            if mode == "values":
+                start = t.end()
+        elif depth == 0:
+            word = s.upper()
+            if mode == "values" and word == "ON":
+                mode = "after"
+            elif mode == "after" and word == "UPDATE":
+                mode, start, name = "set", None, None
+            elif mode == "set":
+                if s == ";" or word in ("WHERE", "ORDER", "LIMIT"):
+                    end(t.start())
+                    mode = "rest"
+                elif s == "=" and start is None:
+                    start = t.end()
+                elif start is None and (s[0] == "`" or s[0].isalpha() or s[0] in "_$"):
+                    name = _plain(s)
+    if mode == "set":
+        end(len(sql))
+    return table.replace("``", "`"), out
+
+
+def cells(sql: str) -> list[dict] | None:
+    """Cells of an INSERT, REPLACE or UPDATE: table, row, column, kind, value and place; null for other shapes.
+
+    A value that is no plain literal is of kind ``expression``.
+    """
+    found = places(sql)
+    if found is None:
+        return None
+    table, ranges = found
+    inserts = any(row >= 0 for _, _, row, _ in ranges)
+    out = []
+    for start, end, row, column in ranges:
+        if inserts and row < 0:
+            continue
+        if column is None:
+            return None
+        c = _CELL.fullmatch(sql, start, end)
+        kind, value = _cell(c) if c else ("expression", sql[start:end].strip())
+        out.append({"table": table, "row_no": max(row, 0), "column": column, "kind": kind, "value": value, "start": c.start("b64") if c else -1, "end": c.end("b64") if c else -1})
+    return out or None
 
 
 # Columns that hold block markup.
@@ -137,19 +185,25 @@ def hint(table: str, column: str, prefix: str = "wp_", own: dict[tuple[str, str]
     return "block_markup" if (bare, column) in MARKUP else None
 
 
-_PAYLOAD = re.compile(r"FROM_BASE64\s*\(\s*'([^']*)'\s*\)", re.I)
+_PAYLOAD = re.compile(r"""\bFROM_BASE64\s*\(\s*'([^']*)'\s*\)|'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|`(?:[^`]|``)*`|--(?=[ \t\r\n]|\Z)[^\n]*|\#[^\n]*|/\*.*?\*/""", re.I | re.S)
+_CALL = re.compile("from_base64", re.I)
 _MARKS = ("aHR0", "dHA6", "dHBz", "dHRw")
 
 
 def rewrite_statement(sql: str, edit: Callable[[str, str | None], str], own: dict[tuple[str, str], str] | None = None) -> str:
-    """The statement with edited base64 payloads; ``edit`` takes text and content type. The rest stays byte for byte."""
-    if "FROM_BASE64" not in sql.upper() or not any(m in sql for m in _MARKS):
+    """The statement with edited base64 payloads, wherever they stand; ``edit`` takes text and content type. The rest stays byte for byte.
+
+    A payload in a value of a known column, alone or inside an expression, has that column's content type.
+    """
+    if not any(m in sql for m in _MARKS) or not _CALL.search(sql):
         return sql
-    found = cells(sql)
-    if found is None:
-        spots = [(m.start(1), m.end(1), decoded(m[1]), None) for m in _PAYLOAD.finditer(sql)]
-    else:
-        spots = [(c["start"], c["end"], c["value"], hint(c["table"], c["column"], own=own)) for c in found if c["kind"] == "base64"]
+    table, ranges = places(sql) or ("", [])
+    begins, spots = [r[0] for r in ranges], []
+    for m in _PAYLOAD.finditer(sql):
+        if m[1] is not None:
+            k = bisect.bisect_right(begins, m.start()) - 1
+            column = ranges[k][3] if k >= 0 and m.end() <= ranges[k][1] else None
+            spots.append((m.start(1), m.end(1), decoded(m[1]), hint(table, column, own=own) if column else None))
     out, last = [], 0
     for a, b, value, content in spots:
         if value is None or "http" not in value:
