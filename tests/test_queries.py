@@ -6,7 +6,7 @@ import pytest
 from tidewater.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

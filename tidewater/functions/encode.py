@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,14 +58,20 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def insert_statements(df: DataFrame, table: str, order: list[str], batch: int = 250, parts: int | None = None) -> DataFrame:
+def equals(key: str, kind: T.DataType) -> Column:
+    """A condition on a key as SQL text; null is IS NULL."""
+    name = F.lit(quote(key))
+    return F.when(F.col(quote(key)).isNull(), F.concat(name, F.lit(" IS NULL"))).otherwise(F.concat(name, F.lit(" = "), literal(F.col(quote(key)), kind)))
+
+
+def insert_statements(df: DataFrame, table: str, order: list[str], batch: int = 250, parts: int | None = None, json: Sequence[str] = ()) -> DataFrame:
     """part, stmt_no, sql: INSERTs of at most ``batch`` rows in key order.
 
     Rows are range-partitioned by key and numbered within their part, so no task sees all rows; the
     statements of a part end with a short one. ``parts``: as many as Spark shuffles into, if not given.
     """
-    row = F.concat(F.lit("("), F.concat_ws(",", *[literal(F.col(f.name), f.dataType) for f in df.schema]), F.lit(")"))
-    keyed = df.select(F.struct(*order).alias("k"), row.alias("row")).repartitionByRange(*([parts] if parts else []), "k").withColumn("part", F.spark_partition_id())
+    row = F.concat(F.lit("("), F.concat_ws(",", *[literal(F.col(quote(f.name)), f.dataType, f.name in json) for f in df.schema]), F.lit(")"))
+    keyed = df.select(F.struct(*[F.col(quote(o)).alias(f"k{i}") for i, o in enumerate(order)]).alias("k"), row.alias("row")).repartitionByRange(*([parts] if parts else []), "k").withColumn("part", F.spark_partition_id())
     numbered = keyed.withColumn("stmt_no", F.floor((F.row_number().over(Window.partitionBy("part").orderBy("k")) - 1) / batch))
     head = f"INSERT INTO {quote(table)} ({', '.join(map(quote, df.columns))}) VALUES\n"
     rows = F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"])
@@ -91,7 +100,7 @@ def oversized_updates(df: DataFrame, table: str, key: str | list[str], column: s
     if not key:
         raise ValueError("an oversized row needs a primary key")
     keys = [key] if isinstance(key, str) else key
-    where = F.concat_ws(" AND ", *[F.concat(F.lit(f"{quote(k)} = "), literal(F.col(k), df.schema[k].dataType)) for k in keys])
+    where = F.concat_ws(" AND ", *[equals(k, df.schema[k].dataType) for k in keys])
     data = F.col(column).cast("binary")
     rows = df.where(F.octet_length(data) > limit).select(*keys, data.alias("d"))
     pieces = rows.select(*keys, "d", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("d") - 1) / limit).cast("int"))).alias("chunk"))
@@ -107,3 +116,16 @@ def bytes_of(text: Column) -> Column:
     n = F.try_to_number(F.nullif(F.regexp_extract(t, "^([0-9]{1,12})[KkMmGg]?$", 1), F.lit("")), F.lit("999999999999")).cast("long")
     unit = F.lower(F.right(t, F.lit(1)))
     return n * F.when(unit == "k", 1 << 10).when(unit == "m", 1 << 20).when(unit == "g", 1 << 30).otherwise(1).cast("long")
+
+
+def size_text(n: Column) -> Column:
+    """A count of bytes for people: 512 B, 1.5 KB, 2.0 MB, 3.0 GB."""
+    scaled = lambda unit, name: F.concat(F.format_string("%.1f", n / F.lit(float(unit))), F.lit(" " + name))
+    return F.when(n >= 1 << 30, scaled(1 << 30, "GB")).when(n >= 1 << 20, scaled(1 << 20, "MB")).when(n >= 1 << 10, scaled(1 << 10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 in hex; the key is the driver's and goes into the plan only as its two padded forms."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)

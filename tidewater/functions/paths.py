@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,3 +87,34 @@ def compressible(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(base, r"\.([^.]*)$", 1))
     plain = (ext == "") | F.rlike(base, F.lit(r"^\.[^.]*$"))
     return F.when(base == "", "no").when(plain | ext.isin(*COMPRESSIBLE), "yes").when(ext.isin(*COMPRESSED), "no").otherwise("unknown")
+
+
+def resolved(parent: Column, target: Column) -> Column:
+    """Where a link in ``parent`` leads by its text: an absolute target as it is, another one from there."""
+    return normalized(F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(parent, F.lit("/"), target)))
+
+
+def remainder(path: Column, root: Column) -> Column:
+    """What follows ``root`` in a path under it, without a slash at its start; null elsewhere."""
+    top = F.regexp_replace(root, "/+$", "")
+    return F.when(path == top, "").when(F.startswith(path, F.concat(top, F.lit("/"))), F.substring(path, F.length(top) + 2, F.length(path)))
+
+
+def joined(root: Column, rest: Column) -> Column:
+    top = F.regexp_replace(root, "/+$", "")
+    return F.when(rest == "", F.when(top == "", "/").otherwise(top)).otherwise(F.concat(top, F.lit("/"), F.regexp_replace(rest, "^/+", "")))
+
+
+def with_tokens(raw: str, tokens: Mapping[str, str | None]) -> str:
+    """A configured path with its leading ``:name:`` replaced; a token elsewhere, or without a value, is an error."""
+    name = next((n for n in tokens if raw.startswith(f":{n}:")), None)
+    rest = raw if name is None else raw[len(name) + 2 :]
+    for other in tokens:
+        if f":{other}:" in rest:
+            raise ValueError(f"token :{other}: may only begin a path")
+    if name is not None and tokens[name] is None:
+        raise ValueError(f"token :{name}: has no value yet")
+    path = ((tokens[name] or "") + rest if name is not None else raw).rstrip("/")
+    if not path.startswith("/") or "\0" in path or any(p in (".", "..") for p in path.split("/")):
+        raise ValueError(f"not an absolute, plain path: {raw}")
+    return path

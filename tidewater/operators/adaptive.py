@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from types import SimpleNamespace
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def _ordered(df: DataFrame, group: str, order: list[str], **values: Column) -> DataFrame:
-    item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], *[v.alias(k) for k, v in values.items()])
-    return df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+from tidewater.operators.ordered import Item, fold
 
 
 def ema(df: DataFrame, group: str, order: list[str], value: Column, alpha: float = 0.2) -> DataFrame:
-    """group, n, ema: the first value seeds, then prev * (1 - alpha) + x * alpha."""
-    folded = F.aggregate(
-        F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))),
-        F.element_at("items", 1)["x"],
-        lambda a, i: a * F.lit(1 - alpha) + i["x"] * F.lit(alpha),
-    )
-    return _ordered(df, group, order, x=value.cast("double")).select(group, F.size("items").cast("long").alias("n"), folded.alias("ema"))
+    """group, n, ema: the first value seeds, then prev * (1 - alpha) + x * alpha. Null values are passed over.
+
+    Unrolled, that is a sum of values weighted by their place from the end, which Spark combines on the map side.
+    """
+    rows = df.select(group, *order, value.cast("double").alias("_x")).where("_x IS NOT NULL")
+    back = rows.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*[F.desc(o) for o in order])) - 1)
+    keep = F.lit(1 - alpha)
+    n = F.count("*")
+    seed = F.max_by("_x", "_k") * F.pow(keep, n)
+    return back.groupBy(group).agg(n.alias("n"), (seed + F.sum(F.col("_x") * alpha * F.pow(keep, F.col("_k")))).alias("ema"))
 
 
 def aimd(
@@ -28,30 +31,40 @@ def aimd(
     """group, size, ema, backoff, decision after the last request of each group.
 
     A failure halves the size and holds it; throughput under ``drop`` of the average shrinks it,
-    else it grows; no work changes nothing.
+    else it grows; no work (null counts as none) changes nothing.
     """
-    state = F.struct(F.lit(start).cast("double").alias("size"), F.lit(None).cast("double").alias("ema"), F.lit(0).alias("hold"), F.lit("none").alias("decision"))
-    clamp = lambda x: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
-
-    def step(a: Column, i: Column) -> Column:
-        speed = i["work"] / F.greatest(F.lit(1e-4), i["elapsed"])
-        next_ema = F.when(a["ema"].isNull(), speed).otherwise(a["ema"] * (1 - alpha) + speed * alpha)
-        idle = ~i["failed"] & (i["work"] <= 0)
-        held, warm = a["hold"] > 0, a["ema"].isNull()
-        slow = speed / a["ema"] < drop
-        size = (
-            F.when(i["failed"], clamp(F.round(a["size"] * 0.5)))
-            .when(idle | held | warm, a["size"])
-            .when(slow, clamp(F.round(a["size"] * decrease)))
-            .otherwise(clamp(a["size"] + increase))
-        )
-        decision = F.when(i["failed"], "backoff").when(idle, "no_work").when(held, "error_backoff").when(warm, "warmup").when(slow, "decrease").otherwise("increase")
-        hold = F.when(i["failed"], F.greatest(a["hold"], F.lit(backoff))).when(idle, a["hold"]).otherwise(F.greatest(a["hold"] - 1, F.lit(0)))
-        return F.struct(size.alias("size"), F.when(i["failed"] | idle, a["ema"]).otherwise(next_ema).alias("ema"), hold.alias("hold"), decision.alias("decision"))
-
-    rows = _ordered(df, group, order, work=work.cast("double"), elapsed=elapsed.cast("double"), failed=failed)
-    out = rows.select(group, F.aggregate("items", state, step).alias("a"))
-    return out.select(group, F.col("a.size").cast("long").alias("size"), F.col("a.ema").alias("ema"), F.col("a.hold").cast("long").alias("backoff"), F.col("a.decision").alias("decision"))
+
+    def clamp(x: float) -> float:
+        return max(float(low), min(float(high), x))
+
+    def half_up(x: float) -> float:
+        return float(int(x + 0.5))
+
+    def step(a: SimpleNamespace, r: Item) -> Iterator[tuple]:
+        done = r["_work"] or 0.0
+        if r["_failed"]:
+            a.size, a.hold, a.decision = clamp(half_up(a.size * 0.5)), max(a.hold, backoff), "backoff"
+        elif done <= 0:
+            a.decision = "no_work"
+        else:
+            speed = done / max(1e-4, r["_elapsed"] or 0.0)
+            if a.hold > 0:
+                a.decision = "error_backoff"
+            elif a.ema is None:
+                a.decision = "warmup"
+            elif a.ema and speed / a.ema < drop:
+                a.size, a.decision = clamp(half_up(a.size * decrease)), "decrease"
+            else:
+                a.size, a.decision = clamp(a.size + increase), "increase"
+            a.ema = speed if a.ema is None else a.ema * (1 - alpha) + speed * alpha
+            a.hold = max(a.hold - 1, 0)
+        return iter(())
+
+    rows = df.select(group, *order, work.cast("double").alias("_work"), elapsed.cast("double").alias("_elapsed"), F.coalesce(failed, F.lit(False)).alias("_failed"))
+    return fold(
+        rows, group, order, "size long, ema double, backoff long, decision string",
+        lambda: SimpleNamespace(size=float(start), ema=None, hold=0, decision="none"), step, lambda a: [(int(a.size), a.ema, a.hold, a.decision)],
+    )
 
 
 def pause(elapsed: Column, done: Column, duty: float = 0.5, low: float = 0.2, high: float = 10.0) -> Column:

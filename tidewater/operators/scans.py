@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.ordered import Item, fold
+
 
 def exclude(df: DataFrame, column: str, value: object) -> DataFrame:
     """Drop rows whose column equals the value; nulls stay, an unknown column is ignored."""
@@ -14,13 +16,16 @@ def exclude(df: DataFrame, column: str, value: object) -> DataFrame:
 
 
 def after(keys: Sequence[str], values: Sequence[object]) -> Column:
-    """Rows past a key in lexicographic order, as an OR of ANDs that reaches the scan as pushed filters."""
+    """Rows past a key in lexicographic order, as an OR of ANDs that reaches the scan as pushed filters.
+
+    Nulls come first in an order, so after a null come the keys that are not null.
+    """
     out = F.lit(False)
     same = F.lit(True)
     for k, v in zip(keys, values, strict=True):
-        out = out | (same & (F.col(k) > F.lit(v)))
-        same = same & (F.col(k) == F.lit(v))
-    return F.col(keys[0]).isNotNull() & (F.col(keys[0]) >= F.lit(values[0])) & out
+        out = out | (same & (F.col(k).isNotNull() if v is None else F.col(k) > F.lit(v)))
+        same = same & (F.col(k).isNull() if v is None else F.col(k) == F.lit(v))
+    return out if values[0] is None else F.col(keys[0]).isNotNull() & (F.col(keys[0]) >= F.lit(values[0])) & out
 
 
 def keyset_page(df: DataFrame, keys: Sequence[str], last: Sequence[object] | None, n: int) -> DataFrame:
@@ -42,19 +47,18 @@ def row_batches(df: DataFrame, group: Sequence[str], order: Sequence[str], n: in
 def greedy_batches(df: DataFrame, group: str, order: str, cost: str, limit: int) -> DataFrame:
     """(group, batch, n, cost): fill batches up to ``limit``, cutting before what would overflow; a large item is alone.
 
-    The cut depends on the cut before it, so rows of a group are folded in order.
+    The cut depends on the cut before it, so rows of a group are folded in order. A null cost is 0.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))))
-    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<n:bigint,c:bigint>>").alias("done"))
 
-    def step(a: Column, x: Column) -> Column:
-        cut = (a.n > 0) & (a.c + x.c > limit)
-        done = F.when(cut, F.concat(a.done, F.array(F.struct(a.n.alias("n"), a.c.alias("c"))))).otherwise(a.done)
-        return F.struct(F.when(cut, F.lit(1)).otherwise(a.n + 1).cast("long").alias("n"), F.when(cut, x.c).otherwise(a.c + x.c).alias("c"), done.alias("done"))
+    def step(a: list[int], r: Item) -> Iterator[tuple]:
+        c = r[cost] or 0
+        if a[1] and a[2] + c > limit:
+            yield tuple(a)
+            a[:] = [a[0] + 1, 0, 0]
+        a[1], a[2] = a[1] + 1, a[2] + c
 
-    folded = df.groupBy(group).agg(items.alias("items")).select(group, F.aggregate("items", empty, step).alias("a"))
-    every = F.concat("a.done", F.array(F.struct(F.col("a.n").alias("n"), F.col("a.c").alias("c"))))
-    return folded.select(group, F.posexplode(every).alias("batch", "b")).select(group, F.col("batch").cast("long").alias("batch"), F.col("b.n").alias("n"), F.col("b.c").alias("cost"))
+    rows = df.select(group, order, F.col(cost).cast("long").alias(cost))
+    return fold(rows, group, [order], "batch long, n long, cost long", lambda: [0, 0, 0], step, lambda a: [tuple(a)])
 
 
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:

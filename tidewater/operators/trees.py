@@ -2,11 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import stat
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions import paths as p
 from tidewater.operators.lineage import cut
-from tidewater.operators.routing import ancestors
+from tidewater.operators.routing import ancestors, bare, minimal, within
+
+ENTRY = "path string, ctime long, size long, type string, target string"
+#: Links that one path may follow before it counts as a cycle, as systems do.
+MOST_FOLLOWED = 40
+
+
+def _entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the folders of ``path`` hold, in slices; a folder that cannot be read is an entry of type ``error``."""
+    names = [f.split()[0] for f in ENTRY.split(", ")]
+    rows: list[tuple] = []
+    for x in parts:
+        for folder in x.path:
+            try:
+                with os.scandir(folder) as found:
+                    for e in found:
+                        s = e.stat(follow_symlinks=False)
+                        kind = "link" if stat.S_ISLNK(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "other"
+                        rows.append((e.path, int(s.st_ctime), s.st_size if kind == "file" else 0, kind, os.readlink(e.path) if kind == "link" else None))
+                        if len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            except OSError as e:
+                rows.append((folder, None, None, "error", e.strerror))
+    yield pd.DataFrame(rows, columns=names)
+
+
+def scan(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """path, ctime, size, type, target of all under the roots: folders are listed side by side, a level at a time.
+
+    Links are named and not followed. A root under another one is not listed twice. The folders must be
+    where all executors see them.
+    """
+    empty = spark.createDataFrame([], ENTRY)
+    front = minimal(spark.createDataFrame([(r,) for r in roots], "prefix string")).select(F.col("prefix").alias("path"))
+    found = empty
+    while True:
+        level = cut(front.repartition("path").mapInPandas(_entries, ENTRY))
+        found = found.unionByName(level)
+        front = level.where("type = 'dir'").select("path")
+        if not front.limit(1).count():
+            return found
+
+
+def escaping(links: DataFrame, root: str) -> DataFrame:
+    """path, target, ends: links (path, target) whose target, by its text, lies outside the root."""
+    ends = p.resolved(p.dirname(F.col("path")), F.col("target"))
+    return links.select("path", "target", ends.alias("ends")).where(~within(F.col("ends"), root))
+
+
+def canonical(paths: DataFrame, links: DataFrame, path: str = "path") -> DataFrame:
+    """Add ``canonical``: the path with every link on the way to it, and itself, followed; null if that takes over 40 links.
+
+    A round follows the topmost link of each path, found among its ancestors by an equal join.
+    """
+    rules = links.select(bare(F.col("path")).alias("_at"), p.resolved(p.dirname(F.col("path")), F.col("target")).alias("_to"))
+    at = cut(paths.select(F.col(path).alias("_p"), p.normalized(F.col(path)).alias("_c")).distinct())
+    for _ in range(MOST_FOLLOWED):
+        up = at.where("_c IS NOT NULL").select("_p", "_c", F.explode(ancestors(F.col("_c"))).alias("_at"))
+        first = up.join(rules, "_at").groupBy("_p").agg(F.min_by(F.struct("_at", "_to"), F.length("_at")).alias("m"))
+        if not first.limit(1).count():
+            break
+        rest = F.substring(F.col("_c"), F.length("m._at") + 1, F.length("_c"))
+        at = cut(at.join(first, "_p", "left").select("_p", F.when(F.col("m").isNull(), F.col("_c")).otherwise(p.normalized(F.concat("m._to", rest))).alias("_c")))
+    else:
+        left = at.select("_p", "_c", F.explode(ancestors(F.col("_c"))).alias("_at")).join(rules, "_at", "left_semi").select("_p").distinct()
+        at = at.join(left.withColumn("_bad", F.lit(True)), "_p", "left").select("_p", F.when(F.col("_bad").isNull(), F.col("_c")).alias("_c"))
+    return paths.join(at, F.col(path) == F.col("_p"), "left").drop("_p").withColumnRenamed("_c", "canonical")
+
+
+def listed_roots(wanted: DataFrame, scheduled: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of ``wanted`` that are no scheduled root (``prefix``) and above none, so that no folder is walked twice."""
+    up = scheduled.select(F.explode(ancestors(bare(F.col("prefix")))).alias("_up")).distinct()
+    return wanted.join(up, bare(F.col(path)) == F.col("_up"), "left_anti")
+
+
+def blockers(wanted: DataFrame, local: DataFrame) -> DataFrame:
+    """path, type, local_type, step: wanted entries (path, type) that stand where the inventory has another type.
+
+    A file or link in the way of anything goes first (``unlink``), a folder with all in it (``rmtree``).
+    """
+    have = local.select("path", F.col("type").alias("local_type"))
+    step = F.when(F.col("local_type") == "dir", "rmtree").otherwise("unlink")
+    return wanted.join(have, "path").where(F.col("type") != F.col("local_type")).select("path", "type", "local_type", step.alias("step"))
+
+
+def kept_local(wanted: DataFrame, local: DataFrame) -> DataFrame:
+    """Wanted paths that may be written beside what is there: not present, no link on the way, and the nearest folder there writable.
+
+    ``local`` has path, type and writable.
+    """
+    up = wanted.select("path", F.explode(ancestors(F.col("path"))).alias("_at")).where("_at <> path")
+    met = up.join(local.select(bare(F.col("path")).alias("_at"), "type", "writable"), "_at")
+    bad = met.groupBy("path").agg(F.max(F.col("type") == "link").alias("through_link"), F.max_by("writable", F.length("_at")).alias("may_write"))
+    bad = bad.where("through_link OR NOT may_write").select("path")
+    return wanted.join(local.select("path"), "path", "left_anti").join(bad, "path", "left_anti")
+
+
+def flat_layout(rows: DataFrame, root: str, places: Sequence[tuple[str, str]]) -> DataFrame:
+    """Add ``placed``: where each path goes in one folder, by (source, name) of the first place that is it or above it; null where none is."""
+    placed = F.lit(None).cast("string")
+    for source, name in reversed(places):
+        rest = p.remainder(F.col("path"), F.lit(source))
+        placed = F.when(rest.isNotNull(), p.joined(F.lit(f"{root.rstrip('/')}/{name}".rstrip("/")), rest)).otherwise(placed)
+    return rows.withColumn("placed", placed)
 
 def with_directories(files: DataFrame, path: str = "path") -> DataFrame:
     """path, type of all files and of every directory above them, once each; the root is '/'."""

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import encode, nested, paths
-from tidewater.operators import adaptive, exclusions, routing, scans, snapshots, trees
-from tidewater.sources import sqltext
+from tidewater.operators import adaptive, exclusions, reports, routing, scans, snapshots, trees
+from tidewater.sources import dump, sqltext
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -115,11 +115,6 @@ def offset_page_total_order(spark, d):
     return scans.offset_page(_t(spark, d, "documents").select("doc_id", "lang"), ["lang", "doc_id"], 40, 100)
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type IS NULL OR event_type <> 'click'")
-def row_exclusion_null_safe(spark, d):
-    return scans.exclude(_t(spark, d, "events").select("event_id", "event_type"), "event_type", "click")
-
-
 @query("SELECT min(doc_id) doc_id, sha1(text) h FROM documents GROUP BY text")
 def dedup_first_position(spark, d):
     # The text is hashed before it is shuffled; the survivor is the first by position.
@@ -169,18 +164,6 @@ def base64_roundtrip(spark, d):
     return p.select("page_id", "b64", F.decode(encode.from_base64(F.col("b64")), "UTF-8").alias("back"), encode.may_hold_url(F.col("b64")).alias("may"))
 
 
-@query("SELECT count(*) n FROM documents WHERE regexp_matches(base64(encode(text)), 'aHR0|dHA6|dHBz|dHRw')")
-def base64_prefilter(spark, d):
-    b = encode.to_base64(F.col("text"))
-    return _t(spark, d, "documents").where(encode.may_hold_url(b)).agg(F.count("*").alias("n"))
-
-
-@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ',' || CASE WHEN o_orderpriority IS NULL THEN 'NULL' WHEN o_orderpriority = '' THEN '''''' ELSE 'FROM_BASE64(''' || base64(encode(o_orderpriority)) || ''')' END row_sql FROM orders")
-def typed_literals(spark, d):
-    o = _t(spark, d, "orders")
-    return o.select("o_orderkey", F.concat(encode.literal(F.col("o_orderkey"), T.LongType()), F.lit(","), encode.literal(F.col("o_orderpriority"), T.StringType())).alias("row_sql"))
-
-
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
@@ -299,7 +282,7 @@ def aimd_sizes(spark, d):
     return adaptive.aimd(e, "user_id", ["event_id"], id_ % 100, 1 + id_ % 3, id_ % 17 == 0, 1000, 100, 5000, 100).select("user_id", "size", "backoff")
 
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _TABLES))
@@ -307,20 +290,6 @@ def catalog_stats(spark, d):
     return scans.table_stats({t: _t(spark, d, t) for t in _TABLES})
 
 
-@query("""WITH h(tab, col, kind) AS (VALUES ('posts', 'post_content', 'block_markup'), ('comments', 'comment_content', 'block_markup')), c(tab, col) AS (VALUES ('wp_posts', 'post_content'), ('posts', 'post_title'), ('comments', 'comment_content'))
- SELECT c.tab, c.col, h.kind FROM c LEFT JOIN h ON (c.tab = h.tab OR c.tab = 'wp_' || h.tab) AND c.col = h.col""")
-def column_hint_join(spark, d):
-    c = spark.createDataFrame([("wp_posts", "post_content"), ("posts", "post_title"), ("comments", "comment_content")], "tab string, col string")
-    hints = spark.createDataFrame([(t, col, "block_markup") for t, col in sorted(sqltext.MARKUP)], "bare string, hcol string, kind string")
-    joined = c.withColumn("name", F.regexp_replace("tab", "^wp_", "")).join(F.broadcast(hints), (F.col("name") == F.col("bare")) & (F.col("col") == F.col("hcol")), "left")
-    return joined.select("tab", "col", "kind")
-
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events")
-def json_leaves(spark, d):
-    return _t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query(f"""SELECT path, CASE WHEN regexp_extract(path, '([^/]*)/*$', 1) = '' THEN 'no' WHEN path LIKE '%.mo' OR path LIKE '%.PNG' THEN 'no' WHEN path LIKE '%.weird' THEN 'unknown' ELSE 'yes' END ext
  FROM (SELECT DISTINCT {_PATH} path FROM pages UNION SELECT * FROM (VALUES ('/a/LICENSE'), ('/a/.env'), ('/a/x.PNG'), ('/a/b.mo'), ('/a/c.weird'), ('/a/d.TSX'), ('/')))""")
 def compressibility(spark, d):
@@ -334,19 +303,6 @@ def batch_any_true(spark, d):
     return _t(spark, d, "documents").groupBy("lang").agg(F.bool_or(F.col("n_chars") > 10000).alias("any_large"), F.bool_and(F.col("n_chars") > 0).alias("all_full"))
 
 
-@query("SELECT user_id, count(*) changes FROM events e WHERE event_id > coalesce((SELECT max(event_id) FROM events s WHERE s.user_id = e.user_id AND s.event_id % 9 = 0), -1) GROUP BY user_id")
-def volatile_counts(spark, d):
-    e = _t(spark, d, "events").select("user_id", "event_id")
-    last = F.max(F.when(F.col("event_id") % 9 == 0, F.col("event_id"))).over(Window.partitionBy("user_id"))
-    return e.withColumn("ok", last).where("ok IS NULL OR event_id > ok").groupBy("user_id").agg(F.count("*").alias("changes"))
-
-
-@query("SELECT source, arg_max(lang, struct_pack(n := n, k := k)) lang FROM (SELECT source, lang, count(*) n, -min(doc_id) k FROM documents GROUP BY source, lang) GROUP BY source")
-def score_argmax(spark, d):
-    n = _t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), (-F.min("doc_id")).alias("k"))
-    return n.groupBy("source").agg(F.max_by("lang", F.struct("n", "k")).alias("lang"))
-
-
 @query("SELECT o_orderkey FROM orders UNION SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END FROM orders")
 def union_distinct(spark, d):
     return _local(spark, d).select("o_orderkey").unionByName(_remote(spark, d).select("o_orderkey")).distinct()
@@ -403,61 +359,29 @@ def offset_range_lookup(spark, d):
     return routing.lookup_range(_t(spark, d, "part").select("p_partkey", "p_size"), spark.createDataFrame(_RANGES, "start int, stop int, name string"), "p_size", 8)
 
 
-@query(f"""WITH {_RULES_SQL}, p AS (SELECT page_id, {_PATH} path FROM pages), x AS (SELECT page_id, path, arg_max(source, length(source)) source, arg_max(target, length(source)) target FROM p LEFT JOIN r ON path = source OR starts_with(path, source || '/') GROUP BY page_id, path)
- SELECT page_id, path, coalesce(target || substr(path, length(source) + 1), '/rest' || path) moved FROM x""")
-def remap_with_remainder(spark, d):
-    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
-    rules = spark.createDataFrame([(a + "/", b + "/") for a, b in _RULES] + [("/", "/rest")], "source string, target string")
-    return routing.remapped(p, rules).select("page_id", "path", "moved")
-
-
 @query(f"WITH {_RULES_SQL} SELECT source prefix FROM r WHERE EXISTS (SELECT 1 FROM pages WHERE {_PATH} = source OR starts_with({_PATH}, source || '/'))")
 def prefix_exists(spark, d):
     rules = spark.createDataFrame(_RULES, "prefix string, target string").select("prefix")
     return routing.covering(rules, _t(spark, d, "pages").select(paths.url_path(F.col("url")).alias("path")))
 
 
-@query(f"SELECT to_json(list(DISTINCT {_ORIGIN} ORDER BY {_ORIGIN})) domains FROM pages WHERE {_ORIGIN} <> ''")
-def domain_list(spark, d):
-    # The origins of a site are a short list by nature; the sort is of the distinct ones only.
-    o = _t(spark, d, "pages").select(paths.origin(F.col("url")).alias("o")).where("o IS NOT NULL").distinct()
-    return o.agg(F.to_json(F.array_sort(F.collect_list("o"))).alias("domains"))
-
-
 @query("SELECT doc_id, CAST(c AS BIGINT) chunk, CAST(least(4000, n - c * 4000) AS BIGINT) n_bytes FROM (SELECT doc_id, n, unnest(range(0, (n - 1) // 4000 + 1)) c FROM (SELECT doc_id, octet_length(encode(text)) n FROM documents) WHERE n > 4000)")
 def oversized_split(spark, d):
     return encode.oversized_updates(_t(spark, d, "documents").select("doc_id", "text"), "documents", "doc_id", "text", 4000).select("doc_id", "chunk", "n_bytes")
 
 
-@query("SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS \"lines\" FROM documents")
-def line_counts(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("lines"))
-
-
 @query("SELECT DISTINCT hex(encode(c_mktsegment)) sort_key, c_mktsegment AS name FROM customer")
 def sorted_distinct_keys(spark, d):
     c = _t(spark, d, "customer").select(F.hex(F.col("c_mktsegment").cast("binary")).alias("sort_key"), F.col("c_mktsegment").alias("name"))
     return c.groupBy("sort_key").agg(F.min("name").alias("name")).orderBy("sort_key")
 
 
-@query("SELECT p_partkey, list_transform(list_reverse_sort([{'n': length(p_name), 'c': 'p_name'}, {'n': length(p_brand), 'c': 'p_brand'}, {'n': length(p_type), 'c': 'p_type'}]), lambda x: x.c)[1] largest FROM part")
-def largest_first_columns(spark, d):
-    by_size = F.sort_array(F.array(*[F.struct(F.length(c).alias("n"), F.lit(c).alias("c")) for c in ("p_name", "p_brand", "p_type")]), asc=False)
-    return _t(spark, d, "part").select("p_partkey", by_size[0]["c"].alias("largest"))
-
-
 @query(f"SELECT page_id, array_to_string(list_filter(list_sort(list_distinct(string_split({_PATH}, '/'))), lambda x: x NOT IN ('', 'en')), ',') parts FROM pages")
 def array_difference(spark, d):
     parts = F.array_except(F.array_distinct(F.split(paths.url_path(F.col("url")), "/")), F.array(F.lit(""), F.lit("en")))
     return _t(spark, d, "pages").select("page_id", F.array_join(F.array_sort(parts), ",").alias("parts"))
 
 
-@query("SELECT c_custkey, '`' || replace(c_name, '`', '``') || '`' AS quoted, sha1(c_name) h1, sha256(c_name) h2 FROM customer")
-def identifiers_and_hashes(spark, d):
-    raw = F.col("c_name").cast("binary")
-    return _t(spark, d, "customer").select("c_custkey", encode.quoted(F.col("c_name")).alias("quoted"), F.sha1(raw).alias("h1"), F.sha2(raw, 256).alias("h2"))
-
-
 @query(f"""WITH t AS (SELECT text || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(12) WHEN 2 THEN chr(127) ELSE '' END || repeat('x', 70) v, doc_id % 4 k FROM (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 20), '[^ -~]', '', 'g') AS text FROM documents))
  SELECT k, count(*) n, count(*) FILTER (WHERE regexp_matches(v, '[\x00-\x08\x0B\x0E-\x1F\x7F]')) n_binary FROM t GROUP BY k""")
 def text_sniff(spark, d):
@@ -486,13 +410,6 @@ def duty_pause(spark, d):
     return _t(spark, d, "events").select("event_id", adaptive.pause(elapsed, F.col("event_id") % 13 == 0).alias("pause"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, CAST(count(*) AS BIGINT) AS columns, max(column_name) last_name FROM (DESCRIBE {t})" for t in _TABLES))
-def column_metadata(spark, d):
-    rows = [(t, c["ordinal"], c["name"]) for t in _TABLES for c in scans.columns_of(_t(spark, d, t))]
-    c = spark.createDataFrame(rows, "name string, ordinal int, col string")
-    return c.groupBy("name").agg(F.count("*").alias("columns"), F.max("col").alias("last_name"))
-
-
 @query(f"""WITH {_MAPPING}, x AS (SELECT page_id, url, arg_min(f, ord) f, arg_min(t, ord) t FROM pages LEFT JOIN m ON regexp_replace(url, '[?#].*$', '') = f OR starts_with(regexp_replace(url, '[?#].*$', ''), f || '/') GROUP BY page_id, url),
  y AS (SELECT page_id, CASE WHEN f IS NULL THEN url ELSE t || substr(url, length(f) + 1) END new_url FROM x)
  SELECT 'page_id' AS "column", 'number' kind, CAST(page_id AS VARCHAR) AS value FROM y UNION ALL SELECT 'url', 'base64', new_url FROM y""")
@@ -503,9 +420,6 @@ def rewrite_dump(spark, d):
     return dump.select(F.explode(sqltext.parsed(F.col("sql"))).alias("c")).select("c.column", "c.kind", "c.value")
 
 
-# Queries of formats that SQL cannot parse: tests hold them against golden vectors.
-
-
 @query("SELECT page_id, '/php' path, 0 AS ord, url leaf FROM pages")
 def php_leaves(spark, d):
     p = _t(spark, d, "pages").select("page_id", F.concat(F.lit('a:1:{s:3:"url";s:'), F.octet_length("url"), F.lit(':"'), F.col("url"), F.lit('";}')).alias("v"))
@@ -531,17 +445,168 @@ def insert_dump(spark, d):
     return encode.insert_statements(_t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), "customer", ["c_custkey"]).select("stmt_no", "sql")
 
 
-@query()
-def split_statements(spark, d):
-    dump = insert_dump(spark, d).select(F.sha1("sql").alias("source"), F.concat(F.lit("-- rows; of a part\n"), "sql", F.lit("\nSELECT 'a;b';")).alias("value"))
-    return sqltext.statements(dump)
-
-
 @query("SELECT 'customer' AS \"table\", 'c_custkey' AS \"column\", 'number' kind, CAST(c_custkey AS VARCHAR) AS value FROM customer UNION ALL SELECT 'customer', 'c_name', 'base64', c_name FROM customer UNION ALL SELECT 'customer', 'c_nationkey', 'number', CAST(c_nationkey AS VARCHAR) FROM customer")
 def parse_insert(spark, d):
     return insert_dump(spark, d).select(F.explode(sqltext.parsed(F.col("sql"))).alias("c")).select("c.table", "c.column", "c.kind", "c.value")
 
 
+# Rows at the edges beside those of the tables.
+
+
+@query("SELECT event_id, event_type FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END event_type FROM events) WHERE event_type IS NULL OR event_type <> 'click'")
+def row_exclusion_null_safe(spark, d):
+    rows = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"))
+    return scans.exclude(rows, "event_type", "click")
+
+
+@query("SELECT count(*) n, CAST(sum(doc_id) AS BIGINT) ids FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || 'http://x.test' ELSE text END AS t FROM documents) WHERE regexp_matches(base64(encode(t)), 'aHR0|dHA6|dHBz|dHRw')")
+def base64_prefilter(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("http://x.test"))).otherwise(F.col("text"))
+    hits = _t(spark, d, "documents").where(encode.may_hold_url(encode.to_base64(text)))
+    return hits.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+_PRIORITY = "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE o_orderpriority END"
+
+
+@query(f"""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ',' || CASE WHEN p IS NULL THEN 'NULL' WHEN p = '' THEN '''''' ELSE 'FROM_BASE64(''' || base64(encode(p)) || ''')' END || ',' || CASE WHEN p IS NULL THEN 'NULL' ELSE CAST(CAST(p = '' AS INT) AS VARCHAR) END row_sql
+ FROM (SELECT o_orderkey, {_PRIORITY} p FROM orders)""")
+def typed_literals(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.expr(_PRIORITY).alias("p"))
+    parts = [(F.col("o_orderkey"), T.LongType()), (F.col("p"), T.StringType()), (F.col("p") == "", T.BooleanType())]
+    return o.select("o_orderkey", F.concat_ws(",", *[encode.literal(c, kind) for c, kind in parts]).alias("row_sql"))
+
+
+@query("SELECT c_custkey, '`' || replace(n, '`', '``') || '`' AS quoted, sha1(n) h1, sha256(n) h2 FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '`x' ELSE c_name END n FROM customer)")
+def identifiers_and_hashes(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("`x"))).otherwise(F.col("c_name")).alias("n"))
+    raw = F.col("n").cast("binary")
+    return c.select("c_custkey", encode.quoted(F.col("n")).alias("quoted"), F.sha1(raw).alias("h1"), F.sha2(raw, 256).alias("h2"))
+
+
+@query("SELECT c_custkey k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0")
+def x_except(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_custkey"))
+
+
+# Reports.
+
+
+@query("SELECT user_id, count(*) changes FROM events e WHERE event_id > coalesce((SELECT max(event_id) FROM events s WHERE s.user_id = e.user_id AND s.event_id % 9 = 0), -1) GROUP BY user_id")
+def volatile_counts(spark, d):
+    return reports.open_changes(_t(spark, d, "events"), "user_id", "event_id", F.col("event_id") % 9 == 0)
+
+
+@query("""WITH n AS (SELECT source, lang, count(*) c, min(doc_id) k FROM documents GROUP BY source, lang), s AS (SELECT *, round(c / CAST(sum(c) OVER (PARTITION BY source) AS DOUBLE), 6) score FROM n)
+ SELECT source, coalesce(arg_max(lang, struct_pack(a := score, b := -k)) FILTER (WHERE score >= 0.5), 'other') lang, coalesce(max(score) FILTER (WHERE score >= 0.5), 0.0) score FROM s GROUP BY source""")
+def score_argmax(spark, d):
+    n = _t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("c"), F.min("doc_id").alias("k"))
+    total = F.sum("c").over(Window.partitionBy("source"))
+    scored = n.select("source", "lang", "k", F.round(F.col("c") / total, 6).alias("score"))
+    return reports.best_scored(scored, ["source"], "lang", "score", "k")
+
+
+@query(f"SELECT to_json(list(DISTINCT o ORDER BY o)) domains FROM (SELECT {_ORIGIN} o FROM pages UNION ALL SELECT 'https://known.test') WHERE o <> ''")
+def domain_list(spark, d):
+    return reports.sorted_domains(_t(spark, d, "pages").select(paths.origin(F.col("url")).alias("origin")), known=["https://known.test"])
+
+
+@query("""SELECT doc_id, CAST(length(t) - length(replace(t, chr(10), '')) AS BIGINT) AS "lines", CAST(len(list_filter(regexp_extract_all(substr(hex(encode(t)), 1, 1000), '..'), lambda x: x = '0A')) AS BIGINT) early FROM (SELECT doc_id, coalesce(text, '') t FROM documents)""")
+def line_counts(spark, d):
+    return _t(spark, d, "documents").select("doc_id", reports.newlines(F.col("text")).alias("lines"), reports.newlines(F.col("text"), 500).alias("early"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(list_sort([{'n': -length(p_name), 'i': 0, 'c': 'p_name'}, {'n': -length(p_brand), 'i': 1, 'c': 'p_brand'}, {'n': -length(p_type), 'i': 2, 'c': 'p_type'}]), lambda x: x.c), ',') AS names FROM part""")
+def largest_first_columns(spark, d):
+    sizes = {c: F.length(c) for c in ("p_name", "p_brand", "p_type")}
+    return _t(spark, d, "part").select("p_partkey", F.array_join(reports.largest_first(sizes), ",").alias("names"))
+
+
+_COLUMNS = [("wp_posts", "post_content"), ("posts", "post_title"), ("comments", "comment_content"), ("x_posts", "post_content"), ("wp_term_taxonomy", "description")]
+
+
+@query("SELECT tab, col, CASE WHEN tab = 'x_posts' OR col = 'post_title' THEN NULL ELSE 'block_markup' END kind FROM (VALUES " + ", ".join(map(str, _COLUMNS)) + ") v(tab, col)")
+def column_hint_join(spark, d):
+    return reports.hinted(spark.createDataFrame(_COLUMNS, "tab string, col string"), {k: "block_markup" for k in sqltext.MARKUP})
+
+
+_DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "binary": "BLOB", "array<float>": "FLOAT[]", "array<double>": "DOUBLE[]"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, column_name col, replace(column_type, ' WITH TIME ZONE', '') kind FROM (DESCRIBE {t})" for t in _TABLES))
+def column_metadata(spark, d):
+    rows = [(t, c["name"], _DUCK_TYPES.get(c["type"], c["type"])) for t in _TABLES for c in scans.columns_of(_t(spark, d, t))]
+    return spark.createDataFrame(rows, "name string, col string, kind string")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS source, stmt_no, sql FROM (
+ SELECT doc_id, CAST(0 AS BIGINT) stmt_no, '-- rows; of ' || lang || chr(10) || 'INSERT INTO `t;` (a) VALUES (''' || source || ';''''x'');' AS sql FROM documents
+ UNION ALL SELECT doc_id, 1, chr(10) || '/* ; */ SELECT ";";' FROM documents)""")
+def split_statements(spark, d):
+    line = F.concat(F.lit("-- rows; of "), "lang", F.lit("\nINSERT INTO `t;` (a) VALUES ('"), "source", F.lit(";''x');\n/* ; */ SELECT \";\";\n# end;"))
+    texts = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), line.alias("value"))
+    return sqltext.statements(texts).select("source", "stmt_no", "sql")
+
+
+@query("SELECT lang, 2 * count(*) AS \"statements\", count(*) inserts, count(*) payloads FROM documents GROUP BY lang")
+def statement_counts(spark, d):
+    line = F.concat(F.lit("-- a;\nINSERT INTO t (a) VALUES (FROM_BASE64('"), encode.to_base64(F.col("source")), F.lit("'));\nUPDATE t SET a = 'INSERT;';"))
+    found = sqltext.statements(_t(spark, d, "documents").select(F.col("lang").alias("source"), line.alias("value")))
+    return reports.statement_counts(found.withColumnRenamed("source", "lang"), ["lang"]).drop("bytes")
+
+
+@query("""SELECT event_id, '/json' path, 0 AS ord, event_type leaf FROM events UNION ALL SELECT event_id, '/json', 1, CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT event_id, '/json/json', 2, 'in "' || event_type || '"' FROM events""")
+def json_leaves(spark, d):
+    inner = F.to_json(F.array(F.concat(F.lit('in "'), "event_type", F.lit('"'))))
+    value = F.to_json(F.struct("event_type", F.col("event_id").alias("n"), F.array(F.struct(F.col("user_id").cast("string").alias("u"))).alias("list"), inner.alias("json")))
+    return _t(spark, d, "events").select("event_id", F.explode(nested.string_leaves(value)).alias("x")).select("event_id", "x.path", "x.ord", "x.leaf")
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) n_bytes FROM documents WHERE text IS NOT NULL")
+def dump_fragments(spark, d):
+    """Whole texts go out as INSERTs and the UPDATEs of oversized cells, and are measured as they come back."""
+    rows = dump.fragments(_t(spark, d, "documents").select("doc_id", "text"), "documents", ["doc_id"], limit=8192)
+    cells = rows.where("section = 2").select(F.explode(F.regexp_extract_all("sql", F.lit(r"\((\d+,(?:FROM_BASE64\('[^']*'\)|''|NULL))\)"), 1)).alias("c"))
+    payload = r"FROM_BASE64\('([^']*)'"
+    sent = cells.select(F.substring_index("c", ",", 1).alias("doc_id"), F.regexp_extract("c", payload, 1).alias("b"), F.endswith("c", F.lit("NULL")).alias("none"))
+    more = rows.where("section = 3").select(F.regexp_extract("sql", r"= (\d+);$", 1).alias("doc_id"), F.regexp_extract("sql", payload, 1).alias("b"), F.lit(False).alias("none"))
+    size = F.coalesce(F.octet_length(encode.from_base64(F.col("b"))), F.lit(0)).cast("long")
+    return sent.unionByName(more).where("NOT none").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(size).alias("n_bytes"))
+
+
+@query(f"""SELECT page_id, CASE WHEN p = '/en' OR starts_with(p, '/en/') THEN '/real/en2' || substr(p, 4) WHEN p = '/fr' OR starts_with(p, '/fr/') THEN NULL ELSE p END canonical
+ FROM (SELECT page_id, '/' || array_to_string(list_filter(string_split({_PATH}, '/'), lambda x: x <> '' AND x <> '.'), '/') p FROM pages)""")
+def canonical_paths(spark, d):
+    links = spark.createDataFrame([("/en", "w/en2"), ("/w", "/real"), ("/fr", "fr2"), ("/fr2", "/fr")], "path string, target string")
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return trees.canonical(p, links).select("page_id", "canonical")
+
+
+@query(f"WITH {_SIDES} SELECT o_orderkey, CASE WHEN op = 'delete' THEN 'file_missing' ELSE 'file_changed' END error, local_price expected, remote_price actual FROM d WHERE op = 'delete' OR (op <> 'add' AND local_price <> remote_price)")
+def changed_while_reading(spark, d):
+    return reports.changed_since(_local(spark, d), _remote(spark, d), "o_orderkey", "price")
+
+
+@query("SELECT o_orderkey path, o_orderpriority AS \"type\", o_orderstatus local_type, CASE WHEN o_orderstatus = 'dir' THEN 'rmtree' ELSE 'unlink' END step FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'dir' ELSE 'file' END o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 'dir' ELSE 'file' END o_orderpriority FROM orders) WHERE o_orderstatus <> o_orderpriority")
+def type_swaps(spark, d):
+    kind = lambda n: F.when(F.col("o_orderkey") % n == 0, "dir").otherwise("file").alias("type")
+    path = F.col("o_orderkey").alias("path")
+    return trees.blockers(_t(spark, d, "orders").select(path, kind(3)), _t(spark, d, "orders").select(path, kind(2)))
+
+
+@query(f"""SELECT page_id, CASE WHEN p = '/en' OR starts_with(p, '/en/') THEN '/flat/english' || substr(p, 4) WHEN p = '/fr' OR starts_with(p, '/fr/') THEN '/flat' || substr(p, 4) END placed FROM (SELECT page_id, {_PATH} p FROM pages)""")
+def flat_layout(spark, d):
+    p = _t(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return trees.flat_layout(p, "/flat/", [("/en", "english"), ("/fr/", "")]).select("page_id", "placed")
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size || ' B' WHEN 1 THEN p_size || '.5 KB' ELSE p_size || '.0 GB' END AS size FROM part")
+def size_texts(spark, d):
+    n = F.col("p_size").cast("long")
+    b = F.when(n % 3 == 0, n).when(n % 3 == 1, n * 1024 + 512).otherwise(n * (1 << 30))
+    return _t(spark, d, "part").select("p_partkey", encode.size_text(b).alias("size"))
+
+
 # Extensions: what Spark gives beyond the parity set.
 
 
@@ -563,10 +628,6 @@ def x_window_topk(spark, d):
     return _t(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("long").alias("r")).where("r <= 3")
 
 
-@query("SELECT c_custkey k FROM customer EXCEPT SELECT o_custkey FROM orders")
-def x_except(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select("o_custkey"))
-
 @query("SELECT user_id, count(*) sessions, CAST(max(n) AS BIGINT) longest FROM (SELECT user_id, s, count(*) n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END f FROM events)) GROUP BY user_id, s) GROUP BY user_id")
 def x_session_windows(spark, d):
     s = _t(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
@@ -589,7 +650,6 @@ def x_intersect(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(_t(spark, d, "orders").select("o_custkey"))
 
 
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -11,20 +11,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SKIP = re.compile(r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|`(?:[^`]|``)*+`|--(?=[ \t\r\n]|\Z)[^\n]*|\#[^\n]*|/\*.*?\*/|(;)|(?P<open>['"`]|/\*)""", re.S)
+from tidewater.functions.encode import may_hold_url
+
+#: Up to the next ';' outside quotes and comments, in one match; two quotes inside a string end it and begin the next.
+_STATEMENT = re.compile(
+    r"""(?:[^'"`;#/-]++|'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|`[^`]*+`|--(?=[ \t\r\n]|\Z)[^\n]*+|-|\#[^\n]*+|/\*.*?\*/|/(?!\*))*+;""",
+    re.S,
+)
 _COMMENTS = re.compile(r"(?:\s|--(?=[ \t\r\n]|\Z)[^\n]*|#[^\n]*|/\*(?!!).*?\*/)*", re.S)
 
 
 def split(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, statement), cut at top-level ';'. Leading comments and space stay with the statement that follows."""
     start = 0
-    for m in _SKIP.finditer(text):
-        if m["open"]:
-            break  # a quote or comment that does not end: the rest is one statement
-        if m[1]:
-            if _COMMENTS.match(text, start).end() < m.start():
-                yield start, m.end(), text[start : m.end()]
-            start = m.end()
+    # Without a match the rest has no end, or a quote or comment that does not: it is one statement.
+    while m := _STATEMENT.match(text, start):
+        if _COMMENTS.match(text, start).end() < m.end() - 1:
+            yield start, m.end(), m[0]
+        start = m.end()
     if start < len(text) and _COMMENTS.match(text, start).end() < len(text):
         yield start, len(text), text[start:]
 
@@ -187,7 +191,6 @@ def hint(table: str, column: str, prefix: str = "wp_", own: dict[tuple[str, str]
 
 _PAYLOAD = re.compile(r"""\bFROM_BASE64\s*\(\s*'([^']*)'\s*\)|'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|`(?:[^`]|``)*`|--(?=[ \t\r\n]|\Z)[^\n]*|\#[^\n]*|/\*.*?\*/""", re.I | re.S)
 _CALL = re.compile("from_base64", re.I)
-_MARKS = ("aHR0", "dHA6", "dHBz", "dHRw")
 
 
 def rewrite_statement(sql: str, edit: Callable[[str, str | None], str], own: dict[tuple[str, str], str] | None = None) -> str:
@@ -195,7 +198,7 @@ def rewrite_statement(sql: str, edit: Callable[[str, str | None], str], own: dic
 
     A payload in a value of a known column, alone or inside an expression, has that column's content type.
     """
-    if not any(m in sql for m in _MARKS) or not _CALL.search(sql):
+    if not ("aHR0" in sql or "dHA6" in sql or "dHBz" in sql or "dHRw" in sql) or not _CALL.search(sql):
         return sql
     table, ranges = places(sql) or ("", [])
     begins, spots = [r[0] for r in ranges], []
@@ -259,4 +262,6 @@ def rewritten(dump: DataFrame, mapping: list[tuple[str, str]], sql: str = "sql")
         return s.map(lambda t: rewrite_statement(t, edit.value) if isinstance(t, str) else None)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return dump.withColumn(sql, F.pandas_udf(run, "string")(sql))
+    # Statements that can hold no URL stay in the JVM.
+    moved = F.pandas_udf(run, "string")(F.when(may_hold_url(F.col(sql)), F.col(sql)))
+    return dump.withColumn(sql, F.coalesce(moved, sql))
