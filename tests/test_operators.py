@@ -137,3 +137,18 @@ def test_null_keys_of_a_diff(spark):
     a = spark.createDataFrame([(1, "x"), (None, "x")], "k int, v string")
     got = sorted((str(r.k), r.op) for r in snapshots.diff(a, spark.createDataFrame([(1, "y"), (None, "z")], "k int, v string"), "k", ["v"]).collect())
     assert got == [("1", "change"), ("None", "add"), ("None", "delete")]
+
+
+def test_few_and_many_rules_agree(spark):
+    p = spark.createDataFrame([("/a/b",), ("/a",), ("/ab",), ("/a/",), ("/",), (None,), ("/c//d",)], "path string")
+    rules = spark.createDataFrame([("/", "/r"), ("/a/", "/x"), ("/a", "/w"), ("/c/", None), ("/a/b/c", "/y")], "source string, target string")
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert rows(routing.longest_prefix(p, rules)) == rows(routing.longest_prefix(p, rules, few=0))
+    own = rules.where("source <> '/'").select(F.col("source").alias("prefix"))
+    for how in ("left_semi", "left_anti"):
+        assert rows(routing.under_any(p, own, how=how)) == rows(routing.under_any(p, own, how=how, few=0))
+    m = spark.createDataFrame([(2, "https://x.test", "https://n.test/q"), (1, "https://x.test/a/", "https://n.test/a"), (0, "https://x.test/a/b", "https://n.test/b/")], "ord int, `from` string, `to` string")
+    u = spark.createDataFrame([("https://x.test/a/b?c",), ("https://x.test/a",), ("https://X.test:443/z#/a/b",), ("https://y.test/",), (None,)], "url string")
+    assert rows(routing.first_mapping(u, m)) == rows(routing.first_mapping(u, m, few=0))
+    plan = routing.longest_prefix(p, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -1,12 +1,17 @@
-"""Prefix routing: equi-joins on exploded ancestors, so no nested loops over paths."""
+"""Prefix routing: a few rules are looked up in a literal map, with no shuffle; more are met by equal joins on exploded ancestors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewater.operators.lineage import cut
 
+#: Most rules that go into a plan as a literal; beyond, they are joined.
+FEW = 500
+
 
 def ancestors(path: Column) -> Column:
     """The path and every directory above it, the root as ''."""
@@ -24,10 +29,27 @@ def within(path: Column, root: Column | str) -> Column:
     return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
 
 
-def longest_prefix(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
-    """Add ``target`` of the longest rule (source, target) that is the path or above it; null where none is."""
+def _met(path: Column, keys: Sequence[str], values: Sequence[Column]) -> Column:
+    """Values of the keys that are the path or above it, the topmost first."""
+    known = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*values))
+    return F.filter(F.transform(ancestors(path), lambda a: F.try_element_at(known, a)), lambda v: v.isNotNull())
+
+
+def _few(rules: DataFrame, few: int) -> list[Row] | None:
+    """The rules, at least one and at most ``few``; null otherwise."""
+    rows = rules.limit(few + 1).collect()
+    return rows if 0 < len(rows) <= few else None
+
+
+def longest_prefix(paths: DataFrame, rules: DataFrame, path: str = "path", few: int = FEW) -> DataFrame:
+    """Add ``source``, ``target`` of the longest rule that is the path or above it; null where none is."""
+    if found := _few(rules.select("source", "target").where("source IS NOT NULL"), few):
+        last = {r.source.rstrip("/"): r for r in sorted(found, key=lambda r: (len(r.source), r.source, str(r.target)))}
+        values = [F.struct(F.lit(r.source).alias("source"), F.lit(r.target).cast("string").alias("target")) for r in last.values()]
+        rule = F.try_element_at(_met(bare(F.col(path)), list(last), values), F.lit(-1))
+        return paths.withColumn("_rule", rule).select(*paths.columns, F.col("_rule.source").alias("source"), F.col("_rule.target").alias("target"))
     up = paths.select(path).distinct().select(path, F.explode(ancestors(bare(F.col(path)))).alias("_at"))
-    best = up.join(rules.select("source", "target", bare(F.col("source")).alias("_at")), "_at").groupBy(path).agg(F.max_by(F.struct("source", "target"), F.length("source")).alias("rule"))
+    best = up.join(rules.select("source", "target", bare(F.col("source")).alias("_at")), "_at").groupBy(path).agg(F.max_by(F.struct("source", "target"), F.struct(F.length("source"), "source", "target")).alias("rule"))
     return paths.join(best, path, "left").select(*[paths[c] for c in paths.columns], F.col("rule.source").alias("source"), F.col("rule.target").alias("target"))
 
 
@@ -43,8 +65,12 @@ def only(paths: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame
     return under_any(paths, prefixes, path) if prefixes.limit(1).count() else paths
 
 
-def under_any(paths: DataFrame, prefixes: DataFrame, path: str = "path", how: str = "left_semi") -> DataFrame:
-    """Rows whose path is, or lies under, a prefix (``left_anti``: none)."""
+def under_any(paths: DataFrame, prefixes: DataFrame, path: str = "path", how: str = "left_semi", few: int = FEW) -> DataFrame:
+    """Rows whose path is, or lies under, a prefix (``left_anti``: none; null paths lie under none)."""
+    if found := _few(prefixes.select("prefix").where("prefix IS NOT NULL"), few):
+        own = sorted({r.prefix.rstrip("/") for r in found})
+        hit = F.coalesce(F.arrays_overlap(ancestors(bare(F.col(path))), F.array(*map(F.lit, own))), F.lit(False))
+        return paths.where(hit if how == "left_semi" else ~hit)
     hit = paths.select(path).distinct().select(path, F.explode(ancestors(bare(F.col(path)))).alias("prefix")).join(prefixes.select(bare(F.col("prefix")).alias("prefix")), "prefix", "left_semi")
     return paths.join(hit.select(path).distinct(), path, how)
 
@@ -57,18 +83,22 @@ def minimal(prefixes: DataFrame) -> DataFrame:
     return own.join(covered, "prefix", "left_anti").select(F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix")).alias("prefix"))
 
 
-def first_mapping(urls: DataFrame, mapping: DataFrame, url: str = "url") -> DataFrame:
+def first_mapping(urls: DataFrame, mapping: DataFrame, url: str = "url", few: int = FEW) -> DataFrame:
     """Add ``new_url``: the URL under the first mapping (ord, from, to) by ``ord`` that is it or a parent of it at a '/'.
 
     Case of scheme and host, and the standard port, do not tell URLs apart, nor does a slash at a rule's end.
     """
     plain = F.regexp_replace(url_key(F.col(url)), "[?#].*$", "")
-    up = urls.select(url).distinct().select(url, F.explode(ancestors(plain)).alias("from"))
     rules = mapping.select("ord", bare(url_key(F.col("from"))).alias("from"), bare(F.col("to")).alias("to"))
+    move = lambda m: F.when(m.isNotNull(), F.concat(m["to"], F.substring(url_key(F.col(url)), F.length(m["from"]) + 1, F.length(url)))).otherwise(F.col(url))
+    if found := _few(rules.where("`from` IS NOT NULL"), few):
+        first = {r["from"]: r for r in sorted(found, key=lambda r: r.ord, reverse=True)}
+        values = [F.struct(F.lit(r.ord).alias("ord"), F.lit(k).alias("from"), F.lit(r.to).cast("string").alias("to")) for k, r in first.items()]
+        return urls.withColumn("_m", F.array_min(_met(plain, list(first), values))).select(*urls.columns, move(F.col("_m")).alias("new_url"))
+    up = urls.select(url).distinct().select(url, F.explode(ancestors(plain)).alias("from"))
     best = up.join(rules, "from").groupBy(url).agg(F.min_by(F.struct("from", "to"), "ord").alias("m"))
     joined = urls.join(best, url, "left")
-    moved = F.when(F.col("m").isNotNull(), F.concat(F.col("m.to"), F.substring(url_key(F.col(url)), F.length("m.from") + 1, F.length(url)))).otherwise(F.col(url))
-    return joined.select(*[urls[c] for c in urls.columns], moved.alias("new_url"))
+    return joined.select(*[urls[c] for c in urls.columns], move(F.col("m")).alias("new_url"))
 
 
 def url_key(url: Column) -> Column:
