@@ -20,10 +20,12 @@ import html as html_lib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,23 +53,53 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def parse(data: bytes) -> Iterator[Record]:
-    """Records of a WARC file, gzipped by record, as a whole, or not at all."""
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while line := f.readline():
-        if not line.startswith(b"WARC/"):
+#: What stands between records, with the part of the version line that all versions share.
+SEPARATOR = b"\r\n\r\nWARC/1."
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[Record]:
+    """Records of a WARC file from its pieces between separators; a block that holds a separator is put together again.
+
+    A piece that is no record is passed over; a block that the file cuts short is what there is of it.
+    """
+    held: list[bytes] = []
+    size, wanted = 0, 0
+    for piece in pieces:
+        if held and size < wanted:
+            held.append(SEPARATOR + piece)
+            size += len(SEPARATOR) + len(piece)
             continue
-        fields: dict[str, str] = {}
-        last = None
-        while (line := f.readline()) not in (b"\r\n", b"\n", b""):
-            text = line.decode("utf-8", "replace").rstrip("\r\n")
-            if text[:1] in (" ", "\t") and last:
-                fields[last] += " " + text.strip()
-            elif ":" in text:
-                last, _, value = text.partition(":")
-                fields[last] = value.strip()
-        length = next((int(v) for k, v in fields.items() if k.lower() == "content-length" and v.isdigit()), 0)
-        yield Record({k: v for k, v in fields.items() if k.lower() != "content-length"}, f.read(length))
+        if held:
+            yield _record(b"".join(held))
+        held, size, wanted = [], len(piece), 0
+        head = re.match(rb"(?:WARC/1\.)?\d+\r?\n(.*?)(?:\r?\n\r?\n|\Z)", piece, re.S)
+        if head:
+            held = [piece]
+            length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head[1])
+            wanted = head.end() + int(length[1]) if length else 0
+    if held:
+        yield _record(b"".join(held))
+
+
+def parse(data: bytes) -> Iterator[Record]:
+    """Records of a small WARC file, gzipped or not."""
+    return records((gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).split(SEPARATOR))
+
+
+def _record(data: bytes) -> Record:
+    f = io.BytesIO(data)
+    f.readline()
+    fields: dict[str, str] = {}
+    last = None
+    while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[:1] in (" ", "\t") and last:
+            fields[last] += " " + text.strip()
+        elif ":" in text:
+            last, _, value = text.partition(":")
+            fields[last] = value.strip()
+    length = next((int(v) for k, v in fields.items() if k.lower() == "content-length" and v.isdigit()), 0)
+    return Record({k: v for k, v in fields.items() if k.lower() != "content-length"}, f.read(length))
 
 
 def split_http(block: bytes) -> tuple[str | None, list[tuple[str, str]], bytes]:
@@ -114,17 +146,51 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files under ``path``; a file is read by one task, so files are its bound."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
-            for data in x.content:
-                rows = [(r.fields.get("WARC-Record-ID"), r.fields.get("WARC-Target-URI"), r.fields.get("WARC-Date"), r.block) for r in parse(data) if r.fields.get("WARC-Type") == "response"]
-                for at in range(0, len(rows), 200):
-                    yield pd.DataFrame(rows[at : at + 200], columns=["record_id", "target_uri", "date", "block"])
-
-    small_batches(spark, 1)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record_id string, target_uri string, date string, block binary")
+    """Response records of WARC files under ``path``, plain or gzipped (.gz), by record or as a whole.
+
+    Spark's text reader cuts the files between records, so plain files are read by splits and no file is held whole. A
+    plain file that holds a whole other WARC file as a block may give its records too, where a split begins inside it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[str] = []
+
+        def one_file() -> Iterator[bytes]:
+            while queue and queue[0][0] == last[0]:
+                yield queue.popleft()[1]
+                if not queue:
+                    more()
+
+        def more() -> None:
+            for b in batches:
+                queue.extend(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+                if queue:
+                    return
+
+        queue: deque[tuple[str, bytes]] = deque()
+        more()
+        while queue:
+            last[:] = [queue[0][0]]
+            rows, size = [], 0
+            for r in records(one_file()):
+                if r.fields.get("WARC-Type") == "response":
+                    rows.append((r.fields.get("WARC-Record-ID"), r.fields.get("WARC-Target-URI"), r.fields.get("WARC-Date"), r.block))
+                    size += len(r.block)
+                if size > 32 << 20 or len(rows) >= 1000:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    names = ["record_id", "target_uri", "date", "block"]
+    kinds = [pa.string()] * 3 + [pa.binary()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    small_batches(spark, 500)
+    pieces = spark.read.option("lineSep", SEPARATOR.decode()).text(path)
+    pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(run, "record_id string, target_uri string, date string, block binary")
 
 
 def derivatives(source: DataFrame, carry: str | None = None, serialized: bool = True) -> DataFrame:
