@@ -67,19 +67,22 @@ def canonical(paths: DataFrame, links: DataFrame, path: str = "path") -> DataFra
 
     A round follows the topmost link of each path, found among its ancestors by an equal join.
     """
-    rules = links.select(bare(F.col("path")).alias("_at"), p.resolved(p.dirname(F.col("path")), F.col("target")).alias("_to"))
-    at = cut(paths.select(F.col(path).alias("_p"), p.normalized(F.col(path)).alias("_c")).distinct())
-    for _ in range(MOST_FOLLOWED):
-        up = at.where("_c IS NOT NULL").select("_p", "_c", F.explode(ancestors(F.col("_c"))).alias("_at"))
+    to = p.resolved(p.dirname(F.col("path")), F.col("target"))
+    rules = links.select(bare(F.col("path")).alias("_at"), F.when(~within(to, bare(F.col("path"))), to).alias("_to"))
+    none = F.array().cast("array<string>")
+    at = cut(paths.select(F.col(path).alias("_p"), p.normalized(F.col(path)).alias("_c"), none.alias("_seen")).distinct())
+    done = at.where("false").select("_p", "_c")
+    for turn in range(MOST_FOLLOWED + 1):
+        up = at.select("_p", "_c", F.explode(ancestors(F.col("_c"))).alias("_at"))
         first = up.join(rules, "_at").groupBy("_p").agg(F.min_by(F.struct("_at", "_to"), F.length("_at")).alias("m"))
-        if not first.limit(1).count():
-            break
+        met = cut(at.join(first, "_p", "left"))
+        done = done.unionByName(met.where("m IS NULL").select("_p", "_c"))
         rest = F.substring(F.col("_c"), F.length("m._at") + 1, F.length("_c"))
-        at = cut(at.join(first, "_p", "left").select("_p", F.when(F.col("m").isNull(), F.col("_c")).otherwise(p.normalized(F.concat("m._to", rest))).alias("_c")))
-    else:
-        left = at.select("_p", "_c", F.explode(ancestors(F.col("_c"))).alias("_at")).join(rules, "_at", "left_semi").select("_p").distinct()
-        at = at.join(left.withColumn("_bad", F.lit(True)), "_p", "left").select("_p", F.when(F.col("_bad").isNull(), F.col("_c")).alias("_c"))
-    return paths.join(at, F.col(path) == F.col("_p"), "left").drop("_p").withColumnRenamed("_c", "canonical")
+        # A path that comes back to what it was, or to a link under itself, never ends.
+        at = met.where("m._to IS NOT NULL").select("_p", p.normalized(F.concat("m._to", rest)).alias("_c"), F.concat("_seen", F.array("_c")).alias("_seen")).where(~F.array_contains("_seen", F.col("_c")))
+        if turn == MOST_FOLLOWED or not at.limit(1).count():
+            break
+    return paths.join(done, F.col(path) == F.col("_p"), "left").drop("_p").withColumnRenamed("_c", "canonical")
 
 
 def listed_roots(wanted: DataFrame, scheduled: DataFrame, path: str = "path") -> DataFrame:
