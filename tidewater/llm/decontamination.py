@@ -114,12 +114,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item overlaps, with their own columns."""
-    found = staged(overlaps(docs, benchmark).select("doc_id").distinct(), "decontamination-found")
-    without_id = docs.where("doc_id is null")
-    if not without_id.limit(1).count():
-        return docs.join(maybe_broadcast(found), "doc_id", "left_anti")
-    # Rows without an id are told apart by their texts.
-    bad = hits(without_id.select("text").distinct(), benchmark, ["text"]).select("text").distinct()
-    kept = without_id.join(bad, without_id["text"].eqNullSafe(bad["text"]), "left_anti")
-    return docs.where("doc_id is not null").join(maybe_broadcast(found), "doc_id", "left_anti").unionByName(kept)
+    """The documents that no item overlaps, with their own columns.
+
+    Rows go by their id and a hash of their text, so other rows of an id, and of no id, stay.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    found = hits(rows, benchmark, ["doc_id", "key"]).select(F.col("doc_id").alias("leak_id"), F.col("key").alias("leak_key")).distinct()
+    found = staged(found, "decontamination-found")
+    same = docs["doc_id"].eqNullSafe(found["leak_id"]) & (F.xxhash64(docs["text"]) == found["leak_key"])
+    return docs.join(maybe_broadcast(found), same, "left_anti")
