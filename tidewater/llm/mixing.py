@@ -98,14 +98,22 @@ def plan(docs: DataFrame, size: Column | None = None) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the number of the copy (``copy``, or ``copy_`` where that name is taken)."""
-    chosen = plan(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    # Rows that agree in id, source and size share their copies: dealt out among them by number.
-    per = chosen.groupBy("_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    key = ["_id", "_source", "_size"]
+    rows = plan(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    # Rows that agree in id, source and size share their copies: as many each, and what is left over to the first by a hash of the text.
+    per = rows.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    per = staged(per.select(*key, F.floor(F.col("_copies") / F.col("_rows")).alias("_each"), (F.col("_copies") % F.col("_rows")).alias("_more")), "mix-copies")
     d = docs.select(F.struct("*").alias("_d"), F.col("doc_id").alias("_own_id"), F.col("source").alias("_own_source"), size_of(F.col("text")).alias("_own"))
     on = F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size"))
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
     name = "copy"
     while name in docs.columns:
         name += "_"
-    once = d.join(per, on).select("_d", F.explode(F.sequence(F.lit(1), each)).alias(name))
-    return once.select("_d.*", name)
+    taken = d.join(per.where("_more = 0"), on).select("_d", "_each")
+    uneven = per.where("_more > 0")
+    if uneven.limit(1).count():
+        shared = d.join(maybe_broadcast(uneven), on).select("_d", *key, F.xxhash64("_d.text").alias("_turn"), "_each", "_more")
+        shared = ranked(shared, [F.col(c) for c in (*key, "_turn")], key, "mix-shared")
+        each = F.col("_each") + F.when(F.col("rank") <= F.col("_more"), 1).otherwise(0)
+        taken = taken.unionByName(shared.select("_d", each.alias("_each")).where("_each > 0"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_each").cast("int"))).alias(name)
+    return taken.select("_d", copies).select("_d.*", name)
