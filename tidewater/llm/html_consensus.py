@@ -46,10 +46,30 @@ NEVER = SKIP - BLOCK
 HIDDEN = set("audio canvas datalist iframe object script style template title video".split())
 #: Classes, ids and roles, as whole words, of blocks that are not article text.
 SKIP_NAMES = set(
-    "ad ads adv advert advertisement adverts advertising aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer footers form gdpr header headers login masthead menu menus modal nav navbar navigation newsletter pager pagination popup "
+    "ad ads adv advert advertisement adverts advertising alertdialog aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
+    "dialog disqus footer footers form gdpr header headers login masthead menu menubar menus modal nav navbar navigation newsletter notice notices pager pagination popup "
     "promo promos related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
+#: Words that may be joined to such a name ("site-footer"); a name with any other word ("has-sidebar") tells of something else.
+SITE = set("bar bottom desktop fixed global inner main mobile outer primary secondary site sticky top wrap wrapper".split())
+JOINED = SITE | set(
+    "area article articles block body box button buttons container entry group icons item items left link links list message page panel post posts reader "
+    "readers right section slot text thread title unit user users zone".split()
+)
+_WORD = re.compile("[^a-z]+")
+
+
+def furniture(names: list[str]) -> bool:
+    """Whether a name is one of ``SKIP_NAMES``, or such names joined with words that say where or what kind.
+
+    A header is the page's only by the words of ``SITE``: the header of a section is the article's.
+    """
+    for name in names:
+        parts = {p for p in _WORD.split(name) if p}
+        skip = parts & SKIP_NAMES
+        if name in SKIP_NAMES or skip and parts - skip <= (SITE if skip <= {"header", "headers"} else JOINED):
+            return True
+    return False
 
 
 class Element:
@@ -135,7 +155,7 @@ def walk(source: str | None, whole: bool = False):
         if attrs and "=" in attrs:
             for a in _NAMES.finditer(attrs):
                 value = (a[2] or a[3] or a[4] or "").lower().split()
-                if not whole and name in BLOCK and name not in ("html", "body", "article", "main") and not SKIP_NAMES.isdisjoint(value):
+                if not whole and name in BLOCK and name not in ("html", "body", "article", "main") and furniture(value):
                     soft = True
                 if a[1].lower() == "class" and value:
                     kind = "." + re.sub(r"\d+", "", value[0])
