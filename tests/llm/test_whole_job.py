@@ -1,10 +1,12 @@
 """The whole job, where operators once did less: every overlap, whole articles and pages, every row."""
 
+import collections
 import itertools
+import random
 
 import numpy as np
 
-from tidewater.llm import decontamination, html_consensus, jaccard_join, license_scan, queries, warc
+from tidewater.llm import decontamination, html_consensus, jaccard_join, license_scan, mixing, queries, warc
 
 
 def docs(spark, texts):
@@ -115,3 +117,70 @@ def test_keep_one_by_row(spark):
     rows = [(1, one), (2, one), (2, two), (3, two), (2, three), (2, three), (None, one), (None, "x y z"), (None, "x y z"), (None, None)]
     kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (2, two), (2, three), (None, "x y z"), (None, None)], key=str)
+
+
+def test_html_skips_names_joined_of_furniture():
+    text = LONG.strip()
+    page = (
+        "<body><div class='cookie-notice'><p>We use cookies</p></div><div id=site_header>Top</div><div class='content'><div class=section-header><h2>H</h2></div>"
+        f"<p>{LONG}</p><div class='ad-slot2'>buy</div><p class=comment-free>e</p></div><section class='user-comments'><p>c</p></section><div role=contentinfo>f</div></body>"
+    )
+    assert html_consensus.extract(page, None) == f"H\n{text}\ne"
+    # Around the article, or most of a page's text, no name counts.
+    for name in ("main-sidebar", "comment-list"):
+        assert html_consensus.extract(f"<body><div class='{name}'><p>{LONG}</p></div><p>x</p></body>", None) == f"{text}\nx"
+
+
+def test_leaks_go_by_row(spark):
+    """Another text of a contaminated row's id stays, with an id and without one."""
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, item, "a"), (1, "other words here", "b"), (None, f"x {item} y", "c"), (None, "clean", "d"), (None, None, "e"), (2, item, "f"), (2, None, "g"), (2, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = decontamination.keep_clean(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert sorted(r.key for r in kept.collect()) == ["b", "d", "e", "g", "h"]
+
+
+def test_mix_deals_copies_of_equal_rows(spark):
+    """Rows that agree in id, source and size are taken as often together as the plan says."""
+    rows = [(i // 3, f"w{i} x y" if i % 2 else "a b c", "s" if i < 30 else None) for i in range(60)] + [(None, "p q", "t")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = collections.Counter(), collections.Counter()
+    for r in mixing.plan(docs).collect():
+        want[r.doc_id, r.source] += r.copies
+    out = mixing.mix(docs).collect()
+    for r in out:
+        got[r.doc_id, r.source] += 1
+    assert got == +want
+    assert sorted(out, key=str) == sorted(mixing.mix(docs).collect(), key=str)
+
+
+def distance(a, b, change):
+    """Edits between two strings; ``change`` is the cost of another letter."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (0 if x == y else change)))
+    return row[-1]
+
+
+def test_license_labels_against_edit_distance():
+    """Labels are those of the phrases that some run of words comes near enough to."""
+    rng = random.Random(5)
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            words += rng.choices(["alpha", "under", "the", "2", "by", "licence"], k=rng.randint(0, 4))
+            chars = list(rng.choice(license_scan.PHRASES)[0])
+            for _ in range(rng.randint(0, 3)):
+                at, kind = rng.randrange(len(chars)), rng.randrange(3)
+                chars[at : at + (kind < 2)] = [] if kind == 0 else [rng.choice("abt ")]
+            words += "".join(chars).split()
+        want = set()
+        for phrase, label, edits, limit in license_scan.PHRASES:
+            for a in range(len(words)):
+                for b in range(a + 1, len(words) + 1):
+                    span = " ".join(words[a:b])
+                    if abs(len(span) - len(phrase)) <= edits and distance(span, phrase, 9 if "s<=0" in limit else 1) <= edits:
+                        want.add(label)
+        assert {f[2] for f in license_scan.scan(" ".join(words))[1]} == want, words

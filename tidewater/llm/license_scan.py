@@ -13,6 +13,7 @@ their row; extra columns are ignored; whole texts are read and every place is co
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,27 @@ def pieces(phrase: bytes, edits: int) -> list[tuple[int, bytes]]:
 
 
 _PLAN = [
-    (p.encode(), len(p.split()), label, k, pieces(p.encode(), k), regex.compile(rf"(?<=[ ])(?:{p})".encode() + b"{" + limit.encode() + rb"}(?=[ ])", regex.BESTMATCH))
+    (p.encode(), len(p.split()), label, k, pieces(p.encode(), k), regex.compile(f"(?:{p}){{{limit}}}".encode(), regex.BESTMATCH))
     for p, label, k, limit in PHRASES
 ]
 
 
+def near(line: bytes, a: int, b: int, length: int, k: int, pattern: regex.Pattern) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the runs of whole words of a window that the pattern matches, none over another: fewest edits first, then the leftmost.
+
+    Each run of about the phrase's length is matched whole: a search may pass over one whose last word is missing.
+    """
+    cuts = [i for i in range(a, min(b, len(line))) if line[i] == 32]
+    runs = ((s + 1, e) for n, s in enumerate(cuts) for e in itertools.takewhile(lambda e: e - s - 1 <= length + k, cuts[n + 1 : n + 2 + length + k]) if e - s - 1 >= length - k)
+    matches = sorted((sum(m.fuzzy_counts), s, e) for s, e in runs if (m := pattern.fullmatch(line, s, e)))
+    kept: list[tuple[int, int, int]] = []
+    for m in matches:
+        at = bisect.bisect_left(kept, m[1], key=lambda x: x[1])
+        if (at == 0 or kept[at - 1][2] < m[1]) and (at == len(kept) or m[2] < kept[at][1]):
+            kept.insert(at, m)
+    return kept
+
+
 def scan(text: str | None) -> tuple[int, list[tuple[int, int, str, int]]]:
     """Number of words, and matches as (first word, last word, label, edits), exact ones with 0 edits."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
@@ -79,14 +96,8 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, int, str, int]]]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        taken = set(exact)
-        # The best match of a window first, then those of the parts before and after it.
-        while merged:
-            a, b = merged.pop()
-            if m := pattern.search(line, a, min(b, len(line))):
-                if m.start() not in taken and (edits := sum(m.fuzzy_counts)):
-                    found.append((word_at(m.start()), word_at(m.end() - 1), label, edits))
-                merged += [[a, m.start()], [m.end(), b]]
+        for a, b in merged:
+            found += [(word_at(s), word_at(e - 1), label, edits) for edits, s, e in near(line, a, b, len(phrase), k, pattern) if edits]
     return len(words), sorted(found)
 
 
