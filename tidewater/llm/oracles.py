@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing
+from . import centroids, decontamination, hard_negatives, jaccard_join, mixing
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -64,5 +64,42 @@ def overlaps() -> str:
  FROM v WHERE best >= ceil({decontamination.AGREE} * span) GROUP BY doc_id, item_id"""
 
 
+def _whole(dim: str = "") -> str:
+    """Quantised vectors of finite components."""
+    finite = "len([1 for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)"
+    return f"[CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] q FROM embeddings WHERE embedding IS NOT NULL AND {finite}{dim}"
+
+
+def clusters() -> str:
+    """Lloyd's rounds over all rows, one common table expression each."""
+    dim, k = centroids.DIM, centroids.CLUSTERS
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () rid, vec_id, {_whole(f' AND len(embedding) = {dim}')})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), q) - 1 k, q FROM v ORDER BY sha256('{centroids.SEED}:' || vec_id), q LIMIT {k})",
+    ]
+    for r in range(centroids.ROUNDS + 1):
+        far = f"CAST(list_sum([(v.q[i] - c.q[i]) * (v.q[i] - c.q[i]) for i in range(1, {dim + 1})]) AS BIGINT)"
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, min({{'d': {far}, 'k': c.k}}) m FROM v, c{r} c GROUP BY rid)")
+        if r < centroids.ROUNDS:
+            parts.append(f"s{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) q FROM (SELECT m.k k, i, sum(q[i]) s, count(*) n FROM a{r} JOIN v USING (rid), range(1, {dim + 1}) t(i) GROUP BY m.k, i) GROUP BY k)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, CAST(coalesce(s.q, c.q) AS BIGINT[]) q FROM c{r} c LEFT JOIN s{r} s ON c.k = s.k)")
+    last = centroids.ROUNDS
+    return f"""WITH {", ".join(parts)}
+ SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) inertia,
+ sha256(array_to_string(c.q, ',')) centroid_sha256, count(*) OVER (PARTITION BY v.q) multiplicity FROM v JOIN a{last} a USING (rid) JOIN c{last} c ON c.k = a.m.k"""
+
+
+def negatives() -> str:
+    """All scores of the anchors, ranked among equal and among other labels."""
+    h = hard_negatives
+    score = "CAST(list_sum([a.q[i] * b.q[i] for i in range(1, len(a.q) + 1)]) AS BIGINT)"
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, {_whole(" AND label IS NOT NULL AND vec_id IS NOT NULL")}),
+ s AS MATERIALIZED (SELECT a.rid, a.vec_id anchor_id, b.vec_id, a.label = b.label same, {score} score FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % {h.EVERY} = 0),
+ p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) pn FROM s WHERE same) WHERE pn <= {h.POSITIVES}),
+ n AS (SELECT p.anchor_id, p.vec_id positive_id, s.vec_id negative_id, p.score positive_score, s.score negative_score, row_number() OVER (PARTITION BY p.rid, pn ORDER BY s.score DESC, s.vec_id) rank
+   FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND {h.LEAST} * p.score <= 100 * s.score AND 100 * s.score <= {h.MOST} * p.score)
+ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {h.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mix(), "op7_ngram_jaccard_join": jaccard(), "op8_decontamination": overlaps()}
+    return {"op11_centroid_clustering": clusters(), "op12_hard_negatives": negatives(), "op2_source_mixing": mix(), "op7_ngram_jaccard_join": jaccard(), "op8_decontamination": overlaps()}

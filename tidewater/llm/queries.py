@@ -3,8 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import ann_tree, decontamination, html_consensus, jaccard_join, license_scan, mixing, oracles, quality, token_counts, toxicity, warc
+from pyspark.sql import functions as F
+
+from . import (
+    ann_tree,
+    centroids,
+    decontamination,
+    hard_negatives,
+    html_consensus,
+    jaccard_join,
+    license_scan,
+    mixing,
+    oracles,
+    packing,
+    quality,
+    token_counts,
+    toxicity,
+    warc,
+)
 from .common import Query, table
 
 
@@ -48,6 +64,19 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.shifted(table(spark, sf_dir, "embeddings")))
+
+
+def op13_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
