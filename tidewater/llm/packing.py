@@ -42,7 +42,9 @@ GROUP = 20_000
 #: Distinct words whose tokens a task keeps.
 KNOWN_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
-_PLAIN = re.compile(r"[\w!-~]")
+_CUT = re.compile(r"(?= [\w!-~])")
+#: Tokens of the words that this worker has met, by vocabulary.
+_known: dict[str, dict[str, bytes]] = {}
 
 
 def vocabulary() -> str:
@@ -55,37 +57,49 @@ def words_of(text: str) -> list[str]:
     """Stretches of the text that are tokenized alone: cuts are before a blank that a plain character follows."""
     if SPECIAL in text:
         return [text]
-    first, *rest = text.split(" ")
-    out = [first] if first else []
-    for w in rest:
-        if _PLAIN.match(w) or not out:
-            out.append(" " + w)
-        else:
-            out[-1] += " " + w
-    return out
+    out = _CUT.split(text)
+    return out if out[0] else out[1:]
 
 
 def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts -> their ids, each as little-endian unsigned 32-bit."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     t = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    # Bytes of each token: a token is written with a character for each byte, but for the special one.
+    alphabet = set(ByteLevel.alphabet())
+    size = np.zeros(t.get_vocab_size(), np.int64)
+    for token, i in t.get_vocab().items():
+        size[i] = len(token) if alphabet.issuperset(token) and token != SPECIAL else len(token.encode())
+    known = _known.setdefault(path, {})
+
+    def learn(words: list[str]) -> None:
+        """One text of many words, each with its blank, has the tokens of each word one after another."""
+        ids = np.asarray(t.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+        whole, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            known[w], at = whole[at:end], end
 
     def run(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             words = words_of(text)
-            new = [w for w in dict.fromkeys(words) if w not in known]
+            new = list(set(words).difference(known))
             if len(known) + len(new) > KNOWN_WORDS:
                 known.clear()
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 5000):
-                some = new[at : at + 5000]
-                for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
+                new = list(set(words))
+            # A text's first word may lack a blank, and one with the special token is no word.
+            for w in [w for w in new if not _CUT.match(w)]:
+                learn([w])
+            later = [w for w in new if _CUT.match(w)]
+            for at in range(0, len(later), 1000):
+                learn(later[at : at + 1000])
             out.append(b"".join(map(known.__getitem__, words)))
+            if SPECIAL in text:
+                del known[text]
         return out
 
     return run
