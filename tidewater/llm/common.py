@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,10 +22,12 @@ _local_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for cut lineage: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """Folder for cut lineage: ``spark.checkpoint.dir``, or a temporary one in a session of one machine without it (tests); an error elsewhere."""
     global _local_root
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_root is None:
         _local_root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
     return _local_root

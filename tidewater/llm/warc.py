@@ -33,8 +33,6 @@ from .common import small_batches
 from .html_consensus import walk
 
 DATE = "2024-01-01T00:00:00Z"
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
-_HREF = re.compile(r"""<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
 @dataclass
@@ -124,12 +122,13 @@ def derive(record_id: str | None, target: str | None, date: str | None, block: b
     source = {"WARC-Refers-To": record_id, "WARC-Target-URI": target, "WARC-Date": date}
     linked = {k: v for k, v in source.items() if v is not None}
     own = lambda kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {record_id} {target}')}>"
-    title = m[1] if (m := _TITLE.search(page)) else None
+    seen = walk(page, whole=True)
+    title = seen.titles[0] if seen.titles else None
     facts = [("source-status", status), *(("source-header", f"{k}: {v}") for k, v in headers), ("source-payload-digest", payload_digest), ("source-payload-length", str(len(payload)))]
     facts += [("title", " ".join(html_lib.unescape(title).split()) if title is not None else None)]
-    facts += [("outlink", html_lib.unescape(a or b or c)) for a, b, c in _HREF.findall(page)]
+    facts += [("outlink", link) for link in seen.links]
     info = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in facts if v is not None).encode()
-    text = "\n".join(t for t, *_ in walk(page, whole=True)[1]).encode()
+    text = "\n".join(t for t, *_ in seen.blocks).encode("utf-8", "replace")
     make = lambda kind, form, body: Record(
         {"WARC-Type": kind, "WARC-Record-ID": own(kind), **linked, "Content-Type": form, "WARC-Block-Digest": digest(body), "WARC-Source-Payload-Digest": payload_digest}, body
     )
