@@ -39,8 +39,8 @@ LINEAR, QUADRATIC = 4096.0, 1.0
 PIECE = 8
 #: Rests of a group, on average.
 GROUP = 20_000
-#: Distinct words whose tokens a task keeps.
-KNOWN_WORDS = 400_000
+#: Distinct words whose tokens a worker keeps; the words of a hundred texts more.
+KNOWN_WORDS = 800_000
 SPECIAL = "<|endoftext|>"
 _CUT = re.compile(r"(?= [\w!-~])")
 #: Tokens of the words that this worker has met, by vocabulary.
@@ -77,29 +77,28 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def learn(words: list[str]) -> None:
         """One text of many words, each with its blank, has the tokens of each word one after another."""
-        ids = np.asarray(t.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
-        whole, at = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends).tolist(), strict=True):
-            known[w], at = whole[at:end], end
+        text = "".join(words)
+        ids = np.asarray(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        lengths = list(map(len, words if text.isascii() else map(str.encode, words)))
+        ends = (4 * (np.searchsorted(np.cumsum(size[ids]), np.cumsum(lengths)) + 1)).tolist()
+        known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def run(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = words_of(text)
-            new = list(set(words).difference(known))
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = list(set(words))
-            # A text's first word may lack a blank, and one with the special token is no word.
-            for w in [w for w in new if not _CUT.match(w)]:
-                learn([w])
-            later = [w for w in new if _CUT.match(w)]
-            for at in range(0, len(later), 1000):
-                learn(later[at : at + 1000])
-            out.append(b"".join(map(known.__getitem__, words)))
-            if SPECIAL in text:
-                del known[text]
+        words = [words_of(text) for text in texts]
+        new = set().union(*words).difference(known)
+        if len(known) + len(new) > KNOWN_WORDS:
+            known.clear()
+            new = set().union(*words)
+        # A text's first word may lack a blank, and one with the special token is no word.
+        alone = {w[0] for w in words if w and w[0] in new and (len(w) == 1 or not _CUT.match(w[0]))}
+        for w in alone:
+            learn([w])
+        later = list(new - alone)
+        for at in range(0, len(later), 1000):
+            learn(later[at : at + 1000])
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        for w in alone:
+            known.pop(w, None)
         return out
 
     return run
