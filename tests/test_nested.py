@@ -2,6 +2,7 @@
 
 import base64
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -108,3 +109,60 @@ def test_statements_longer_than_two_mebibytes():
     long = "INSERT INTO t VALUES ('" + "x;" * (2 << 20) + "');"
     splitter = sqltext.Splitter()
     assert splitter.feed(long[:100]) + splitter.feed(long[100:]) + splitter.feed("\nSELECT 1;") + splitter.feed("", last=True) == [long, "\nSELECT 1;"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('<a href="http&#58;//old.example.com/a?x=1&amp;y=2">t</a>', '<a href="https://new.test/site/a?x=1&amp;y=2">t</a>'),
+        ('<a href="//old.example.com/b" title="//old.example.com/b">', '<a href="//new.test/site/b" title="//old.example.com/b">'),
+        ('<img srcset="https://old.example.com/1.png 1x, //old.example.com/2.png 2x,https://x.test/,c 3x">', '<img srcset="https://new.test/site/1.png 1x, //new.test/site/2.png 2x,https://x.test/,c 3x">'),
+        ('<p style="background:url(//old.example.com/i.png)">see http&#x3a;//old.example.com/z &copy; &lt;', '<p style="background:url(//new.test/site/i.png)">see https://new.test/site/z &copy; &lt;'),
+        ('<script>var u="https:\\/\\/old.example.com\\/p";</script>', '<script>var u="https:\\/\\/new.test\\/site\\/p";</script>'),
+        ('<div data-j="{&quot;u&quot;:&quot;https://old.example.com/q&quot;}">', '<div data-j="{&quot;u&quot;:&quot;https://new.test/site/q&quot;}">'),
+        ("<style>a{b:url('https://old.example.com/s.css')}</style>", "<style>a{b:url('https://new.test/site/s.css')}</style>"),
+        ("<A HREF= https://old.example.com/x >https://old.example.com/?a=1&copy=2</A>", "<A HREF= https://new.test/site/x >https://new.test/site/?a=1&copy=2</A>"),
+        ("<!-- https://old.example.com/ --><p>a < b https://old.example.com.evil.test/", "<!-- https://new.test/site/ --><p>a < b https://old.example.com.evil.test/"),
+        ("<a href='//other.test/https://old.example.com/'>", "<a href='//other.test/https://old.example.com/'>"),
+        ("<a title='\"https://old.example.com/\"' href=x>", "<a title='\"https://new.test/site/\"' href=x>"),
+    ],
+)
+def test_markup_is_edited_in_place(text, want):
+    assert R.value(text, "block_markup") == want
+    assert R.value(want, "block_markup") is want
+
+
+def test_json_of_any_depth():
+    deep = lambda u: '{"a":[' * 60_000 + f'"{u}"' + "]}" * 60_000
+    assert R.value(deep("https://old.example.com/v")) == deep("https://new.test/site/v")
+    for bad in ("[" * 60_000, "[" * 60_000 + "1," + "]" * 60_000, '{"a":[' * 60_000 + "]]" * 60_000, "[" * 60_000 + "1]]" + "]" * 60_000, "[" * 60_000 + '{"a" 1}' + "]" * 60_000):
+        with pytest.raises(ValueError):
+            nested.json_edit(bad, lambda s: s)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.recursive(st.text(max_size=4) | st.floats() | st.integers() | st.booleans() | st.none(), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3)), st.integers(0, 30), st.sampled_from('{}[],:"1e. '))
+def test_json_is_checked_as_the_parser_does(value, at, mark):
+    text = json.dumps(value)
+    for t in (text, text[:at] + mark + text[at:], text[:at] + text[at + 1 :]):
+        outcome = []
+        for check in (json.loads, lambda t: nested._json_checked("[" * 60_000 + t + "]" * 60_000)):
+            try:
+                check(t)
+                outcome.append(True)
+            except ValueError:
+                outcome.append(False)
+        # Inside brackets a list of values is fine, and so is nothing.
+        assert outcome[0] == outcome[1] or t.strip() == "" or not outcome[0] and json.loads(f"[{t}]") is not None
+
+
+def test_a_hundred_thousand_hosts_cost_as_much_as_ten():
+    few, many = (nested.Rewriter([(f"https://h{i}.example.com", "https://n.test") for i in range(n)] + [("https://bücher.example.com", "https://b.test")]) for n in (10, 100_000))
+    text = "text https://h5.example.com/a and https://other.test/b and https://xn--bcher-kva.example.com/c or https://BÜCHER.example.com/ " * 3000
+    took = []
+    for r in (few, many):
+        began = time.process_time()
+        out = r.value(text)
+        took.append(time.process_time() - began)
+        assert out.count("https://n.test/a") == 3000 and out.count("https://b.test/") == 6000 and "other.test/b" in out
+    assert took[1] < 3 * took[0] + 0.1

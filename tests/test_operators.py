@@ -1,5 +1,7 @@
 """Edge cases of rules, trees, ranges and encodings."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def test_directories_of_an_index(spark):
 def test_range_borders(spark):
     points = spark.createDataFrame([(0,), (5,), (9,), (10,), (None,)], "at int")
     ranges = spark.createDataFrame([(5, 10, "r"), (10, 10, "none")], "start int, stop int, name string")
-    got = {r.at: r.name for r in routing.lookup_range(points, ranges, "at", 3).collect()}
+    got = {r.at: r.name for r in routing.lookup_range(points, ranges, "at").collect()}
     assert got == {0: None, 5: "r", 9: "r", 10: None, None: None}
 
 
@@ -152,3 +154,31 @@ def test_few_and_many_rules_agree(spark):
     assert rows(routing.first_mapping(u, m)) == rows(routing.first_mapping(u, m, few=0))
     plan = routing.longest_prefix(p, rules)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_ranges_of_any_length(spark):
+    rng = random.Random(8)
+    ranges = [(0, 10**9, "all")] + [(s, s + rng.choice([1, 1, 2, 3, 8, 100, 5000]), f"r{i}") for i, s in enumerate(rng.randrange(-50, 10**6) for _ in range(3000))] + [(5, 5, "none"), (9, 3, "back"), (None, 4, "x")]
+    points = [(k, rng.randrange(-60, 10**6)) for k in range(300)] + [(300, None), (301, 2 * 10**9), (302, 2 * 10**9), (302, 2 * 10**9)]
+    want = sorted((k, at, n) for k, at in points for n in ([n for a, b, n in ranges if at is not None and a is not None and a <= at < b] or [None]))
+    r, p = spark.createDataFrame(ranges, "start long, stop long, name string"), spark.createDataFrame(points, "_point int, at int")
+    for few in (10_000, 5, 0):
+        assert sorted(map(tuple, routing.lookup_range(p, r, "at", few).collect()), key=str) == sorted(want, key=str)
+    assert routing.lookup_range(p, r.limit(0), "at").where("name IS NOT NULL").count() == 0
+
+
+def test_a_million_ranges_under_one(spark):
+    small = spark.range(1_000_000).selectExpr("id * 1000 AS start", "id * 1000 + 10 AS stop", "CAST(id AS STRING) AS name")
+    ranges = small.unionByName(spark.createDataFrame([(0, 10**9, "all")], "start long, stop long, name string"))
+    points = spark.range(50_000).selectExpr("id * 19999 AS at")
+    got = routing.lookup_range(points, ranges, "at").groupBy().agg(F.count("*"), F.sum(F.when(F.col("name") != "all", 1)), F.sum(F.when(F.col("name") == F.floor(F.col("at") / 1000).cast("string"), 1))).first()
+    inside = sum(k * 19999 % 1000 < 10 for k in range(50_000))
+    assert tuple(got) == (50_000 + inside, inside, inside)
+
+
+def test_few_rules_and_many_have_one_schema(spark):
+    p = spark.createDataFrame([("/a/b/c",), ("/x",)], "path string")
+    rules = spark.createDataFrame([("/a", 1), ("/a/b", 2)], "source string, target int")
+    few, many = routing.longest_prefix(p, rules), routing.longest_prefix(p, rules, few=0)
+    assert few.schema["target"].dataType == many.schema["target"].dataType == rules.schema["target"].dataType
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))

@@ -4,14 +4,16 @@ import base64
 import hashlib
 import hmac
 import os
+import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import encode, paths, register
 from tidewater.operators import reports, scans, trees
-from tidewater.sources import databases, dump, sqltext
+from tidewater.sources import databases, dump, records, sqltext
 
 
 @pytest.fixture
@@ -66,7 +68,7 @@ def test_dump_is_applied_once(spark, tmp_path):
     path = str(tmp_path / "target.db")
     rows = [(i, f"k{i % 7}", "x" * (i % 90) * 60, "y" * 1500 if i % 11 == 0 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "id int, `k``k` string, a string, b string")
-    out = dump.fragments(df, "t`x", ["id", "k`k"], batch=7, limit=4000).cache()
+    out = dump.fragments(df, "t`x", ["id", "k`k"], batch=7, limit=4000)
     assert out.where("section = 2").agg(F.max(F.length("sql"))).first()[0] <= 7 * 4000 + 200
     assert out.where("section = 3").agg(F.max(F.length("sql"))).first()[0] <= 4000
 
@@ -76,20 +78,18 @@ def test_dump_is_applied_once(spark, tmp_path):
         con.create_function("CONCAT", 2, lambda a, b: a + b)
         return con
 
-    def execute(cursor, sql):
-        for _, _, s in sqltext.split(sql):
-            if "SET " not in s[:12] and "COMMIT" not in s:
-                cursor.execute(s.replace("CREATE TABLE", "CREATE TABLE IF NOT EXISTS"))
-
     def broken(cursor, sql):
         if "`a` = CONCAT" in sql and sum(sql.encode()) % 9 == 0:
             raise RuntimeError("lost")
-        execute(cursor, sql)
+        cursor.execute(sql)
 
     with pytest.raises(Exception, match="lost"):
-        dump.apply(out, connect, "r'1", every=3, execute=broken)
-    for _ in range(2):
-        dump.apply(out, connect, "r'1", every=3, execute=execute)
+        dump.apply(out, connect, "r'1", str(tmp_path / "stage"), every=3, session=False, execute=broken)
+    # Again, parted and numbered otherwise: nothing is lost or done twice.
+    for n in ("3", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        dump.apply(dump.fragments(df.repartition(int(n)), "t`x", ["id", "k`k"], batch=7, limit=4000), connect, "r'1", str(tmp_path / "stage"), every=3, session=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     got = sorted(connect().execute("SELECT * FROM `t``x`").fetchall())
     assert got == sorted(rows)
     with pytest.raises(Exception, match="no primary key"):
@@ -97,6 +97,173 @@ def test_dump_is_applied_once(spark, tmp_path):
     assert dump.fragments(df, "t", [], limit=1 << 20).where("section = 2").count() > 0
 
 
+def test_every_connection_is_set_up(spark, tmp_path):
+    """A target that keeps each connection's settings: the header comes first and the footer last on every one, one statement at a time."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    class Cursor:
+        def __init__(self, con):
+            self.con, self.real = con, con.real.cursor()
+
+        def execute(self, sql):
+            if sql.strip().rstrip(";").count(";\n") or "; " in sql.replace("'", ""):
+                raise AssertionError(f"several statements: {sql}")
+            word = sql.split()[0]
+            if word in ("SET", "COMMIT", "COMMIT;"):
+                self.con.said.append(sql.strip())
+            else:
+                if word == "INSERT" and "`t`" in sql and not any("UNIQUE_CHECKS=0" in s for s in self.con.said):
+                    raise AssertionError("not set up")
+                self.real.execute(sql)
+
+        def fetchall(self):
+            return self.real.fetchall()
+
+    class Connection:
+        def __init__(self):
+            self.real, self.said = sqlite3.connect(str(tmp_path / "t.db"), timeout=60), []
+            self.real.create_function("FROM_BASE64", 1, lambda s: base64.b64decode(s).decode())
+
+        def cursor(self):
+            return Cursor(self)
+
+        def commit(self):
+            self.real.commit()
+
+        def rollback(self):
+            self.real.rollback()
+
+        def close(self):
+            if any("UNIQUE_CHECKS=0" in s for s in self.said):
+                assert any(s.startswith("SET UNIQUE_CHECKS=@OLD") for s in self.said)
+                (log / os.urandom(6).hex()).write_text("")
+            self.real.close()
+
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(90)], "id int, v string").repartition(4)
+    dump.apply(dump.fragments(df, "t", ["id"], batch=5), Connection, "r", str(tmp_path / "stage"), every=4)
+    assert len(list(log.iterdir())) >= 2
+    assert sqlite3.connect(str(tmp_path / "t.db")).execute("SELECT count(*), min(v), max(id) FROM t").fetchone() == (90, "v0", 89)
+
+
+def test_long_text_keys_fit_their_index(spark):
+    df = spark.createDataFrame([("k" * 400, 1), ("s", 2)], "k string, n int")
+    sql = dump.fragments(df, "t", ["k"]).where("section = 1").first().sql
+    assert "`k` VARCHAR(400) NOT NULL" in sql
+    assert "`k` VARCHAR(191)" in dump.create_table(df, "t", ["k"])
+
+
+BITS = [
+    "SELECT 'a;b'", 'INSERT INTO t VALUES ("x\\";", `y;`)', "/* ; */ SELECT 1", "-- c;\nSELECT 2", "UPDATE t SET a='it''s;'", "# x;'\n  ", "/*!40101 SET x=1 */", "  ", "SELECT 'long" + ";z\\'" * 40 + "'",
+    "é'ü;'", "a - b -- c ; d\n", "'\\\\'", "--x", "/ * 3", "",
+]
+TAILS = ["", " ", "SELECT 9", "'open; quote", "/* open ; ", "-- open ;", " -- end", "\\"]
+
+
+@pytest.mark.parametrize("size", [37, 400])
+def test_one_dump_file_is_read_by_many_tasks(spark, tmp_path, size):
+    rng = random.Random(size)
+    texts = {f"f{k}.sql": "".join(rng.choice(BITS) + ";" + rng.choice(["\n", "", " "]) for _ in range(60)) + tail for k, tail in enumerate(TAILS)}
+    texts |= {"empty.sql": "", "one.sql": ";", "mark.sql": "\ufeffSELECT 1;SELECT 2"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "bytes.sql").write_bytes(b"SELECT '\xff\xfe;';SELECT 2;")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    read = sqltext.read_statements(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() > 8
+    got = {}
+    for r in read.select(F.substring_index("source", "/", -1).alias("name"), "stmt_no", "byte_start", "byte_end", F.col("sql").cast("binary").alias("sql")).collect():
+        got.setdefault(r.name, []).append((r.stmt_no, r.byte_start, r.byte_end, bytes(r.sql)))
+    for k, v in old.items():
+        spark.conf.set(k, v)
+    for name, text in texts.items():
+        text, lead = text.removeprefix("\ufeff"), 3 * text.startswith("\ufeff")
+        want = [(n, lead + len(text[:a].encode()), lead + len(text[:b].encode()), q.encode()) for n, (a, b, q) in enumerate(sqltext.split(text))]
+        assert sorted(got.pop(name, [])) == want, name
+    assert sorted(got.pop("bytes.sql")) == [(0, 0, 13, b"SELECT '\xff\xfe;';"), (1, 13, 22, b"SELECT 2;")] and not got
+
+
+def test_a_dump_file_is_read_moved_and_applied_as_one_job(spark, tmp_path):
+    b = lambda s: base64.b64encode(s.encode()).decode()
+    lines = ["-- a dump\nSET NAMES utf8;", "DROP TABLE IF EXISTS `p`;", "CREATE TABLE `p` (`id` INT, `v` LONGTEXT, PRIMARY KEY (`id`));"]
+    lines += [f"INSERT INTO `p` (`id`, `v`) VALUES ({i}, FROM_BASE64('{b(f'see https://old.test/{i};')}'));" for i in range(200)]
+    lines += ["UPDATE `p` SET `v` = CONCAT(`v`, FROM_BASE64('" + b("!") + "')) WHERE `id` = 3;"] * 2 + ["COMMIT;"]
+    (tmp_path / "d.sql").write_text("\n".join(lines))
+    path = str(tmp_path / "t.db")
+
+    def connect():
+        con = sqlite3.connect(path, timeout=60)
+        con.create_function("FROM_BASE64", 1, lambda s: base64.b64decode(s).decode())
+        con.create_function("CONCAT", 2, lambda a, b: a + b)
+        return con
+
+    def broken(cursor, sql):
+        if "(150," in sql:
+            raise RuntimeError("lost")
+        cursor.execute(sql)
+
+    job = lambda **more: dump.apply_file(spark, str(tmp_path / "d.sql"), [("https://old.test", "https://new.test")], connect, "r", str(tmp_path / "stage"), every=10, session=False, stretch=4000, **more)
+    with pytest.raises(Exception, match="lost"):
+        job(execute=broken)
+    for _ in range(2):
+        job()
+    want = [(i, f"see https://new.test/{i};" + "!!" * (i == 3)) for i in range(200)]
+    assert connect().execute("SELECT id, v FROM p ORDER BY id").fetchall() == want
+
+
+def test_splitter_takes_time_in_proportion():
+    def took(n):
+        splitter, text = sqltext.Splitter(), "INSERT INTO t VALUES ('" + "x;" * n + "');"
+        began = time.process_time()
+        for at in range(0, len(text), 4096):
+            splitter.feed(text[at : at + 4096])
+        return time.process_time() - began
+
+    took(100_000)
+    assert took(4_000_000) < 12 * max(took(1_000_000), 0.05)
+
+
+def test_index_lines_and_file_chunks(spark, tmp_path):
+    rows = [("/a/b c", 5, 10, "file"), ("/é\n", None, 0, "dir"), ("/" + "x" * 300, 1, 2, "link")]
+    df = spark.createDataFrame(rows, records.INDEX)
+    records.write_index(df, str(tmp_path / "i"))
+    assert sorted(map(str, records.read_index(spark, str(tmp_path / "i")).collect())) == sorted(map(str, df.collect()))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text('{"path": "YQ==", "ctime": 1}\n{"path": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        records.read_index(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "big").write_bytes(bytes(range(256)) * 10)
+    (tmp_path / "f" / "none").write_bytes(b"")
+    tree = {os.path.basename(r.path): (r.size, r.type) for r in records.read_tree(spark, str(tmp_path / "f")).collect()}
+    assert tree == {"big": (2560, "file"), "none": (0, "file")}
+    files = records.read_tree(spark, str(tmp_path / "f"))
+    got = sorted((os.path.basename(r.path), r.offset, bytes(r.data), r.first, r.last, r.error) for r in records.contents(files, 1000, 1000).collect())
+    data = bytes(range(256)) * 10
+    assert got == [("big", 0, data[:1000], True, False, None), ("big", 1000, data[1000:2000], False, False, None), ("big", 2000, data[2000:], False, True, None), ("none", 0, b"", True, True, None)]
+    # A file that is not as it was listed.
+    listed = files.withColumn("size", F.when(F.col("path").endswith("big"), 2500).otherwise(F.col("size"))).unionByName(spark.createDataFrame([("/no/such", 1, 5, "file")], records.INDEX))
+    found = records.contents(listed, 1000, 2000)
+    assert {(os.path.basename(r.path), r.offset, r.error) for r in found.where("error IS NOT NULL").collect()} == {("big", 0, "file_changed"), ("big", 2000, "file_changed"), ("such", 0, "file_missing")}
+    assert {os.path.basename(r.path) for r in records.whole_files(found).collect()} == {"none"}
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "sparse"
+    with open(path, "wb") as f:
+        f.truncate(5 << 30)
+        f.seek((3 << 30) + 7)
+        f.write(b"mark")
+    files = spark.createDataFrame([(str(path), 5 << 30, None)], "path string, size long, ctime long")
+    parts = records.contents(files, 4 << 20, 64 << 20)
+    found = parts.where("offset >= 3221225472 AND offset < 3225419776").select("offset", F.substring("data", 8, 4).alias("d"), "first", "last", "error").collect()
+    assert [(r.offset, bytes(r.d), r.first, r.last, r.error) for r in found] == [(3 << 30, b"mark", False, False, None)]
+    totals = parts.withColumn("task", F.spark_partition_id()).agg(F.count("*"), F.sum(F.octet_length("data")), F.count("error"), F.countDistinct("task")).first()
+    assert totals[0] == 1280 and totals[1] == 5 << 30 and totals[2] == 0 and totals[3] > 1
+
+
 def test_written_dump_reads_as_one(spark, tmp_path):
     df = spark.createDataFrame([(i, "a;'b\n" * (i % 3), i % 2 == 0) for i in range(50)], "id int, t string, ok boolean")
     dump.write_dump(dump.fragments(df, "t", ["id"], batch=4), str(tmp_path / "d"))
@@ -129,6 +296,36 @@ def test_tree_scan_names_links_and_folders(spark, tmp_path):
     assert [(r.type, r.path) for r in gone] == [("error", root + "/nothing")]
 
 
+def test_walks_follow_links_to_each_folder_once(spark, tmp_path):
+    root, out = tmp_path / "root", tmp_path / "out"
+    (root / "a/b").mkdir(parents=True)
+    (out / "deep").mkdir(parents=True)
+    (root / "a/b/f").write_text("x")
+    (out / "deep/g").write_text("yy")
+    (root / "a/loop").symlink_to("..")
+    (root / "one").symlink_to("a/b")
+    (root / "two").symlink_to(str(root / "a/b"))
+    (root / "leave").symlink_to(str(out))
+    (root / "lost").symlink_to("nothing")
+    (out / "back").symlink_to(str(root))
+
+    def names(**more):
+        rows = trees.scan(spark, [str(root)], **more).collect()
+        assert len(rows) == len({r.path for r in rows})
+        return {os.path.relpath(r.path, str(tmp_path)): r.type for r in rows}
+
+    inside = {"root/a": "dir", "root/a/b": "dir", "root/a/b/f": "file", "root/a/loop": "link", "root/one": "link", "root/two": "link", "root/leave": "link", "root/lost": "link"}
+    assert names() == names(follow=True) == inside
+    assert names(follow=True, anywhere=True) == inside | {"out/deep": "dir", "out/deep/g": "file", "out/back": "link"}
+
+
+def test_links_have_no_bound(spark):
+    n = 60
+    links = spark.createDataFrame([(f"/l{i}", f"l{i + 1}") for i in range(n)] + [("/g", "h/x"), ("/h", "g/y"), ("/t", "u"), ("/v/w", "/t/z")], "path string, target string")
+    p = spark.createDataFrame([("/l0/f",), ("/g/f",), ("/v/w/a/v",), ("/l5/l6",)], "path string")
+    assert {r.path: r.canonical for r in trees.canonical(p, links).collect()} == {"/l0/f": f"/l{n}/f", "/g/f": None, "/v/w/a/v": "/u/z/a/v", "/l5/l6": f"/l{n}/l6"}
+
+
 def test_links_are_followed_part_by_part(spark):
     links = spark.createDataFrame([("/a", "b"), ("/b/c", "../d"), ("/x", "/y"), ("/y", "x"), ("/g", "g/h")], "path string, target string")
     p = spark.createDataFrame([("/a/c/f",), ("/x/1",), ("/plain",), ("/a",), ("/g",), (None,)], "path string")

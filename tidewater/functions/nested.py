@@ -7,9 +7,11 @@ as the same object, so untouched bytes stay as they were.
 
 from __future__ import annotations
 
+import html as html_lib
 import json
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -17,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewater.functions import markup as markup_reader
+
 Edit = Callable[[str], str]
 
 
@@ -132,16 +136,55 @@ def php_edit(text: str, edit: Edit) -> str:
     return text if out == data else out.decode("utf-8", "surrogateescape")
 
 
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9]\d*+)(?:\.\d++)?+(?:[eE][+-]?\d++)?+|true|false|null|NaN|-?Infinity))')
+
+
+def _json_checked(text: str) -> None:
+    """Whether the text is JSON of any depth; raises ``ValueError``."""
+    try:
+        json.loads(text)
+        return
+    except RecursionError:
+        pass
+    # What is open, and what may come: a value, the end of an empty one, a key, a colon, or a comma or end.
+    opened: list[str] = []
+    may, at = {"value"}, 0
+    while m := _JSON_TOKEN.match(text, at):
+        at, mark = m.end(), m[1]
+        if mark in ("{", "[") and "value" in may:
+            opened.append(mark)
+            may = {"key", "end"} if mark == "{" else {"value", "end"}
+            continue
+        if mark == ":" and "colon" in may:
+            may = {"value"}
+            continue
+        if mark == "," and "more" in may:
+            may = {"key"} if opened[-1] == "{" else {"value"}
+            continue
+        if m[2] and "key" in may:
+            may = {"colon"}
+            continue
+        if mark in ("}", "]") and "end" in may and opened[-1] == ("{" if mark == "}" else "["):
+            opened.pop()
+        elif mark or "value" not in may:
+            raise ValueError(f"not JSON at {m.start()}")
+        may = {"more", "end"} if opened else set()
+    if opened or may or text[at:].strip(" \t\n\r"):
+        raise ValueError(f"not JSON at {at}")
+
+
 _JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\.)*"')
 
 
+_COLON = re.compile(r"\s*+:")
+
+
 def json_edit(text: str, edit: Edit) -> str:
     """The JSON text with edited string values. Only the edited strings are written anew; numbers, spaces and {} stay."""
-    json.loads(text)
+    _json_checked(text)
     out, last = [], 0
     for m in _JSON_STRING.finditer(text):
-        rest = text[m.end() : m.end() + 64].lstrip()
-        if rest[:1] == ":" or (not rest and text[m.end() :].lstrip()[:1] == ":"):
+        if _COLON.match(text, m.end()):
             continue
         old = json.loads(m[0])
         new = edit(old)
@@ -222,81 +265,208 @@ class Base:
 
 
 _URL = re.compile(r"https?://[^\s\"'<>()\[\]{}|\\^`]+", re.I)
+_ESCAPED = re.compile(r"https?:(?:\\/){2}[^\s\"'<>()\[\]{}|^`]+", re.I)
 _QUERY = re.compile(r"[?#]")
 _COMMENT = re.compile(r"<!--\s*/?wp:([a-z0-9/-]+)\s*(\{.*?\})?\s*/?-->", re.S)
+#: Hosts as they stand behind two slashes, plain or escaped.
+_HOST = re.compile(r"/\\*+/(?:[^/?#@\s\"'<>\\]*+@)?([^/?#:\s\"'<>\\&,;)]++)")
+_REFERENCE = re.compile(r"&(?:#\d++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;)")
+_CSS_URL = re.compile(r"""\burl\(\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'()]++))\s*+\)""", re.I)
+_CANDIDATE = re.compile(r"(?:^|(?<=[\s,]))(?![\s,])([^\s]*[^\s,])")
+
+# Attributes whose value is one URL, and such of several.
+URL_ATTRIBUTES = set("action archive background cite classid codebase data formaction href icon longdesc manifest poster profile src usemap xlink:href".split())
+SETS = {"srcset", "imagesrcset"}
+
+
+def _decoded(raw: str) -> tuple[str, list[int]]:
+    """The text without character references, and the place in ``raw`` of every character and of the end."""
+    out, places, last = [], [], 0
+    for m in _REFERENCE.finditer(raw):
+        plain = html_lib.unescape(m[0])
+        out += [raw[last : m.start()], plain]
+        places += [*range(last, m.start()), *[m.start()] * len(plain)]
+        last = m.end()
+    out.append(raw[last:])
+    return "".join(out), [*places, *range(last, len(raw) + 1)]
 
 
 class Rewriter:
-    """Rewrites URLs under the first base of an ordered mapping that holds them."""
+    """Rewrites URLs under the first base of an ordered mapping that holds them. Bases are found by host, so their number costs nothing."""
 
     def __init__(self, mapping: list[tuple[str, str]]) -> None:
         self.bases = [(b, to.rstrip("/")) for source, to in mapping if (b := Base.of(source))]
-        self.hosts = {b.host.lower() for b, _ in self.bases}
-        for b, _ in self.bases:
+        self.by_host: dict[str, list[tuple[Base, str]]] = {}
+        for b, to in self.bases:
+            name = b.host.split(":")[0]
+            spelled = {name}
             try:
-                self.hosts.add(b.host.encode().decode("idna").lower())
+                spelled.add(name.encode().decode("idna").lower())
             except UnicodeError:
                 pass
+            for h in spelled:
+                self.by_host.setdefault(h, []).append((b, to))
+        self.hosts = set(self.by_host)
+
+    def known(self, text: str, markup: bool = False) -> bool:
+        """Whether a mapped host may stand in the text."""
+        if "\\u" in text or markup and "&" in text:
+            return True  # a host may be written with escapes
+        return any(h in self.by_host for h in _HOST.findall(text.lower()))
 
     def url(self, url: str) -> str:
         """The URL under its new base; the same if no base holds it. What follows ? or # is kept as it is."""
+        host = _HOST.search(url)
+        if not host or not (bases := self.by_host.get(host[1].lower())):
+            return url
         cut = m.start() if (m := _QUERY.search(url)) else len(url)
         plain, rest = url[:cut], url[cut:]
         own = Base.of(plain)
-        for base, to in self.bases if own else ():
+        for base, to in bases if own else ():
             if base.holds(own):
                 u = urlsplit(plain)
                 tail = u.path[len(base.path) :] if len(u.path) > len(base.path) else ""
                 return to + tail + rest
         return url
 
-    def text(self, text: str) -> str:
-        """Plain text: URLs are found as tokens; closing punctuation is not theirs."""
+    def reference(self, url: str) -> str:
+        """A URL as an attribute has it: also one without a scheme, which then goes under a base of either scheme and stays without."""
+        if not url.startswith("//"):
+            return self.url(url)
+        for scheme in ("https:", "http:"):
+            new = self.url(scheme + url)
+            if new != scheme + url:
+                return new[new.index("//") :] if "//" in new else new
+        return url
 
-        def one(m: re.Match[str]) -> str:
+    def _tokens(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, new text) of every URL in a text that moves."""
+        for m in _URL.finditer(text):
             token = m[0].rstrip(".,;:!?")
             # A URL inside another's query is not looked at: the token is the outer one.
-            return self.url(token) + m[0][len(token) :]
+            if (new := self.url(token)) != token:
+                yield m.start(), m.start() + len(token), new
+        if ":\\/\\/" in text:
+            for m in _ESCAPED.finditer(text):
+                token = m[0].rstrip("\\.,;:!?")
+                plain = token.replace("\\/", "/")
+                if "\\" not in plain and (new := self.url(plain)) != plain:
+                    yield m.start(), m.start() + len(token), new.replace("/", "\\/")
 
-        return _URL.sub(one, text)
+    def text(self, text: str) -> str:
+        """Plain text: URLs are found as tokens, with slashes escaped or not; closing punctuation is not theirs."""
+        return _edited(text, self._tokens(text))
+
+    def _css(self, text: str) -> Iterator[tuple[int, int, str]]:
+        for m in _CSS_URL.finditer(text):
+            k = m.lastindex
+            if (new := self.reference(m[k])) != m[k]:
+                yield m.start(k), m.end(k), new
+        spans = [m.span() for m in _CSS_URL.finditer(text)]
+        for a, b, new in self._tokens(text):
+            if not any(x <= a < y for x, y in spans):
+                yield a, b, new
+
+    def _attribute(self, name: str, value: str) -> Iterator[tuple[int, int, str]]:
+        """What moves in an attribute's value without references."""
+        if name in URL_ATTRIBUTES:
+            plain = value.strip()
+            if plain and (new := self.reference(plain)) != plain:
+                at = value.index(plain)
+                yield at, at + len(plain), new
+        elif name in SETS:
+            for m in _CANDIDATE.finditer(value):
+                if (new := self.reference(m[1])) != m[1]:
+                    yield m.start(1), m.end(1), new
+        elif name == "style":
+            yield from self._css(value)
+        elif parts_of(value):
+            if (new := self.value(value)) != value:
+                yield 0, len(value), new
+        else:
+            yield from self._tokens(value)
 
     def markup(self, text: str) -> str:
-        """Block markup: JSON of block comments by its leaves, then attributes and text, all by their tokens."""
+        """Block markup, edited in place: JSON of block comments by its leaves; attributes by what they hold; text, styles and other comments by their URLs.
 
-        def comment(m: re.Match[str]) -> str:
-            if not m[2]:
-                return m[0]
-            try:
-                new = json_edit(m[2], lambda s: self.value(s))
-            except ValueError:
-                return m[0]
-            a, b = m.start(2) - m.start(), m.end(2) - m.start()
-            return m[0][:a] + new + m[0][b:]
-
-        out, last = [], 0
-        for m in _COMMENT.finditer(text):
-            out += [self.text(text[last : m.start()]), comment(m)]
-            last = m.end()
-        return "".join([*out, self.text(text[last:])])
+        Character references are read, and what is put in place of text is written so that it means the same there.
+        """
+        edits: list[tuple[int, int, str]] = []
+
+        def within(a: int, b: int, find: Callable[[str], Iterator[tuple[int, int, str]]], quote: bool) -> None:
+            raw = text[a:b]
+            if "&" not in raw:
+                plain, at = raw, None
+            else:
+                plain, at = _decoded(raw)
+            for x, y, new in find(plain):
+                # What stays the same before and after stays as it is written.
+                while x < y and new and plain[y - 1] == new[-1]:
+                    y, new = y - 1, new[:-1]
+                while x < y and new and plain[x] == new[0]:
+                    x, new = x + 1, new[1:]
+                if at is not None or quote:
+                    new = html_lib.escape(new, quote=quote) if at is not None or any(c in new for c in "<>\"'") else new
+                edits.append((a + at[x], a + at[y], new) if at is not None else (a + x, a + y, new))
+
+        last, content = 0, None
+        for start, end, name, closing, first, stop in markup_reader.tokens(text):
+            if start > last:
+                within(last, start, self._css if content == "style" else self._tokens, False)
+            last, content = end, name if name in ("style", "script") and not closing else None
+            if name == "!--":
+                m = _COMMENT.fullmatch(text, start, end)
+                if m and m[2]:
+                    try:
+                        new = json_edit(m[2], lambda s: self.value(s))
+                    except ValueError:
+                        continue
+                    if new != m[2]:
+                        edits.append((m.start(2), m.end(2), new))
+                elif not m:
+                    within(start, end, self._tokens, False)
+            elif not closing and name != "!":
+                for k, a, b in markup_reader.attributes(text, first, stop):
+                    if a < b:
+                        within(a, b, lambda v, k=k: self._attribute(k, v), True)
+        within(last, len(text), self._css if content == "style" else self._tokens, False)
+        return _edited(text, edits)
 
     def value(self, text: str, content: str | None = None, depth: int = 0) -> str:
         """A value of any format; ``content`` is block_markup, skip or nothing."""
-        if content == "skip" or "http" not in text or not any(h in text.lower() for h in self.hosts):
+        markup = content == "block_markup"
+        if content == "skip" or not ("http" in text or markup) or not self.known(text, markup):
             return text
+        if not depth:
+            # Formats inside formats are followed as deep as they go; these are calls of Python's own, not of the C stack.
+            old = sys.getrecursionlimit()
+            sys.setrecursionlimit(max(old, 200_000))
+            try:
+                return self._value(text, content, depth)
+            finally:
+                sys.setrecursionlimit(old)
+        return self._value(text, content, depth)
+
+    def _value(self, text: str, content: str | None, depth: int) -> str:
         form = parts_of(text)
         if form:
             try:
                 return form[1](text, lambda s: self.value(s, content, depth + 1))
             except (Malformed, ValueError):
                 pass
-            except RecursionError:
-                # Formats inside formats, too many to follow: the whole value stays as it is, so its lengths stay right.
-                if depth:
-                    raise
-                return text
         return self.markup(text) if content == "block_markup" else self.text(text)
 
 
+def _edited(text: str, edits: Iterable[tuple[int, int, str]]) -> str:
+    """The text with these places put anew; the same object where there are none."""
+    out, last = [], 0
+    for a, b, new in sorted(edits):
+        if a >= last:
+            out += [text[last:a], new]
+            last = b
+    return "".join([*out, text[last:]]) if out else text
+
+
 def rewrite(value: Column, mapping: list[tuple[str, str]], content: str | None = None) -> Column:
     """Arrow UDF behind cheap guards: values without ``http`` or a mapped host never reach Python."""
     rewriter = Rewriter(mapping)
@@ -305,7 +475,9 @@ def rewrite(value: Column, mapping: list[tuple[str, str]], content: str | None =
         return s.map(lambda t: rewriter.value(t, content), na_action="ignore")
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    guard = F.contains(value, F.lit("http")) & F.rlike(F.lower(value), F.lit("|".join(map(re.escape, sorted(rewriter.hosts))) or "(?!)"))
+    guard = F.contains(value, F.lit("http")) if content != "block_markup" else F.contains(value, F.lit("//")) | F.contains(value, F.lit("&"))
+    if len(rewriter.hosts) <= 20 and content != "block_markup":
+        guard = guard & F.rlike(F.lower(value), F.lit("|".join([*map(re.escape, sorted(rewriter.hosts)), r"\\u"]) or "(?!)"))
     return F.when(guard, F.pandas_udf(run, "string")(value)).otherwise(value)
 
 

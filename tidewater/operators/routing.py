@@ -45,7 +45,7 @@ def longest_prefix(paths: DataFrame, rules: DataFrame, path: str = "path", few:
     """Add ``source``, ``target`` of the longest rule that is the path or above it; null where none is."""
     if found := _few(rules.select("source", "target").where("source IS NOT NULL"), few):
         last = {r.source.rstrip("/"): r for r in sorted(found, key=lambda r: (len(r.source), r.source, str(r.target)))}
-        values = [F.struct(F.lit(r.source).alias("source"), F.lit(r.target).cast("string").alias("target")) for r in last.values()]
+        values = [F.struct(*[F.lit(r[c]).cast(rules.schema[c].dataType).alias(c) for c in ("source", "target")]) for r in last.values()]
         rule = F.try_element_at(_met(bare(F.col(path)), list(last), values), F.lit(-1))
         return paths.withColumn("_rule", rule).select(*paths.columns, F.col("_rule.source").alias("source"), F.col("_rule.target").alias("target"))
     up = paths.select(path).distinct().select(path, F.explode(ancestors(bare(F.col(path)))).alias("_at"))
@@ -122,15 +122,47 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(front))
 
 
-def lookup_range(points: DataFrame, ranges: DataFrame, at: str, width: int) -> DataFrame:
-    """Add ``name`` of the range (start, stop, name; start in, stop out) that holds ``at``; null where none does.
+def lookup_range(points: DataFrame, ranges: DataFrame, at: str, few: int = 10_000) -> DataFrame:
+    """Add ``name`` of every range (start, stop, name; start in, stop out) that holds ``at``; null where none does.
 
-    Ranges are cut into bins of ``width``, so the join is one of equal bins, never of all with all.
+    A range lies in one or two bins of the power of two that its length fills, so each goes to two rows at most, and a point
+    to one row for each power that occurs: the join is one of equal bins, of any lengths. The widest powers, up to ``few``
+    ranges in all, are met by broadcast, as all points may lie in one of their bins.
     """
-    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width)))
-    cut = ranges.where("start < stop").select("start", "stop", "name", bins.alias("_bin"))
-    p = points.withColumn("_at", F.floor(F.col(at) / width))
-    return p.join(cut, (p["_at"] == cut["_bin"]) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop")), "left").select(*points.columns, "name")
+    r = ranges.where("start < stop").select(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "name")
+    # Bits of length - 1, without a logarithm's rounding.
+    power = F.length(F.bin(F.col("stop") - F.col("start") - 1)).cast("int")
+    r = r.withColumn("_power", F.least(power, F.lit(62)))
+    first, last = F.expr("shiftright(start, _power)"), F.expr("shiftright(stop - 1, _power)")
+    # One row a power, 63 at most.
+    powers = {x["_power"]: x["count"] for x in r.groupBy("_power").count().collect()}
+    wide, held = [], 0
+    for k in sorted(powers, reverse=True):
+        if held + powers[k] > few:
+            break
+        wide, held = [*wide, k], held + powers[k]
+    narrow = sorted(set(powers) - set(wide))
+    bins = r.withColumn("_bin", F.explode(F.array_distinct(F.array(first, last))))
+    name = "_point"
+    while name in points.columns:
+        name += "_"
+    rows = points.withColumn(name, F.struct("*"))
+    none = F.lit(None).cast(ranges.schema["name"].dataType).alias("name")
+
+    def met(levels: list[int], side: DataFrame, by_broadcast: bool) -> DataFrame:
+        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("_power"), F.expr(f"shiftright(CAST(`{at}` AS BIGINT), {k})").alias("_bin")) for k in levels]))
+        p = rows.withColumn("_k", keys).select(name, F.col(at).alias("_at"), "_k.*")
+        side = side.where(F.col("_power").isin(levels))
+        found = p.join(F.broadcast(side) if by_broadcast else side, ["_power", "_bin"]).where("_at >= start AND _at < stop")
+        return found.select(name, "name")
+
+    parts = [met(levels, bins, b) for levels, b in ((wide, True), (narrow, False)) if levels]
+    if not parts:
+        return points.select("*", none)
+    hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # A point without a hit, once for each of its rows.
+    missed = rows.join(hits.select(F.col(name).alias("_hit")).distinct(), F.col(name).eqNullSafe(F.col("_hit")), "left_anti")
+    return hits.select(f"{name}.*", "name").unionByName(missed.select(f"{name}.*", none))
 
 
 def covering(prefixes: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:

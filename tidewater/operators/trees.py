@@ -15,47 +15,94 @@ from tidewater.operators.lineage import cut
 from tidewater.operators.routing import ancestors, bare, minimal, within
 
 ENTRY = "path string, ctime long, size long, type string, target string"
-#: Links that one path may follow before it counts as a cycle, as systems do.
-MOST_FOLLOWED = 40
+#: What a walk needs besides: the folder that an entry is, or that a link leads to, by its real path, device and inode.
+_WALK = f"{ENTRY}, real string, dev long, ino long"
+
+
+def _entry(path: str, name: str | None = None) -> tuple:
+    s = os.lstat(path)
+    kind = "link" if stat.S_ISLNK(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "other"
+    real, own = None, s
+    if kind == "dir":
+        real = os.path.realpath(path)
+    elif kind == "link":
+        try:
+            own = os.stat(path)
+            real = os.path.realpath(path) if stat.S_ISDIR(own.st_mode) else None
+        except OSError:  # leads nowhere, or in a circle
+            pass
+    # Devices and inodes are unsigned.
+    where = [n - (1 << 64) if n >= 1 << 63 else n for n in (own.st_dev, own.st_ino)] if real else [None, None]
+    return path, int(s.st_ctime), s.st_size if kind == "file" else 0, kind, os.readlink(path) if kind == "link" else None, real, *where
 
 
 def _entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What the folders of ``path`` hold, in slices; a folder that cannot be read is an entry of type ``error``."""
-    names = [f.split()[0] for f in ENTRY.split(", ")]
+    names = [f.split()[0] for f in _WALK.split(", ")]
+    made = lambda rows: pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("ctime", "size", "dev", "ino")})
     rows: list[tuple] = []
     for x in parts:
         for folder in x.path:
             try:
                 with os.scandir(folder) as found:
                     for e in found:
-                        s = e.stat(follow_symlinks=False)
-                        kind = "link" if stat.S_ISLNK(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "other"
-                        rows.append((e.path, int(s.st_ctime), s.st_size if kind == "file" else 0, kind, os.readlink(e.path) if kind == "link" else None))
+                        try:
+                            rows.append(_entry(e.path))
+                        except FileNotFoundError:  # gone since it was listed
+                            continue
                         if len(rows) >= 10_000:
-                            yield pd.DataFrame(rows, columns=names)
+                            yield made(rows)
                             rows = []
             except OSError as e:
-                rows.append((folder, None, None, "error", e.strerror))
-    yield pd.DataFrame(rows, columns=names)
+                rows.append((folder, None, None, "error", e.strerror, None, None, None))
+    yield made(rows)
 
 
-def scan(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+def scan(spark: SparkSession, roots: Sequence[str], follow: bool = False, anywhere: bool = False) -> DataFrame:
     """path, ctime, size, type, target of all under the roots: folders are listed side by side, a level at a time.
 
-    Links are named and not followed. A root under another one is not listed twice. The folders must be
-    where all executors see them.
+    A root under another one is not listed twice. With ``follow`` the folders that links lead to are listed
+    under their real paths; a folder, told by device and inode, is listed once however many ways lead to it. Links out of the roots, by where
+    they really lead, are followed only with ``anywhere``. The folders must be where all executors see them.
     """
-    empty = spark.createDataFrame([], ENTRY)
+    found = spark.createDataFrame([], ENTRY)
     front = minimal(spark.createDataFrame([(r,) for r in roots], "prefix string")).select(F.col("prefix").alias("path"))
-    found = empty
+    own = sorted({os.path.realpath(r).rstrip("/") for r in roots})
+    inside = F.lit(False)
+    for r in own:
+        inside |= within(F.col("real"), r)
+    seen = None
+    if follow:
+        # Every folder of a level is looked at once more by its own name, so roots have a device and inode too.
+        seen = cut(front.repartition("path").mapInPandas(_named, "real string, dev long, ino long")).where("real IS NOT NULL")
+        front = seen.groupBy("dev", "ino").agg(F.min("real").alias("path")).select("path")
+        seen = seen.select("dev", "ino").distinct()
     while True:
-        level = cut(front.repartition("path").mapInPandas(_entries, ENTRY))
-        found = found.unionByName(level)
-        front = level.where("type = 'dir'").select("path")
+        level = cut(front.repartition("path").mapInPandas(_entries, _WALK))
+        found = found.unionByName(level.select(*(f.split()[0] for f in ENTRY.split(", "))))
+        if follow:
+            ahead = level.where("real IS NOT NULL").where((F.col("type") == "dir") | F.lit(anywhere) | inside)
+            ahead = ahead.groupBy("dev", "ino").agg(F.min("real").alias("path"))
+            ahead = cut(ahead.join(seen, ["dev", "ino"], "left_anti"))
+            seen = seen.unionByName(ahead.select("dev", "ino"))
+            front = ahead.select("path")
+        else:
+            front = level.where("type = 'dir'").select("path")
         if not front.limit(1).count():
             return found
 
 
+def _named(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in parts:
+        rows = []
+        for path in x.path:
+            try:
+                rows.append(_entry(os.path.realpath(path))[5:])
+            except OSError:
+                rows.append((path, 0, 0))
+        yield pd.DataFrame(rows, columns=["real", "dev", "ino"]).astype({"dev": "Int64", "ino": "Int64"})
+
+
 def escaping(links: DataFrame, root: str) -> DataFrame:
     """path, target, ends: links (path, target) whose target, by its text, lies outside the root."""
     ends = p.resolved(p.dirname(F.col("path")), F.col("target"))
@@ -63,24 +110,27 @@ def escaping(links: DataFrame, root: str) -> DataFrame:
 
 
 def canonical(paths: DataFrame, links: DataFrame, path: str = "path") -> DataFrame:
-    """Add ``canonical``: the path with every link on the way to it, and itself, followed; null if that takes over 40 links.
+    """Add ``canonical``: the path with every link on the way to it, and itself, followed, however many; null where that has no end.
 
-    A round follows the topmost link of each path, found among its ancestors by an equal join.
+    A round follows the topmost link of each path, found among its ancestors by an equal join. A link that is met
+    again while what stood behind it is still to come leads into itself.
     """
     to = p.resolved(p.dirname(F.col("path")), F.col("target"))
     rules = links.select(bare(F.col("path")).alias("_at"), F.when(~within(to, bare(F.col("path"))), to).alias("_to"))
-    none = F.array().cast("array<string>")
-    at = cut(paths.select(F.col(path).alias("_p"), p.normalized(F.col(path)).alias("_c"), none.alias("_seen")).distinct())
+    none = F.array().cast("array<struct<at:string,rest:int>>")
+    at = cut(paths.select(F.col(path).alias("_p"), p.normalized(F.col(path)).alias("_c"), none.alias("_open")).distinct())
     done = at.where("false").select("_p", "_c")
-    for turn in range(MOST_FOLLOWED + 1):
+    while True:
         up = at.select("_p", "_c", F.explode(ancestors(F.col("_c"))).alias("_at"))
         first = up.join(rules, "_at").groupBy("_p").agg(F.min_by(F.struct("_at", "_to"), F.length("_at")).alias("m"))
         met = cut(at.join(first, "_p", "left"))
         done = done.unionByName(met.where("m IS NULL").select("_p", "_c"))
         rest = F.substring(F.col("_c"), F.length("m._at") + 1, F.length("_c"))
-        # A path that comes back to what it was, or to a link under itself, never ends.
-        at = met.where("m._to IS NOT NULL").select("_p", p.normalized(F.concat("m._to", rest)).alias("_c"), F.concat("_seen", F.array("_c")).alias("_seen")).where(~F.array_contains("_seen", F.col("_c")))
-        if turn == MOST_FOLLOWED or not at.limit(1).count():
+        opened = F.filter("_open", lambda x: x.rest <= F.length(rest))
+        again = F.exists(opened, lambda x: x["at"] == F.col("m._at"))
+        here = F.array(F.struct(F.col("m._at").alias("at"), F.length(rest).alias("rest")))
+        at = met.where(F.col("m._to").isNotNull() & ~again).select("_p", p.normalized(F.concat("m._to", rest)).alias("_c"), F.concat(opened, here).alias("_open"))
+        if not at.limit(1).count():
             break
     return paths.join(done, F.col(path) == F.col("_p"), "left").drop("_p").withColumnRenamed("_c", "canonical")
 

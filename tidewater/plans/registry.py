@@ -356,7 +356,7 @@ _RANGES = [(1, 11, "small"), (11, 30, "medium"), (35, 51, "large")]
 
 @query("WITH r(a, b, name) AS (VALUES " + ", ".join(f"({a}, {b}, '{n}')" for a, b, n in _RANGES) + ") SELECT p_partkey, p_size, name FROM part LEFT JOIN r ON p_size >= a AND p_size < b")
 def offset_range_lookup(spark, d):
-    return routing.lookup_range(_t(spark, d, "part").select("p_partkey", "p_size"), spark.createDataFrame(_RANGES, "start int, stop int, name string"), "p_size", 8)
+    return routing.lookup_range(_t(spark, d, "part").select("p_partkey", "p_size"), spark.createDataFrame(_RANGES, "start int, stop int, name string"), "p_size")
 
 
 @query(f"WITH {_RULES_SQL} SELECT source prefix FROM r WHERE EXISTS (SELECT 1 FROM pages WHERE {_PATH} = source OR starts_with({_PATH}, source || '/'))")

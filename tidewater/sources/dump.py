@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import encode
+from tidewater.sources import sqltext
 
 # What a dump sets before its rows and restores after them.
 HEADER = (
@@ -31,15 +33,15 @@ _COLUMN_TYPES = {
 }
 
 
-def create_table(df: DataFrame, table: str, key: Sequence[str]) -> str:
-    """CREATE TABLE for the schema; text of a key has a length, as an index needs one."""
-    lines = []
+def create_table(df: DataFrame, table: str, key: Sequence[str], lengths: dict[str, int] | None = None) -> str:
+    """CREATE TABLE for the schema; text of a key has the length of its longest value in ``lengths`` (191 where not given), as an index needs one."""
+    lines, lengths = [], lengths or {}
     for f in df.schema:
         kind = _COLUMN_TYPES.get(type(f.dataType), "LONGTEXT")
         if isinstance(f.dataType, T.DecimalType):
             kind = f"DECIMAL({f.dataType.precision},{f.dataType.scale})"
         if f.name in key and kind in ("LONGTEXT", "LONGBLOB"):
-            kind = "VARCHAR(191)" if kind == "LONGTEXT" else "VARBINARY(767)"
+            kind = f"VARCHAR({max(191, lengths.get(f.name, 0))})" if kind == "LONGTEXT" else f"VARBINARY({max(767, lengths.get(f.name, 0))})"
         lines.append(f"  {encode.quote(f.name)} {kind}" + ("" if f.nullable and f.name not in key else " NOT NULL"))
     if key:
         lines.append(f"  PRIMARY KEY ({', '.join(map(encode.quote, key))})")
@@ -84,7 +86,11 @@ def fragments(df: DataFrame, table: str, key: Sequence[str], batch: int = 250, l
     spark = df.sparkSession
     chunk = max(64, (limit - 512) * 3 // 4)
     name = encode.quote(table).replace("\n", "\\n")
-    structure = f"--\n-- Table structure for table {name}\n--\n\nDROP TABLE IF EXISTS {encode.quote(table)};\n{create_table(df, table, key)}"
+    texts = [f.name for f in df.schema if f.name in key and isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    longest = df.agg(*[F.max(F.length(encode.quote(c))).alias(c) for c in texts]).first().asDict() if texts else {}
+    longest = {c: n for c, n in longest.items() if n}
+    # How a dump opens a table.
+    structure = f"--\n-- Table structure for table {name}\n--\n\nDROP TABLE IF EXISTS {encode.quote(table)};\n{create_table(df, table, key, longest)}"
     fixed = spark.createDataFrame([(0, 0, 0, HEADER), (1, 0, 0, structure), (4, 0, 0, FOOTER)], "section int, part int, stmt_no long, sql string")
     schema = "section int, part int, stmt_no long, sql string"
     if not key:
@@ -137,53 +143,94 @@ def write_dump(rows: DataFrame, path: str) -> None:
 LEDGER = "tidewater_applied"
 
 
-def apply(rows: DataFrame, connect: Callable[[], Any], run: str, every: int = 100, execute: Callable[[Any, str], Any] | None = None) -> None:
+def _session(sql: str) -> bool:
+    """Whether a statement tells its connection something, and nothing to the database."""
+    return sql.split(None, 1)[0].upper().rstrip(";") in ("SET", "COMMIT") if sql.strip() else True
+
+
+def _staged(rows: DataFrame, folder: str) -> DataFrame:
+    """What a whole earlier write left in the folder; ``rows``, written there, where none did."""
+    spark = rows.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        rows.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+def apply(rows: DataFrame, connect: Callable[[], Any], run: str, stage: str, every: int = 100, session: bool = True, execute: Callable[[Any, str], Any] | None = None) -> None:
     """Run the statements of ``fragments`` on a database: section by section, parts side by side, each in its order.
 
-    ``connect`` gives a DB-API connection whose statements are in a transaction until committed. Every
-    ``every`` statements are committed together with the place reached, in a table of the database, so a task that
-    is tried again, or the whole job under the same ``run``, goes on after the last committed one.
+    ``connect`` gives a DB-API connection whose statements are in a transaction until committed. The header and the footer
+    are run on every connection; ``session`` false leaves out what only sets a connection up (SET, COMMIT), for targets
+    that have no such statements. A row may hold several statements; they are run one by one, by ``execute`` where given.
+
+    The statements are written to ``stage`` first, a folder that all executors share, and a later call with the same folder
+    takes them from there: rows are not dealt into other statements then. Every ``every`` statements are committed together with their names in a ledger, a table of the database: a
+    digest of the statement and which of its like it is. So a task that is tried again, or the whole job under the same
+    ``run``, passes over what is committed, however the rows are parted or numbered.
     """
     do = execute or (lambda cursor, sql: cursor.execute(sql))
+    rows = _staged(rows.select("section", "part", "stmt_no", "sql"), stage)
+    tag = run.replace("'", "''")
+    wanted = lambda sql: [s for _, _, s in sqltext.split(sql) if session or not _session(s)]
+    frame = [[s for r in rows.where(F.col("section") == k).orderBy("part", "stmt_no").select("sql").collect() for s in wanted(r.sql)] for k in (0, len(SECTIONS) - 1)]
     con = connect()
-    con.cursor().execute(f"CREATE TABLE IF NOT EXISTS {LEDGER} (run VARCHAR(191), section INT, part INT, stmt_no BIGINT, PRIMARY KEY (run, section, part))")
+    con.cursor().execute(f"CREATE TABLE IF NOT EXISTS {LEDGER} (run VARCHAR(191), name VARCHAR(80), PRIMARY KEY (run, name))")
     con.commit()
     con.close()
-    tag = run.replace("'", "''")
 
     def task(part_rows: Iterator[Row]) -> None:
+        ahead = list(islice(part_rows, every))
+        if not ahead:
+            return
         con = connect()
         cursor = con.cursor()
-        at, held, done = None, 0, -1
-
-        def commit() -> None:
-            if held:
-                cursor.execute(f"DELETE FROM {LEDGER} WHERE run = '{tag}' AND section = {at[0]} AND part = {at[1]}")
-                cursor.execute(f"INSERT INTO {LEDGER} VALUES ('{tag}', {at[0]}, {at[1]}, {done})")
-                con.commit()
-
         try:
-            for r in part_rows:
-                if (r.section, r.part) != at:
-                    if at:
-                        commit()
-                    at, held = (r.section, r.part), 0
-                    cursor.execute(f"SELECT stmt_no FROM {LEDGER} WHERE run = '{tag}' AND section = {r.section} AND part = {r.part}")
-                    found = cursor.fetchone()
-                    done = found[0] if found else -1
-                if r.stmt_no <= done:
-                    continue
-                do(cursor, r.sql)
-                done, held = r.stmt_no, held + 1
-                if held == every:
-                    commit()
-                    held = 0
-            commit()
+            for s in frame[0]:
+                do(cursor, s)
+            while ahead:
+                names = ", ".join(f"'{r.name}'" for r in ahead)
+                cursor.execute(f"SELECT name FROM {LEDGER} WHERE run = '{tag}' AND name IN ({names})")
+                done = {r[0] for r in cursor.fetchall()}
+                left = [r for r in ahead if r.name not in done]
+                for r in left:
+                    for s in wanted(r.sql):
+                        do(cursor, s)
+                if left:
+                    cursor.execute(f"INSERT INTO {LEDGER} VALUES " + ", ".join(f"('{tag}', '{r.name}')" for r in left))
+                con.commit()
+                ahead = list(islice(part_rows, every))
+            for s in frame[1]:
+                do(cursor, s)
+            con.commit()
         except BaseException:
             con.rollback()
             raise
         finally:
             con.close()
 
-    for section in range(len(SECTIONS)):
-        rows.where(F.col("section") == section).repartition("part").sortWithinPartitions("part", "stmt_no").foreachPartition(task)
+    # Of statements that are alike any may count as the first: they do the same.
+    digest = F.sha2(F.concat_ws(" ", F.col("section").cast("string"), "sql").cast("binary"), 256)
+    like = F.row_number().over(Window.partitionBy("_digest").orderBy("part", "stmt_no"))
+    named = rows.where(F.col("section").between(1, len(SECTIONS) - 2)).withColumn("_digest", digest).withColumn("name", F.concat_ws(".", "_digest", like.cast("string")))
+    for section in range(1, len(SECTIONS) - 1):
+        named.where(F.col("section") == section).repartition("part").sortWithinPartitions("part", "stmt_no").foreachPartition(task)
+
+
+def apply_file(spark: SparkSession, path: str | list[str], mapping: list[tuple[str, str]], connect: Callable[[], Any], run: str, stage: str, every: int = 100, session: bool = True, stretch: int = 64 << 20, execute: Callable[[Any, str], Any] | None = None) -> None:
+    """Read dump files, move their URLs, and apply them, as one job that goes on where it was stopped.
+
+    Statements that set a session up are run on every connection; those that make or drop things come first, in the order of
+    the files; then rows, in stretches of the file side by side, each in its order; then updates likewise.
+    """
+    read = sqltext.rewritten(sqltext.read_statements(spark, path), mapping)
+    word = F.upper(F.regexp_extract(F.regexp_replace("sql", r"^(?:\s+|--[ \t\r\n][^\n]*\n?|#[^\n]*\n?|/\*(?!!)(?s:.*?)\*/)+", ""), r"^(?:/\*!\d* *)?([A-Za-z]+)", 1))
+    rows = F.when(word.isin("SET", "COMMIT", "START", "LOCK", "UNLOCK", "USE"), -1).when(word.isin("INSERT", "REPLACE"), 2).when(word == "UPDATE", 3).otherwise(1)
+    # One row a file: numbered by name.
+    files = read.select("source").distinct().withColumn("_file", F.row_number().over(Window.orderBy("source")).cast("long") * 1_000_000)
+    part = F.when(F.col("_section") == 1, 0).otherwise(F.col("_file") + F.floor(F.col("byte_start") / stretch))
+    number = F.when(F.col("_section") == 1, F.col("_file").cast("long") * (1 << 40)).otherwise(F.lit(0)) + F.col("stmt_no")
+    body = read.withColumn("_section", rows).where("_section > 0").join(F.broadcast(files), "source")
+    body = body.select(F.col("_section").alias("section"), part.alias("part"), number.alias("stmt_no"), "sql")
+    frame = spark.createDataFrame([(0, 0, 0, HEADER), (4, 0, 0, FOOTER)], "section int, part int, stmt_no long, sql string")
+    apply(frame.unionByName(body), connect, run, stage, every, session, execute)

@@ -8,10 +8,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.encode import may_hold_url
+from tidewater.sources.dumpfile import Splitter, read_statements
+
+__all__ = ["Splitter", "cells", "parsed", "places", "read_statements", "rewrite_statement", "rewritten", "split", "statements"]
 
 #: Up to the next ';' outside quotes and comments, in one match; two quotes inside a string end it and begin the next.
 _STATEMENT = re.compile(
@@ -33,28 +36,6 @@ def split(text: str) -> Iterator[tuple[int, int, str]]:
         yield start, len(text), text[start:]
 
 
-class Splitter:
-    """The same over chunks: what is not ended is held until more comes, however long it grows."""
-
-    def __init__(self) -> None:
-        self.held = ""
-        self.more: list[str] = []
-
-    def feed(self, chunk: str, last: bool = False) -> list[str]:
-        self.more.append(chunk)
-        if not last and ";" not in chunk and not (self.held + "".join(self.more[-2:-1])).endswith(";"):
-            return []  # no statement can end here: nothing is read twice
-        self.held += "".join(self.more)
-        self.more.clear()
-        found = list(split(self.held))
-        if not last:
-            # The last statement may go on, and a mark at the very end may be half of one.
-            found = [x for x in found if x[2].endswith(";") and x[1] < len(self.held)]
-        done = found[-1][1] if found else 0
-        self.held = "" if last else self.held[done:]
-        return [x[2] for x in found]
-
-
 _NAME = r"(?:`((?:[^`]|``)*)`|([A-Za-z_$][\w$]*))"
 _INSERT = re.compile(rf"\s*(INSERT|REPLACE)\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE)\s+)*(?:INTO\s+)?{_NAME}\s*\(((?:`(?:[^`]|``)*`|[^)`])*)\)\s*VALUES?\s*", re.I)
 _UPDATE = re.compile(rf"\s*UPDATE\s+(?:(?:LOW_PRIORITY|IGNORE)\s+)*{_NAME}\s+SET\s+", re.I)
@@ -218,14 +199,8 @@ def rewrite_statement(sql: str, edit: Callable[[str, str | None], str], own: dic
     return "".join([*out, sql[last:]]) if out else sql
 
 
-def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """source, stmt_no, byte_start, byte_end, sql of dump files: one task reads a file, files run side by side."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source"), "value")
-    return statements(files)
-
-
 def statements(texts: DataFrame) -> DataFrame:
-    """The same of a table of source, value."""
+    """source, stmt_no, byte_start, byte_end, sql of a table of source, value (whole texts)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
