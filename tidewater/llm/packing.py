@@ -23,6 +23,7 @@ import heapq
 import os
 import re
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ GROUP = 20_000
 KNOWN_WORDS = 800_000
 SPECIAL = "<|endoftext|>"
 _CUT = re.compile(r"(?= [\w!-~])")
-#: Tokens of the words that this worker has met, by vocabulary.
-_known: dict[str, dict[str, bytes]] = {}
+#: Tokenizers of this worker, with the tokens of the words that it has met.
+_ready: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
 def vocabulary() -> str:
@@ -62,7 +63,9 @@ def words_of(text: str) -> list[str]:
 
 
 def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts -> their ids, each as little-endian unsigned 32-bit."""
+    """Texts -> their ids, each as little-endian unsigned 32-bit. A worker's later tasks find it made, with the words it knows."""
+    if path in _ready:
+        return _ready[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
@@ -73,7 +76,7 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     size = np.zeros(t.get_vocab_size(), np.int64)
     for token, i in t.get_vocab().items():
         size[i] = len(token) if alphabet.issuperset(token) and token != SPECIAL else len(token.encode())
-    known = _known.setdefault(path, {})
+    known: dict[str, bytes] = {}
 
     def learn(words: list[str]) -> None:
         """One text of many words, each with its blank, has the tokens of each word one after another."""
@@ -91,17 +94,18 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
             new = set().union(*words)
         # A text's first word may lack a blank, and one with the special token is no word.
         alone = {w[0] for w in words if w and w[0] in new and (len(w) == 1 or not _CUT.match(w[0]))}
-        for w in alone:
-            learn([w])
+        singles = list(alone)
+        for w, e in zip(singles, t.encode_batch_fast(singles, add_special_tokens=False) if singles else (), strict=True):
+            known[w] = np.asarray(e.ids, "<u4").tobytes()
         later = list(new - alone)
         for at in range(0, len(later), 1000):
             learn(later[at : at + 1000])
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        out = [b"".join(itemgetter(*w)(known)) if len(w) > 1 else b"".join(known[x] for x in w) for w in words]
         for w in alone:
             known.pop(w, None)
         return out
 
-    return run
+    return _ready.setdefault(path, run)
 
 
 class Sequences:
