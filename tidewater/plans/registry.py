@@ -447,7 +447,7 @@ def insert_dump(spark, d):
 
 @query("SELECT 'customer' AS \"table\", 'c_custkey' AS \"column\", 'number' kind, CAST(c_custkey AS VARCHAR) AS value FROM customer UNION ALL SELECT 'customer', 'c_name', 'base64', c_name FROM customer UNION ALL SELECT 'customer', 'c_nationkey', 'number', CAST(c_nationkey AS VARCHAR) FROM customer")
 def parse_insert(spark, d):
-    return insert_dump(spark, d).select(F.explode(sqltext.parsed(F.col("sql"))).alias("c")).select("c.table", "c.column", "c.kind", "c.value")
+    return insert_dump(spark, d).select(F.explode(sqltext.scanned(F.col("sql"))).alias("c")).select("c.table", "c.column", "c.kind", "c.value")
 
 
 # Rows at the edges beside those of the tables.

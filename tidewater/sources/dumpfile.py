@@ -67,27 +67,35 @@ class Splitter:
 
     def __init__(self) -> None:
         self.state, self.parts, self.half = PLAIN, [], b""
+        self.open_at_end = False
 
     def feed(self, chunk: str | bytes, last: bool = False) -> list[str]:
-        data = self.half + (chunk if isinstance(chunk, bytes) else chunk.encode("utf-8", "surrogatepass"))
+        data = chunk if isinstance(chunk, bytes) else chunk.encode("utf-8", "surrogatepass")
+        return [s.decode("utf-8", "surrogatepass") for keep, s in self.cut(data, last) if keep]
+
+    def cut(self, chunk: bytes, last: bool = False) -> Iterator[tuple[bool, bytes]]:
+        """All that ends in the chunk, statements and stretches of space and comments alike: whether it is a statement, and its bytes."""
+        data = self.half + chunk
         # A mark that may be half of one waits for the other half.
-        cut = len(data) if last else _HALF.search(data).start()
-        data, self.half = data[:cut], data[cut:]
-        out = []
+        end = len(data) if last else _HALF.search(data).start()
+        data, self.half = data[:end], data[end:]
         *whole, rest = data.split(b";")
         for piece in whole:
             self.state = advance(self.state, piece)
             self.parts.append(piece + b";")
             if self.state in (PLAIN, SOME):
-                out += self._end(self.state == SOME)
+                yield self._end(self.state == SOME)
         self.state = advance(self.state, rest)
         self.parts.append(rest)
-        return out + (self._end(left_at_end(self.state)) if last else [])
+        if last:
+            #: Whether the text ended inside quotes or a comment.
+            self.open_at_end = self.state not in (PLAIN, SOME, LINE, LINE_SOME)
+            yield self._end(left_at_end(self.state) and any(self.parts))
 
-    def _end(self, keep: bool) -> list[str]:
+    def _end(self, keep: bool) -> tuple[bool, bytes]:
         statement = b"".join(self.parts)
         self.state, self.parts = PLAIN, []
-        return [statement.decode("utf-8", "surrogatepass")] if keep and statement else []
+        return keep, statement
 
 
 def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:

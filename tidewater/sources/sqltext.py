@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.encode import may_hold_url
 from tidewater.sources.dumpfile import Splitter, read_statements
 
-__all__ = ["Splitter", "cells", "parsed", "places", "read_statements", "rewrite_statement", "rewritten", "split", "statements"]
+__all__ = ["Splitter", "cells", "parse", "parsed", "places", "read_statements", "rewrite_statement", "rewritten", "scanned", "split", "statements"]
 
 #: Up to the next ';' outside quotes and comments, in one match; two quotes inside a string end it and begin the next.
 _STATEMENT = re.compile(
@@ -217,14 +217,63 @@ def statements(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "source string, stmt_no long, byte_start long, byte_end long, sql string")
 
 
+_CELLS = "array<struct<table:string,row_no:int,column:string,kind:string,value:string>>"
+_B64 = "FROM_BASE64\\('[A-Za-z0-9+/=]*'\\)"
+#: The statements of a dump's producer, for the JVM: the head, a name of its list, and a cell. Every match is short, so no stack grows with the text.
+_HEAD = "^INSERT INTO `((?:[^`]|``)*)` \\(((?:`(?:[^`]|``)*`(?:, )?)+)\\) VALUES\n(?=\\()"
+_COLUMN = "`((?:[^`]|``)*)`"
+_VALUE = f"(?<=[(,])(?:NULL|''|-?[0-9][0-9.]*(?:[eE][+-]?[0-9]+)?|{_B64}|CONVERT\\({_B64} USING utf8mb4\\))(?=[,)])"
+
+
+def scanned(sql: Column) -> Column:
+    """What ``parsed`` gives, by built-in expressions alone, of a statement just as a dump's producer writes it; null of any other.
+
+    The cells that the pattern finds are put together again as the producer would; only if that is the statement, byte for byte, were they its cells.
+    """
+    head = F.regexp_extract(sql, _HEAD, 0)
+    names = F.regexp_extract_all(F.regexp_extract(sql, _HEAD, 2), F.lit(_COLUMN), F.lit(1))
+    names = F.transform(names, lambda c: F.replace(c, F.lit("``"), F.lit("`")))
+    values = F.regexp_extract_all(F.substring(sql, F.length(head), F.length(sql)), F.lit(_VALUE), F.lit(0))
+    table = F.replace(F.regexp_extract(sql, _HEAD, 1), F.lit("``"), F.lit("`"))
+
+    def rows(x: Column) -> Column:
+        of = lambda r: F.concat(F.lit("("), F.array_join(F.slice(x["values"], r * F.size(x.names) + 1, F.size(x.names)), ","), F.lit(")"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), (F.size(x["values"]) / F.size(x.names) - 1).cast("int")), of), ",\n")
+
+    def cell(x: Column, v: Column, i: Column) -> Column:
+        code = F.regexp_extract(v, "FROM_BASE64\\('([A-Za-z0-9+/=]*)'", 1)
+        b64 = F.contains(v, F.lit("FROM_BASE64"))
+        kind = F.when(v == "NULL", "null").when(b64, "base64").when(v == "''", "string").otherwise("number")
+        value = F.when(b64, F.make_valid_utf8(F.try_to_binary(code, F.lit("base64")).cast("string"))).when(v == "''", "").when(v != "NULL", v)
+        n = F.size(x.names)
+        return F.struct(x.table.alias("table"), F.floor(i / n).cast("int").alias("row_no"), F.element_at(x.names, (i % n + 1).cast("int")).alias("column"), kind.alias("kind"), value.alias("value"))
+
+    def whole(x: Column) -> Column:
+        fits = (F.size(x.names) > 0) & (F.size(x["values"]) > 0) & (F.size(x["values"]) % F.greatest(F.size(x.names), F.lit(1)) == 0)
+        same = F.when(fits, F.concat(x.head, rows(x), F.lit(";")) == x.sql)
+        return F.when(same, F.transform(x["values"], lambda v, i: cell(x, v, i)))
+
+    # A list of one, so that what is found is found once and named inside.
+    found = F.array(F.struct(sql.alias("sql"), head.alias("head"), table.alias("table"), names.alias("names"), values.alias("values")))
+    return F.transform(found, whole)[0].cast(_CELLS)
+
+
+def parse(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """Add ``cells``: as ``parsed`` gives them. Only statements that the JVM's scan passes over go to Python."""
+    return statements.withColumn("cells", scanned(F.col(sql))).withColumn("cells", F.coalesce("cells", parsed(F.when(F.col("cells").isNull(), F.col(sql)))))
+
+
 def parsed(sql: Column) -> Column:
-    """array of (table, row_no, column, kind, value) of an INSERT or UPDATE; empty for other shapes."""
+    """array of (table, row_no, column, kind, value) of an INSERT or UPDATE; empty for other shapes. Bytes that are no text are U+FFFD in a value."""
+
+    def valid(v: str | None) -> str | None:
+        return v if v is None or v.isascii() else v.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{k: c[k] for k in ("table", "row_no", "column", "kind", "value")} for c in cells(t) or []] if isinstance(t, str) else [])
+        return s.map(lambda t: [{k: valid(c[k]) if k == "value" else c[k] for k in ("table", "row_no", "column", "kind", "value")} for c in cells(t) or []] if isinstance(t, str) else [])
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<struct<table:string,row_no:int,column:string,kind:string,value:string>>")(sql)
+    return F.pandas_udf(run, _CELLS)(sql)
 
 
 def rewritten(dump: DataFrame, mapping: list[tuple[str, str]], sql: str = "sql") -> DataFrame:
