@@ -213,6 +213,26 @@ def test_a_dump_file_is_read_moved_and_applied_as_one_job(spark, tmp_path):
     assert connect().execute("SELECT id, v FROM p ORDER BY id").fetchall() == want
 
 
+def test_producer_statements_are_scanned_in_the_jvm(spark):
+    rows = [(i, None if i % 3 == 0 else f"v'{i}\n`é" if i % 5 else "", i * 1.5 if i % 2 else -1e-20, bytearray([i % 256, 255]), '{"a":%d}' % i) for i in range(400)]
+    df = spark.createDataFrame(rows, "`i``d` int, t string, x double, b binary, j string")
+    made = encode.insert_statements(df, "t`a", ["i`d"], json=["j"])
+    plan = made.select(sqltext.scanned(F.col("sql")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    both = spark.createDataFrame(made.collect(), made.schema)
+    got = both.select(sqltext.scanned(F.col("sql")).alias("a"), sqltext.parsed(F.col("sql")).alias("b")).collect()
+    assert got and all(r.a == r.b and r.a for r in got)
+    others = ["INSERT INTO `t` (`a`) VALUES\n(1),\n(2)", "INSERT INTO `t` (`a`) VALUES\n(1 );", "INSERT INTO `t` (`a`, `b`) VALUES\n(1,2),\n(3);", "INSERT INTO `t` (`a`) VALUES\n('x');", "UPDATE `t` SET a=1;", "x", "", None]
+    texts = spark.createDataFrame([(t,) for t in others], "sql string")
+    assert texts.where(sqltext.scanned(F.col("sql")).isNotNull()).count() == 0
+    cells = {r.sql: [(c.row_no, c.column, c.kind, c.value) for c in r.cells] for r in sqltext.parse(texts).collect()}
+    assert cells[others[3]] == [(0, "a", "string", "x")] and cells[others[1]] == [(0, "a", "number", "1")] and cells["x"] == cells[None] == []
+    # Time is in proportion to the cells, and nothing is on a stack.
+    row = F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.concat(F.lit("("), i.cast("string"), F.lit(",FROM_BASE64('eHh4'))")))
+    big = spark.range(1).select(F.concat(F.lit("INSERT INTO `t` (`a`, `b`) VALUES\n"), F.array_join(row, ",\n"), F.lit(";")).alias("sql"))
+    assert big.select(F.size(sqltext.scanned(F.col("sql")))).first()[0] == 200_000
+
+
 def test_splitter_takes_time_in_proportion():
     def took(n):
         splitter, text = sqltext.Splitter(), "INSERT INTO t VALUES ('" + "x;" * n + "');"

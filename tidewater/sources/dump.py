@@ -122,6 +122,8 @@ def _updates(rows: DataFrame, schema: T.StructType, table: str, key: Sequence[st
         for i, f in enumerate(schema)
         if isinstance(f.dataType, (T.StringType, T.BinaryType))
     ]
+    if not cells:
+        return rows.sparkSession.createDataFrame([], "section int, part int, stmt_no long, sql string")
     k = F.struct(*[F.col(encode.quote(c)).alias(f"k{i}") for i, c in enumerate(key)]).alias("k")
     each = rows.select(k, where.alias("where"), F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL")
     last = F.floor((F.octet_length("c.d") - 1) / chunk).cast("int")

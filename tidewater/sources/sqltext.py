@@ -260,12 +260,17 @@ def scanned(sql: Column) -> Column:
 
 def parse(statements: DataFrame, sql: str = "sql") -> DataFrame:
     """Add ``cells``: as ``parsed`` gives them. Only statements that the JVM's scan passes over go to Python."""
-    return statements.withColumn("cells", scanned(F.col(sql))).withColumn("cells", F.coalesce("cells", parsed(F.when(F.col("cells").isNull(), F.col(sql)))))
+    # Not deterministic to Spark, so that no filter on the cells is moved below the function and calls it where it cannot be.
+    rest = _parser().asNondeterministic()
+    return statements.withColumn("cells", scanned(F.col(sql))).withColumn("cells", F.coalesce("cells", rest(F.when(F.col("cells").isNull(), F.col(sql)))))
 
 
 def parsed(sql: Column) -> Column:
     """array of (table, row_no, column, kind, value) of an INSERT or UPDATE; empty for other shapes. Bytes that are no text are U+FFFD in a value."""
+    return _parser()(sql)
 
+
+def _parser():
     def valid(v: str | None) -> str | None:
         return v if v is None or v.isascii() else v.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
@@ -273,7 +278,7 @@ def parsed(sql: Column) -> Column:
         return s.map(lambda t: [{k: valid(c[k]) if k == "value" else c[k] for k in ("table", "row_no", "column", "kind", "value")} for c in cells(t) or []] if isinstance(t, str) else [])
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, _CELLS)(sql)
+    return F.pandas_udf(run, _CELLS)
 
 
 def rewritten(dump: DataFrame, mapping: list[tuple[str, str]], sql: str = "sql") -> DataFrame:
