@@ -166,3 +166,15 @@ def test_a_hundred_thousand_hosts_cost_as_much_as_ten():
         took.append(time.process_time() - began)
         assert out.count("https://n.test/a") == 3000 and out.count("https://b.test/") == 6000 and "other.test/b" in out
     assert took[1] < 3 * took[0] + 0.1
+
+
+def test_serialized_lists_are_edited():
+    bits = [php("dir/one.php"), php("dirty/é.php"), php("other/x.php"), "i:5;", 'a:1:{i:0;' + php("dir/in") + "}", php("dir/é;}\"")]
+    text = f"a:{len(bits)}:{{" + "".join(f"i:{n};{b}" for n, b in enumerate(bits)) + "}"
+    kept = [bits[1], bits[2], bits[3], bits[4]]
+    assert nested.php_without(text, lambda v: v.startswith("dir/")) == f"a:{len(kept)}:{{" + "".join(f"i:{n};{b}" for n, b in enumerate(kept)) + "}"
+    assert nested.php_without(text, lambda v: v.startswith("none/")) is text
+    for other in ("a:1:{i:0;s:3:\"ab\";}", "a:0:{}", "s:1:\"x\";", "", "text", text + "x", 'a:2:{i:0;i:1;}'):
+        assert nested.php_without(other, lambda v: True) is other
+    keyed = 'a:2:{s:1:"k";' + php("dir/a") + 's:1:"l";' + php("b") + "}"
+    assert nested.php_without(keyed, lambda v: v.startswith("dir/")) == "a:1:{i:0;" + php("b") + "}"

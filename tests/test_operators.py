@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import encode
-from tidewater.operators import exclusions, routing, snapshots, trees
+from tidewater.operators import exclusions, reports, routing, snapshots, trees
 from tidewater.sources import sqltext
 
 
@@ -182,3 +182,18 @@ def test_few_rules_and_many_have_one_schema(spark):
     few, many = routing.longest_prefix(p, rules), routing.longest_prefix(p, rules, few=0)
     assert few.schema["target"].dataType == many.schema["target"].dataType == rules.schema["target"].dataType
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_document_leaves_and_drift(spark):
+    rows = [(1, '{"a": {"b": [1, 2.50, {"c": null}], "e": {}}, "k.x": "q\\"", "l": []}'), (2, "[]"), (3, "not json"), (4, None), (5, "7")]
+    df = spark.createDataFrame(rows, "id int, doc string")
+    got = {(r.key, r.path): r.value for r in reports.leaves(df, "id", "doc").collect()}
+    assert got == {
+        (1, "$.a.b[0]"): "1", (1, "$.a.b[1]"): "2.5", (1, "$.a.b[2].c"): "null", (1, "$.a.e"): "{}", (1, "$.k.x"): '"q\\""', (1, "$.l"): "[]", (2, "$"): "[]", (5, "$"): "7",
+    }
+    after = spark.createDataFrame([(1, '{"a": {"b": [1, 3], "e": 1}, "k.x": "q\\"", "l": []}'), (6, "{}")], "id int, doc string")
+    found = {(r.key, r.path): (r.op, r.old, r.new) for r in reports.drift(df, after, "id", "doc").collect()}
+    assert found == {
+        (1, "$.a.b[1]"): ("change", "2.5", "3"), (1, "$.a.b[2].c"): ("remove", "null", None), (1, "$.a.e"): ("change", "{}", "1"), (2, "$"): ("remove", "[]", None), (5, "$"): ("remove", "7", None), (6, "$"): ("add", None, "{}"),
+    }
+    assert reports.drift(df, df, "id", "doc").count() == 0

@@ -424,3 +424,22 @@ def test_splitter_on_hard_text():
     }
     for text, want in cases.items():
         assert [s for _, _, s in sqltext.split(text)] == want, text
+
+
+def test_prepared_inserts_give_the_same_rows_from_few_templates(spark, tmp_path):
+    rows = [(i, i * 0.5 if i % 2 else None, f"t{i}" if i % 3 else "", bytearray(b"ab") if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x double, t string, b binary")
+    path = str(tmp_path / "p.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE `t` (id INTEGER PRIMARY KEY, x REAL, t TEXT, b TEXT)")
+    con.commit()
+    made = encode.insert_statements(df, "t", ["id"], batch=20)
+    got = databases.write_prepared(sqltext.shaped(made), lambda: sqlite3.connect(path, timeout=60))
+    assert got["rows"] == 500 and got["templates"] <= 2 * 4 and got["batches"] < 100
+    want = [(i, x, t, b and b.decode()) for i, x, t, b in rows]
+    assert con.execute("SELECT id, x, t, b FROM t ORDER BY id").fetchall() == want
+    assert con.execute("SELECT DISTINCT typeof(id), typeof(x) FROM t ORDER BY 2").fetchall() == [("integer", "null"), ("integer", "real")]
+    odd = spark.createDataFrame([("INSERT INTO `t` (`id`) VALUES (1 + 1);",)], "sql string")
+    assert [r["shape"] for r in sqltext.shaped(odd).collect()] == [None]
+    with pytest.raises(Exception, match="expression"):
+        databases.write_prepared(sqltext.shaped(odd), lambda: sqlite3.connect(path, timeout=60))

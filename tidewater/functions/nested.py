@@ -136,6 +136,58 @@ def php_edit(text: str, edit: Edit) -> str:
     return text if out == data else out.decode("utf-8", "surrogateescape")
 
 
+def php_entries(text: str) -> list[tuple[bytes, bytes]]:
+    """Key and value, as written, of every entry of a serialized array; raises ``Malformed`` for anything else."""
+    reader = _Php(text.encode("utf-8", "surrogateescape"), lambda old: old)
+    reader.expect(b"a:")
+    count = reader.number(b":")
+    reader.expect(b"{")
+    out = []
+    for _ in range(count):
+        key: list[bytes] = []
+        reader.item(key, key=True)
+        out.append((key[0], reader.value()))
+    reader.expect(b"}")
+    if reader.at != len(reader.data):
+        raise Malformed
+    return out
+
+
+def php_without(text: str, drop: Callable[[str], bool]) -> str:
+    """A serialized list without the strings that ``drop`` names, counted and numbered anew; other values stay as they are written, nested ones whole.
+
+    The same object where nothing is dropped, and where the text is no serialized array.
+    """
+    try:
+        entries = php_entries(text)
+    except Malformed:
+        return text
+    kept = []
+    for _, value in entries:
+        if value[:2] == b"s:":
+            mark = value.index(b'"')
+            if drop(value[mark + 1 : -2].decode("utf-8", "surrogateescape")):
+                continue
+        kept.append(value)
+    if len(kept) == len(entries):
+        return text
+    return (b"a:%d:{" % len(kept) + b"".join(b"i:%d;%b" % (n, v) for n, v in enumerate(kept)) + b"}").decode("utf-8", "surrogateescape")
+
+
+def without(value: Column, folders: list[str]) -> Column:
+    """Serialized lists without the paths that lie in one of the folders. Values that name none of them never reach Python."""
+    under = tuple(f.rstrip("/") + "/" for f in folders)
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: php_without(t, lambda v: v.startswith(under)), na_action="ignore")
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    guard = F.lit(False)
+    for f in under:
+        guard |= F.contains(value, F.lit(f))
+    return F.when(F.startswith(value, F.lit("a:")) & guard, F.pandas_udf(run, "string")(value)).otherwise(value)
+
+
 _JSON_TOKEN = re.compile(r'[ \t\n\r]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9]\d*+)(?:\.\d++)?+(?:[eE][+-]?\d++)?+|true|false|null|NaN|-?Infinity))')
 
 

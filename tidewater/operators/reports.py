@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.lineage import cut
+
 
 def best_scored(df: DataFrame, group: Sequence[str], name: str, score: str, order: str, least: float = 0.5, other: str = "other") -> DataFrame:
     """group columns, name, score: the name of highest score per group, the first by ``order`` among equals; ``other`` and 0 where none reaches ``least``."""
@@ -73,3 +75,28 @@ def changed_since(index: DataFrame, now: DataFrame, key: str = "path", stamp: st
     joined = index.join(later, F.col(key) == F.col("_k"), "left")
     error = F.when(F.col("_there").isNull(), "file_missing").when(~F.col(stamp).eqNullSafe(F.col("_s")), "file_changed")
     return joined.select(key, error.alias("error"), F.col(stamp).alias("expected"), F.col("_s").alias("actual")).where("error IS NOT NULL")
+
+
+def leaves(docs: DataFrame, key: str, doc: str) -> DataFrame:
+    """key, path, value (as JSON text) of every scalar, and every empty list or object, of JSON documents, as deep as they go; a text that is no JSON has none."""
+    level = docs.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.try_parse_json(F.col(doc)).alias("v")).where("v IS NOT NULL")
+    out = None
+    while True:
+        text = F.to_json("v")
+        open_ = F.startswith(text, F.lit("{")) & (text != "{}") | F.startswith(text, F.lit("[")) & (text != "[]")
+        flat = level.where(~open_).select("key", "path", text.alias("value"))
+        out = flat if out is None else out.unionByName(flat)
+        level = cut(level.where(open_))
+        if not level.limit(1).count():
+            return out
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "inner"))
+        step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "name"))
+        level = inner.select("key", F.concat("path", step).alias("path"), F.col("inner").alias("v"))
+
+
+def drift(before: DataFrame, after: DataFrame, key: str, doc: str) -> DataFrame:
+    """key, path, op, old, new: what was added, removed or changed between two tables of JSON documents, by key and path."""
+    old, new = (leaves(d, key, doc).withColumnRenamed("value", name) for d, name in ((before, "old"), (after, "new")))
+    both = old.join(new, ["key", "path"], "full_outer")
+    op = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").when(F.col("old") != F.col("new"), "change")
+    return both.select("key", "path", op.alias("op"), "old", "new").where("op IS NOT NULL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import encode, nested, paths
-from tidewater.operators import adaptive, exclusions, reports, routing, scans, snapshots, trees
+from tidewater.operators import adaptive, exclusions, lineage, reports, routing, scans, snapshots, trees
 from tidewater.sources import dump, sqltext
+from tidewater.streaming import replay, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -450,6 +452,93 @@ def parse_insert(spark, d):
     return insert_dump(spark, d).select(F.explode(sqltext.scanned(F.col("sql"))).alias("c")).select("c.table", "c.column", "c.kind", "c.value")
 
 
+@query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '; ''' END c_mktsegment FROM customer")
+def dump_file_rows(spark, d):
+    """The table written as a dump, its file read by splits, and its rows again, without Python but for the cut into statements."""
+    rows = _t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 3 != 0, F.concat("c_mktsegment", F.lit("; '"))).alias("c_mktsegment"))
+    path = f"{lineage.folder(spark)}/dump-{uuid.uuid4().hex}"
+    dump.write_dump(dump.fragments(rows, "customer", ["c_custkey"]), path)
+    statements = sqltext.read_statements(spark, path).where("sql LIKE '%INSERT INTO `customer`%'")
+    # The first row of a file may follow a line break.
+    cells = statements.select(F.col("source"), F.col("stmt_no"), F.explode(sqltext.scanned(F.regexp_replace("sql", "^\\s+", ""))).alias("c"))
+    wide = cells.groupBy("source", "stmt_no", "c.row_no").pivot("c.column", rows.columns).agg(F.first("c.value"))
+    return wide.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
+@query("SELECT 't' AS \"table\", 'irs' shape, count(*) n, count(CASE WHEN c_custkey % 3 <> 0 THEN 1 END) texts FROM customer")
+def insert_shapes(spark, d):
+    rows = _t(spark, d, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("c_name"))
+    found = sqltext.shaped(encode.insert_statements(rows, "t", ["c_custkey"]))
+    return found.groupBy("table", "shape").agg(F.count("*").alias("n"), F.count(F.col("params")[2]).alias("texts"))
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_mktsegment || '/' || c_name v, c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')),
+ e AS (SELECT c_nationkey, v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 i FROM c)
+ SELECT n.c_nationkey, 'a:' || count(v) || ':{' || coalesce(string_agg('i:' || i || ';s:' || strlen(v) || ':"' || v || '";', '' ORDER BY i), '') || '}' lists FROM (SELECT DISTINCT c_nationkey FROM customer) n LEFT JOIN e USING (c_nationkey) GROUP BY n.c_nationkey""")
+def serialized_lists(spark, d):
+    """Serialized lists of a nation's customers by segment, without those of two segments, counted and numbered anew."""
+    c = _t(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat_ws("/", "c_mktsegment", "c_name").alias("v"))
+    lists = c.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "v"))), lambda x: x.v).alias("v"))
+    item = lambda x, i: F.concat(F.lit("i:"), i.cast("string"), F.lit(";s:"), F.octet_length(x).cast("string"), F.lit(':"'), x, F.lit('";'))
+    text = F.concat(F.lit("a:"), F.size("v").cast("string"), F.lit(":{"), F.array_join(F.transform("v", item), ""), F.lit("}"))
+    return lists.select("c_nationkey", nested.without(text, ["BUILDING", "MACHINERY"]).alias("lists"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) price, o_orderstatus st FROM orders WHERE o_custkey IS NOT NULL),
+ l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 i FROM o),
+ r AS (SELECT o_custkey, o_orderkey, price + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END price, st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 i FROM o WHERE o_orderkey % 11 <> 0),
+ f AS (SELECT o_custkey "key", i, unnest(['.key', '.price', '.at.status']) p, unnest([CAST(o_orderkey AS VARCHAR), CAST(price AS VARCHAR), '"' || st || '"']) v FROM l),
+ g AS (SELECT o_custkey "key", i, unnest(['.key', '.price', '.at.status']) p, unnest([CAST(o_orderkey AS VARCHAR), CAST(price AS VARCHAR), '"' || st || '"']) v FROM r),
+ b AS (SELECT coalesce(f.key, g.key) "key", '$.orders[' || coalesce(f.i, g.i) || ']' || coalesce(f.p, g.p) path, f.v old, g.v "new" FROM f FULL OUTER JOIN g ON f.key = g.key AND f.i = g.i AND f.p = g.p)
+ SELECT "key", path, CASE WHEN old IS NULL THEN 'add' WHEN "new" IS NULL THEN 'remove' ELSE 'change' END op, old, "new" FROM b WHERE old IS DISTINCT FROM "new" """)
+def document_drift(spark, d):
+    """Documents of a customer's orders as each side has them, and what differs, by path."""
+    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("price"), "o_orderstatus").where("o_custkey IS NOT NULL")
+
+    def docs(rows):
+        item = F.struct(F.col("o_orderkey").alias("key"), "price", F.struct(F.col("o_orderstatus").alias("status")).alias("at"))
+        return rows.groupBy("o_custkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("orders"))).alias("doc"))
+
+    moved = o.where("o_orderkey % 11 <> 0").withColumn("price", F.col("price") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
+    return reports.drift(docs(o), docs(moved), "o_custkey", "doc")
+
+
+@query("""WITH p AS (SELECT page_id, 'm' || page_id % 3 || '.example' h, coalesce(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/') t FROM pages)
+ SELECT page_id, '<a href="' || CASE WHEN page_id % 3 < 2 THEN 'https&#58;//new.test/' || page_id % 3 ELSE 'https://m2.example' END || t || '?a=1&amp;b=2">x</a><img srcset="'
+ || CASE WHEN page_id % 3 < 2 THEN '//new.test/' || page_id % 3 ELSE '//m2.example' END || t || ' 2x"><i title="//' || h || '/">a &lt; b</i>' v FROM p""")
+def rewrite_markup(spark, d):
+    """URLs written with character references, without a scheme and in candidate lists, moved in place by host."""
+    path = F.when(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1) != "", F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1)).otherwise("")
+    host = F.concat(F.lit("m"), (F.col("page_id") % 3).cast("string"), F.lit(".example"))
+    text = F.concat(F.lit('<a href="'), F.when(F.col("page_id") % 3 < 2, "https&#58;//").otherwise("https://"), host, path, F.lit('?a=1&amp;b=2">x</a><img srcset="//'), host, path, F.lit(' 2x"><i title="//'), host, F.lit('/">a &lt; b</i>'))
+    mapping = [(f"https://m{k}.example", f"https://new.test/{k}") for k in range(2)]
+    return _t(spark, d, "pages").select("page_id", nested.rewrite(text, mapping, "block_markup").alias("v"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS start, p_partkey + CASE WHEN p_partkey % 50 = 0 THEN 100000 ELSE p_size END AS stop, p_name AS name FROM part WHERE p_size > 0)
+ SELECT l_orderkey, l_linenumber, l_suppkey * 7 AS at, name FROM lineitem LEFT JOIN r ON l_suppkey * 7 >= start AND l_suppkey * 7 < stop""")
+def range_stab(spark, d):
+    """Every range, of any length and lying over others, that holds a point."""
+    stop = F.col("p_partkey") + F.when(F.col("p_partkey") % 50 == 0, 100000).otherwise(F.col("p_size"))
+    ranges = _t(spark, d, "part").where("p_size > 0").select(F.col("p_partkey").alias("start"), stop.alias("stop"), F.col("p_name").alias("name"))
+    return routing.lookup_range(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 7).alias("at")), ranges, "at", few=20)
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type = 'purchase' ok FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+ s AS (SELECT user_id, max(ts) t FROM e WHERE ok GROUP BY user_id)
+ SELECT e.user_id "key", CAST(count(*) AS INTEGER) failures, CASE WHEN count(*) >= 3 THEN 'quarantined' ELSE 'failing' END status FROM e LEFT JOIN s USING (user_id) WHERE NOT ok AND (t IS NULL OR ts > t) GROUP BY e.user_id""")
+def failing_keys(spark, d):
+    e = _t(spark, d, "events").where("user_id IS NOT NULL AND ts IS NOT NULL")
+    return stateful.failing_batch(e.select(F.col("user_id").alias("key"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("ok")))
+
+
+@query("""WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events WHERE ts IS NOT NULL)
+ SELECT start, event_type, count(*) n FROM w GROUP BY 1, 2""")
+def x_sliding_windows(spark, d):
+    w = replay.windowed_counts(_t(spark, d, "events"), "ts", "event_type", "1 hour", "2 hours", "30 minutes")
+    return w.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
 # Rows at the edges beside those of the tables.
 
 

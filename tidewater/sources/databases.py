@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from contextlib import closing
 from dataclasses import dataclass
+from itertools import groupby, islice
+from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidewater.functions import encode
+
 #: Share of a time budget that one query of a source may take.
 QUERY_SHARE = 0.8
 ROWS = 8192
@@ -190,3 +195,49 @@ def write_sqlite(df: DataFrame, path: str, table: str, mode: str = "append") ->
     """Append to a table or overwrite its rows; the table is made if there is none."""
     df.sparkSession.dataSource.register(SqliteSource)
     df.write.format("sqlite").mode(mode).option("path", path).option("table", table).save()
+
+
+#: Templates of prepared statements that a task keeps.
+TEMPLATES = 256
+
+
+def write_prepared(rows: DataFrame, connect: Callable[[], Any], every: int = 1000) -> dict[str, int]:
+    """Insert rows of ``sqltext.shaped`` by prepared statements, one for each table, list of columns and shape; gives rows, batches and templates made.
+
+    ``connect`` gives a connection to SQLite, with a timeout, as that takes one writer at a time; a task commits once, at its end. Rows of a shape
+    are sent together. Whole numbers are cast to NUMERIC and others to REAL, as text is bound to all. Rows without a shape are an error.
+    """
+    counts = {k: rows.sparkSession.sparkContext.accumulator(0) for k in ("rows", "batches", "templates")}
+
+    def task(part: Iterator[Row]) -> None:
+        con = connect()
+        templates: OrderedDict[tuple, str] = OrderedDict()
+        cast = {"i": "CAST(? AS NUMERIC)", "r": "CAST(? AS REAL)", "s": "?"}
+
+        def send(key: tuple, held: list[list]) -> None:
+            if key not in templates:
+                table, columns, shape = key
+                templates[key] = f"INSERT INTO {encode.quote(table)} ({', '.join(map(encode.quote, columns))}) VALUES ({', '.join(cast[c] for c in shape)})"
+                counts["templates"].add(1)
+                if len(templates) > TEMPLATES:
+                    templates.popitem(last=False)
+            templates.move_to_end(key)
+            con.executemany(templates[key], held)
+            counts["rows"].add(len(held))
+            counts["batches"].add(1)
+
+        try:
+            for key, own in groupby(part, key=lambda r: (r.table, tuple(r.columns), r.shape)):
+                if key[2] is None:
+                    raise ValueError(f"a row of {key[0]} holds an expression")
+                while some := [r.params for r in islice(own, every)]:
+                    send(key, some)
+            con.commit()
+        except BaseException:
+            con.rollback()
+            raise
+        finally:
+            con.close()
+
+    rows.sortWithinPartitions("table", "columns", "shape").foreachPartition(task)
+    return {k: c.value for k, c in counts.items()}

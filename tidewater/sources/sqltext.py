@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.encode import may_hold_url
 from tidewater.sources.dumpfile import Splitter, read_statements
 
-__all__ = ["Splitter", "cells", "parse", "parsed", "places", "read_statements", "rewrite_statement", "rewritten", "scanned", "split", "statements"]
+__all__ = ["Splitter", "cells", "parse", "parsed", "places", "read_statements", "rewrite_statement", "rewritten", "scanned", "shaped", "split", "statements"]
 
 #: Up to the next ';' outside quotes and comments, in one match; two quotes inside a string end it and begin the next.
 _STATEMENT = re.compile(
@@ -265,6 +265,20 @@ def parse(statements: DataFrame, sql: str = "sql") -> DataFrame:
     return statements.withColumn("cells", scanned(F.col(sql))).withColumn("cells", F.coalesce("cells", rest(F.when(F.col("cells").isNull(), F.col(sql)))))
 
 
+def shaped(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """table, columns, shape, params of every row of INSERT statements: what a prepared statement is told by, and what is bound to it.
+
+    A shape has a letter a value: ``i`` for whole numbers, ``r`` for others, ``s`` for all else. Rows that hold an expression have no shape.
+    """
+    cells = parse(statements.withColumn("_id", F.monotonically_increasing_id()), sql).select("_id", F.expr("sequence(0, size(cells) - 1)").alias("_n"), "cells")
+    cells = cells.select("_id", F.explode(F.filter(F.arrays_zip(F.col("_n").alias("n"), F.col("cells").alias("c")), lambda x: x.c.isNotNull())).alias("x"))
+    letter = F.when(F.col("x.c.kind") == "number", F.when(F.rlike(F.col("x.c.value"), F.lit("[.eE]")), "r").otherwise("i")).when(F.col("x.c.kind").isin("null", "string", "base64"), "s").otherwise("?")
+    rows = cells.groupBy("_id", F.col("x.c.table").alias("table"), F.col("x.c.row_no").alias("row_no"))
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("x.n", F.col("x.c.column").alias("column"), letter.alias("letter"), F.col("x.c.value").alias("value")))).alias("v"))
+    shape = F.array_join(F.transform("v", lambda x: x.letter), "")
+    return rows.select("table", F.transform("v", lambda x: x.column).alias("columns"), F.when(~F.contains(shape, F.lit("?")), shape).alias("shape"), F.transform("v", lambda x: x.value).alias("params"))
+
+
 def parsed(sql: Column) -> Column:
     """array of (table, row_no, column, kind, value) of an INSERT or UPDATE; empty for other shapes. Bytes that are no text are U+FFFD in a value."""
     return _parser()(sql)
