@@ -11,7 +11,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_same_rows_as_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DIR), con.sql(oracles.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)

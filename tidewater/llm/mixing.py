@@ -3,7 +3,10 @@
 Every document of a source expects the same number of copies, the source's target over its size.
 Within the source these are prefix-summed in the order of size, one random offset is added, and a
 document is emitted once per integer boundary its interval crosses. Sorted by size, neighbours are
-alike, so the words taken stay within about the largest document of the target.
+alike, so the words taken stay within about the largest document of the target. So that a few large documents do not
+take a source far from its target, those of over a ``COARSE`` part of it, the ``LARGE`` largest at most, have whole
+expected copies: from the largest down, each as many of the two whole numbers around the rate as bring the words taken nearest to the rate's share
+so far. What they leave of the target is the others' to take.
 
 Nothing needs a source in one task: rows are range-partitioned by (source, size, doc_id), counted by
 partition, and start from the count of the partitions before. Offsets come from a hash of the
@@ -26,6 +29,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Share of all sizes that the mix takes, and the most copies of a source.
 TOTAL, MOST = 1.5, 2.0
 SEED = 20
+#: Documents of over this part of the target, and so many of a source, are taken in whole copies.
+COARSE, LARGE = 1 / 64, 1024
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -54,10 +59,10 @@ def ranked(df: DataFrame, order: list[Column], within: list[str], name: str) ->
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """Add ``target`` to rows of source, source_size. Water is filled by weight; a full source leaves its excess to the rest."""
+    """Add ``target`` to rows with source and source_size. Water is filled by weight; a full source leaves its excess to the rest."""
     s = ranked(sizes.withColumn("_all", F.lit(0)), [F.col("_all"), F.col("source").isNull(), F.col("source")], ["_all"], "mix-sources")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    s = staged(s.select("source", "source_size", weight.alias("weight")), "mix-weights")
+    s = staged(s.select(*sizes.columns, weight.alias("weight")), "mix-weights")
     goal = TOTAL * float(s.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     level, full = None, F.lit(False)
     while True:
@@ -73,7 +78,7 @@ def targets(sizes: DataFrame) -> DataFrame:
         full = full | over
     capped = MOST * F.col("source_size").cast("double")
     even = F.lit(level if level is not None else 0.0) * F.col("weight")
-    return s.select("source", "source_size", F.when(full, capped).otherwise(even).alias("target"))
+    return s.select(*sizes.columns, F.when(full, capped).otherwise(even).alias("target"))
 
 
 def plan(docs: DataFrame, size: Column | None = None) -> DataFrame:
@@ -81,19 +86,39 @@ def plan(docs: DataFrame, size: Column | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id"), F.col("source"), (size_of(F.col("text")) if size is None else size).alias("size"))
     order = [F.col("source"), F.col("size"), F.col("doc_id")]
     rows = staged(ranked(rows, order, ["source"], "mix-rows"), "mix-ranked")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     aim = targets(sizes).withColumnRenamed("source", "_source")
     r = rows.join(maybe_broadcast(aim), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    r = r.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    large = (F.col("rank") > F.col("n") - LARGE) & (F.col("size") > F.col("target") * COARSE) & (F.col("target") > 0)
+    held = ["source", "source_size", "target", "rate"]
+    # LARGE rows a source at most.
+    v = F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("k"), "size", "doc_id"))).alias("v")
+    first = r.where(large).groupBy(*held).agg(v)
+
+    def step(a: Column, x: Column) -> Column:
+        share = a["share"] + F.col("rate") * x["size"]
+        near = F.floor((share - a["words"]) / x["size"] + 0.5).cast("double")
+        c = F.greatest(F.floor("rate").cast("double"), F.least(F.ceil("rate").cast("double"), F.lit(MOST), near)).cast("long")
+        return F.struct(share.alias("share"), (a["words"] + c * x["size"]).alias("words"), F.concat(a["copies"], F.array(c)).alias("copies"))
+
+    begin = F.struct(F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("words"), F.array().cast("array<bigint>").alias("copies"))
+    first = staged(first.withColumn("w", F.aggregate("v", begin, step)), "mix-large")
+    out = ["doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"]
+    whole = first.select(*held, F.explode(F.arrays_zip("v", F.col("w.copies").alias("copies"))).alias("x")).select(*held, "x.v.doc_id", "x.v.size", "x.copies")
+    # What is left of the target and of the words.
+    size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    left = first.select(F.col("source").alias("_source"), (F.col("target") - F.col("w.words")).alias("_goal"), (F.col("source_size") - size).alias("_words"))
+    rest = r.where(~large).join(maybe_broadcast(left), F.col("source").eqNullSafe(F.col("_source")), "left")
+    goal, words = F.coalesce("_goal", "target"), F.coalesce("_words", "source_size")
+    rate = F.when(words > 0, F.least(F.lit(MOST), F.greatest(F.lit(0.0), goal / words))).otherwise(0.0)
     # The offset: a number in [0, 1) drawn by source, of 20 bits so that whole rates stay whole.
     name = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), "|null|").otherwise("|"), F.lit(str(SEED)))
     offset = F.conv(F.substring(F.md5(name.cast("binary")), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     end = F.floor(F.col("rank") * rate + offset)
-    begin = F.floor((F.col("rank") - 1) * rate + offset)
-    copies = F.least(end - begin, F.lit(int(MOST))).cast("long")
-    return r.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
-    )
+    begins = F.floor((F.col("rank") - 1) * rate + offset)
+    copies = F.least(end - begins, F.lit(int(MOST))).cast("long")
+    return whole.select(*out).unionByName(rest.withColumn("copies", copies).select(*out))
 
 
 def mix(docs: DataFrame) -> DataFrame:

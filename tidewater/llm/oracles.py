@@ -11,7 +11,7 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 def mix() -> str:
     """Sizes, water-filled targets and systematic copies. Sources fill up in the order of capacity by weight."""
     weight = "CASE (r - 1) % 3 " + " ".join(f"WHEN {i} THEN {w}::DOUBLE" for i, w in enumerate(mixing.WEIGHTS)) + " END"
-    return f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORD})), 0) AS BIGINT) size FROM documents),
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORD})), 0) AS BIGINT) size FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, row_number() OVER (ORDER BY source NULLS LAST) r FROM d GROUP BY source),
  w AS (SELECT source, source_size, {mixing.MOST}::DOUBLE * source_size cap, {weight} weight FROM s),
  o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source) k FROM w),
@@ -19,11 +19,21 @@ def mix() -> str:
    / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM o),
  stop AS (SELECT arg_min(level, k) level, coalesce(min(k), (SELECT count(*) + 1 FROM l)) k FROM l WHERE level * weight <= cap),
  t AS (SELECT source, source_size, CASE WHEN l.k < stop.k THEN cap ELSE stop.level * weight END target FROM l, stop),
- n AS (SELECT d.*, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) i,
+ n AS (SELECT d.*, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) i, count(*) OVER (PARTITION BY d.source) docs,
    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END rate,
    CAST('0x' || substr(md5(coalesce(d.source, '') || CASE WHEN d.source IS NULL THEN '|null|' ELSE '|' END || '{mixing.SEED}'), 1, 5) AS BIGINT) / {1 << 20}.0::DOUBLE z
    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
- c AS (SELECT *, CAST(least(floor(i * rate + z) - floor((i - 1) * rate + z), {int(mixing.MOST)}) AS BIGINT) copies FROM n)
+ f AS MATERIALIZED (SELECT *, i > docs - {mixing.LARGE} AND size > target * {mixing.COARSE}::DOUBLE AND target > 0 AS big, row_number() OVER (PARTITION BY source ORDER BY i DESC) k FROM n),
+ b AS MATERIALIZED (SELECT * FROM f WHERE big),
+ y AS (SELECT DISTINCT source, CAST(0 AS BIGINT) k, 0.0::DOUBLE share, CAST(0 AS BIGINT) words, CAST(0 AS BIGINT) copies FROM b
+   UNION ALL SELECT source, k, share, words + c * size, c FROM (SELECT b.source, b.k, y.share + b.rate * b.size share, y.words, b.size,
+     CAST(greatest(floor(b.rate), least(ceil(b.rate), {mixing.MOST}::DOUBLE, floor((y.share + b.rate * b.size - y.words) / b.size + 0.5))) AS BIGINT) c
+     FROM y JOIN b ON b.source IS NOT DISTINCT FROM y.source AND b.k = y.k + 1)),
+ e AS (SELECT b.source, any_value(target) - max(y.words) goal, any_value(source_size) - CAST(sum(size) AS BIGINT) words FROM b JOIN y ON b.source IS NOT DISTINCT FROM y.source AND b.k = y.k GROUP BY b.source),
+ g AS (SELECT f.*, CASE WHEN coalesce(e.words, source_size) > 0 THEN least({mixing.MOST}::DOUBLE, greatest(0.0::DOUBLE, coalesce(goal, target) / coalesce(e.words, source_size))) ELSE 0.0::DOUBLE END left_rate
+   FROM f LEFT JOIN e ON f.source IS NOT DISTINCT FROM e.source WHERE NOT big),
+ c AS (SELECT doc_id, size, source_size, target, source, CAST(least(floor(i * left_rate + z) - floor((i - 1) * left_rate + z), {int(mixing.MOST)}) AS BIGINT) copies FROM g
+   UNION ALL SELECT b.doc_id, b.size, source_size, target, b.source, y.copies FROM b JOIN y ON b.source IS NOT DISTINCT FROM y.source AND b.k = y.k)
  SELECT doc_id, size, source_size, target, copies * size taken, source, copies FROM c"""
 
 
