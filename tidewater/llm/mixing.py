@@ -133,7 +133,8 @@ def mix(docs: DataFrame) -> DataFrame:
     name = "copy"
     while name in docs.columns:
         name += "_"
-    taken = d.join(per.where("_more = 0"), on).select("_d", "_each")
+    # As many rows as the mix has documents: never broadcast, however small the table at hand is.
+    taken = d.join(per.where("_more = 0").hint("merge"), on).select("_d", "_each")
     uneven = per.where("_more > 0")
     if uneven.limit(1).count():
         shared = d.join(maybe_broadcast(uneven), on).select("_d", *key, F.xxhash64("_d.text").alias("_turn"), "_each", "_more")
