@@ -236,3 +236,28 @@ def test_words_are_cut_where_tokens_are():
         assert ids([text]) == [np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
     same()
+
+
+def test_the_faster_encoder_gives_the_same_ids(spark):
+    import base64
+
+    import public_tokenizers
+
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary()
+    t = Tokenizer.from_file(path)
+    fast = packing.ascii_encoder(path, t)
+    assert packing.PATTERN == public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        assert fast.__self__._mergeable_ranks == {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    assert packing.ascii_encoder(public_tokenizers.path("word_bpe_49k.json"), None) is None
+    rng = random.Random(1)
+    for _ in range(4000):
+        text = rng.choice("ab-= .*\n") * rng.randrange(0, 60) + "".join(rng.choice(" aeinorst'.,0123-=_\n\tABZxyz#()<>/\\|~`\x00\x1c\x7f") for _ in range(rng.randrange(1, 60)))
+        assert fast(text) == t.encode(text, add_special_tokens=False).ids
+    words = set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        words.update(w for w in packing.words_of(r.text or "") if w.isascii() and packing.SPECIAL not in w)
+    text = "".join(sorted(words))
+    assert fast(text) == t.encode(text, add_special_tokens=False).ids
