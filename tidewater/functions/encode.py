@@ -23,6 +23,14 @@ def from_base64(text: Column) -> Column:
     return F.try_to_binary(text, F.lit("base64"))
 
 
+def from_base64_lenient(text: Column) -> Column:
+    """Bytes of what is base64 in the text: other characters are passed over, and so is padding, or the lack of it."""
+    plain = F.regexp_replace(text, "[^A-Za-z0-9+/]", "")
+    # One character over is no byte.
+    plain = F.when(F.length(plain) % 4 == 1, F.substring(plain, F.lit(1), F.length(plain) - 1)).otherwise(plain)
+    return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("=")))
+
+
 def may_hold_url(encoded: Column) -> Column:
     return F.rlike(encoded, F.lit(URL_MARKS))
 

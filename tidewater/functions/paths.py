@@ -51,6 +51,16 @@ def normalized(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
 
+def normalized_bare(path: Column) -> Column:
+    """Resolve . and .. by text; the root is empty, a relative path stays relative, and its first part is never left."""
+
+    def step(a: Column, x: Column) -> Column:
+        up = F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
+        return F.when((x == "") | (x == "."), F.when(F.size(a) == 0, F.array(F.lit(""))).otherwise(a)).when(x == "..", up).otherwise(F.concat(a, F.array(x)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import encode, paths
 from tidewater.operators.lineage import cut
 
 
@@ -69,6 +70,26 @@ def statement_counts(statements: DataFrame, by: Sequence[str] = ("source",)) ->
     )
 
 
+def gzip_batches(files: DataFrame, by: Sequence[str], path: str = "path", head: str | None = None) -> DataFrame:
+    """by, gzip: whether a batch of files is worth compressing: some file is, by its extension or, where that tells nothing, its first bytes; never with a null path."""
+    kind = paths.compressible(F.col(path))
+    text = F.coalesce(encode.is_text(F.col(head)), F.lit(False)) if head else F.lit(False)
+    worth = F.coalesce((kind == "yes") | (kind == "unknown") & text, F.lit(False))
+    return files.groupBy(*by).agg((F.bool_or(worth) & F.bool_and(F.col(path).isNotNull())).alias("gzip"))
+
+
+def row_names(shaped: DataFrame) -> DataFrame:
+    """table, row_id, option_name of rows as ``sqltext.shaped`` gives them: how a report names a row.
+
+    The id is the first value where that is a number, a short string or NULL; the option's name is the second value where that is text.
+    """
+    kind, value = F.col("kinds")[0], F.col("params")[0]
+    short = (kind == "string") & (F.length(value) <= 30)
+    id_ = F.when(kind == "number", F.concat(F.lit("pk="), F.regexp_extract(value, "^-?[0-9]+", 0))).when(short, F.concat(F.lit("pk="), value)).when(kind == "null", "pk=NULL").otherwise("offset=?")
+    second = F.when(F.try_element_at("kinds", F.lit(2)).isin("string", "base64"), F.try_element_at("params", F.lit(2)))
+    return shaped.select("table", id_.alias("row_id"), second.alias("option_name"))
+
+
 def changed_since(index: DataFrame, now: DataFrame, key: str = "path", stamp: str = "ctime") -> DataFrame:
     """key, error, expected, actual: rows of an index that are missing, or have another stamp, when looked at again."""
     later = now.select(F.col(key).alias("_k"), F.col(stamp).alias("_s"), F.lit(True).alias("_there"))

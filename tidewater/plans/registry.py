@@ -235,9 +235,13 @@ def remap_with_remainder(spark, d):
     return routing.remapped(p, rules).select("page_id", "path", "moved")
 
 
-@query(f"WITH {_RULES_SQL} SELECT source prefix FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE starts_with(r.source, q.source || '/'))")
+@query("""SELECT '/c/' || c_custkey prefix FROM customer WHERE c_acctbal < 0
+ UNION SELECT '/c/' || o_custkey || '/' || o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
 def prefix_minimal(spark, d):
-    return routing.minimal(spark.createDataFrame(_RULES, "prefix string, target string").select("prefix"))
+    """Folders of orders, and of the customers that owe, without those that another one covers."""
+    owing = _t(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("prefix"))
+    orders = _t(spark, d, "orders").select(F.concat(F.lit("/c/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("/")).alias("prefix"))
+    return routing.minimal(owing.unionByName(orders.where("prefix IS NOT NULL")))
 
 
 @query(f"SELECT page_id FROM pages WHERE NOT ({_PATH} = '/en' OR starts_with({_PATH}, '/en/'))")
@@ -472,6 +476,39 @@ def insert_shapes(spark, d):
     return found.groupBy("table", "shape").agg(F.count("*").alias("n"), F.count(F.col("params")[2]).alias("texts"))
 
 
+@query("SELECT 'customer' AS \"table\", CASE c_custkey % 3 WHEN 0 THEN 'pk=NULL' WHEN 1 THEN 'pk=' || CAST(floor(c_custkey * -1.5) + CASE WHEN floor(c_custkey * -1.5) <> c_custkey * -1.5 THEN 1 ELSE 0 END AS BIGINT) ELSE 'pk=' || c_custkey END row_id, c_name option_name FROM customer")
+def insert_row_names(spark, d):
+    first = F.when(F.col("c_custkey") % 3 == 1, (F.col("c_custkey") * -1.5).cast("string")).when(F.col("c_custkey") % 3 == 2, F.col("c_custkey").cast("string")).otherwise("NULL")
+    sql = F.concat(F.lit("INSERT INTO `customer` (`id`, `option_name`) VALUES ("), first, F.lit(",FROM_BASE64('"), encode.to_base64(F.col("c_name")), F.lit("'));"))
+    return reports.row_names(sqltext.shaped(_t(spark, d, "customer").select(sql.alias("sql"))))
+
+
+@query("SELECT doc_id, text FROM documents")
+def lenient_base64(spark, d):
+    """Texts in base64 without padding and with other characters strewn in."""
+    code = F.regexp_replace(F.regexp_replace(encode.to_base64(F.col("text")), "=", ""), "(A)", "$1!\n -_")
+    return _t(spark, d, "documents").select("doc_id", encode.from_base64_lenient(code).cast("string").alias("text"))
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 97 <> 0 THEN '/f/' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '.css' WHEN 1 THEN '.jpg' WHEN 2 THEN '.png' ELSE '.tpl2' END END p FROM orders)
+ SELECT o_custkey, bool_or(coalesce(p LIKE '%.css' OR p LIKE '%.tpl2' AND o_orderkey % 8 = 3, false)) AND count(*) = count(p) gzip FROM f GROUP BY o_custkey""")
+def gzip_batches(spark, d):
+    k = F.col("o_orderkey")
+    ext = F.when(k % 4 == 0, ".css").when(k % 4 == 1, ".jpg").when(k % 4 == 2, ".png").otherwise(".tpl2")
+    path = F.when(k % 97 != 0, F.concat(F.lit("/f/"), k.cast("string"), ext))
+    files = _t(spark, d, "orders").select("o_custkey", path.alias("path"), F.when(k % 8 == 3, "<p>").otherwise("\0\0").alias("head"))
+    return reports.gzip_batches(files, ["o_custkey"], head="head")
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PATH} path FROM pages), v AS (SELECT page_id, k, CASE k WHEN 0 THEN path || '/./../x//y/..' WHEN 1 THEN 'a' || path || '/../..' ELSE '/..//' END v,
+  CASE k WHEN 0 THEN regexp_replace(rtrim(path, '/'), '/[^/]*$', '') || '/x' WHEN 1 THEN CASE WHEN len(string_split(rtrim(path, '/'), '/')) <= 3 THEN 'a' ELSE array_to_string(string_split('a' || rtrim(path, '/'), '/')[: len(string_split(rtrim(path, '/'), '/')) - 2], '/') END ELSE '' END n FROM p, range(3) t(k))
+ SELECT page_id, CAST(k AS INTEGER) k, v, n FROM v""")
+def path_normalize_bare(spark, d):
+    path = paths.url_path(F.col("url"))
+    forms = F.array(F.concat(path, F.lit("/./../x//y/..")), F.concat(F.lit("a"), path, F.lit("/../..")), F.lit("/..//"))
+    return _t(spark, d, "pages").select("page_id", F.posexplode(forms).alias("k", "v")).withColumn("n", paths.normalized_bare(F.col("v")))
+
+
 @query("""WITH c AS (SELECT c_nationkey, c_mktsegment || '/' || c_name v, c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')),
  e AS (SELECT c_nationkey, v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 i FROM c)
  SELECT n.c_nationkey, 'a:' || count(v) || ':{' || coalesce(string_agg('i:' || i || ';s:' || strlen(v) || ':"' || v || '";', '' ORDER BY i), '') || '}' lists FROM (SELECT DISTINCT c_nationkey FROM customer) n LEFT JOIN e USING (c_nationkey) GROUP BY n.c_nationkey""")
@@ -614,9 +651,13 @@ def largest_first_columns(spark, d):
 _COLUMNS = [("wp_posts", "post_content"), ("posts", "post_title"), ("comments", "comment_content"), ("x_posts", "post_content"), ("wp_term_taxonomy", "description")]
 
 
-@query("SELECT tab, col, CASE WHEN tab = 'x_posts' OR col = 'post_title' THEN NULL ELSE 'block_markup' END kind FROM (VALUES " + ", ".join(map(str, _COLUMNS)) + ") v(tab, col)")
+@query("SELECT event_id, tab, col, CASE WHEN tab = 'x_posts' OR col = 'post_title' THEN NULL ELSE 'block_markup' END kind FROM (SELECT event_id, (event_id + user_id) % 5 i FROM events) JOIN (VALUES " + ", ".join(f"({i}, '{t}', '{c}')" for i, (t, c) in enumerate(_COLUMNS)) + ") v(i, tab, col) USING (i)")
 def column_hint_join(spark, d):
-    return reports.hinted(spark.createDataFrame(_COLUMNS, "tab string, col string"), {k: "block_markup" for k in sqltext.MARKUP})
+    """The hint of the column that each event names."""
+    at = ((F.col("event_id") + F.col("user_id")) % 5 + 1).cast("int")
+    name = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in _COLUMNS]), at)
+    e = _t(spark, d, "events").select("event_id", name(0).alias("tab"), name(1).alias("col"))
+    return reports.hinted(e, {k: "block_markup" for k in sqltext.MARKUP})
 
 
 _DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "binary": "BLOB", "array<float>": "FLOAT[]", "array<double>": "DOUBLE[]"}
@@ -637,11 +678,11 @@ def split_statements(spark, d):
     return sqltext.statements(texts).select("source", "stmt_no", "sql")
 
 
-@query("SELECT lang, 2 * count(*) AS \"statements\", count(*) inserts, count(*) payloads FROM documents GROUP BY lang")
+@query("SELECT lang, 2 * count(*) AS \"statements\", count(*) inserts, count(*) payloads, CAST(sum(77 + strlen(to_base64(encode(source)))) AS BIGINT) bytes FROM documents GROUP BY lang")
 def statement_counts(spark, d):
     line = F.concat(F.lit("-- a;\nINSERT INTO t (a) VALUES (FROM_BASE64('"), encode.to_base64(F.col("source")), F.lit("'));\nUPDATE t SET a = 'INSERT;';"))
     found = sqltext.statements(_t(spark, d, "documents").select(F.col("lang").alias("source"), line.alias("value")))
-    return reports.statement_counts(found.withColumnRenamed("source", "lang"), ["lang"]).drop("bytes")
+    return reports.statement_counts(found.withColumnRenamed("source", "lang"), ["lang"])
 
 
 @query("""SELECT event_id, '/json' path, 0 AS ord, event_type leaf FROM events UNION ALL SELECT event_id, '/json', 1, CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT event_id, '/json/json', 2, 'in "' || event_type || '"' FROM events""")

@@ -174,12 +174,22 @@ _PAYLOAD = re.compile(r"""\bFROM_BASE64\s*\(\s*'([^']*)'\s*\)|'(?:[^'\\]|\\.|'')
 _CALL = re.compile("from_base64", re.I)
 
 
+def _may_hold_url(sql: str) -> bool:
+    """Whether base64 of ``http``, at any of its three places, may stand in the text."""
+    at = sql.find("dH")
+    while at >= 0:
+        if sql[at + 2 : at + 4] in ("A6", "Bz", "Rw"):
+            return True
+        at = sql.find("dH", at + 1)
+    return "aHR0" in sql
+
+
 def rewrite_statement(sql: str, edit: Callable[[str, str | None], str], own: dict[tuple[str, str], str] | None = None) -> str:
     """The statement with edited base64 payloads, wherever they stand; ``edit`` takes text and content type. The rest stays byte for byte.
 
     A payload in a value of a known column, alone or inside an expression, has that column's content type.
     """
-    if not ("aHR0" in sql or "dHA6" in sql or "dHBz" in sql or "dHRw" in sql) or not _CALL.search(sql):
+    if not _may_hold_url(sql) or not _CALL.search(sql):
         return sql
     table, ranges = places(sql) or ("", [])
     begins, spots = [r[0] for r in ranges], []
@@ -266,7 +276,7 @@ def parse(statements: DataFrame, sql: str = "sql") -> DataFrame:
 
 
 def shaped(statements: DataFrame, sql: str = "sql") -> DataFrame:
-    """table, columns, shape, params of every row of INSERT statements: what a prepared statement is told by, and what is bound to it.
+    """table, columns, shape, kinds, params of every row of INSERT statements: what a prepared statement is told by, and what is bound to it.
 
     A shape has a letter a value: ``i`` for whole numbers, ``r`` for others, ``s`` for all else. Rows that hold an expression have no shape.
     """
@@ -274,9 +284,9 @@ def shaped(statements: DataFrame, sql: str = "sql") -> DataFrame:
     cells = cells.select("_id", F.explode(F.filter(F.arrays_zip(F.col("_n").alias("n"), F.col("cells").alias("c")), lambda x: x.c.isNotNull())).alias("x"))
     letter = F.when(F.col("x.c.kind") == "number", F.when(F.rlike(F.col("x.c.value"), F.lit("[.eE]")), "r").otherwise("i")).when(F.col("x.c.kind").isin("null", "string", "base64"), "s").otherwise("?")
     rows = cells.groupBy("_id", F.col("x.c.table").alias("table"), F.col("x.c.row_no").alias("row_no"))
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("x.n", F.col("x.c.column").alias("column"), letter.alias("letter"), F.col("x.c.value").alias("value")))).alias("v"))
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("x.n", F.col("x.c.column").alias("column"), letter.alias("letter"), F.col("x.c.kind").alias("kind"), F.col("x.c.value").alias("value")))).alias("v"))
     shape = F.array_join(F.transform("v", lambda x: x.letter), "")
-    return rows.select("table", F.transform("v", lambda x: x.column).alias("columns"), F.when(~F.contains(shape, F.lit("?")), shape).alias("shape"), F.transform("v", lambda x: x.value).alias("params"))
+    return rows.select("table", F.transform("v", lambda x: x.column).alias("columns"), F.when(~F.contains(shape, F.lit("?")), shape).alias("shape"), F.transform("v", lambda x: x.kind).alias("kinds"), F.transform("v", lambda x: x.value).alias("params"))
 
 
 def parsed(sql: Column) -> Column:
