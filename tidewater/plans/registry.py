@@ -552,13 +552,13 @@ def rewrite_markup(spark, d):
     return _t(spark, d, "pages").select("page_id", nested.rewrite(text, mapping, "block_markup").alias("v"))
 
 
-@query("""WITH r AS (SELECT p_partkey AS start, p_partkey + CASE WHEN p_partkey % 50 = 0 THEN 100000 ELSE p_size END AS stop, p_name AS name FROM part WHERE p_size > 0)
- SELECT l_orderkey, l_linenumber, l_suppkey * 7 AS at, name FROM lineitem LEFT JOIN r ON l_suppkey * 7 >= start AND l_suppkey * 7 < stop""")
+@query("""WITH r AS (SELECT p_partkey AS start, p_partkey + CASE WHEN p_partkey % 500 = 0 THEN 100000 ELSE 1 + p_size % 5 END AS stop, p_name AS name FROM part)
+ SELECT o_orderkey, o_custkey AS at, name FROM orders LEFT JOIN r ON o_custkey >= start AND o_custkey < stop""")
 def range_stab(spark, d):
     """Every range, of any length and lying over others, that holds a point."""
-    stop = F.col("p_partkey") + F.when(F.col("p_partkey") % 50 == 0, 100000).otherwise(F.col("p_size"))
-    ranges = _t(spark, d, "part").where("p_size > 0").select(F.col("p_partkey").alias("start"), stop.alias("stop"), F.col("p_name").alias("name"))
-    return routing.lookup_range(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 7).alias("at")), ranges, "at", few=20)
+    stop = F.col("p_partkey") + F.when(F.col("p_partkey") % 500 == 0, 100000).otherwise(1 + F.col("p_size") % 5)
+    ranges = _t(spark, d, "part").select(F.col("p_partkey").alias("start"), stop.alias("stop"), F.col("p_name").alias("name"))
+    return routing.lookup_range(_t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("at")), ranges, "at", few=20)
 
 
 @query("""WITH e AS (SELECT user_id, ts, event_type = 'purchase' ok FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
