@@ -40,7 +40,7 @@ LINEAR, QUADRATIC = 4096.0, 1.0
 #: Fewest tokens of a cut, but for the last of a rest.
 PIECE = 8
 #: Rests of a group, on average.
-GROUP = 20_000
+GROUP = 5_000
 #: Distinct words whose tokens a worker keeps; the words of a hundred texts more.
 KNOWN_WORDS = 500_000
 SPECIAL = "<|endoftext|>"
