@@ -61,6 +61,23 @@ def test_short_items_against_brute_force(spark):
     assert {n for _, n in want} == set(items)
 
 
+def test_windows_are_laid_out_once_for_all_masks(spark):
+    rows = [(1, [5, 7, 5, 9, 7, 5, 8, 6, 5, 7, 5, 9, 7, 5, 8, 6]), (2, [5, 7]), (3, [])]
+    words = spark.createDataFrame(rows, "doc_id long, h array<bigint>")
+    got = decontamination.windows(words, ["doc_id"], "h", [0, 1, 4])
+    # No lambda is evaluated for each window, which took most of the time.
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    masks = [mask for c in (0, 1, 4) for mask in decontamination.CLASSES[c][1]]
+    want = [(d, p, (mask, *[h[p + m] for m in mask])) for d, h in rows for mask in masks for p in range(len(h) - mask[-1])]
+    seeds = collections.defaultdict(list)
+    for r in got.collect():
+        seeds[r.seed].append((r.doc_id, r.p))
+    alike = collections.defaultdict(list)
+    for d, p, key in want:
+        alike[key].append((d, p))
+    assert sorted(map(sorted, seeds.values())) == sorted(map(sorted, alike.values()))
+
+
 LONG = "word " * 60
 
 

@@ -42,19 +42,18 @@ def words(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(clean, " "), lambda w: F.xxhash64(w)))
 
 
-def windows(h: Column, n: Column, classes: list[int]) -> Column:
-    """(mask, place, hash) would be three numbers; the hash carries the mask, the place stays: array of struct(p, s)."""
+def windows(rows: DataFrame, keep: list[str], h: str, classes: list[int]) -> DataFrame:
+    """``keep``, place and seed of every window that the masks of ``classes`` read in the words ``h``; the seed carries the mask.
 
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        last = n - mask[-1]
-
-        def seed(p: Column) -> Column:
-            return F.xxhash64(F.lit(k), *[F.get(h, p + m) for m in mask])
-
-        return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), lambda p: F.struct(p.alias("p"), seed(p).alias("s"))))
-
-    empty = F.array().cast("array<struct<p:int,s:bigint>>")
-    return F.concat(empty, *[F.coalesce(of(10 * c + k, m), empty) for c in classes for k, m in enumerate(CLASSES[c][1])])
+    Each word is laid beside those after it once, for all masks; seeds are then plain columns, without a lambda a window.
+    """
+    masks = {10 * c + k: mask for c in classes for k, mask in enumerate(CLASSES[c][1])}
+    places = sorted({m for mask in masks.values() for m in mask})
+    beside = F.arrays_zip(*[F.slice(h, m + 1, F.size(h)).alias(f"w{m}") for m in places])
+    w = rows.select(*keep, F.posexplode(beside).alias("p", "w"))
+    # A mask that reaches beyond the last word reads no window there.
+    seeds = [F.when(F.col(f"w.w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"w.w{m}") for m in mask])) for k, mask in masks.items()]
+    return w.select(*keep, "p", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def class_of(n: Column) -> Column:
@@ -77,11 +76,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     items = staged(items_of(benchmark), "decontamination-items")
     total, classes = items.agg(F.coalesce(F.sum("item_words"), F.lit(0)), F.sort_array(F.collect_set(class_of(F.col("item_words"))))).first()
     small = F.broadcast if total <= BROADCAST_WORDS else (lambda df: df)
-    # An item is cut by the masks of its own length.
-    cut = reduce(lambda w, c: F.when(class_of(F.col("item_words")) == c, windows(F.col("item"), F.col("item_words"), [c])).otherwise(w), classes, windows(F.col("item"), F.col("item_words"), []))
-    s = items.select("item_key", F.explode(cut).alias("w")).select("item_key", F.col("w.p").alias("at"), F.col("w.s").alias("seed"))
-    d = docs.select(*keep, words(F.col("text")).alias("h"))
-    w = d.select(*keep, F.explode(windows(F.col("h"), F.size("h"), classes)).alias("w")).select(*keep, F.col("w.p").alias("p"), F.col("w.s").alias("seed"))
+    # An item is cut by the masks of its own length. Without items, any class will do.
+    classes = classes or [0]
+    s = reduce(DataFrame.unionByName, [windows(items.where(class_of(F.col("item_words")) == c), ["item_key"], "item", [c]) for c in classes]).withColumnRenamed("p", "at")
+    w = windows(docs.select(*keep, words(F.col("text")).alias("h")), keep, "h", classes)
     # The same diagonal is met by many windows: one row is enough.
     met = w.join(small(s), "seed").select(*keep, "item_key", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
     met = staged(met, "decontamination-met").select(*[F.col(c).alias(f"_{c}") for c in keep], "item_key", "diagonal")
