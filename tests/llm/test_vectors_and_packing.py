@@ -261,3 +261,40 @@ def test_the_faster_encoder_gives_the_same_ids(spark):
         words.update(w for w in packing.words_of(r.text or "") if w.isascii() and packing.SPECIAL not in w)
     text = "".join(sorted(words))
     assert fast(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_latin_letters_go_to_the_faster_encoder(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, seen = packing.vocabulary(), []
+    t, made = Tokenizer.from_file(path), packing.ascii_encoder
+
+    def watched(*args):
+        fast = made(*args)
+        return lambda text: seen.append(text) or fast(text)
+
+    monkeypatch.setattr(packing, "ascii_encoder", watched)
+    monkeypatch.setattr(packing, "_ready", {})
+    letters = [chr(c) for c in range(0x250) if packing._LATIN.fullmatch(chr(c))]
+    assert len(letters) == 128 + 0x250 - 0xC0 - 2 and all(x.isalpha() for x in letters[128:])
+    rng = random.Random(3)
+    texts = ["Él 1 ñandú, größer 中文 x", "a  b \n c× d", *("".join(rng.choice(letters) if rng.random() < 0.6 else " 's" for _ in range(80)) for _ in range(500))]
+    texts += ["".join(f" {a}{x}{b}" for x in letters for a in ("", "a", ".", "1") for b in ("", "b", "'s", "2"))]
+    got = packing.tokenizer(path)(texts)
+    assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert all(any(f" {w}" in s for s in seen) for w in ("ñandú,", "größer"))
+    assert not any("中" in s or "×" in s for s in seen)
+
+
+def test_words_are_cut_alike_at_blanks_and_by_looking_ahead():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.text(st.sampled_from("ab1.' \n\té中_🙂́"), max_size=24))
+    def same(text):
+        first, words = packing.cut(text)
+        assert [x for x in (first, *(f" {w}" for w in words)) if x] == [x for x in packing.words_of(text) if x]
+
+    same()
+    assert packing.cut(f" a {packing.SPECIAL} b") == (f" a {packing.SPECIAL} b", [])

@@ -47,6 +47,9 @@ SPECIAL = "<|endoftext|>"
 # Fixed value: how a byte-level vocabulary cuts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?= [\w!-~])")
+_ODD = re.compile(r" (?![\w!-~])")
+#: ASCII and Latin letters, which every version of Unicode in use holds to be letters.
+_LATIN = re.compile("[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]*")
 #: Tokenizers of this worker, with the tokens of the words that it has met.
 _ready: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
@@ -65,10 +68,22 @@ def words_of(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
+def cut(text: str) -> tuple[str, list[str]]:
+    """The start of a text up to its first cut, and the words from each cut on without their blank."""
+    if SPECIAL in text:
+        return text, []
+    # Where a plain character follows each blank, cuts are at all blanks, which is faster to tell than to look ahead at every place.
+    if not _ODD.search(text):
+        words = text.split(" ")
+        return words.pop(0), words
+    first, *words = _CUT.split(text)
+    return first, [w[1:] for w in words]
+
+
 def ascii_encoder(path: str, t) -> Callable[[str], list[int]] | None:
-    """A faster encoder of ASCII text for the same vocabulary, where it is sure to give the same ids: byte-level merges whose ids are in their order.
+    """A faster encoder of ASCII text and Latin letters for the same vocabulary, where it is sure to give the same ids: byte-level merges whose ids are in their order.
 
-    A pair is then merged by the id of what it makes, which is what the other library looks for. Beyond ASCII the two may tell letters and space apart otherwise.
+    A pair is then merged by the id of what it makes, which is what the other library looks for. Beyond these characters the two may tell letters and space apart otherwise.
     """
     import tiktoken
     from tokenizers.pre_tokenizers import ByteLevel
@@ -107,38 +122,33 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     size = np.zeros(t.get_vocab_size(), np.int64)
     for token, i in t.get_vocab().items():
         size[i] = len(token) if alphabet.issuperset(token) and token != SPECIAL else len(token.encode())
+    # By word, without the blank before it.
     known: dict[str, bytes] = {}
     plain = ascii_encoder(path, t)
 
-    def learn(words: list[str]) -> None:
+    def learn(words: list[str], fast: bool) -> None:
         """One text of many words, each with its blank, has the tokens of each word one after another."""
-        text = "".join(words)
-        ids = np.asarray(plain(text) if plain and text.isascii() else t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        lengths = list(map(len, words if text.isascii() else map(str.encode, words)))
+        text = " " + " ".join(words)
+        ids = np.asarray(plain(text) if fast else t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        lengths = np.fromiter(map(len, words if text.isascii() else map(str.encode, words)), np.int64, len(words)) + 1
         ends = (4 * (np.searchsorted(np.cumsum(size[ids]), np.cumsum(lengths)) + 1)).tolist()
         known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def run(texts: list[str]) -> list[bytes]:
-        words = [words_of(text) for text in texts]
+        firsts, words = zip(*map(cut, texts), strict=True)
         new = set().union(*words).difference(known)
         if len(known) + len(new) > KNOWN_WORDS:
             known.clear()
             new = set().union(*words)
-        # A text's first word may lack a blank, and one with the special token is no word.
-        alone = {w[0] for w in words if w and w[0] in new and (len(w) == 1 or not _CUT.match(w[0]))}
-        singles = list(alone)
-        for w, e in zip(singles, t.encode_batch_fast(singles, add_special_tokens=False) if singles else (), strict=True):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-        later: tuple[list[str], list[str]] = ([], [])
-        for w in new - alone:
-            later[w.isascii()].append(w)
-        for some in later:
+        ascii_words, latin, others = [], [], []
+        for w in new:
+            (ascii_words if w.isascii() else latin if _LATIN.fullmatch(w) else others).append(w)
+        for some, fast in ((ascii_words, plain is not None), (latin, plain is not None), (others, False)):
             for at in range(0, len(some), 1000):
-                learn(some[at : at + 1000])
-        out = [b"".join(itemgetter(*w)(known)) if len(w) > 1 else b"".join(known[x] for x in w) for w in words]
-        for w in alone:
-            known.pop(w, None)
-        return out
+                learn(some[at : at + 1000], fast)
+        # What a text begins with lacks a blank or is a whole text with the special token: no word.
+        starts = [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(list(firsts), add_special_tokens=False)]
+        return [s + (b"".join(itemgetter(*w)(known)) if len(w) > 1 else b"".join(known[x] for x in w)) for s, w in zip(starts, words, strict=True)]
 
     return _ready.setdefault(path, run)
 
