@@ -36,14 +36,16 @@ CHUNK = "path string, offset long, data binary, first boolean, last boolean, err
 def contents(files: DataFrame, size: int = 1 << 20, stretch: int = 16 << 20) -> DataFrame:
     """Contents of listed files (path, size, ctime) in chunks of ``size`` bytes: path, offset, data, first, last, error.
 
-    A file is read by many tasks, a ``stretch`` each, and no task holds more than a few chunks. A stretch whose file is not as
+    A file is read by as many tasks as shuffles have, a ``stretch`` at a time, and no task holds more than a few chunks. A stretch whose file is not as
     it was listed, before or after it is read, gives a row with ``error`` (file_missing, file_open, file_read or
     file_changed) at its place and nothing else counts of it; a null size or ctime is not compared. An empty file is one empty chunk.
     """
     stretch = max(size, stretch // size * size)
     known = files.select("path", F.col("size").cast("long").alias("size"), F.col("ctime").cast("long").alias("ctime")).where("path IS NOT NULL")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce("size", F.lit(0)) - 1, F.lit(0)).cast("long"), F.lit(stretch).cast("long"))
-    ranges = known.withColumn("start", F.explode(starts)).repartition("path", "start")
+    # A fixed number: the list of ranges is small, so adaptive execution would join its partitions into one.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = known.withColumn("start", F.explode(starts)).repartition(tasks, "path", "start")
     names = [c.split()[0] for c in CHUNK.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string()]
 
