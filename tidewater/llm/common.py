@@ -86,6 +86,24 @@ def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot:
     return left.join(F.broadcast(many), on, "left_anti").join(right, on, how).unionByName(held)
 
 
+def sieved(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join wide rows with a staged narrow table, inner, semi or anti, so that few wide rows are shuffled where it is too large to broadcast.
+
+    A bitmap of hashed keys is broadcast: at least 16 bits a key, 2 ** 27 bits in all at most. Rows whose bit is not
+    set have no partner; only the others, about one in 16 too many, are joined by shuffle.
+    """
+    if (count := right.count()) <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    place = F.pmod(F.xxhash64(on), F.lit(1 << min(27, (16 * count).bit_length()))) + 1
+    bucket, bit = F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")
+    bits = right.select(bucket, bit).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
+    marked = left.select("*", bucket, bit).join(F.broadcast(bits), "_bucket", "left")
+    marked = marked.select(*left.columns, F.coalesce(F.getbit(byte, F.expr("int(_bit % 8)")) == 1, F.lit(False)).alias("_may"))
+    met = marked.where("_may").drop("_may").join(right, on, how)
+    return met.unionByName(marked.where("not _may").drop("_may")) if how == "left_anti" else met
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, chars: int = SAMPLE_CHARS) -> list:
     """(text, label) of at most ``rows`` labelled documents, chosen by a hash of doc_id alone; texts of any length take part.
 

@@ -3,9 +3,10 @@
 Exact: every pair of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or
 more is linked, and no other. Which rows of the matrix must meet is found from their first n-grams: in
 one order of all n-grams, linked documents of n n-grams or more share k of their first n - ceil(0.75 n) + k,
-whatever k is. With k = 1 + n / 12, a third of the n-grams is shuffled. The order is that of the hashes,
-but for n-grams that are frequent in the whole corpus, which come last; it steers the work alone, not
-the result. Documents of like size that share a first n-gram make a cell, named by the least of them.
+whatever k is. With k = 1 + n / 12, a third of the n-grams is shuffled. The order is by length, longest
+first, as short words are the frequent ones and n-grams of them meet by chance, the more the larger the
+corpus; then by hash. N-grams that are frequent in the whole corpus come last. The order steers the work
+alone, not the result. Documents of like size that share a first n-gram make a cell, named by the least of them.
 Documents that share fewer than k of their first n-grams with all others leave; in the cells, signatures
 of one bit an n-gram, summed modulo 2, then part those that cannot be linked: linked sets differ in
 (a + b) / 7 n-grams at most, and signatures in no more bits than sets in n-grams. A cell inside another
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, lookup, maybe_broadcast, release, small_batches, staged, unstage
+from .common import connected_components, lookup, maybe_broadcast, release, sieved, small_batches, staged, unstage
 
 WIDTH = 5
 #: Similarity 0.75 as a whole fraction.
@@ -45,30 +46,36 @@ NUM, DEN = 3, 4
 BLOCK = 256
 #: First n-grams that one task groups.
 ENTRIES = 2_000_000
-#: An n-gram is frequent where one set in ``SHARE`` holds it, as counted in every run of ``CHUNK`` sets where
-#: ``FEW`` or more do. Sets have a mean size, so there are at most ``SHARE`` times that many, however large the corpus.
-SHARE, CHUNK, FEW = 1024, 4096, 4
+#: Cells of so many rows are parted by signatures; larger ones go to the product as they are.
+PART = 1024
+#: An n-gram is frequent where one set in ``SHARE`` holds it and ``LEAST`` do, as counted in every run of ``CHUNK`` n-grams
+#: where ``FEW`` or more sets do. Sets have a mean size, so there are at most ``SHARE`` times that many, however large the corpus.
+SHARE, LEAST, CHUNK, FEW = 8192, 4, 4_000_000, 2
+#: The lower bits of an n-gram's hash, which tell its length: 0 for the longest.
+LENGTH = np.uint64(31)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shingles(text: str | None, known: dict[bytes, int], width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of the whole text."""
+    """Sorted distinct 64-bit hashes of the shingles of the whole text, their lengths in the lower bits."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
     for w in words:
         if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
+            known[w] = xxhash.xxh3_64_intdigest(w) & ~31 | min(len(w), 31)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(known) > 500_000:
         known.clear()
     n = min(width, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
+    out, length = np.full(len(h) - n + 1, n, np.uint64), np.zeros(len(h) - n + 1, np.uint64)
+    long = h & LENGTH
     for i in range(n):
         out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+        length += long[i : i + len(out)]
+    return np.unique(out & ~LENGTH | LENGTH - np.minimum(length >> np.uint64(1), LENGTH))
 
 
 def key_of(tokens: np.ndarray) -> int:
@@ -161,11 +168,13 @@ class _Often:
 
     def __init__(self) -> None:
         self.held: list[np.ndarray] = []
+        self.size = 0
         self.token, self.times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
     def add(self, tokens: np.ndarray) -> None:
         self.held.append(tokens >> np.uint64(16))
-        if len(self.held) == CHUNK:
+        self.size += len(tokens)
+        if self.size >= CHUNK:
             self.count()
 
     def count(self) -> None:
@@ -174,6 +183,7 @@ class _Often:
             self.token.append(token[times >= FEW])
             self.times.append(times[times >= FEW])
             self.held.clear()
+            self.size = 0
             if sum(map(len, self.token)) > 1_000_000:
                 self.merge()
 
@@ -215,13 +225,14 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _firsts(sets: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First n-grams of sets: (which set, n-gram, place among the frequent ones or -1)."""
     n = np.array([len(t) for t in sets], np.int64)
-    token, row = np.concatenate(sets) >> np.uint64(16), np.repeat(np.arange(len(n)), n)
+    token, row = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+    length, token = (token & LENGTH).astype(np.int64), token >> np.uint64(16)
     place = np.full(len(token), -1, np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
         place = np.where(hot[at] == token, at, -1)
-    # Sets are sorted by hash already: frequent n-grams go to the end of their set.
-    order = np.argsort(2 * row + (place >= 0), kind="stable")
+    # Sets are sorted by hash already: short n-grams, then frequent ones, go to the end of their set.
+    order = np.argsort(64 * row + 32 * (place >= 0) + length, kind="stable")
     rank = np.arange(len(token)) - (np.cumsum(n) - n)[row]
     keep = order[rank < first_count(n)[row]]
     return row[keep], token[keep], place[keep]
@@ -337,7 +348,7 @@ def cells(texts: DataFrame, named: DataFrame) -> DataFrame:
     most = (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 + F.floor(F.col("n") / 12)).cast("long")
     entries, count = named.where("sign is not null").agg(F.coalesce(F.sum(most), F.lit(0)), F.count("*")).first()
     often = named.where("n < 0").select("often").mapInPandas(_counts, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    often = often.where(F.col("times") >= max(FEW, count // SHARE)).select("token").toArrow()["token"].to_numpy()
+    often = often.where(F.col("times") >= max(LEAST, count // SHARE)).select("token").toArrow()["token"].to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
     tasks = max(1, -(-int(entries) // ENTRIES))
     spread = staged(texts.select("text").mapInPandas(_spread(tasks, hot), _PACKED), "jaccard-firsts")
@@ -364,7 +375,7 @@ def _near(run: dict[str, np.ndarray]) -> pd.DataFrame:
     _, once = np.unique(run["key"], return_index=True)
     key, n, sign = run["key"][once], run["n"][once], run["sign"][once]
     size = np.array([len(x) for x in sign])
-    forest = _Forest(len(key))
+    top = np.arange(len(key))
     for length in np.unique(size):
         ours = np.flatnonzero(size == length)
         theirs = np.flatnonzero(size >= length)
@@ -372,9 +383,9 @@ def _near(run: dict[str, np.ndarray]) -> pd.DataFrame:
         for i in ours.tolist():
             differ = np.bitwise_count(words[np.searchsorted(theirs, i)] ^ words).sum(1, dtype=np.int64)
             fits = (7 * differ <= n[i] + n[theirs]) & (DEN * np.minimum(n[i], n[theirs]) >= NUM * np.maximum(n[i], n[theirs]))
-            for k in theirs[fits].tolist():
-                forest.join(i, k)
-    top = np.array([forest.top(i) for i in range(len(key))])
+            met = np.unique(top[theirs[fits]])
+            if len(met) > 1:
+                top[np.isin(top, met)] = met[0]
     least = np.full(len(key), np.iinfo(np.int64).max)
     np.minimum.at(least, top, key)
     keep = np.bincount(top, minlength=len(key))[top] > 1
@@ -517,13 +528,15 @@ def join(docs: DataFrame) -> DataFrame:
     met = cells(texts, named)
     signed = named.where("sign is not null")
     ours = staged(met.select("key").distinct(), "jaccard-keys")
-    m = parted(met, signed.select("key", "n", "sign").join(maybe_broadcast(ours), "key", "left_semi"), BLOCK)
+    m = parted(met, signed.select("key", "n", "sign").join(maybe_broadcast(ours), "key", "left_semi"), PART)
     sized = lookup(m, staged(m.groupBy("g").agg(F.count("*").alias("m")), "jaccard-sizes"), "g")
     of_key = staged(sized.groupBy("key").agg(F.collect_list(F.struct("g", "m")).alias("cells")), "jaccard-cells")
     # Each class of a cell is read again from one of its rows.
     one = signed.select("key", "doc_id", "th").join(maybe_broadcast(of_key.select("key")), "key", "left_semi").groupBy("key")
-    one = staged(one.agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.th").alias("th")), "jaccard-rows").distinct()
-    again = texts.join(maybe_broadcast(one), "th").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+    one = staged(one.agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th")), "jaccard-rows").distinct()
+    # Texts are wide: those of rows that no class is read from are not shuffled.
+    again = sieved(texts.withColumn("_row", F.xxhash64("doc_id", "th")), one.withColumn("_row", F.xxhash64("_id", "_th")), "_row")
+    again = again.where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text")
     members = again.mapInPandas(_tokens, "key long, n long, tokens binary").join(maybe_broadcast(of_key), "key")
     links = exact_links(members.select(F.explode("cells").alias("c"), "key", "n", "tokens").select("c.g", "c.m", "key", "n", "tokens"))
     rows = named.where("n >= 0").select("doc_id", "n", "key")
