@@ -54,3 +54,14 @@ def test_sieved_is_a_join_by_bitmap(spark, monkeypatch, how):
     got, want = common.sieved(left, right, "k", how), left.join(right, "k", how)
     assert got.columns == want.columns and got.count() == want.count()
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_pipeline_stage_by_shuffle_keeps_the_same_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(40)) for _ in range(60)]
+    texts += [t + " end" for t in texts[:20]] + texts[20:40] + [None, "", None]
+    want = {i for i in range(60)} | {100, 101, 102}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "maybe_broadcast", lambda df, limit=3: common.maybe_broadcast(df, limit))
+    kept = [r.doc_id for r in jaccard_join.keep_one(docs(spark, texts)).collect()]
+    assert sorted(kept) == sorted(want)

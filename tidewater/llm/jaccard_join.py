@@ -564,7 +564,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = named.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
     # Narrow: the rows that go.
     gone = staged(named.join(kept, "_component").where("least._row <> _row").select("_row"), "jaccard-gone")
-    left = docs.select(F.struct("*").alias("_d"), row.alias("_row")).join(maybe_broadcast(gone), "_row", "left_anti")
+    left = sieved(docs.select(F.struct("*").alias("_d"), row.alias("_row")), gone, "_row", "left_anti")
     twice = staged(left.groupBy("_row").count().where("count > 1").select("_row"), "jaccard-twice")
     if twice.limit(1).count():
         again = left.join(twice, "_row", "left_semi").dropDuplicates(["_row"])
