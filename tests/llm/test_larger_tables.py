@@ -41,8 +41,9 @@ def test_a_passage_of_many_documents_does_not_reach_the_product(spark, monkeypat
     met, rng = members_met(monkeypatch), random.Random(5)
     passage = " ".join(f"p{k}" for k in range(60))
     texts = [f"{passage} " + " ".join(f"w{rng.random()}" for _ in range(60)) for _ in range(400)]
-    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs(spark, [*texts, texts[9] + " end"])).collect()}
-    assert got == {i: i for i in range(400)} | {400: 9}
+    others = [" ".join(f"w{rng.random()}" for _ in range(120)) for _ in range(30)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs(spark, [*texts, texts[9] + " end", *others])).collect()}
+    assert got == {i: i for i in range(431)} | {400: 9}
     assert met[0] <= 4
 
 
